@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, packing, pii, secrets, token_store, toxicity
+from . import decontaminate, html_text, media, packing, pii, secrets, token_store, toxicity
 
-QUERIES = {f.__name__: f for f in (secrets.op2_secrets, decontaminate.op3_decontaminate, token_store.op4_token_store, packing.op5_packing, pii.op8_pii, media.op9_media, toxicity.op10_toxicity)}
+QUERIES = {f.__name__: f for f in (secrets.op2_secrets, decontaminate.op3_decontaminate, token_store.op4_token_store, packing.op5_packing, html_text.op6_html, pii.op8_pii, media.op9_media, toxicity.op10_toxicity)}
 ORACLE_SQL = {"op3_decontaminate": decontaminate.ORACLE_SQL}
