@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, media, packing, pii, secrets, token_store, toxicity
+from . import decontaminate, html_text, jaccard, language_model, media, packing, pii, secrets, token_store, toxicity
 
-QUERIES = {f.__name__: f for f in (secrets.op2_secrets, decontaminate.op3_decontaminate, token_store.op4_token_store, packing.op5_packing, html_text.op6_html, pii.op8_pii, media.op9_media, toxicity.op10_toxicity)}
-ORACLE_SQL = {"op3_decontaminate": decontaminate.ORACLE_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        jaccard.op1_jaccard,
+        secrets.op2_secrets,
+        decontaminate.op3_decontaminate,
+        token_store.op4_token_store,
+        packing.op5_packing,
+        html_text.op6_html,
+        language_model.op7_language_model,
+        pii.op8_pii,
+        media.op9_media,
+        toxicity.op10_toxicity,
+    )
+}
+ORACLE_SQL = {"op1_jaccard": jaccard.ORACLE_SQL, "op3_decontaminate": decontaminate.ORACLE_SQL}
