@@ -120,7 +120,7 @@ def _sign(docs: DataFrame) -> DataFrame:
     return common.written(docs.mapInArrow(run, SIGNED))
 
 
-# ---- pass 2: families by shared prefix shingles ----
+# ---- pass 2: shared prefix shingles ----
 
 
 def _length_class(n: np.ndarray) -> np.ndarray:
@@ -128,101 +128,147 @@ def _length_class(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / math.log(100 / PERCENT) + 1e-9).astype(np.int64)
 
 
-def _prefixes(docs: DataFrame, levels: np.ndarray, heavy: int, buckets: int) -> DataFrame:
-    """Rows of either kind: a bucket of prefix shingles with the classes (sets) that hold them, or edges by heavy shingles.
+def _share(n):
+    """How many of the first shingles of a set, by one order of all, a prefix has beyond n - needed."""
+    return np.maximum(1, n // 8)
 
-    By one order of all shingles, rarest first, linked sets share one of their n - needed + 1 first. A class node is 48
-    bits of its signature: a chance collision only makes a family larger.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(levels)  # a megabyte
 
-    def run(batches):
-        level_of, held, size = sent.value, [], 0
+def _prefixes(flat: np.ndarray, bounds: np.ndarray, s1: np.ndarray, level_of: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix shingles of each different set, rarest first, with its node and length class.
 
-        def flush():
-            token, node, size_class = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            is_heavy = level_of[(token >> U(44)).astype(np.int64)] >= heavy
-            if is_heavy.any():
-                # a heavy shingle is a node itself, one for each length class and shared with the next class
-                t, c, k = token[is_heavy], node[is_heavy], size_class[is_heavy]
+    Linked sets share k of their n - needed + k first ones: k is 1, or in wide prefixes ``_share``. A node is 48 bits of
+    the set's signature: a chance collision only makes a family larger.
+    """
+    sizes = np.diff(bounds)
+    _, once = np.unique(s1, return_index=True)
+    once = once[sizes[once] > 0]
+    rank = (level_of[(flat >> U(44)).astype(np.int64)].astype(np.uint64) << U(56)) | flat >> U(8)
+    many = (sizes - _needed(sizes) + (_share(sizes) if wide else 1))[once]
+    picked = [np.empty(0, np.uint64)]
+    for k, m in zip(once.tolist(), many.tolist(), strict=True):
+        i, j = bounds[k], bounds[k + 1]
+        picked.append(flat[i + np.argsort(rank[i:j], kind="stable")[:m]])
+    return np.concatenate(picked), np.repeat((s1[once] >> U(16)).astype(np.int64), many), np.repeat(_length_class(sizes[once]), many)
+
+
+class _Postings:
+    """Prefix shingles gathered in a task and sent on by bucket, 12 bytes each: 40 bits of the shingle, its set's node and length class.
+
+    Heavy shingles would make buckets hot, so they aren't sent: bucket -1 has edges to nodes of their own (one for each
+    length class, shared with the next), bucket -2 how many of them each set has.
+    """
+
+    def __init__(self, level_of: np.ndarray, heavy: int, buckets: int, wide: bool):
+        self.level_of, self.heavy, self.buckets, self.wide = level_of, heavy, buckets, wide
+        self.held, self.size = [], 0
+
+    def add(self, flat: np.ndarray, bounds: np.ndarray, s1: np.ndarray):
+        self.held.append(_prefixes(flat, bounds, s1, self.level_of, self.wide))
+        self.size += len(self.held[-1][0])
+        if self.size > 2_000_000:
+            yield from self.flush()
+
+    def flush(self):
+        if not self.size:
+            return
+        token, node, size_class = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
+        is_heavy = self.level_of[(token >> U(44)).astype(np.int64)] >= self.heavy
+        rows: list[tuple[int, bytes]] = []
+        if is_heavy.any():
+            t, c, k = token[is_heavy], node[is_heavy], size_class[is_heavy]
+            if self.wide:
+                rows.append((-2, np.stack(np.unique(c, return_counts=True), 1).tobytes()))
+            else:
                 t, c, k = np.concatenate((t, t)), np.concatenate((c, c)), np.concatenate((k, k + 1))
                 hub = -1 - (common.mix64(t + k.astype(np.uint64)) >> U(16)).astype(np.int64)
-                pairs = np.unique(np.stack((hub, c), 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(1, -1)), pa.array([pairs.tobytes()], pa.binary())], names=["bucket", "blob"])
+                rows.append((-1, np.unique(np.stack((hub, c), 1), axis=0).tobytes()))
             token, node, size_class = token[~is_heavy], node[~is_heavy], size_class[~is_heavy]
-            bucket = (token % U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            packed = np.empty((len(order), 12), np.uint8)
-            packed[:, :5] = token[order].view(np.uint8).reshape(-1, 8)[:, 3:]
-            packed[:, 5:11] = node[order].view(np.uint8).reshape(-1, 8)[:, :6]
-            packed[:, 11] = size_class[order]
-            some = np.flatnonzero(np.diff(ends))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array([packed[ends[k] : ends[k + 1]].tobytes() for k in some.tolist()], pa.binary())], names=["bucket", "blob"])
-
+        bucket = (token % U(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        packed = np.empty((len(order), 12), np.uint8)
+        packed[:, :5] = token[order].view(np.uint8).reshape(-1, 8)[:, 3:]
+        packed[:, 5:11] = node[order].view(np.uint8).reshape(-1, 8)[:, :6]
+        packed[:, 11] = size_class[order]
+        rows += [(k, packed[ends[k] : ends[k + 1]].tobytes()) for k in np.flatnonzero(np.diff(ends)).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["bucket", "blob"])
+
+
+def _from_texts(docs: DataFrame, sent, heavy: int, buckets: int) -> DataFrame:
+    def run(batches):
+        out = _Postings(sent.value, heavy, buckets, True)
         for batch in batches:
             raw, offs = common.text_buffers(batch.column("text"))
             for i, j in common.doc_ranges(offs, CHUNK):
                 flat, bounds = shingle_sets(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                s1, _ = _signatures(flat, bounds)
-                sizes = np.diff(bounds)
-                _, once = np.unique(s1, return_index=True)
-                once = once[sizes[once] > 0]
-                rank = (level_of[(flat >> U(44)).astype(np.int64)].astype(np.uint64) << U(56)) | flat >> U(8)
-                take = sizes - _needed(sizes) + 1
-                picked = []
-                for k in once.tolist():
-                    a, b, m = bounds[k], bounds[k + 1], int(take[k])
-                    picked.append(flat[a + np.argsort(rank[a:b], kind="stable")[:m]])
-                if picked:
-                    many = take[once]
-                    held.append((np.concatenate(picked), np.repeat((s1[once] >> U(16)).astype(np.int64), many), np.repeat(_length_class(sizes[once]), many)))
-                    size += int(many.sum())
-                if size > 2_000_000:
-                    yield from flush()
-                    size = 0
-        if held:
-            yield from flush()
+                yield from out.add(flat, bounds, _signatures(flat, bounds)[0])
+        yield from out.flush()
 
     return docs.mapInArrow(run, "bucket long, blob binary")
 
 
-def _bucket_edges(packed: np.ndarray) -> np.ndarray:
-    """Edges from the first class to every other that holds the same shingle, by runs of neighbouring length classes."""
+def _from_sets(sets: DataFrame, sent, heavy: int, buckets: int) -> DataFrame:
+    def run(batches):
+        out = _Postings(sent.value, heavy, buckets, False)
+        for batch in batches:
+            blobs = batch.column("blob").to_pylist()
+            bounds = np.concatenate(([0], np.cumsum([len(b) // 8 for b in blobs]))).astype(np.int64)
+            yield from out.add(np.frombuffer(b"".join(blobs), np.uint64), bounds, np.asarray(batch.column("s1")).view(np.uint64))
+        yield from out.flush()
+
+    return sets.select("s1", "blob").mapInArrow(run, "bucket long, blob binary")
+
+
+def _runs(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes in order of shingle and length class, and where a run of one shingle and neighbouring classes begins."""
     wide = np.zeros((len(packed), 8), np.uint8)
     wide[:, 1:6] = packed[:, :5]
     wide[:, 0] = packed[:, 11]
     key = wide.view(np.uint64).reshape(-1)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
     wide = np.zeros((len(packed), 8), np.uint8)
-    wide[:, :6] = packed[order, 5:11]
+    wide[:, :6] = packed[:, 5:11]
     node = wide.view(np.int64).reshape(-1)
-    token, size_class = key >> U(8), (key & U(255)).astype(np.int64)
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # the same set from two tasks
+    key, node = key[new], node[new]
     head = np.ones(len(key), bool)
-    head[1:] = (token[1:] != token[:-1]) | (np.diff(size_class) > 1)
+    head[1:] = (key[1:] >> U(8) != key[:-1] >> U(8)) | (np.diff((key & U(255)).astype(np.int64)) > 1)
+    return node, head
+
+
+def _bucket_edges(packed: np.ndarray) -> np.ndarray:
+    """Edges from the first set to every other of a run."""
+    node, head = _runs(packed)
     first = node[np.flatnonzero(head)[np.cumsum(head) - 1]]
     other = first != node
     return np.unique(np.stack((np.minimum(first, node)[other], np.maximum(first, node)[other]), 1), axis=0)
 
 
-def _edges(buckets: DataFrame) -> DataFrame:
+def _bucket_counts(packed: np.ndarray) -> np.ndarray:
+    """For each set, how many of its shingles others in a run have too."""
+    node, head = _runs(packed)
+    size = np.diff(np.append(np.flatnonzero(head), len(node)))
+    return np.stack(np.unique(node[np.repeat(size > 1, size)], return_counts=True), 1)
+
+
+def _reduced(buckets: DataFrame, each) -> DataFrame:
+    """Pairs (a, b) that ``each`` makes of a bucket's postings, or that a row of bucket -1 or -2 has already."""
+
     def run(batches):
         held: list[bytes] = []
         last = None
 
         def flush():
-            if last == -1:
-                pairs = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 2) for b in held])
-            else:
-                pairs = _bucket_edges(np.frombuffer(b"".join(held), np.uint8).reshape(-1, 12))
+            pairs = np.frombuffer(held[0], np.int64).reshape(-1, 2) if last < 0 else each(np.frombuffer(b"".join(held), np.uint8).reshape(-1, 12))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
         for batch in batches:
             for k, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                if held and (k != last or k == -1):
+                if held and (k != last or k < 0):
                     yield flush()
                 last = k
                 held.append(blob)
@@ -380,6 +426,8 @@ def _search(rows: DataFrame) -> DataFrame:
                     if len(sets) > 1:
                         out += [(reps[a], reps[b]) for a, b in divide_skip(sets, labels)]
                     reps, labels, sets, last = [], [], [], work
+                if reps and rep == reps[-1]:
+                    continue  # a row of the same document again
                 reps.append(rep)
                 labels.append(label)
                 sets.append(np.frombuffer(blob, np.uint64))
@@ -388,7 +436,7 @@ def _search(rows: DataFrame) -> DataFrame:
         pairs = np.array(out, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
-    return rows.select("work", "rep", "label", "blob").repartition("work").sortWithinPartitions("work").mapInArrow(run, "a long, b long")
+    return rows.select("work", "rep", "label", "blob").repartition("work").sortWithinPartitions("work", "rep").mapInArrow(run, "a long, b long")
 
 
 def _across(members: DataFrame, block: int) -> DataFrame:
@@ -417,6 +465,7 @@ def _across(members: DataFrame, block: int) -> DataFrame:
 def jaccard_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id it reaches by links, itself included).
 
+    Searched are only sets that share enough with all others together, in families that share prefix shingles.
     Documents without words, null or empty, are linked with nothing. Equal texts are one class and link whatever they
     are; rows of one doc_id are one document to links, a row each in the result. A null doc_id names no component. An
     empty table gives an empty result; further columns are left out.
@@ -426,25 +475,28 @@ def jaccard_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     signed = _sign(docs)
     cells = _assembled(_sum_slices(signed.where("slice IS NOT NULL").select("slice", "cells"), "u4", np.add), CELLS, "u4")
     scale = max(1.0, float(cells.mean()))
-    levels = np.minimum(255, 4 * np.log2(1 + cells / scale)).astype(np.uint8)
+    sent = spark.sparkContext.broadcast(np.minimum(255, 4 * np.log2(1 + cells / scale)).astype(np.uint8))  # a megabyte
     heavy = int(4 * math.log2(1 + HEAVY))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    family = components(_edges(_prefixes(docs, levels, heavy, buckets)))
 
     signs = signed.where("slice IS NULL").select("doc_id", "n", "s1", "s2")
     classes = common.written(signs.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).where("rep IS NOT NULL"))
-    node = F.shiftrightunsigned("s1", 16)
-    members = classes.withColumn("node", node).join(family.select("node", F.col("root").alias("family")), "node").drop("node")
-    crowd = members.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = common.written(members.join(crowd, "family"))
-    found = _sets(docs, members.select(F.col("rep").alias("doc_id"))).dropDuplicates(["doc_id", "s1", "s2"]).withColumnRenamed("doc_id", "rep")
-    members = common.written(members.join(found, ["rep", "s1", "s2"]).withColumn("label", F.col("rep")).select("family", "size", "rep", "n", "label", "blob"))
+    # a set that shares too few of its wide prefix with all others together links with none
+    shared = _reduced(_from_texts(docs, sent, heavy, buckets), _bucket_counts).groupBy("a").agg(F.sum("b").alias("shared"))
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / 8))
+    alive = classes.withColumn("node", F.shiftrightunsigned("s1", 16)).join(shared, F.col("node") == F.col("a")).where(F.col("shared") >= least).select("rep", "n", "s1", "s2", "node")
+    alive = common.written(alive)
+    sets = common.written(_sets(docs, alive.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep").join(alive, ["rep", "s1", "s2"]))
+    family = components(_reduced(_from_sets(sets, sent, heavy, 1 + buckets // 4), _bucket_edges)).select("node", F.col("root").alias("family"))
+    crowd = alive.join(family, "node").groupBy("family").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    crowd = common.written(family.join(crowd, "family"))
+    members = sets.join(crowd, "node").withColumn("label", F.col("rep")).select("family", "size", "rep", "n", "label", "blob")
 
     blocks = F.ceil(F.col("size") / block)
     twice = F.when(blocks == 1, F.array(F.xxhash64("family"))).otherwise(F.array(*(F.xxhash64("family", F.lit(salt), F.pmod(F.xxhash64("rep", F.lit(salt)), blocks)) for salt in (1, 2))))
     links = common.written(_search(members.withColumn("work", F.explode(twice))))
     label = common.written(components(links))
-    if members.where(F.col("size") > block).limit(1).count():
+    if crowd.where(F.col("size") > block).limit(1).count():
         known = members.drop("label").join(label.select(F.col("node").alias("rep"), F.col("root").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         more = common.written(_search(_across(known.where(F.col("size") > block), block)))
         if more.limit(1).count():

@@ -14,7 +14,7 @@ from . import common
 from .common import U
 
 #: Bytes of text a chunk is meant to have, and bits of a bigram's key beyond those that number the tokens.
-CHUNK, SPARE_BITS = 8 << 20, 14
+CHUNK, SPARE_BITS = 4 << 20, 14
 #: Documents whose crc32 has these remainders mod 10: never learnt from; learnt from, and their counts deleted for the weights.
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
 START, END = U(0x9B1D5A7E3C2F4E61), U(0x5F3A9C1D7E2B4680)
@@ -90,7 +90,8 @@ def _count(docs: DataFrame, bits: int, buckets: int) -> DataFrame:
             for c in np.unique(chunk).tolist():
                 some = batch.filter(pa.array(chunk == c))
                 held.setdefault(c, []).append((*common.text_buffers(some.column("text")), np.asarray(some.column("learnt").to_numpy(zero_copy_only=False), float)))
-        for c, parts in held.items():
+        for c in list(held):
+            parts = held.pop(c)
             raw = np.concatenate([p[0] for p in parts])
             sizes = np.concatenate([np.diff(p[1]) for p in parts])
             data = Chunk(raw, np.concatenate(([0], np.cumsum(sizes))), bits)
