@@ -36,7 +36,11 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(roots[leaf])], names=["u", "v"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges that one task contracts at most; more are contracted side by side, then joined by star steps.
+TASK_EDGES = 1 << 20
+
+
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long, no nulls): root is the smallest node it reaches.
 
     Self-loops and repeated edges are harmless; no edges give no rows.
@@ -44,6 +48,11 @@ def components(edges: DataFrame) -> DataFrame:
     stars = common.written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_contract, "u long, v long").distinct())
     seen = None
     while True:
+        parts = -(-stars.count() // task_edges)
+        pairs = stars.select(F.col("u").alias("a"), F.col("v").alias("b")).coalesce(max(1, parts))
+        stars = common.written(pairs.mapInArrow(_contract, "u long, v long"))
+        if parts <= 1:
+            break
         both = stars.unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = common.written(both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())

@@ -459,7 +459,7 @@ def _across(members: DataFrame, block: int) -> DataFrame:
     may = (F.col("a.part") <= F.col("b.part")) & (F.coalesce(F.col("a.pure") != F.col("b.pure"), F.lit(True))) & (100 * F.col("a.high") >= PERCENT * F.col("b.low")) & (100 * F.col("b.high") >= PERCENT * F.col("a.low"))
     pairs = a.join(b, F.col("a.family") == F.col("b.family")).where(may)
     pairs = pairs.select(F.col("a.family").alias("family"), F.xxhash64("a.family", "a.part", "b.part").alias("work"), F.explode(F.array_distinct(F.array("a.part", "b.part"))).alias("part"))
-    return left.join(pairs, ["family", "part"]).select("work", "rep", "label", "n", "blob")
+    return left.join(pairs, ["family", "part"]).select("work", "rep", "label")
 
 
 def jaccard_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -490,15 +490,16 @@ def jaccard_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     family = components(_reduced(_from_sets(sets, sent, heavy, 1 + buckets // 4), _bucket_edges)).select("node", F.col("root").alias("family"))
     crowd = alive.join(family, "node").groupBy("family").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     crowd = common.written(family.join(crowd, "family"))
-    members = sets.join(crowd, "node").withColumn("label", F.col("rep")).select("family", "size", "rep", "n", "label", "blob")
+    members = common.written(alive.join(crowd, "node").select("family", "size", "rep", "n"))
+    blobs = sets.select("rep", "blob")
 
     blocks = F.ceil(F.col("size") / block)
     twice = F.when(blocks == 1, F.array(F.xxhash64("family"))).otherwise(F.array(*(F.xxhash64("family", F.lit(salt), F.pmod(F.xxhash64("rep", F.lit(salt)), blocks)) for salt in (1, 2))))
-    links = common.written(_search(members.withColumn("work", F.explode(twice))))
+    links = common.written(_search(members.select("rep", F.col("rep").alias("label"), F.explode(twice).alias("work")).join(blobs, "rep")))
     label = common.written(components(links))
     if crowd.where(F.col("size") > block).limit(1).count():
-        known = members.drop("label").join(label.select(F.col("node").alias("rep"), F.col("root").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        more = common.written(_search(_across(known.where(F.col("size") > block), block)))
+        known = members.where(F.col("size") > block).join(label.select(F.col("node").alias("rep"), F.col("root").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        more = common.written(_search(_across(known, block).join(blobs, "rep")))
         if more.limit(1).count():
             label = common.written(components(links.unionAll(more)))
     classes = classes.join(label.select(F.col("node").alias("rep"), F.col("root")), "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("component"))
