@@ -13,7 +13,8 @@ from . import common
 
 CHUNK, THRESHOLD, FOLDS, HELD_OUT = 2 << 20, 0.3, 4, 2
 #: Labelled documents that the model is fitted on at most, and bytes of their texts.
-SAMPLE, SAMPLE_BYTES = 6000, 48 << 20
+SAMPLE, SAMPLE_BYTES = 4000, 8 << 20
+FIT_CHUNK = 512 << 10
 #: Bytes of the prefixes and suffixes that are features beside the word itself.
 PREFIXES, SUFFIXES, SEGMENT = (3, 4, 5, 6, 7, 8), (4, 6), 24
 
@@ -130,13 +131,33 @@ def fit(texts: list[str], labels: list[int], rounds: int = 150) -> Model:
     low = common.LOWER[raw]
     starts, ends, first = common.word_bounds(low, offs, common.LETTERS)
     sizes = np.diff(first)
-    doc = np.repeat(np.arange(len(kept)), sizes)
-    feats = _features(low, starts, ends)
-    rows, cols = np.nonzero(feats)
-    pairs = np.unique(np.stack((feats[rows, cols], doc[rows].astype(np.uint64)), 1), axis=0) if len(rows) else np.empty((0, 2), np.uint64)
-    keys, at = np.unique(pairs[:, 0], return_inverse=True)
-    bad = y[pairs[:, 1].astype(np.int64)] if len(pairs) else np.empty(0, np.int64)
-    toxic, other = np.bincount(at, bad, len(keys)), np.bincount(at, 1 - bad, len(keys))
+    doc = np.repeat(np.arange(len(kept), dtype=np.int32), sizes)
+
+    def parts():
+        """Features of some documents at a time: the first word, and a row a word."""
+        for i, j in common.doc_ranges(offs, FIT_CHUNK):
+            a, b = int(first[i]), int(first[j])
+            yield a, _features(low[offs[i] : offs[j]], starts[a:b] - offs[i], ends[a:b] - offs[i])
+
+    held = [(np.empty(0, np.uint64), np.empty(0, np.int8))]
+    for begin, feats in parts():
+        rows, cols = np.nonzero(feats)
+        key, of = feats[rows, cols], doc[begin + rows]
+        order = np.lexsort((of, key))
+        key, of = key[order], of[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+        held.append((key[new], y[of[new]].astype(np.int8)))
+    found, bad = (np.concatenate(x) for x in zip(*held, strict=True))
+    del held
+    order = np.argsort(found)
+    found, bad = found[order], bad[order]
+    heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(found)), bool), found[1:] != found[:-1])))
+    keys = found[heads]
+    total = np.diff(np.append(heads, len(found)))
+    toxic = np.add.reduceat(bad, heads, dtype=np.int64) if len(heads) else np.empty(0, np.int64)
+    other = total - toxic
+    del found, bad, order
     n1, n0 = max(1, y.sum()), max(1, (1 - y).sum())
     rate1, rate0 = (toxic + 0.5) / (n1 + 1), (other + 0.5) / (n0 + 1)
     mean = (toxic + other + 1) / (n1 + n0 + 2)
@@ -144,21 +165,31 @@ def fit(texts: list[str], labels: list[int], rounds: int = 150) -> Model:
     chosen = (toxic >= 3) & (rate1 > 5 * rate0) & (sure > 5)
     model = Model(keys[chosen], np.zeros(int(chosen.sum())), -4.0, np.zeros((2, 2)), np.zeros(4))
     if len(model.keys):
+        some = [(np.empty(0, np.int64), np.empty((0, 1 + len(PREFIXES) + len(SUFFIXES)), np.uint64))]
+        for begin, feats in parts():
+            rows, _ = model.emissions(feats)
+            some.append((begin + rows, feats[rows]))
+        events, feats = (np.concatenate(x) for x in zip(*some, strict=True))
         at = np.minimum(np.searchsorted(model.keys, feats), len(model.keys) - 1)
         known = (model.keys[at] == feats) & (feats != 0)
-        tags = (known.any(1) & (y[doc] == 1)).astype(np.int64)
-        _ascend(model, at, known, tags, first, rounds)
-    events, emission = model.emissions(feats)
+        tags = np.zeros(len(doc), np.int8)
+        tags[events] = y[doc[events]] == 1
+        _ascend(model, at, known, events, tags, first, rounds)
+        emission = np.where(known, model.weights[at], 0).sum(1)
+    else:
+        events, emission = np.empty(0, np.int64), np.empty(0)
     p = model.marginals(doc[events], events - first[doc[events]], emission, sizes)
     model.document = _logistic(_document_features(doc[events], p, sizes), y)
     return model
 
 
-def _ascend(model: Model, at: np.ndarray, known: np.ndarray, tags: np.ndarray, first: np.ndarray, rounds: int) -> None:
+def _ascend(model: Model, at: np.ndarray, known: np.ndarray, events: np.ndarray, tags: np.ndarray, first: np.ndarray, rounds: int) -> None:
     """Full-batch AdaGrad over segments: all that hold a known feature, and every tenth of the others at tenfold weight."""
     begin = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True) if b > a])
     end = np.minimum(begin + SEGMENT, first[np.searchsorted(first, begin, "right")])
-    any_known = np.concatenate(([0], np.cumsum(known.any(1))))
+    row_of = np.full(len(tags), -1, np.int32)
+    row_of[events] = np.arange(len(events))
+    any_known = np.concatenate(([0], np.cumsum(row_of >= 0)))
     held = any_known[end] > any_known[begin]
     idle = np.flatnonzero(~held)[::10]
     pick = np.concatenate((np.flatnonzero(held), idle))
@@ -166,9 +197,9 @@ def _ascend(model: Model, at: np.ndarray, known: np.ndarray, tags: np.ndarray, f
     begin, end = begin[pick], end[pick]
     index = np.minimum(begin[:, None] + np.arange(SEGMENT), len(tags) - 1)
     real = begin[:, None] + np.arange(SEGMENT) < end[:, None]
-    y = tags[index]
-    row, col = np.nonzero(real & known.any(1)[index])
-    word = index[row, col]
+    y = tags[index].astype(np.int64)
+    row, col = np.nonzero(real & (row_of[index] >= 0))
+    word = row_of[index[row, col]]
     k_word, k_feat = np.nonzero(known[word])
     feature = at[word[k_word], k_feat]
     share = weight[row]
