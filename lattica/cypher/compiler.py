@@ -375,9 +375,7 @@ class Compiler:
 
     def negation(self) -> Column:
         if self.maybe("NOT"):
-            inner = self.negation()
-            # a facet that was never set isn't that facet
-            return ~F.coalesce(inner, F.lit(False)) if getattr(inner, "_facet", False) else ~inner
+            return ~self.negation()
         return self.comparison()
 
     def comparison(self) -> Column:
@@ -473,9 +471,8 @@ class Compiler:
         return F.col(column) if self.s.df is not None and column in self.s.df.columns else F.lit(None)
 
     def has_label(self, name: str, label: str) -> Column:
-        if label in FACETS:
-            out = F.coalesce(self.property(name, FACETS[label]).cast("boolean"), F.lit(False))
-            return out
+        if label in FACETS:  # one that was never set isn't that facet
+            return F.coalesce(self.property(name, FACETS[label]).cast("boolean"), F.lit(False))
         return F.col(f"{name}__label") == label
 
     def comprehension(self) -> Column:
