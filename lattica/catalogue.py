@@ -19,7 +19,7 @@ from lattica.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-SPARSE = "CALLS_SPARSE"
+LOCAL = "CALLS_LOCAL"
 CODE = ["Function", "File", "Class", "State"]
 TYPES = ["CALLS", "CONTAINS", "HAS_METHOD", "WRITES_STATE", "IMPORTS"]
 ALL_EDGES = " UNION ALL ".join(f"SELECT '{t}' AS rel_type, src, dst FROM {v}" for t, v in zip(TYPES, ("calls", "contains", "hasm", "writes", "imports"), strict=True))
@@ -42,23 +42,23 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_add("dead_code", lambda g: A.dead_code(g, SPARSE).drop("frameworkKind", "specSignals"), """
+_add("dead_code", lambda g: A.dead_code(g, LOCAL).drop("frameworkKind", "specSignals"), """
 SELECT f.uid, f.name AS function, f.file, CASE WHEN coalesce(t, 0) > 0 THEN 'planned_stub' WHEN visibility = 'public' THEN 'public_no_static_caller' ELSE 'private_no_caller' END AS category,
 CASE WHEN coalesce(t, 0) > 0 THEN 'none' WHEN visibility = 'public' THEN 'low' ELSE 'medium' END AS "analysisConfidence", visibility, coalesce(t, 0) AS "taskSignals", false AS "passedAsCallback"
-FROM fn f LEFT JOIN (SELECT dst, count(DISTINCT src) AS t FROM affects GROUP BY dst) a ON f.uid = a.dst WHERE f.uid NOT IN (SELECT dst FROM sparse)""")
+FROM fn f LEFT JOIN (SELECT dst, count(DISTINCT src) AS t FROM affects GROUP BY dst) a ON f.uid = a.dst WHERE f.uid NOT IN (SELECT dst FROM loc)""")
 _add("direct_recursion", A.direct_recursion, "SELECT uid, name AS function, file FROM fn WHERE uid IN (SELECT src FROM calls WHERE src = dst)")
 _add("call_resolution_quality", lambda g: A.call_resolution_quality(_resolved(g), "CALLS"), """
 SELECT CASE WHEN x.file = y.file THEN 'same-file' ELSE 'imported-symbol' END AS "resolvedBy", count(*) AS edges FROM calls JOIN fn x ON src = x.uid JOIN fn y ON dst = y.uid GROUP BY 1""")
 WALK = ", walk AS (SELECT src AS o, dst AS n, 1 AS k FROM step UNION SELECT o, step.dst, k + 1 FROM walk JOIN step ON n = step.src WHERE k < {k} AND n <> o) "
-_add("recursion", lambda g: A.recursion(g, SPARSE), WALK.format(k=5) + 'SELECT uid, name AS "recursiveFunction", file FROM fn WHERE uid IN (SELECT o FROM walk WHERE o = n UNION SELECT src FROM sparse WHERE src = dst)', True)
-_add("duplicate_functions_by_callees", lambda g: A.duplicate_functions_by_callees(g, SPARSE), """
+_add("recursion", lambda g: A.recursion(g, LOCAL), WALK.format(k=5) + 'SELECT uid, name AS "recursiveFunction", file FROM fn WHERE uid IN (SELECT o FROM walk WHERE o = n UNION SELECT src FROM loc WHERE src = dst)', True)
+_add("duplicate_functions_by_callees", lambda g: A.duplicate_functions_by_callees(g), """
 SELECT a.uid, a.name AS "funcA", a.file AS "fileA", b.name AS "funcB", b.file AS "fileB", string_agg(s.name, ',' ORDER BY s.name) AS "sharedCallees", count(*) AS overlap
-FROM sparse x JOIN sparse y ON x.dst = y.dst JOIN fn a ON x.src = a.uid JOIN fn b ON y.src = b.uid JOIN fn s ON x.dst = s.uid WHERE a.name < b.name GROUP BY a.uid, a.name, a.file, b.uid, b.name, b.file HAVING count(*) >= 2""")
+FROM calls x JOIN calls y ON x.dst = y.dst JOIN fn a ON x.src = a.uid JOIN fn b ON y.src = b.uid JOIN fn s ON x.dst = s.uid WHERE a.name < b.name GROUP BY a.uid, a.name, a.file, b.uid, b.name, b.file HAVING count(*) >= 2""")
 _add("duplicate_functions_by_signature", A.duplicate_functions_by_signature, """
 SELECT a.name AS "funcA", a.file AS "fileA", b.name AS "funcB", b.file AS "fileB", a.params AS "sharedSignature" FROM fn a JOIN fn b ON a.params = b.params WHERE a.name < b.name AND a.params <> '()'""")
-_add("duplicate_functions_by_callers_and_callees", lambda g: A.duplicate_functions_by_callers_and_callees(g, SPARSE), """
-, up AS (SELECT a.uid AS a, b.uid AS b, string_agg(DISTINCT s.name, ',' ORDER BY s.name) AS l FROM sparse x JOIN sparse y ON x.src = y.src JOIN fn a ON x.dst = a.uid JOIN fn b ON y.dst = b.uid JOIN fn s ON x.src = s.uid WHERE a.name < b.name GROUP BY 1, 2),
-dn AS (SELECT a.uid AS a, b.uid AS b, string_agg(DISTINCT s.name, ',' ORDER BY s.name) AS l FROM sparse x JOIN sparse y ON x.dst = y.dst JOIN fn a ON x.src = a.uid JOIN fn b ON y.src = b.uid JOIN fn s ON x.dst = s.uid WHERE a.name < b.name GROUP BY 1, 2)
+_add("duplicate_functions_by_callers_and_callees", lambda g: A.duplicate_functions_by_callers_and_callees(g, LOCAL), """
+, up AS (SELECT a.uid AS a, b.uid AS b, string_agg(DISTINCT s.name, ',' ORDER BY s.name) AS l FROM loc x JOIN loc y ON x.src = y.src JOIN fn a ON x.dst = a.uid JOIN fn b ON y.dst = b.uid JOIN fn s ON x.src = s.uid WHERE a.name < b.name GROUP BY 1, 2),
+dn AS (SELECT a.uid AS a, b.uid AS b, string_agg(DISTINCT s.name, ',' ORDER BY s.name) AS l FROM loc x JOIN loc y ON x.dst = y.dst JOIN fn a ON x.src = a.uid JOIN fn b ON y.src = b.uid JOIN fn s ON x.dst = s.uid WHERE a.name < b.name GROUP BY 1, 2)
 SELECT p.name AS "funcA", q.name AS "funcB", up.l AS "sharedCallers", dn.l AS "sharedCallees", up.a AS uid, up.b AS "uidB" FROM up JOIN dn ON up.a = dn.a AND up.b = dn.b JOIN fn p ON up.a = p.uid JOIN fn q ON up.b = q.uid""")
 _add("most_called_functions", A.most_called_functions, 'SELECT uid, name AS function, file, "calledBy" FROM (SELECT dst, count(*) AS "calledBy" FROM calls GROUP BY dst ORDER BY 2 DESC, dst LIMIT 20) JOIN fn ON dst = uid')
 _add("most_complex_functions", lambda g: A.most_complex_functions(g, "CALLS", None), """
@@ -69,49 +69,50 @@ SELECT *, CASE WHEN "refactoringScore" >= 120 AND decisions >= 6 THEN 'high' WHE
 _add("cyclomatic_complexity", lambda g: A.cyclomatic_complexity(g, None), 'SELECT uid, name AS function, file, coalesce(n, 0) + 1 AS "cyclomaticComplexity" FROM fn LEFT JOIN (SELECT src, count(*) AS n FROM flows GROUP BY src) ON uid = src')
 _add("long_functions", A.long_functions, 'SELECT uid, name AS function, file, "endLine" - "startLine" + 1 AS lines FROM fn ORDER BY lines DESC, uid LIMIT 40')
 _add("large_classes", lambda g: A.large_classes(g, "HAS_METHOD").drop("lines"), 'SELECT uid, name AS class, file, coalesce(n, 0) AS methods FROM cl LEFT JOIN (SELECT src, count(*) AS n FROM hasm GROUP BY src) ON uid = src ORDER BY methods DESC, uid LIMIT 40')
-_add("entry_points", lambda g: A.entry_points(g, SPARSE), 'SELECT uid, name AS "entryPoint", file FROM fn WHERE uid IN (SELECT src FROM sparse) AND uid NOT IN (SELECT dst FROM sparse)')
-_add("callers_of_function", lambda g: A.callers_of_function(g, _first_name(g), SPARSE), """
-SELECT a.name AS caller, a.file, a.uid, b.uid AS callee FROM sparse JOIN fn a ON src = a.uid JOIN fn b ON dst = b.uid WHERE b.name = (SELECT min(name) FROM fn)""")
-PATHS = ", p AS (SELECT src AS o, [src, dst] AS path, 1 AS hops FROM step WHERE src = '{s}' UNION ALL SELECT o, list_append(path, step.dst), hops + 1 FROM p JOIN step ON path[-1] = step.src WHERE hops < {k} AND NOT list_contains(path, step.dst)) "
-_add("call_chain", lambda g: A.call_chain(g, "Function:7", SPARSE, 4, None), PATHS.format(s="Function:7", k=4) + """SELECT array_to_string(path, ',') AS "callChain", CAST(hops AS BIGINT) AS hops FROM p""", True)
-_add("circular_imports", lambda g: A.circular_imports(_sparse_imports(g), "IMPORTS", 6), """
-, si AS (SELECT DISTINCT x.file AS a, y.file AS b FROM sparse JOIN fn x ON src = x.uid JOIN fn y ON dst = y.uid WHERE x.file <> y.file AND (length(x.name) * 5 + length(y.name) * 3) % 11 = 0),
+_add("entry_points", lambda g: A.entry_points(g, LOCAL), 'SELECT uid, name AS "entryPoint", file FROM fn WHERE uid IN (SELECT src FROM loc) AND uid NOT IN (SELECT dst FROM loc)')
+_add("callers_of_function", lambda g: A.callers_of_function(g, _first_name(g), LOCAL), """
+SELECT a.name AS caller, a.file, a.uid, b.uid AS callee FROM loc JOIN fn a ON src = a.uid JOIN fn b ON dst = b.uid WHERE b.name = (SELECT min(name) FROM fn)""")
+PATHS = ", p AS (SELECT src AS o, [src, dst] AS path, 1 AS hops FROM step WHERE src = (SELECT src FROM hub) UNION ALL SELECT o, list_append(path, step.dst), hops + 1 FROM p JOIN step ON path[-1] = step.src WHERE hops < {k} AND NOT list_contains(path, step.dst)) "
+_add("call_chain", lambda g: A.call_chain(g, _hub(g), LOCAL, 4, None), PATHS.format(k=4) + """SELECT array_to_string(path, ',') AS "callChain", CAST(hops AS BIGINT) AS hops FROM p""", True)
+_add("circular_imports", lambda g: A.circular_imports(_local_imports(g), "IMPORTS", 6), """
+, si AS (SELECT DISTINCT x.file AS a, y.file AS b FROM loc JOIN fn x ON src = x.uid JOIN fn y ON dst = y.uid WHERE x.file <> y.file),
 w AS (SELECT a AS o, b AS n, 1 AS k FROM si UNION SELECT o, si.b, k + 1 FROM w JOIN si ON n = si.a WHERE k < 6 AND n <> o) SELECT uid, path FROM fi WHERE path IN (SELECT o FROM w WHERE o = n)""", True)
 _add("files_overview", lambda g: A.files_overview(g).drop("lang"), "SELECT path AS file, coalesce(n, 0) AS functions FROM fi LEFT JOIN (SELECT src, count(*) AS n FROM contains GROUP BY src) ON uid = src")
 _add("state_writers", A.state_writers, 'SELECT f.uid, f.name AS component, s.name AS "stateSetter", f.file FROM writes JOIN fn f ON src = f.uid JOIN st s ON dst = s.uid')
 _add("user_events", A.user_events, """SELECT 'UserEvent:' || event_id AS uid, 'User:' || user_id AS "user", event_type AS type, ts AS "timestamp" FROM events ORDER BY ts DESC, uid LIMIT 30""")
 _add("find_by_name", lambda g: A.find_by_name(g, "Customer", CODE).unionByName(A.find_by_name(g, _first_name(g), CODE)).drop("line"), f"SELECT uid, name, label AS type, file FROM ({ALL_NODES}) WHERE name = 'Customer' OR name = (SELECT min(name) FROM fn)")
-_add("verify_terms", lambda g: A.verify_terms(g, ["Brand#11", "FRANCE", "no such name"], CODE), f"SELECT term, count(n.uid) AS hits, coalesce(string_agg(DISTINCT n.file, ',' ORDER BY n.file), '') AS files FROM (VALUES ('Brand#11'), ('FRANCE'), ('no such name')) t(term) LEFT JOIN ({ALL_NODES}) n ON n.name = term GROUP BY term")
-_add("node_search", lambda g: A.node_search(g, "an", 51, ["State", "Class"]), f"SELECT uid, name, file, CAST(CASE WHEN lower(name) = 'an' THEN 0 WHEN starts_with(lower(name), 'an') THEN 1 ELSE 2 END AS INTEGER) AS rank FROM ({ALL_NODES}) WHERE label IN ('State', 'Class') AND contains(lower(name), 'an') ORDER BY rank, name, file NULLS FIRST, uid LIMIT 51")
+_add("verify_terms", lambda g: A.verify_terms(g, ["Brand#11", "NATION_3", "no such name"], CODE), f"SELECT term, count(n.uid) AS hits, coalesce(string_agg(DISTINCT n.file, ',' ORDER BY n.file), '') AS files FROM (VALUES ('Brand#11'), ('NATION_3'), ('no such name')) t(term) LEFT JOIN ({ALL_NODES}) n ON n.name = term GROUP BY term")
+_add("node_search", lambda g: A.node_search(g, "_1", 51, ["State", "Class"]), f"SELECT uid, name, file, CAST(CASE WHEN lower(name) = '_1' THEN 0 WHEN starts_with(lower(name), '_1') THEN 1 ELSE 2 END AS INTEGER) AS rank FROM ({ALL_NODES}) WHERE label IN ('State', 'Class') AND contains(lower(name), '_1') ORDER BY rank, name, file NULLS FIRST, uid LIMIT 51")
 _add("label_census", lambda g: A.label_census(g, CODE), f"SELECT label, count(*) AS n FROM ({ALL_NODES}) GROUP BY label")
 _add("edge_census", lambda g: A.edge_census(g, TYPES), f"SELECT rel_type, count(*) AS n FROM ({ALL_EDGES}) GROUP BY rel_type")
 _add("node_relations", lambda g: A.node_relations(g, "Function:7", TYPES), f"SELECT CASE WHEN src = 'Function:7' THEN 'out' ELSE 'in' END AS direction, rel_type, count(*) AS n FROM (SELECT * FROM ({ALL_EDGES}) WHERE src = 'Function:7' UNION ALL SELECT rel_type, '-' AS src, dst FROM ({ALL_EDGES}) WHERE dst = 'Function:7') GROUP BY 1, 2")
 _add("label_adjacency", lambda g: traverse.adjacency(g, CODE, TYPES), f", e AS (SELECT DISTINCT x.label AS a, y.label AS b FROM ({ALL_EDGES}) JOIN ({ALL_NODES}) x ON src = x.uid JOIN ({ALL_NODES}) y ON dst = y.uid) SELECT a AS from_label, b AS to_label FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b")
 _add("degree", lambda g: traverse.degree(g, CODE, TYPES), f"SELECT n.uid, CAST(count(e.uid) AS BIGINT) AS degree FROM ({ALL_NODES}) n LEFT JOIN (SELECT src AS uid FROM ({ALL_EDGES}) UNION ALL SELECT dst FROM ({ALL_EDGES})) e ON n.uid = e.uid GROUP BY n.uid")
-_add("reach", lambda g: traverse.reach(g, g.label("Function").where("startLine % 50 = 7").select("uid"), [SPARSE], 3), """
-, w AS (SELECT uid AS o, uid AS n, 0 AS k FROM fn WHERE "startLine" % 50 = 7 UNION SELECT o, step.dst, k + 1 FROM w JOIN step ON n = step.src WHERE k < 3) SELECT o AS origin, n AS node, CAST(min(k) AS BIGINT) AS dist FROM w GROUP BY o, n""", True)
-_add("shortest_routes", lambda g: _routes(g), PATHS.format(s="Function:7", k=4) + """, t AS (SELECT path, hops FROM p WHERE path[-1] = (SELECT max(path[-1]) FROM p WHERE hops = 2)), m AS (SELECT min(hops) AS h FROM t)
+_add("reach", lambda g: traverse.reach(g, g.label("Function").select("uid"), [LOCAL], 3), """
+, w AS (SELECT uid AS o, uid AS n, 0 AS k FROM fn UNION SELECT o, step.dst, k + 1 FROM w JOIN step ON n = step.src WHERE k < 3) SELECT o AS origin, n AS node, CAST(min(k) AS BIGINT) AS dist FROM w GROUP BY o, n""", True)
+_add("shortest_routes", lambda g: _routes(g), PATHS.format(k=4) + """, t AS (SELECT path, hops FROM p WHERE path[-1] = (SELECT max(path[-1]) FROM p WHERE hops = 2)), m AS (SELECT min(hops) AS h FROM t)
 SELECT CAST(hops AS BIGINT) AS hops, array_to_string(path, ',') AS path FROM t, m WHERE hops = h ORDER BY t.path LIMIT 5""", True)
-_add("induced_subgraph", lambda g: traverse.induced(g, g.spark.createDataFrame([("Function:7",)], "uid string"), [SPARSE], 2), """
-, u AS (SELECT src, dst FROM step UNION SELECT dst, src FROM step), w AS (SELECT 'Function:7' AS n, 0 AS k UNION SELECT u.dst, k + 1 FROM w JOIN u ON n = u.src WHERE k < 2)
-SELECT 'CALLS_SPARSE' AS rel_type, src, dst FROM sparse WHERE src IN (SELECT n FROM w) AND dst IN (SELECT n FROM w)""", True)
-_add("impact", lambda g: impact.impact(g, g.label("Function").where("startLine % 97 = 5").select("uid"), [SPARSE], "balanced"), """
-, w AS (SELECT uid AS seed, uid AS n, 0 AS k FROM fn WHERE "startLine" % 97 = 5 UNION SELECT seed, step.src, k + 1 FROM w JOIN step ON n = step.dst WHERE k < 2),
+_add("induced_subgraph", lambda g: traverse.induced(g, g.spark.createDataFrame([(_hub(g),)], "uid string"), [LOCAL], 2), """
+, u AS (SELECT src, dst FROM step UNION SELECT dst, src FROM step), w AS (SELECT src AS n, 0 AS k FROM hub UNION SELECT u.dst, k + 1 FROM w JOIN u ON n = u.src WHERE k < 2)
+SELECT 'CALLS_LOCAL' AS rel_type, src, dst FROM loc WHERE src IN (SELECT n FROM w) AND dst IN (SELECT n FROM w)""", True)
+_add("impact", lambda g: impact.impact(g, g.label("Function").select("uid"), [LOCAL], "balanced"), """
+, w AS (SELECT uid AS seed, uid AS n, 0 AS k FROM fn UNION SELECT seed, step.src, k + 1 FROM w JOIN step ON n = step.dst WHERE k < 2),
 d AS (SELECT seed, n, min(k) AS k FROM w GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY k, n) AS i FROM d)
 SELECT seed, n AS uid, CAST(k AS BIGINT) AS dist, CASE WHEN k = 0 THEN 'exact' ELSE 'unknown' END AS confidence FROM r WHERE i <= 200""", True)
 SNAP = "SELECT 'Function' AS label, name, file, \"startLine\", \"endLine\", params, 'Function|' || name || '|' || file || CASE WHEN r > 1 THEN '#' || (r - 1) ELSE '' END AS key FROM (SELECT *, row_number() OVER (PARTITION BY name, file ORDER BY \"startLine\", \"endLine\", params) AS r FROM {t})"
 _add("snapshot_diff", lambda g: diff.node_diff(*_snapshots(g)), f"""
-, fb AS (SELECT * FROM fn WHERE "startLine" % 10 <> 0), fh AS (SELECT uid, name, file, params, "startLine", "endLine" + CASE WHEN "startLine" % 17 = 0 THEN 1 ELSE 0 END AS "endLine" FROM fn), b AS ({SNAP.format(t="fb")}), h AS ({SNAP.format(t="fh")})
+, fb AS (SELECT uid, name, file, params, "startLine", least("endLine", "startLine" + 40) AS "endLine" FROM fn WHERE uid IN (SELECT dst FROM affects JOIN ta ON src = ta.uid WHERE status = 'done')), fh AS (SELECT * FROM fn), b AS ({SNAP.format(t="fb")}), h AS ({SNAP.format(t="fh")})
 SELECT coalesce(b.key, h.key) AS key, 'Function' AS label, coalesce(h.name, b.name) AS name, coalesce(h.file, b.file) AS file, CASE WHEN b.key IS NULL THEN 'added' WHEN h.key IS NULL THEN 'removed' ELSE 'changed' END AS status,
 CASE WHEN b.key IS NULL OR h.key IS NULL THEN '' ELSE concat_ws(',', CASE WHEN b.params <> h.params THEN 'signature' END, CASE WHEN b."endLine" - b."startLine" <> h."endLine" - h."startLine" THEN 'span' END) END AS reasons
 FROM b FULL JOIN h ON b.key = h.key WHERE b.key IS NULL OR h.key IS NULL OR b.params <> h.params OR b."endLine" - b."startLine" <> h."endLine" - h."startLine\"""")
-_add("edge_diff", lambda g: diff.edge_diff(g.edges([SPARSE]), g.edges(["CALLS"]).withColumn("rel_type", F.lit(SPARSE))), "SELECT 'CALLS_SPARSE' AS rel_type, src, dst, 'added' AS status FROM (SELECT * FROM calls EXCEPT SELECT * FROM sparse)")
-_add("blast_radius", lambda g: diff.blast_radius(g.spark.createDataFrame([], "key string"), diff.edge_diff(g.edges([SPARSE]), g.edges(["CALLS"]).withColumn("rel_type", F.lit(SPARSE)))), """
-, d AS (SELECT * FROM calls EXCEPT SELECT * FROM sparse) SELECT key, string_agg(DISTINCT r, ',' ORDER BY r) AS reasons, count(*) AS n FROM (SELECT src AS key, 'gained-out' AS r FROM d UNION ALL SELECT dst, 'gained-in' FROM d) GROUP BY key""")
-_add("next_tasks", lambda g: scheduling.next_tasks(g.label("Task"), _needs(g)), """
-, ne AS (SELECT uid AS src, 'Task:' || (CAST(split_part(uid, ':', 2) AS BIGINT) - 1) AS dst FROM ta) SELECT uid, status, priority FROM ta WHERE status IN ('todo', 'backlog') AND uid NOT IN (SELECT src FROM ne WHERE dst NOT IN (SELECT uid FROM ta WHERE status IN ('done', 'review')))
+_add("edge_diff", lambda g: diff.edge_diff(g.edges([LOCAL]), g.edges(["CALLS"]).withColumn("rel_type", F.lit(LOCAL))), "SELECT 'CALLS_LOCAL' AS rel_type, src, dst, 'added' AS status FROM (SELECT * FROM calls EXCEPT SELECT * FROM loc)")
+_add("blast_radius", lambda g: diff.blast_radius(g.spark.createDataFrame([], "key string"), diff.edge_diff(g.edges([LOCAL]), g.edges(["CALLS"]).withColumn("rel_type", F.lit(LOCAL)))), """
+, d AS (SELECT * FROM calls EXCEPT SELECT * FROM loc) SELECT key, string_agg(DISTINCT r, ',' ORDER BY r) AS reasons, count(*) AS n FROM (SELECT src AS key, 'gained-out' AS r FROM d UNION ALL SELECT dst, 'gained-in' FROM d) GROUP BY key""")
+_add("next_tasks", lambda g: scheduling.next_tasks(g.label("Task"), g.rel("DEPENDS_ON")), """
+ SELECT uid, status, priority FROM ta WHERE status IN ('todo', 'backlog') AND uid NOT IN (SELECT src FROM depends WHERE dst NOT IN (SELECT uid FROM ta WHERE status IN ('done', 'review')))
 ORDER BY list_position(['todo', 'backlog'], status), list_position(['critical', 'high', 'medium', 'low'], priority), uid LIMIT 10""")
-_add("task_waves", lambda g: _waves(g), ", w AS (SELECT uid, CAST(split_part(uid, ':', 2) AS BIGINT) AS k FROM ta) SELECT uid, CAST(k % 5 + 1 AS BIGINT) AS wave FROM w WHERE k < 200 AND k % 5 + 1 <= (SELECT count(*) FROM ta)")
+_add("task_waves", lambda g: traverse.waves(g.label("Task").select("uid"), g.rel("DEPENDS_ON")), """
+, w AS (SELECT uid, 1 AS k FROM ta WHERE uid NOT IN (SELECT src FROM depends) UNION ALL SELECT depends.src, k + 1 FROM w JOIN depends ON depends.dst = w.uid) SELECT uid, CAST(k AS BIGINT) AS wave FROM w""", True)
 _add("task_board", lambda g: scheduling.task_board(g.label("Task"), g.rel("AFFECTS")), "SELECT uid, status, priority, coalesce(n, 0) AS nodes FROM ta LEFT JOIN (SELECT src, count(DISTINCT dst) AS n FROM affects GROUP BY src) ON uid = src")
 _add("epic_progress", lambda g: scheduling.epic_progress(g.label("Task").select(F.col("priority").alias("epic"), "status")), "SELECT priority AS epic, count(*) AS tasks, count(*) FILTER (status = 'done') AS done, CASE WHEN bool_and(status = 'done') THEN 'done' WHEN bool_and(status IN ('done', 'review')) THEN 'review' WHEN bool_or(status IN ('in_progress', 'review', 'done')) THEN 'in_progress' ELSE 'todo' END AS status FROM ta GROUP BY priority")
 _add("quality_report", lambda g: scheduling.quality_report(_quality_files(g)), """
@@ -119,8 +120,8 @@ _add("quality_report", lambda g: scheduling.quality_report(_quality_files(g)), "
 _add("hash_identity", lambda g: g.label("Function").select("uid", identity.hash_uid(F.lit("Function"), F.col("name"), F.col("file")).alias("hash"), identity.merge_uid("Function", name="name", file="file").alias("merged")), "SELECT uid, left(sha256('Function::' || name || '::' || file), 16) AS hash, 'Function||file=' || file || '||name=' || name AS merged FROM fn")
 _add("address_segments", lambda g: g.label("File").select("uid", identity.fnv1a32(F.col("uid")).alias("fnv"), F.concat(F.lit("fd00:0001:"), identity.segment(F.col("uid"))).alias("subnet")), """
 , f AS (SELECT uid, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), [CAST(ascii(c) AS BIGINT) FOR c IN string_split(uid, '')]), lambda h, c: xor(h, c) * 16777619 % 4294967296) AS fnv FROM fi) SELECT uid, fnv, 'fd00:0001:' || lpad(lower(to_hex(fnv % 65536)), 4, '0') AS subnet FROM f""")
-_add("pattern_query", lambda g: cypher.run(g, "MATCH (a:Function)-[:CALLS_SPARSE]->(b:Function) WHERE a.visibility = 'public' AND NOT (b)-[:CALLS_SPARSE]->() RETURN a.file AS file, count(*) AS n, count(DISTINCT b.uid) AS targets ORDER BY n DESC, file LIMIT 10"), """
-SELECT a.file, count(*) AS n, count(DISTINCT b.uid) AS targets FROM sparse JOIN fn a ON src = a.uid JOIN fn b ON dst = b.uid WHERE a.visibility = 'public' AND b.uid NOT IN (SELECT src FROM sparse) GROUP BY a.file ORDER BY n DESC, a.file LIMIT 10""")
+_add("pattern_query", lambda g: cypher.run(g, "MATCH (a:Function)-[:CALLS_LOCAL]->(b:Function) WHERE a.visibility = 'public' AND NOT (b)-[:CALLS_LOCAL]->() RETURN a.file AS file, count(*) AS n, count(DISTINCT b.uid) AS targets ORDER BY n DESC, file LIMIT 10"), """
+SELECT a.file, count(*) AS n, count(DISTINCT b.uid) AS targets FROM loc JOIN fn a ON src = a.uid JOIN fn b ON dst = b.uid WHERE a.visibility = 'public' AND b.uid NOT IN (SELECT src FROM loc) GROUP BY a.file ORDER BY n DESC, a.file LIMIT 10""")
 
 _table("magic_numbers", lambda spark, d: A.magic_numbers(_literals(spark, d)), f"""
 WITH l AS (SELECT source AS file, unnest(list_filter(regexp_extract_all(regexp_replace(text, '[^A-Za-z0-9_.]+', ' ', 'g'), '[A-Za-z0-9_.]+'), lambda x: regexp_full_match(x, '[0-9]+([.][0-9]+)?'))) AS v FROM documents),
@@ -150,31 +151,29 @@ def _resolved(g: Graph) -> Graph:
     return _with(g, "CALLS", lambda: calls.select("src", "dst", F.when(F.col("a") == F.col("b"), "same-file").otherwise("imported-symbol").alias("resolvedBy")))
 
 
-def _sparse_imports(g: Graph) -> Graph:
-    f = g.label("Function").select("uid", "file", "name")
-    e = g.rel(SPARSE).join(f.select(F.col("uid").alias("src"), F.col("file").alias("a"), F.length("name").alias("m")), "src").join(f.select(F.col("uid").alias("dst"), F.col("file").alias("b"), F.length("name").alias("n")), "dst").where("a <> b AND (m * 5 + n * 3) % 11 = 0")
+def _local_imports(g: Graph) -> Graph:
+    f = g.label("Function").select("uid", "file")
+    e = g.rel(LOCAL).join(f.select(F.col("uid").alias("src"), F.col("file").alias("a")), "src").join(f.select(F.col("uid").alias("dst"), F.col("file").alias("b")), "dst").where("a <> b")
     return _with(g, "IMPORTS", lambda: e.select(F.concat(F.lit("File:"), "a").alias("src"), F.concat(F.lit("File:"), "b").alias("dst")).distinct())
 
 
-def _routes(g: Graph) -> DataFrame:
-    start = g.spark.createDataFrame([("Function:7",)], "uid string")
-    target = traverse.paths(g, start, [SPARSE], 2).where("hops = 2").agg(F.max("node")).first()[0]
-    return traverse.routes(g, "Function:7", target or "", [SPARSE], 4, 5).select("hops", F.array_join("path", ",").alias("path"))
-
+def _hub(g: Graph) -> str:
+    """The function with the most local callees."""
+    return g.rel(LOCAL).where("src <> dst").groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "src").limit(1).first()[0]
 
-def _snapshots(g: Graph) -> tuple[DataFrame, DataFrame]:
-    f = g.label("Function").select(F.lit("Function").alias("label"), "name", "file", "startLine", "endLine", F.col("params").alias("signature"), F.lit(None).cast("string").alias("bodySnippet"))
-    return diff.snapshot_nodes(f.where("startLine % 10 <> 0")), diff.snapshot_nodes(f.withColumn("endLine", F.col("endLine") + F.when(F.col("startLine") % 17 == 0, 1).otherwise(0)))
 
-
-def _needs(g: Graph) -> DataFrame:
-    return g.label("Task").select(F.col("uid").alias("src"), F.concat(F.lit("Task:"), (F.substring_index("uid", ":", -1).cast("long") - 1).cast("string")).alias("dst"))
+def _routes(g: Graph) -> DataFrame:
+    hub = _hub(g)
+    target = traverse.paths(g, g.spark.createDataFrame([(hub,)], "uid string"), [LOCAL], 2).where("hops = 2").agg(F.max("node")).first()[0]
+    return traverse.routes(g, hub, target or "", [LOCAL], 4, 5).select("hops", F.array_join("path", ",").alias("path"))
 
 
-def _waves(g: Graph) -> DataFrame:
-    k = F.substring_index("uid", ":", -1).cast("long")
-    tasks = g.label("Task").select("uid", k.alias("k")).where("k < 200")
-    return traverse.waves(tasks.select("uid"), tasks.where("k % 5 > 0").select(F.col("uid").alias("src"), F.concat(F.lit("Task:"), (F.col("k") - 1).cast("string")).alias("dst")))
+def _snapshots(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """Before: the functions that finished tasks affect, none longer than 41 lines; after: all as they are."""
+    f = g.label("Function").select("uid", F.lit("Function").alias("label"), "name", "file", "startLine", "endLine", F.col("params").alias("signature"), F.lit(None).cast("string").alias("bodySnippet"))
+    done = g.rel("AFFECTS").join(g.label("Task").where("status = 'done'").select(F.col("uid").alias("src")), "src", "left_semi").select(F.col("dst").alias("uid"))
+    before = f.join(done, "uid", "left_semi").withColumn("endLine", F.least("endLine", F.col("startLine") + 40))
+    return diff.snapshot_nodes(before.drop("uid")), diff.snapshot_nodes(f.drop("uid"))
 
 
 def _quality_files(g: Graph) -> DataFrame:

@@ -34,13 +34,24 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
         first = F.substring("o_orderpriority", 1, 1)
         return table("orders").select(uid("Task", "o_orderkey").alias("uid"), status.alias("status"), F.when(first == "1", "critical").when(first == "2", "high").when(first == "3", "medium").otherwise("low").alias("priority"))
 
+    def lines() -> DataFrame:
+        """Each order line with the next one of its order and the nations of both suppliers."""
+        home = table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
+        along = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+        line = table("lineitem").join(home, "l_suppkey", "left")
+        return line.select("l_partkey", "nation", F.lead("l_partkey").over(along).alias("next"), F.lead("nation").over(along).alias("next_nation")).where("next IS NOT NULL")
+
     def calls() -> DataFrame:
-        line = table("lineitem")
         along = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-        return line.select("l_partkey", F.lead("l_partkey").over(along).alias("next")).where("next IS NOT NULL").select(uid("Function", "l_partkey").alias("src"), uid("Function", "next").alias("dst"), "l_partkey", "next").distinct()
+        pair = table("lineitem").select("l_partkey", F.lead("l_partkey").over(along).alias("next")).where("next IS NOT NULL")
+        return pair.select(uid("Function", "l_partkey").alias("src"), uid("Function", "next").alias("dst")).distinct()
+
+    def local() -> DataFrame:
+        return lines().where("nation = next_nation").select(uid("Function", "l_partkey").alias("src"), uid("Function", "next").alias("dst")).distinct()
 
-    def sparse() -> DataFrame:
-        return calls().where("(l_partkey * 7 + next * 13) % 13 = 0").select("src", "dst")
+    def depends() -> DataFrame:
+        queue = Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey")
+        return table("orders").select(uid("Task", "o_orderkey").alias("src"), F.lag("o_orderkey").over(queue).alias("before")).where("before IS NOT NULL").select("src", uid("Task", "before").alias("dst"))
 
     def pairs(src: tuple[str, str], dst: tuple[str, str]) -> DataFrame:
         return table("lineitem").select(uid(*src).alias("src"), uid(*dst).alias("dst")).distinct()
@@ -62,8 +73,9 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     nodes["User"] = lambda: table("events").select(uid("User", "user_id").alias("uid"), F.col("user_id").cast("string").alias("name")).distinct()
     nodes["UserEvent"] = lambda: table("events").select(uid("UserEvent", "event_id").alias("uid"), F.col("event_type").alias("eventType"), "ts", "value", "user_id", "event_id")
     edges = {
-        "CALLS": lambda: calls().select("src", "dst"),
-        "CALLS_SPARSE": sparse,
+        "CALLS": calls,
+        "CALLS_LOCAL": local,
+        "DEPENDS_ON": depends,
         "CONTAINS": lambda: functions().select(uid("File", "file").alias("src"), F.col("uid").alias("dst")),
         "HAS_METHOD": lambda: pairs(("Class", "l_suppkey"), ("Function", "l_partkey")),
         "WRITES_STATE": writes,
@@ -84,8 +96,10 @@ st AS (SELECT 'State:' || n_nationkey AS uid, n_name AS name FROM nation),
 ta AS (SELECT 'Task:' || o_orderkey AS uid, CASE o_orderstatus WHEN 'O' THEN 'todo' WHEN 'P' THEN 'in_progress' ELSE 'done' END AS status, CASE left(o_orderpriority, 1) WHEN '1' THEN 'critical' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' ELSE 'low' END AS priority FROM orders),
 c0 AS (SELECT DISTINCT l_partkey AS a, b FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b FROM lineitem) WHERE b IS NOT NULL),
 calls AS (SELECT 'Function:' || a AS src, 'Function:' || b AS dst FROM c0),
-sparse AS (SELECT 'Function:' || a AS src, 'Function:' || b AS dst FROM c0 WHERE (a * 7 + b * 13) % 13 = 0),
-step AS (SELECT src, dst FROM sparse WHERE src <> dst),
+loc AS (SELECT DISTINCT 'Function:' || l_partkey AS src, 'Function:' || b AS dst FROM (SELECT l_partkey, s_nationkey AS m, lead(l_partkey) OVER w AS b, lead(s_nationkey) OVER w AS n FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)) WHERE b IS NOT NULL AND m = n),
+step AS (SELECT src, dst FROM loc WHERE src <> dst),
+hub AS (SELECT src FROM step GROUP BY src ORDER BY count(*) DESC, src LIMIT 1),
+depends AS (SELECT 'Task:' || o_orderkey AS src, 'Task:' || b AS dst FROM (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS b FROM orders) WHERE b IS NOT NULL),
 contains AS (SELECT 'File:' || file AS src, uid AS dst FROM fn),
 hasm AS (SELECT DISTINCT 'Class:' || l_suppkey AS src, 'Function:' || l_partkey AS dst FROM lineitem),
 writes AS (SELECT DISTINCT 'Function:' || l_partkey AS src, 'State:' || s_nationkey AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
