@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica import cypher
@@ -12,7 +12,7 @@ from lattica.functions import identity
 from lattica.graph import Graph
 from lattica.operators import traverse
 from lattica.plans import analyses as A
-from lattica.plans import diff, impact, scheduling
+from lattica.plans import conformance, diff, impact, scheduling, workflow
 from lattica.sources import extract
 from lattica.sources.star import STAR_SQL, star_graph
 from lattica.streaming import events
@@ -134,9 +134,82 @@ _table("functions_with_errors", lambda spark, d: _read(spark, d, "events").where
 _table("execution_path_frequency", lambda spark, d: _read(spark, d, "events").groupBy(F.col("event_type").alias("pathHex")).agg(F.count(F.lit(1)).alias("freq")).orderBy(F.desc("freq"), "pathHex").limit(15), 'SELECT event_type AS "pathHex", count(*) AS freq FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15')
 
 
+OWN = ", own AS (SELECT dst AS uid, min(src) AS alias FROM hasm GROUP BY dst), mem AS (SELECT alias, fn.uid, name FROM own JOIN fn ON own.uid = fn.uid)"
+QUERIES["spec_sequence"] = lambda spark, d: _sequence(spark, d)
+ORACLE_SQL["spec_sequence"] = f"""WITH {STAR_SQL}{OWN},
+msg AS (SELECT k AS message, 'Class:' || s AS f, 'Class:' || t AS t, p_name AS m, dashed FROM (SELECT l_orderkey AS o, l_orderkey || ':' || l_linenumber AS k, l_suppkey AS s, l_returnflag = 'R' AS dashed, lead(l_suppkey) OVER w AS t, lead(l_partkey) OVER w AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag)) JOIN part ON p_partkey = n JOIN orders ON o = o_orderkey WHERE o_orderstatus = 'F'),
+q AS (SELECT *, CASE WHEN dashed THEN 'return' WHEN f NOT IN (SELECT alias FROM mem) OR t NOT IN (SELECT alias FROM mem) THEN 'unbound_endpoint' END AS skip FROM msg),
+bt AS (SELECT DISTINCT x.alias AS f, y.alias AS t, y.name AS m, src, dst FROM calls JOIN mem x ON src = x.uid JOIN mem y ON dst = y.uid),
+hit AS (SELECT f, t, m, string_agg(DISTINCT dst, ',' ORDER BY dst) AS h FROM bt GROUP BY f, t, m), known AS (SELECT alias AS t, name AS m, string_agg(DISTINCT uid, ',' ORDER BY uid) AS c FROM mem GROUP BY 1, 2)
+SELECT CASE WHEN skip IS NOT NULL THEN 'skipped' WHEN h IS NOT NULL THEN 'conforms' ELSE 'missing' END AS region, CASE WHEN skip IS NOT NULL THEN skip WHEN h IS NOT NULL THEN NULL WHEN c IS NULL THEN 'no_method' ELSE 'not_called' END AS reason, message, q.f AS from_alias, q.t AS to_alias, q.m AS method, NULL AS caller, CASE WHEN skip IS NULL THEN coalesce(h, c) END AS callees
+FROM q LEFT JOIN hit ON q.f = hit.f AND q.t = hit.t AND q.m = hit.m LEFT JOIN known ON q.t = known.t AND q.m = known.m
+UNION ALL SELECT 'extra', NULL, NULL, f, t, m, src, dst FROM bt WHERE f <> t AND NOT EXISTS (SELECT 1 FROM q WHERE skip IS NULL AND q.f = bt.f AND q.t = bt.t AND q.m = bt.m)
+UNION ALL SELECT 'unbound', NULL, NULL, a, NULL, NULL, NULL, NULL FROM (SELECT f AS a FROM msg WHERE NOT dashed UNION SELECT t FROM msg WHERE NOT dashed) WHERE a NOT IN (SELECT alias FROM mem)"""
+_add("spec_classes", lambda g: _classes(g), OWN + """
+, dia AS (SELECT DISTINCT hasm.src AS c, name AS m FROM hasm JOIN fn ON dst = uid), bound AS (SELECT DISTINCT alias FROM mem), cod AS (SELECT DISTINCT alias AS c, name AS m FROM mem),
+rel AS (SELECT DISTINCT hasm.src AS a, alias AS b FROM hasm JOIN own ON dst = uid WHERE hasm.src <> alias), inh AS (SELECT DISTINCT x.alias AS a, y.alias AS b FROM loc JOIN own x ON src = x.uid JOIN own y ON dst = y.uid)
+SELECT 'method' AS kind, CASE WHEN cod.c IS NULL THEN 'missing' WHEN d.c IS NULL THEN 'extra' ELSE 'conforms' END AS region, coalesce(d.c, cod.c) AS class, coalesce(d.m, cod.m) AS member FROM (SELECT * FROM dia WHERE c IN (SELECT alias FROM bound)) d FULL JOIN cod ON d.c = cod.c AND d.m = cod.m
+UNION ALL SELECT 'inherits', CASE WHEN EXISTS (SELECT 1 FROM inh WHERE inh.a = rel.a AND inh.b = rel.b) THEN 'conforms' ELSE 'missing' END, a, b FROM rel WHERE a IN (SELECT alias FROM bound) AND b IN (SELECT alias FROM bound)
+UNION ALL SELECT 'class', 'unbound', c, NULL FROM (SELECT c FROM dia UNION SELECT a FROM rel) WHERE c NOT IN (SELECT alias FROM bound)""")
+_table("spec_activities", lambda spark, d: _activities(spark, d), """
+WITH b AS (SELECT DISTINCT user_id AS process FROM events WHERE event_type = 'error'), c AS (SELECT DISTINCT user_id AS process, upper(event_type) AS callee FROM events WHERE value >= 50 AND user_id IN (SELECT process FROM b))
+SELECT user_id AS process, CASE WHEN callee IS NULL THEN 'missing' ELSE 'conforms' END AS region, event_id AS action, event_type AS method, callee FROM events LEFT JOIN c ON user_id = process AND upper(event_type) = callee WHERE user_id IN (SELECT process FROM b)
+UNION ALL SELECT process, 'extra', NULL, NULL, callee FROM c WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = process AND upper(event_type) = callee)
+UNION ALL SELECT DISTINCT user_id, 'unbound', NULL, NULL, NULL FROM events WHERE user_id NOT IN (SELECT process FROM b)""")
+_add("workflow_findings", lambda g: workflow.findings(*_duties(g)), """
+, proven AS (SELECT DISTINCT affects.dst AS uid FROM affects JOIN ta ON affects.src = ta.uid WHERE status = 'done')
+SELECT uid, 'missing-test-intent' AS code FROM cl WHERE uid NOT IN (SELECT src FROM hasm) OR uid IN (SELECT src FROM hasm WHERE dst NOT IN (SELECT uid FROM proven))
+UNION ALL SELECT uid, 'missing-task-obligation' FROM ta WHERE uid NOT IN (SELECT src FROM affects)""")
+
+
 # ---- what the queries above are run on ----
 
 
+def _owners(g: Graph) -> DataFrame:
+    """(alias, uid, name): each function with the first class that has it."""
+    own = g.rel("HAS_METHOD").groupBy(F.col("dst").alias("uid")).agg(F.min("src").alias("alias"))
+    return own.join(g.label("Function").select("uid", "name"), "uid").select("alias", "uid", "name")
+
+
+def _sequence(spark: SparkSession, d: str) -> DataFrame:
+    """Finished orders as diagrams: from each line's supplier to the next one's, by the part's name; returned lines are replies."""
+    g = star_graph(spark, d)
+    along = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    line = _read(spark, d, "lineitem").select("l_orderkey", F.concat_ws(":", "l_orderkey", "l_linenumber").alias("message"), F.concat(F.lit("Class:"), "l_suppkey").alias("from_alias"), F.concat(F.lit("Class:"), F.lead("l_suppkey").over(along)).alias("to_alias"), F.lead("l_partkey").over(along).alias("p_partkey"), (F.col("l_returnflag") == "R").alias("dashed"))
+    done = _read(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    messages = line.join(done, "l_orderkey", "left_semi").join(_read(spark, d, "part").select("p_partkey", F.col("p_name").alias("method")), "p_partkey")
+    members = _owners(g)
+    return conformance.sequence(messages, members, members, g.rel("CALLS"))
+
+
+def _classes(g: Graph) -> DataFrame:
+    members = _owners(g)
+    has = g.rel("HAS_METHOD")
+    drawn = has.join(g.label("Function").select(F.col("uid").alias("dst"), F.col("name").alias("method")), "dst").select(F.col("src").alias("class"), "method")
+    bound = members.select(F.col("alias").alias("class"), F.col("alias").alias("uid"))
+    relations = has.join(members.select(F.col("uid").alias("dst"), "alias"), "dst").where("src <> alias").select("src", F.col("alias").alias("dst"), F.lit("inherits").alias("type"))
+    owner = [members.select(F.col("uid").alias(end), F.col("alias").alias(f"{end}_class")) for end in ("src", "dst")]
+    inherits = g.rel(LOCAL).join(owner[0], "src").join(owner[1], "dst").select(F.col("src_class").alias("src"), F.col("dst_class").alias("dst"))
+    return conformance.classes(drawn, bound, members.select(F.col("alias").alias("class"), F.col("name").alias("method")), relations, inherits)
+
+
+def _activities(spark: SparkSession, d: str) -> DataFrame:
+    """Users as processes, bound if an error is known of them; what they do must be among their larger events."""
+    e = _read(spark, d, "events")
+    actions = e.select(F.col("user_id").alias("process"), F.col("event_id").alias("action"), F.col("event_type").alias("method"))
+    bound = e.where("event_type = 'error'").select(F.col("user_id").alias("process"))
+    return conformance.activity(actions, bound, e.where("value >= 50").select(F.col("user_id").alias("process"), F.upper("event_type").alias("name")))
+
+
+def _duties(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """Classes as requirements, their functions as criteria, validated by finished tasks; tasks implement what they affect."""
+    nodes = g.label("Class").select("uid", F.lit("Requirement").alias("label")).unionByName(g.label("Task").select("uid", F.lit("Task").alias("label")))
+    work = g.rel("AFFECTS").select("src", "dst")
+    proof = work.join(g.label("Task").where("status = 'done'").select(F.col("uid").alias("src")), "src", "left_semi").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    links = g.rel("HAS_METHOD").select(F.lit("HAS_CRITERION").alias("rel_type"), "src", "dst").unionByName(proof.select(F.lit("VALIDATED_BY").alias("rel_type"), "src", "dst"))
+    return nodes, links.unionByName(work.select(F.lit("IMPLEMENTS").alias("rel_type"), "src", "dst"))
+
+
 def _first_name(g: Graph) -> str:
     return g.label("Function").agg(F.min("name")).first()[0]
 
