@@ -25,6 +25,8 @@ CELLS, SLICES, HEAVY = 1 << 20, 256, 64
 BLOCK = 256
 #: Bits of the filter for documents whose sets are needed.
 FILTER_BITS = 1 << 25
+#: Candidates probed side by side; between such steps, those joined meanwhile are dropped.
+PROBED = 64
 #: Weight of a binary probe against a merge step in the choice of long lists.
 MU = 0.0085
 
@@ -309,22 +311,6 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, s1 long, s2 long, blob binary")
 
 
-class _Union:
-    def __init__(self, labels: list[int]):
-        first: dict[int, int] = {}
-        self.up = [first.setdefault(label, k) for k, label in enumerate(labels)]
-
-    def find(self, k: int) -> int:
-        while self.up[k] != k:
-            self.up[k] = self.up[self.up[k]]
-            k = self.up[k]
-        return k
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-
-
 def merge_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
     """Values that at least ``need`` of the sorted ``lists`` hold, and how many do: a heap of the lists' heads, with jumps."""
     heap = [(x[0], k, 0) for k, x in enumerate(lists) if x]
@@ -352,99 +338,108 @@ def merge_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
     return found
 
 
-def divide_skip(sets: list[np.ndarray], labels: list[int]) -> list[tuple[int, int]]:
+def divide_skip(sets: list[np.ndarray], labels: list[int], parts: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that join all linked ``sets`` of different ``labels``; once two groups are joined, no more between them.
 
     Each set, shorter ones first, is a query against the inverted lists of those before it: values must occur in T
-    lists. The longest L lists are left to binary probes; a heap merge of the others finds those with T - L.
+    lists. The longest L lists are left to binary probes; a heap merge of the others finds those with T - L. With two
+    ``parts``, sets of the smaller are the queries against lists of the larger, and links within a part aren't sought.
     """
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+    many = len(order)
     sizes = np.array([len(sets[k]) for k in order], np.int64)
+    part = np.unique([parts[k] for k in order], return_inverse=True)[1] if parts else np.zeros(many, np.int64)
+    across = part.any()
+    indexed = part == np.argmax(np.bincount(part))
     tokens, at = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
-    df = np.bincount(at)
-    owner = np.repeat(np.arange(len(order)), sizes)
-    shared = df[at] > 1
-    lists = owner[shared][np.argsort(at[shared], kind="stable")]
-    df = np.where(df > 1, df, 0)
-    begin = np.concatenate(([0], np.cumsum(df)))[:-1]
-    upto = np.zeros(len(tokens), np.int64)
+    owner = np.repeat(np.arange(many), sizes)
+    shared = (np.bincount(at)[at] > 1) & indexed[owner]
+    keys = np.sort(at[shared] * many + owner[shared])
+    lists = keys % many
+    df = np.bincount(at[shared], minlength=len(tokens))
+    begin = np.cumsum(df) - df
+    upto = df.copy() if across else np.zeros(len(tokens), np.int64)
     bounds = np.concatenate(([0], np.cumsum(sizes)))
-    groups = _Union([labels[k] for k in order])
+    group = np.unique([labels[k] for k in order], return_inverse=True)[1]
     links: list[tuple[int, int]] = []
 
-    def occurrences(which: np.ndarray, value: int) -> int:
-        """In how many of the lists ``value`` is, by binary probes side by side."""
-        low, high = begin[which], begin[which] + upto[which]
-        end = high.copy()
-        while (low < high).any():
-            mid = (low + high) // 2
-            less = lists[np.minimum(mid, len(lists) - 1)] < value
-            open_ = low < high
-            low, high = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, high)
-        return int(((low < end) & (lists[np.minimum(low, len(lists) - 1)] == value)).sum())
-
-    def test(x: int, y: int, overlap: int) -> None:
-        if 100 * overlap >= PERCENT * (int(sizes[x]) + int(sizes[y]) - overlap):
-            links.append((order[x], order[y]))
-            groups.join(x, y)
-
-    for x in range(len(order)):
+    def test(x: int, which: np.ndarray, ys: np.ndarray, known: np.ndarray) -> None:
+        """Links of ``x`` with ``ys``: ``known`` of each overlap, the rest by binary probes of all lists ``which``."""
+        step = max(1, min(PROBED, (1 << 20) // max(1, len(which))))
+        for k in range(0, len(ys), step):
+            some = np.flatnonzero(group[ys[k : k + step]] != group[x]) + k
+            y = ys[some]
+            probes = (y[:, None] + which[None, :] * many).reshape(-1)
+            hit = keys[np.minimum(np.searchsorted(keys, probes), len(keys) - 1)] == probes
+            overlap = known[some] + hit.reshape(len(y), len(which)).sum(1)
+            for z in y[100 * overlap >= PERCENT * (sizes[x] + sizes[y] - overlap)].tolist():
+                if group[z] != group[x]:
+                    links.append((order[x], order[z]))
+                    group[group == group[z]] = group[x]
+
+    for x in range(many):
         mine = at[bounds[x] : bounds[x + 1]]
         t = int(_needed(sizes[x]))
-        first = int(np.searchsorted(sizes, t))  # shorter ones can't link
+        # shorter ones can't link, nor longer ones; without parts, these come later
+        first, last = int(np.searchsorted(sizes, t)), int(np.searchsorted(sizes, 100 * sizes[x] // PERCENT, "right")) if across else x
         live = mine[upto[mine] > 0]
-        if x > first and len(live) >= t:
-            for y in {x - 1, first}:
-                if groups.find(x) != groups.find(y):
-                    test(x, y, occurrences(live, y))
-            own = groups.find(x)
-            if any(groups.find(y) != own for y in range(first, x)):
+        if last > first and len(live) >= t and not (across and indexed[x]):
+            if not across:
+                near = np.array(sorted({first, x - 1}))
+                test(x, live, near, np.zeros(len(near), np.int64))
+            if (group[first:last][indexed[first:last]] != group[x]).any():
                 live = live[np.argsort(upto[live], kind="stable")]
-                longest = int(upto[live[-1]])
-                n_long = min(t - 1, int(t / (MU * math.log2(max(2, longest)) + 1)))
-                n_long = min(n_long, len(live))
+                n_long = min(t - 1, int(t / (MU * math.log2(max(2, int(upto[live[-1]]))) + 1)))
                 short, long_ = live[: len(live) - n_long], live[len(live) - n_long :]
-                runs = [lists[begin[k] : begin[k] + upto[k]].tolist() for k in short.tolist()]
-                for y, n in merge_skip(runs, t - n_long):
-                    if y >= first and groups.find(x) != groups.find(y):
-                        test(x, y, n + (occurrences(long_, y) if n_long else 0))
-        upto[mine[df[mine] > 0]] += 1
+                starts = np.maximum(np.searchsorted(keys, short * many + first), begin[short])
+                lengths = np.maximum(np.searchsorted(keys, short * many + last) - starts, 0)
+                which = np.repeat(np.arange(len(short)), lengths)
+                values = lists[np.arange(len(which)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)]
+                open_ = group[values] != group[x]
+                values, ends = values[open_].tolist(), np.cumsum(np.bincount(which[open_], minlength=len(short))).tolist()
+                runs = [values[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True) if j > i]
+                found = np.array(merge_skip(runs, t - n_long), np.int64).reshape(-1, 2)
+                test(x, long_, found[:, 0], found[:, 1])
+        if not across:
+            upto[mine[df[mine] > 0]] += 1
     return links
 
 
 def _search(rows: DataFrame) -> DataFrame:
-    """Links within each ``work`` unit of (work, rep, label, n, blob)."""
+    """Links within each ``work`` unit of (work, rep, label, part, blob); between its parts if it has two."""
 
     def run(batches):
-        reps: list[int] = []
-        labels: list[int] = []
-        sets: list[np.ndarray] = []
+        held: dict[int, tuple[int, int, np.ndarray]] = {}  # a row of the same document again counts once
         last, out = None, []
+
+        def search():
+            labels, parts, sets = zip(*held.values(), strict=True)
+            reps = list(held)
+            out.extend((reps[a], reps[b]) for a, b in divide_skip(sets, labels, parts))
+
         for batch in batches:
-            for work, rep, label, blob in zip(*(batch.column(k).to_pylist() for k in ("work", "rep", "label", "blob")), strict=True):
+            for work, rep, label, part, blob in zip(*(batch.column(k).to_pylist() for k in ("work", "rep", "label", "part", "blob")), strict=True):
                 if work != last:
-                    if len(sets) > 1:
-                        out += [(reps[a], reps[b]) for a, b in divide_skip(sets, labels)]
-                    reps, labels, sets, last = [], [], [], work
-                if reps and rep == reps[-1]:
-                    continue  # a row of the same document again
-                reps.append(rep)
-                labels.append(label)
-                sets.append(np.frombuffer(blob, np.uint64))
-        if len(sets) > 1:
-            out += [(reps[a], reps[b]) for a, b in divide_skip(sets, labels)]
+                    if len(held) > 1:
+                        search()
+                    held.clear()
+                    last = work
+                held[rep] = (label, part, np.frombuffer(blob, np.uint64))
+        if len(held) > 1:
+            search()
         pairs = np.array(out, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
-    return rows.select("work", "rep", "label", "blob").repartition("work").sortWithinPartitions("work", "rep").mapInArrow(run, "a long, b long")
+    return rows.select("work", "rep", "label", "part", "blob").repartition("work").sortWithinPartitions("work", "rep").mapInArrow(run, "a long, b long")
 
 
 def _across(members: DataFrame, block: int) -> DataFrame:
     """Work units for families in more than one component after the search in blocks: pairs of blocks that may still link.
 
     Blocks hold one large component's members or those of several small ones; a pair within one component is done, and
-    blocks whose lengths are apart can't link. So a family of one large component and some others costs as many units
-    as it has blocks; only a family of very many unlinked sets costs more.
+    blocks whose lengths are apart can't link. A unit of two blocks searches one against the other only. So a family of
+    one large component and some others costs as many units as it has blocks; only a family of very many unlinked sets
+    costs more.
     """
     spread = members.groupBy("family").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where(f"low <> high AND size > {block}").select("family")
     left = members.join(spread, "family", "left_semi")
@@ -459,7 +454,7 @@ def _across(members: DataFrame, block: int) -> DataFrame:
     may = (F.col("a.part") <= F.col("b.part")) & (F.coalesce(F.col("a.pure") != F.col("b.pure"), F.lit(True))) & (100 * F.col("a.high") >= PERCENT * F.col("b.low")) & (100 * F.col("b.high") >= PERCENT * F.col("a.low"))
     pairs = a.join(b, F.col("a.family") == F.col("b.family")).where(may)
     pairs = pairs.select(F.col("a.family").alias("family"), F.xxhash64("a.family", "a.part", "b.part").alias("work"), F.explode(F.array_distinct(F.array("a.part", "b.part"))).alias("part"))
-    return left.join(pairs, ["family", "part"]).select("work", "rep", "label")
+    return left.join(pairs, ["family", "part"]).select("work", "rep", "label", "part")
 
 
 def jaccard_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -495,7 +490,7 @@ def jaccard_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     blocks = F.ceil(F.col("size") / block)
     twice = F.when(blocks == 1, F.array(F.xxhash64("family"))).otherwise(F.array(*(F.xxhash64("family", F.lit(salt), F.pmod(F.xxhash64("rep", F.lit(salt)), blocks)) for salt in (1, 2))))
-    links = common.written(_search(members.select("rep", F.col("rep").alias("label"), F.explode(twice).alias("work")).join(blobs, "rep")))
+    links = common.written(_search(members.select("rep", F.col("rep").alias("label"), F.lit(0).cast("long").alias("part"), F.explode(twice).alias("work")).join(blobs, "rep")))
     label = common.written(components(links))
     if crowd.where(F.col("size") > block).limit(1).count():
         known = members.where(F.col("size") > block).join(label.select(F.col("node").alias("rep"), F.col("root").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))

@@ -74,22 +74,28 @@ def test_jaccard(docs, empty, block):
         assert kept == {c for _, _, c in want}
 
 
+def _grouped(n, links):
+    up = list(range(n))
+    for a, b in links:
+        up = [up[a] if k == up[b] else k for k in up]
+    return sorted(sorted(k for k in range(n) if up[k] == root) for root in set(up))
+
+
 def test_divide_skip_and_merge():
     rng = np.random.default_rng(1)
     for _ in range(20):
         base = rng.integers(0, 2**60, 60).astype(np.uint64)
         sets = [np.unique(np.where(rng.random(60) < 0.08, rng.integers(0, 2**60, 60).astype(np.uint64), base)) for _ in range(12)]
         sets += [np.unique(rng.integers(0, 40, 30).astype(np.uint64)) for _ in range(8)]
-        links = jaccard.divide_skip(sets, list(range(len(sets))))
-        up = jaccard._Union(list(range(len(sets))))
-        for a, b in links:
-            up.join(a, b)
-        want = jaccard._Union(list(range(len(sets))))
-        for a, b in itertools.combinations(range(len(sets)), 2):
+        many, parts = len(sets), [k % 2 for k in range(len(sets))]
+        want = []
+        for a, b in itertools.combinations(range(many), 2):
             i = len(np.intersect1d(sets[a], sets[b]))
             if 100 * i >= 75 * (len(sets[a]) + len(sets[b]) - i):
-                want.join(a, b)
-        assert [up.find(k) for k in range(len(sets))] == [want.find(k) for k in range(len(sets))]
+                want.append((a, b))
+        assert _grouped(many, jaccard.divide_skip(sets, list(range(many)))) == _grouped(many, want)
+        between = [(a, b) for a, b in want if parts[a] != parts[b]]
+        assert _grouped(many, jaccard.divide_skip(sets, list(range(many)), parts)) == _grouped(many, between)
         lists = [sorted(set(rng.integers(0, 20, 9).tolist())) for _ in range(7)]
         tally = collections.Counter(itertools.chain(*lists))
         for need in range(1, 6):
