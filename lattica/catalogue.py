@@ -12,7 +12,7 @@ from lattica.functions import identity
 from lattica.graph import Graph
 from lattica.operators import traverse
 from lattica.plans import analyses as A
-from lattica.plans import conformance, diff, impact, scheduling, workflow
+from lattica.plans import class_model, conformance, diff, impact, messaging, scheduling, workflow
 from lattica.sources import extract
 from lattica.sources.star import STAR_SQL, star_graph
 from lattica.streaming import events
@@ -163,6 +163,39 @@ UNION ALL SELECT uid, 'missing-task-obligation' FROM ta WHERE uid NOT IN (SELECT
 
 
 # ---- what the queries above are run on ----
+_add("class_relations", lambda g: class_model.relations(_design(g), class_model.boxes(g), "HAS_METHOD", LOCAL, True, 2), """
+, own AS (SELECT dst AS f, min(src) AS c FROM hasm GROUP BY dst),
+inh AS (SELECT uid AS src, m AS dst FROM (SELECT uid, min(uid) OVER (PARTITION BY file) AS m FROM cl) WHERE uid <> m),
+cre AS (SELECT DISTINCT c AS src, hasm.src AS dst FROM hasm JOIN own ON hasm.dst = f WHERE c <> hasm.src),
+strong AS (SELECT * FROM inh UNION SELECT * FROM cre),
+uses AS (SELECT a.c AS src, b.c AS dst, count(*) AS calls FROM loc JOIN own a ON loc.src = a.f JOIN own b ON loc.dst = b.f WHERE a.c <> b.c GROUP BY a.c, b.c HAVING count(*) >= 2)
+SELECT src, dst, 'inherits' AS kind, CAST(NULL AS BIGINT) AS calls FROM inh UNION ALL SELECT src, dst, 'creates', NULL FROM cre
+UNION ALL SELECT u.src, u.dst, 'uses', calls FROM uses u ANTI JOIN strong s ON u.src = s.src AND u.dst = s.dst""")
+_add("class_members", lambda g: class_model.members(g, class_model.boxes(g), "HAS_METHOD", cap=10), """
+, one AS (SELECT h.src AS cls, f.name, f.visibility <> 'private' AND NOT regexp_matches(f.name, '^[_#]') AS visible, f."startLine" AS line, row_number() OVER (PARTITION BY h.src, f.name ORDER BY f."startLine", f.uid) AS k, count(*) OVER (PARTITION BY h.src, f.name) AS total FROM hasm h JOIN fn f ON h.dst = f.uid)
+SELECT cls, 'method' AS section, name, name || '()' AS text, line, visible AND row_number() OVER (PARTITION BY cls, visible ORDER BY line, name) <= 10 AS shown, CAST(0 AS BIGINT) AS abstract, total FROM one WHERE k = 1""")
+_table("interface_overview", lambda spark, sf_dir: messaging.overview(messaging.interfaces(_sites(_read(spark, sf_dir, "events")))), """
+SELECT kind, name, dynamic, count(DISTINCT CASE WHEN p THEN node END) AS providers, count(DISTINCT CASE WHEN NOT p THEN node END) AS users, count(DISTINCT type) AS types FROM (SELECT 'n' || user_id AS node, event_id % 5 = 0 AS p, event_id % 4 = 3 AS dynamic,
+CASE event_id % 3 WHEN 1 THEN 'service' ELSE 'topic' END AS kind, CASE event_id % 3 WHEN 0 THEN 'std_msgs/msg/Note' WHEN 1 THEN 'std_srvs/srv/Empty' ELSE 'Note' END AS type,
+CASE event_id % 4 WHEN 2 THEN '/n' || user_id || '/' || event_type WHEN 3 THEN 'self.' || event_type ELSE '/' || event_type END AS name FROM events) GROUP BY kind, name, dynamic""")
+
+
+def _design(g: Graph) -> Graph:
+    """With classes that inherit from the first of their nation, and functions that make each class that has them."""
+    c = g.label("Class")
+    first = c.groupBy("file").agg(F.min("uid").alias("dst"))
+    inherits = lambda: c.select(F.col("uid").alias("src"), "file").join(first, "file").select("src", "dst")
+    return _with(_with(g, "INHERITS", inherits), "INSTANTIATES", lambda: g.rel("HAS_METHOD").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+def _sites(e: DataFrame) -> DataFrame:
+    """Events as call sites of interfaces, their names written in four ways and their types in three."""
+    kind = F.pmod("event_id", F.lit(4))
+    name = F.when(kind == 0, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(kind == 1, F.concat(F.lit("'/"), "event_type", F.lit("'"))).when(kind == 2, F.concat(F.lit('"~/'), "event_type", F.lit('"'))).otherwise(F.concat(F.lit("self."), "event_type"))
+    form = F.pmod("event_id", F.lit(3))
+    type_ = F.when(form == 0, "const std_msgs::msg::Note &").when(form == 1, "std_srvs.srv.Empty").otherwise("Note")
+    side = F.when(F.pmod("event_id", F.lit(5)) == 0, "provides").otherwise("uses")
+    return e.select(F.concat(F.lit("n"), F.col("user_id").cast("string")).alias("node"), name.alias("raw_name"), (kind != 3).alias("literal"), type_.alias("raw_type"), F.lit("topic").alias("kind"), side.alias("side"))
 
 
 def _owners(g: Graph) -> DataFrame:
