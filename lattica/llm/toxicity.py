@@ -282,18 +282,25 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from the training fold's labelled rows, at most ``sample`` of them and ``sample_bytes`` of text, picked by hash.
 
+    A text longer than the room left is passed over, and the walk goes on until there are ``sample`` rows, less room than an
+    even share of the bytes, or no more rows. Sizes are looked at first; only the picked texts come to the driver.
     Rows without a label or doc_id are left out; without labelled rows every text scores one half.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    picked = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "toxic").limit(sample).drop("h")
-    texts = common.keyed(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h"))
-    rows, size, used = texts.orderBy("h", "doc_id", "text").limit(2 * sample), 0, []
-    for r in rows.toLocalIterator():
-        size += r["n"]
-        if used and size > sample_bytes:
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).distinct()
+    texts = common.keyed(docs).select("doc_id", "text", F.xxhash64("text").alias("t"))
+    sizes = texts.select("doc_id", "t", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).where(F.col("n") <= sample_bytes).distinct()
+    walk = known.join(sizes, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "t", "toxic")
+    room, used = sample_bytes, []
+    for r in walk.toLocalIterator():
+        if r["n"] > room:
+            continue
+        room -= r["n"]
+        used.append((r["doc_id"], r["t"], r["toxic"]))
+        if len(used) >= sample or room < sample_bytes // sample:
             break
-        used.append((r["text"], r["toxic"]))
-    return fit([t for t, _ in used], [y for _, y in used])
+    picked = docs.sparkSession.createDataFrame([u[:2] for u in used], "doc_id long, t long").distinct()
+    found = {(r["doc_id"], r["t"]): r["text"] for r in texts.join(F.broadcast(picked), ["doc_id", "t"]).toLocalIterator()}
+    return fit([found[u[:2]] for u in used], [u[2] for u in used])
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

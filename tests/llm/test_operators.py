@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm import boosting, common, components, decontaminate, html_text, jaccard, language_model, media, packing, pii, secrets, spans, token_store, toxicity
 
@@ -323,6 +324,21 @@ def test_toxicity(spark, empty):
     assert all(abs(r.score - 0.5) < 1e-9 for r in toxicity.score(docs.limit(5), nothing).collect())
 
 
+def test_long_text_does_not_end_the_toxicity_sample(spark, monkeypatch):
+    rows = [(k, "calm words here", 0) if k % 2 else (k, f"vile words {k}", 1) for k in range(80) if zlib.crc32(str(k).encode()) % 4 != 2]
+    by_hash = [r.doc_id for r in spark.createDataFrame(rows, "doc_id long, text string, toxic int").orderBy(F.xxhash64("doc_id")).collect()]
+    long = {by_hash[0]: "x " * 3000, by_hash[5]: "y " * 900}
+    rows = [(k, long.get(k, t), y) for k, t, y in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.append(list(zip(texts, labels, strict=True))))
+    toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), sample_bytes=1800)
+    short = sorted((t, y) for k, t, y in rows if k not in long)
+    assert sorted(seen[0]) == short
+    toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), 20, 1800)
+    assert len(seen[1]) == 20
+
+
 def test_marginals_are_those_of_the_whole_chain():
     model = toxicity.Model(np.empty(0, np.uint64), np.empty(0), -1.5, np.array([[0.4, -0.3], [-0.2, 0.6]]), np.zeros(4))
     emission = {3: 2.0, 4: 1.0, 9: 3.0}
