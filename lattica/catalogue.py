@@ -42,7 +42,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_add("dead_code", lambda g: A.dead_code(g, LOCAL).drop("frameworkKind", "specSignals"), """
+_add("dead_code", lambda g: A.dead_code(g).drop("frameworkKind", "specSignals"), """
 SELECT f.uid, f.name AS function, f.file, CASE WHEN coalesce(t, 0) > 0 THEN 'planned_stub' WHEN visibility = 'public' THEN 'public_no_static_caller' ELSE 'private_no_caller' END AS category,
 CASE WHEN coalesce(t, 0) > 0 THEN 'none' WHEN visibility = 'public' THEN 'low' ELSE 'medium' END AS "analysisConfidence", visibility, coalesce(t, 0) AS "taskSignals", false AS "passedAsCallback"
 FROM fn f LEFT JOIN (SELECT dst, count(DISTINCT src) AS t FROM affects GROUP BY dst) a ON f.uid = a.dst WHERE f.uid NOT IN (SELECT dst FROM loc)""")
@@ -50,13 +50,13 @@ _add("direct_recursion", A.direct_recursion, "SELECT uid, name AS function, file
 _add("call_resolution_quality", lambda g: A.call_resolution_quality(_resolved(g), "CALLS"), """
 SELECT CASE WHEN x.file = y.file THEN 'same-file' ELSE 'imported-symbol' END AS "resolvedBy", count(*) AS edges FROM calls JOIN fn x ON src = x.uid JOIN fn y ON dst = y.uid GROUP BY 1""")
 WALK = ", walk AS (SELECT src AS o, dst AS n, 1 AS k FROM step UNION SELECT o, step.dst, k + 1 FROM walk JOIN step ON n = step.src WHERE k < {k} AND n <> o) "
-_add("recursion", lambda g: A.recursion(g, LOCAL), WALK.format(k=5) + 'SELECT uid, name AS "recursiveFunction", file FROM fn WHERE uid IN (SELECT o FROM walk WHERE o = n UNION SELECT src FROM loc WHERE src = dst)', True)
+_add("recursion", lambda g: A.recursion(g), WALK.format(k=5) + 'SELECT uid, name AS "recursiveFunction", file FROM fn WHERE uid IN (SELECT o FROM walk WHERE o = n UNION SELECT src FROM loc WHERE src = dst)', True)
 _add("duplicate_functions_by_callees", lambda g: A.duplicate_functions_by_callees(g), """
 SELECT a.uid, a.name AS "funcA", a.file AS "fileA", b.name AS "funcB", b.file AS "fileB", string_agg(s.name, ',' ORDER BY s.name) AS "sharedCallees", count(*) AS overlap
 FROM calls x JOIN calls y ON x.dst = y.dst JOIN fn a ON x.src = a.uid JOIN fn b ON y.src = b.uid JOIN fn s ON x.dst = s.uid WHERE a.name < b.name GROUP BY a.uid, a.name, a.file, b.uid, b.name, b.file HAVING count(*) >= 2""")
 _add("duplicate_functions_by_signature", A.duplicate_functions_by_signature, """
 SELECT a.name AS "funcA", a.file AS "fileA", b.name AS "funcB", b.file AS "fileB", a.params AS "sharedSignature" FROM fn a JOIN fn b ON a.params = b.params WHERE a.name < b.name AND a.params <> '()'""")
-_add("duplicate_functions_by_callers_and_callees", lambda g: A.duplicate_functions_by_callers_and_callees(g, LOCAL), """
+_add("duplicate_functions_by_callers_and_callees", lambda g: A.duplicate_functions_by_callers_and_callees(g), """
 , up AS (SELECT a.uid AS a, b.uid AS b, string_agg(DISTINCT s.name, ',' ORDER BY s.name) AS l FROM loc x JOIN loc y ON x.src = y.src JOIN fn a ON x.dst = a.uid JOIN fn b ON y.dst = b.uid JOIN fn s ON x.src = s.uid WHERE a.name < b.name GROUP BY 1, 2),
 dn AS (SELECT a.uid AS a, b.uid AS b, string_agg(DISTINCT s.name, ',' ORDER BY s.name) AS l FROM loc x JOIN loc y ON x.dst = y.dst JOIN fn a ON x.src = a.uid JOIN fn b ON y.src = b.uid JOIN fn s ON x.dst = s.uid WHERE a.name < b.name GROUP BY 1, 2)
 SELECT p.name AS "funcA", q.name AS "funcB", up.l AS "sharedCallers", dn.l AS "sharedCallees", up.a AS uid, up.b AS "uidB" FROM up JOIN dn ON up.a = dn.a AND up.b = dn.b JOIN fn p ON up.a = p.uid JOIN fn q ON up.b = q.uid""")
@@ -69,12 +69,12 @@ SELECT *, CASE WHEN "refactoringScore" >= 120 AND decisions >= 6 THEN 'high' WHE
 _add("cyclomatic_complexity", lambda g: A.cyclomatic_complexity(g, None), 'SELECT uid, name AS function, file, coalesce(n, 0) + 1 AS "cyclomaticComplexity" FROM fn LEFT JOIN (SELECT src, count(*) AS n FROM flows GROUP BY src) ON uid = src')
 _add("long_functions", A.long_functions, 'SELECT uid, name AS function, file, "endLine" - "startLine" + 1 AS lines FROM fn ORDER BY lines DESC, uid LIMIT 40')
 _add("large_classes", lambda g: A.large_classes(g, "HAS_METHOD").drop("lines"), 'SELECT uid, name AS class, file, coalesce(n, 0) AS methods FROM cl LEFT JOIN (SELECT src, count(*) AS n FROM hasm GROUP BY src) ON uid = src ORDER BY methods DESC, uid LIMIT 40')
-_add("entry_points", lambda g: A.entry_points(g, LOCAL), 'SELECT uid, name AS "entryPoint", file FROM fn WHERE uid IN (SELECT src FROM loc) AND uid NOT IN (SELECT dst FROM loc)')
-_add("callers_of_function", lambda g: A.callers_of_function(g, _first_name(g), LOCAL), """
+_add("entry_points", lambda g: A.entry_points(g), 'SELECT uid, name AS "entryPoint", file FROM fn WHERE uid IN (SELECT src FROM loc) AND uid NOT IN (SELECT dst FROM loc)')
+_add("callers_of_function", lambda g: A.callers_of_function(g, _first_name(g)), """
 SELECT a.name AS caller, a.file, a.uid, b.uid AS callee FROM loc JOIN fn a ON src = a.uid JOIN fn b ON dst = b.uid WHERE b.name = (SELECT min(name) FROM fn)""")
 PATHS = ", p AS (SELECT src AS o, [src, dst] AS path, 1 AS hops FROM step WHERE src = (SELECT src FROM hub) UNION ALL SELECT o, list_append(path, step.dst), hops + 1 FROM p JOIN step ON path[-1] = step.src WHERE hops < {k} AND NOT list_contains(path, step.dst)) "
-_add("call_chain", lambda g: A.call_chain(g, _hub(g), LOCAL, 4, None), PATHS.format(k=4) + """SELECT array_to_string(path, ',') AS "callChain", CAST(hops AS BIGINT) AS hops FROM p""", True)
-_add("circular_imports", lambda g: A.circular_imports(_local_imports(g), "IMPORTS", 6), """
+_add("call_chain", lambda g: A.call_chain(g, _hub(g), "CALLS", 4, None), PATHS.format(k=4) + """SELECT array_to_string(path, ',') AS "callChain", CAST(hops AS BIGINT) AS hops FROM p""", True)
+_add("circular_imports", lambda g: A.circular_imports(g, "IMPORTS", 6), """
 , si AS (SELECT DISTINCT x.file AS a, y.file AS b FROM loc JOIN fn x ON src = x.uid JOIN fn y ON dst = y.uid WHERE x.file <> y.file),
 w AS (SELECT a AS o, b AS n, 1 AS k FROM si UNION SELECT o, si.b, k + 1 FROM w JOIN si ON n = si.a WHERE k < 6 AND n <> o) SELECT uid, path FROM fi WHERE path IN (SELECT o FROM w WHERE o = n)""", True)
 _add("files_overview", lambda g: A.files_overview(g).drop("lang"), "SELECT path AS file, coalesce(n, 0) AS functions FROM fi LEFT JOIN (SELECT src, count(*) AS n FROM contains GROUP BY src) ON uid = src")
@@ -88,14 +88,14 @@ _add("edge_census", lambda g: A.edge_census(g, TYPES), f"SELECT rel_type, count(
 _add("node_relations", lambda g: A.node_relations(g, "Function:7", TYPES), f"SELECT CASE WHEN src = 'Function:7' THEN 'out' ELSE 'in' END AS direction, rel_type, count(*) AS n FROM (SELECT * FROM ({ALL_EDGES}) WHERE src = 'Function:7' UNION ALL SELECT rel_type, '-' AS src, dst FROM ({ALL_EDGES}) WHERE dst = 'Function:7') GROUP BY 1, 2")
 _add("label_adjacency", lambda g: traverse.adjacency(g, CODE, TYPES), f", e AS (SELECT DISTINCT x.label AS a, y.label AS b FROM ({ALL_EDGES}) JOIN ({ALL_NODES}) x ON src = x.uid JOIN ({ALL_NODES}) y ON dst = y.uid) SELECT a AS from_label, b AS to_label FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b")
 _add("degree", lambda g: traverse.degree(g, CODE, TYPES), f"SELECT n.uid, CAST(count(e.uid) AS BIGINT) AS degree FROM ({ALL_NODES}) n LEFT JOIN (SELECT src AS uid FROM ({ALL_EDGES}) UNION ALL SELECT dst FROM ({ALL_EDGES})) e ON n.uid = e.uid GROUP BY n.uid")
-_add("reach", lambda g: traverse.reach(g, g.label("Function").select("uid"), [LOCAL], 3), """
+_add("reach", lambda g: traverse.reach(g, g.label("Function").select("uid"), ["CALLS"], 3), """
 , w AS (SELECT uid AS o, uid AS n, 0 AS k FROM fn UNION SELECT o, step.dst, k + 1 FROM w JOIN step ON n = step.src WHERE k < 3) SELECT o AS origin, n AS node, CAST(min(k) AS BIGINT) AS dist FROM w GROUP BY o, n""", True)
 _add("shortest_routes", lambda g: _routes(g), PATHS.format(k=4) + """, t AS (SELECT path, hops FROM p WHERE path[-1] = (SELECT max(path[-1]) FROM p WHERE hops = 2)), m AS (SELECT min(hops) AS h FROM t)
 SELECT CAST(hops AS BIGINT) AS hops, array_to_string(path, ',') AS path FROM t, m WHERE hops = h ORDER BY t.path LIMIT 5""", True)
-_add("induced_subgraph", lambda g: traverse.induced(g, g.spark.createDataFrame([(_hub(g),)], "uid string"), [LOCAL], 2), """
+_add("induced_subgraph", lambda g: traverse.induced(g, g.spark.createDataFrame([(_hub(g),)], "uid string"), ["CALLS"], 2), """
 , u AS (SELECT src, dst FROM step UNION SELECT dst, src FROM step), w AS (SELECT src AS n, 0 AS k FROM hub UNION SELECT u.dst, k + 1 FROM w JOIN u ON n = u.src WHERE k < 2)
 SELECT 'CALLS_LOCAL' AS rel_type, src, dst FROM loc WHERE src IN (SELECT n FROM w) AND dst IN (SELECT n FROM w)""", True)
-_add("impact", lambda g: impact.impact(g, g.label("Function").select("uid"), [LOCAL], "balanced"), """
+_add("impact", lambda g: impact.impact(g, g.label("Function").select("uid"), ["CALLS"], "balanced"), """
 , w AS (SELECT uid AS seed, uid AS n, 0 AS k FROM fn UNION SELECT seed, step.src, k + 1 FROM w JOIN step ON n = step.dst WHERE k < 2),
 d AS (SELECT seed, n, min(k) AS k FROM w GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY k, n) AS i FROM d)
 SELECT seed, n AS uid, CAST(k AS BIGINT) AS dist, CASE WHEN k = 0 THEN 'exact' ELSE 'unknown' END AS confidence FROM r WHERE i <= 200""", True)
@@ -120,7 +120,7 @@ _add("quality_report", lambda g: scheduling.quality_report(_quality_files(g)), "
 _add("hash_identity", lambda g: g.label("Function").select("uid", identity.hash_uid(F.lit("Function"), F.col("name"), F.col("file")).alias("hash"), identity.merge_uid("Function", name="name", file="file").alias("merged")), "SELECT uid, left(sha256('Function::' || name || '::' || file), 16) AS hash, 'Function||file=' || file || '||name=' || name AS merged FROM fn")
 _add("address_segments", lambda g: g.label("File").select("uid", identity.fnv1a32(F.col("uid")).alias("fnv"), F.concat(F.lit("fd00:0001:"), identity.segment(F.col("uid"))).alias("subnet")), """
 , f AS (SELECT uid, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), [CAST(ascii(c) AS BIGINT) FOR c IN string_split(uid, '')]), lambda h, c: xor(h, c) * 16777619 % 4294967296) AS fnv FROM fi) SELECT uid, fnv, 'fd00:0001:' || lpad(lower(to_hex(fnv % 65536)), 4, '0') AS subnet FROM f""")
-_add("pattern_query", lambda g: cypher.run(g, "MATCH (a:Function)-[:CALLS_LOCAL]->(b:Function) WHERE a.visibility = 'public' AND NOT (b)-[:CALLS_LOCAL]->() RETURN a.file AS file, count(*) AS n, count(DISTINCT b.uid) AS targets ORDER BY n DESC, file LIMIT 10"), """
+_add("pattern_query", lambda g: cypher.run(g, "MATCH (a:Function)-[:CALLS]->(b:Function) WHERE a.visibility = 'public' AND NOT (b)-[:CALLS]->() RETURN a.file AS file, count(*) AS n, count(DISTINCT b.uid) AS targets ORDER BY n DESC, file LIMIT 10"), """
 SELECT a.file, count(*) AS n, count(DISTINCT b.uid) AS targets FROM loc JOIN fn a ON src = a.uid JOIN fn b ON dst = b.uid WHERE a.visibility = 'public' AND b.uid NOT IN (SELECT src FROM loc) GROUP BY a.file ORDER BY n DESC, a.file LIMIT 10""")
 
 _table("magic_numbers", lambda spark, d: A.magic_numbers(_literals(spark, d)), f"""
@@ -163,7 +163,7 @@ UNION ALL SELECT uid, 'missing-task-obligation' FROM ta WHERE uid NOT IN (SELECT
 
 
 # ---- what the queries above are run on ----
-_add("class_relations", lambda g: class_model.relations(_design(g), class_model.boxes(g), "HAS_METHOD", LOCAL, True, 2), """
+_add("class_relations", lambda g: class_model.relations(_design(g), class_model.boxes(g), "HAS_METHOD", "CALLS", True, 2), """
 , own AS (SELECT dst AS f, min(src) AS c FROM hasm GROUP BY dst),
 inh AS (SELECT uid AS src, m AS dst FROM (SELECT uid, min(uid) OVER (PARTITION BY file) AS m FROM cl) WHERE uid <> m),
 cre AS (SELECT DISTINCT c AS src, hasm.src AS dst FROM hasm JOIN own ON hasm.dst = f WHERE c <> hasm.src),
@@ -257,21 +257,15 @@ def _resolved(g: Graph) -> Graph:
     return _with(g, "CALLS", lambda: calls.select("src", "dst", F.when(F.col("a") == F.col("b"), "same-file").otherwise("imported-symbol").alias("resolvedBy")))
 
 
-def _local_imports(g: Graph) -> Graph:
-    f = g.label("Function").select("uid", "file")
-    e = g.rel(LOCAL).join(f.select(F.col("uid").alias("src"), F.col("file").alias("a")), "src").join(f.select(F.col("uid").alias("dst"), F.col("file").alias("b")), "dst").where("a <> b")
-    return _with(g, "IMPORTS", lambda: e.select(F.concat(F.lit("File:"), "a").alias("src"), F.concat(F.lit("File:"), "b").alias("dst")).distinct())
-
-
 def _hub(g: Graph) -> str:
-    """The function with the most local callees."""
-    return g.rel(LOCAL).where("src <> dst").groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "src").limit(1).first()[0]
+    """The function with the most callees."""
+    return g.rel("CALLS").where("src <> dst").groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "src").limit(1).first()[0]
 
 
 def _routes(g: Graph) -> DataFrame:
     hub = _hub(g)
-    target = traverse.paths(g, g.spark.createDataFrame([(hub,)], "uid string"), [LOCAL], 2).where("hops = 2").agg(F.max("node")).first()[0]
-    return traverse.routes(g, hub, target or "", [LOCAL], 4, 5).select("hops", F.array_join("path", ",").alias("path"))
+    target = traverse.paths(g, g.spark.createDataFrame([(hub,)], "uid string"), ["CALLS"], 2).where("hops = 2").agg(F.max("node")).first()[0]
+    return traverse.routes(g, hub, target or "", ["CALLS"], 4, 5).select("hops", F.array_join("path", ",").alias("path"))
 
 
 def _snapshots(g: Graph) -> tuple[DataFrame, DataFrame]:

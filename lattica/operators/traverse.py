@@ -36,18 +36,27 @@ def reach(g: Graph, seeds: DataFrame, rels: list[str], max_hops: int, direction:
 
 
 def cyclic(g: Graph, rels: list[str], max_hops: int) -> DataFrame:
-    """(uid): nodes on a closed walk of 2 to ``max_hops`` edges, self-loops aside."""
-    steps = _steps(g, rels, "out")
-    walk = steps.select(F.col("src").alias("origin"), F.col("dst").alias("node"))
-    found = None
+    """(uid): nodes on a closed walk of 2 to ``max_hops`` edges, self-loops aside.
+
+    Walks from and to a node meet half way, so a level has two sets of half the length; nodes already found walk no more.
+    """
+    steps = written(_steps(g, rels, "out"))
+    back = steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ahead, behind = (e.select(F.col("src").alias("origin"), F.col("dst").alias("node")) for e in (steps, back))
+    found = steps.select(F.col("src").alias("uid")).where(F.lit(False))
     for level in range(2, max_hops + 1):
-        walk = walk.join(steps, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
-        if level % EVERY == 0:
-            walk = written(walk)
-        hits = walk.where("origin = node").select(F.col("origin").alias("uid"))
-        found = hits if found is None else found.unionByName(hits)
-        walk = walk.where("origin <> node")
-    return found.distinct()
+        if level % 2:
+            ahead = written(_onward(ahead, steps))
+        elif level > 2:
+            behind = written(_onward(behind, back))
+        hits = written(ahead.join(behind, ["origin", "node"], "left_semi").select(F.col("origin").alias("uid")).distinct())
+        found = found.unionByName(hits)
+        ahead, behind = (w.join(hits, F.col("origin") == F.col("uid"), "left_anti") for w in (ahead, behind))
+    return found
+
+
+def _onward(walk: DataFrame, steps: DataFrame) -> DataFrame:
+    return walk.join(steps, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
 
 
 def paths(g: Graph, seeds: DataFrame, rels: list[str], max_hops: int) -> DataFrame:
