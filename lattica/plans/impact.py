@@ -1,4 +1,4 @@
-"""Impact of a change: what depends on a node, how surely, and which tests and notes are near."""
+"""Impact of a change: what depends on a node and how surely, and the tests to select for it."""
 
 from __future__ import annotations
 
