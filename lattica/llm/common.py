@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,36 +10,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
-
-
-def scratch_path(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = tempfile.mkdtemp(prefix="lattica-")
-            atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
-        root = "file://" + _own_dirs[app]
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, **options: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from lattica.scratch import path as scratch_path  # noqa: F401
+from lattica.scratch import written  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Inputs of less than so many bytes a core are dealt anew: a single row group of theirs would run in one task.
+SMALL = 16 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least one partition a core; small single-file inputs would otherwise run in one task."""
+    """``df`` over all cores; a small input is dealt by hash, as its splits may hold nothing (row groups aren't split)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if df.rdd.getNumPartitions() >= 4 * cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *(F.xxhash64(c) for c in df.columns[:2])) if size < SMALL * cores else df
 
 
 def keyed(docs: DataFrame, *extra: str) -> DataFrame:

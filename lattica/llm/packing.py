@@ -81,7 +81,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, with_ids: bo
     def run(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
-            names = np.asarray(batch.column("doc_id"))
+            names = batch.column("doc_id")
             for i, j, ids, bounds in vocab.encoded(batch, tokenizer, end_id):
                 total = np.diff(bounds)
                 per = -(-total // size)
@@ -98,8 +98,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, with_ids: bo
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order)))) + seen[by_length]
                 seen += np.bincount(length, minlength=size + 1)
-                cols = [names[i:j][doc], start, length, np.array(sums, np.int64), total[doc], np.full(len(doc), part), rank]
-                out = [pa.array(c, pa.int64()) for c in cols]
+                cols = [start, length, np.array(sums, np.int64), total[doc], np.full(len(doc), part), rank]
+                out = [names.take(pa.array(i + doc)), *(pa.array(c, pa.int64()) for c in cols)]
                 if with_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids)
@@ -110,9 +110,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, with_ids: bo
 def pack(docs: DataFrame, tokenizer: str = vocab.SPACED_WORDS, end_id: int = 0, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """Packs the ids of all documents into sequences of at most ``size`` ids; one row a piece, with its ids if wanted.
 
-    A null or empty text is a document of its end id alone. Every row of ``docs`` is packed, repeated ones too; ties in
-    length are ranked by partition and place, which any rerun repeats from the written pieces. An empty table gives an
-    empty result; further columns are left out. A sequence's rows fill it without gaps from offset 0.
+    A null or empty text is a document of its end id alone; a null doc_id stays null. Every row of ``docs`` is packed,
+    repeated ones too; ties in length are ranked by partition and place, which any rerun repeats from the written
+    pieces. An empty table gives an empty result; further columns are left out, whatever their names. A sequence's rows
+    fill it without gaps from offset 0.
     """
     cut = common.written(pieces(docs, tokenizer, end_id, size, with_ids))
     counts = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
@@ -120,7 +121,8 @@ def pack(docs: DataFrame, tokenizer: str = vocab.SPACED_WORDS, end_id: int = 0,
     counts = common.written(counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     runs = slots(pack_histogram(histogram, size))
-    ranked = cut.join(counts.drop("n"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("part_rank"))
+    # a row for each partition and length: grows with the input, so it is never broadcast
+    ranked = cut.join(counts.drop("n").hint("merge"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("part_rank"))
     names = [c.split()[0] for c in PLACED.split(", ")][:5] + ["ids"] * with_ids
 
     def place(batches):
@@ -141,5 +143,5 @@ def pack(docs: DataFrame, tokenizer: str = vocab.SPACED_WORDS, end_id: int = 0,
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of at most 1024 ids."""
+    """All documents packed into sequences of at most 1024 ids; nulls, repeated rows and empty tables as in ``pack``."""
     return pack(common.table(spark, sf_dir, "documents"))

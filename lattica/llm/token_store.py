@@ -21,18 +21,24 @@ LAYOUT = {
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",
 }
+#: Bytes of text in a file, about.
+FILE_BYTES = 64 << 20
 STORED = "doc_id long, part long, part_start long, n_tokens long, ids array<int>"
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = vocab.WORDS, end_id: int = 1) -> None:
-    """Writes the ids of every document, ``end_id`` behind each, in ascending (doc_id, text) order.
+    """Writes the ids of every document, ``end_id`` behind each, in ascending order of doc_id, then of the text's hash.
 
-    Files follow that order by ``part``. A null or empty text is stored as its end id alone; rows with the same doc_id
-    are stored each, in the order of their texts; an empty table gives an empty one; further columns are left out.
+    Files follow that order by ``part``, one for about ``FILE_BYTES`` of text. A null or empty text is stored as its end
+    id alone; a null doc_id comes first; rows with the same doc_id are stored each, and many of them are dealt to
+    several files by their texts (equal rows lie together); an empty table gives an empty one; further columns are left
+    out, whatever their names.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = common.keyed(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = common.keyed(docs)
+    size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).collect()[0]["n"]
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+    keyed = keyed.withColumn("text_hash", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(parts, "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash").drop("text_hash")
 
     def run(batches):
         part, before = TaskContext.get().partitionId(), 0
@@ -82,7 +88,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every document written to token files and read back from them."""
+    """Ids of every document written to token files and read back from them; nulls, repeats and empty tables as in ``write_tokens``."""
     path = common.scratch_path(spark)
     write_tokens(common.table(spark, sf_dir, "documents"), path)
     return token_index(spark, path)

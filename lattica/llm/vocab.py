@@ -1,13 +1,15 @@
 """Token ids of whole texts by the tokenizers library, encoding each different piece of text once a worker.
 
 Both tokenizers cut a text before they merge, and never across the end of a run of white space, so the ids of a text
-are those of its pieces in a row.  Pieces repeat far more often than they are new.
+are those of its pieces in a row.  Pieces repeat far more often than they are new.  Added tokens of the vocabulary, such
+as one for the end of a text, are found in the raw text first, as the library does; what lies between is encoded alone.
 """
 
 from __future__ import annotations
 
 import itertools
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -16,8 +18,8 @@ import pyarrow as pa
 from . import common
 
 WORDS, SPACED_WORDS = "word_bpe_49k.json", "byte_bpe_50k.json"
-#: Different pieces a worker keeps, and bytes of text it takes at once.
-KEPT, CHUNK = 2_000_000, 4 << 20
+#: Different pieces a worker keeps, bytes of text it takes at once, and pieces that the library encodes at once.
+KEPT, CHUNK, LEARNT = 400_000, 1 << 20, 8192
 _IS_SPACE = ~common.SPACED
 _MAY_END_SPACE = np.zeros(256, bool)
 _MAY_END_SPACE[0x80:0xC0] = True
@@ -44,7 +46,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
-        self.tokenizer.encode_special_tokens = True
+        self.added = {t.content.encode(): k for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens that depend on what surrounds them aren't supported")
+        self.tokenizer.encode_special_tokens = True  # for pieces: a lower-cased one may look like an added token, and isn't
+        self.any_added = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or b"(?!)")
         self._forget()
 
     def _forget(self) -> None:
@@ -53,16 +59,37 @@ class Encoder:
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         if len(self.keys) + len(keys) > KEPT:
             self._forget()
-        new = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, new), np.int64, len(new))
-        at = len(self.ids) + np.concatenate(([0], np.cumsum(size)[:-1]))
-        self.ids = np.concatenate((self.ids, np.fromiter(itertools.chain.from_iterable(new), np.uint32, int(size.sum()))))
+        sizes, ids = [np.empty(0, np.int64)], [self.ids]
+        for k in range(0, len(pieces), LEARNT):
+            new = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[k : k + LEARNT], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, new), np.int64, len(new)))
+            ids.append(np.fromiter(itertools.chain.from_iterable(new), np.uint32, int(sizes[-1].sum())))
+        size = np.concatenate(sizes)
+        at = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate(ids)
         keys = np.concatenate((self.keys, keys))
         order = np.argsort(keys, kind="stable")
         self.keys, self.at, self.size = keys[order], np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]
 
     def encode(self, raw: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows one after another, ``end`` behind each, and int64 offsets (one more than rows)."""
+        found = list(self.any_added.finditer(memoryview(raw)))  # valid UTF-8: a match over a row's end is no match
+        found = [m for m in found if np.searchsorted(offs, m.start(), "right") == np.searchsorted(offs, m.end() - 1, "right")]
+        if not found:
+            return self._segments(raw, offs, np.full(len(offs) - 1, end, np.uint32))
+        # each added token ends a segment, as a row's end does; without their bytes the segments lie side by side
+        begin, stop = np.array([m.start() for m in found], np.int64), np.array([m.end() for m in found], np.int64)
+        keep = np.ones(len(raw), bool)
+        for i, j in zip(begin.tolist(), stop.tolist(), strict=True):
+            keep[i:j] = False
+        kept = np.concatenate(([0], np.cumsum(keep)))
+        where = np.concatenate((begin, offs[1:]))
+        closing = np.concatenate((np.array([self.added[m[0]] for m in found], np.uint32), np.full(len(offs) - 1, end, np.uint32)))
+        order = np.lexsort((np.arange(len(where)) < len(begin), where))
+        ids, bounds = self._segments(raw[keep], np.concatenate(([0], kept[where[order]])), closing[order])
+        return ids, bounds[np.concatenate(([0], 1 + np.flatnonzero(order >= len(begin))))]
+
+    def _segments(self, raw: np.ndarray, offs: np.ndarray, closing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.by_word:
             raw = common.LOWER[raw]  # the tokenizer lower-cases anyway
             starts, ends, first = common.word_bounds(raw, offs, common.SPACED)
@@ -92,7 +119,7 @@ class Encoder:
         total = np.concatenate(([0], np.cumsum(size)))
         flat = self.ids[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
         bounds = total[first]
-        return np.insert(flat, bounds[1:], end).astype(np.uint32), bounds + np.arange(len(bounds))
+        return np.insert(flat, bounds[1:], closing).astype(np.uint32), bounds + np.arange(len(bounds))
 
 
 @lru_cache(4)
