@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.scratch import path as scratch_path  # noqa: F401
@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Inputs of less than so many bytes a core are dealt anew: a single row group of theirs would run in one task.
-SMALL = 16 << 20
+SMALL = 8 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -35,6 +35,53 @@ def keyed(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def filtered(docs: DataFrame, judge: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
+    """The rows of ``docs`` whose text is kept, all columns as they are, in the same pass: nothing is shuffled.
+
+    ``judge()`` is made once a task; it takes texts as bytes and offsets (null is empty) and gives a mask.
+    """
+    at, limit = docs.columns.index("text"), 1 << 20
+
+    def run(batches):
+        keeps = judge()
+        for batch in batches:
+            raw, offs = text_buffers(batch.column(at))
+            masks = [keeps(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in doc_ranges(offs, limit)]
+            yield batch.filter(pa.array(np.concatenate(masks) if masks else np.empty(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+#: Bits of one bitmap, and how many of these are sent to all tasks at most: 16 MB.
+BITMAP, BITMAPS = 32768, 4096
+
+
+def divided(docs: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two: rows whose ``key`` (long) is surely not in ``keys`` (long, ``k``), and the rest, with all that are.
+
+    Only the rest has to be shuffled to meet a table by its key; beyond some eight million keys it grows until it is
+    all. By bitmaps of hashes and SQL functions alone.
+    """
+    many = 1 << min(BITMAPS.bit_length() - 1, (16 * keys.count() // BITMAP).bit_length())
+    b, bits, h = (fresh(docs, x) for x in ("bitmap_no", "bitmap", "bitmap_place"))
+    place = F.pmod(F.xxhash64("k"), F.lit(many * BITMAP))
+    held = keys.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias(b)).agg(F.bitmap_construct_agg(F.col("p") % BITMAP).alias(bits))
+    placed = docs.withColumn(h, F.pmod(F.xxhash64(key), F.lit(many * BITMAP)))
+    joined = placed.join(F.broadcast(held), F.shiftright(F.col(h), 15) == F.col(b), "left")  # at most BITMAPS rows of 4 KB
+    inside = F.col(h) % BITMAP
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.shiftright(inside, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << x) for x in range(8))), (inside % 8 + 1).cast("int"))) > 0, F.lit(False))
+    return joined.where(~hit).select(docs.columns), joined.where(hit).select(docs.columns)
+
+
 def text_buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and int64 offsets (one more than rows) of a string column; null is empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -16,15 +16,17 @@ from . import common
 from .common import U
 from .components import components
 
-WORDS_EACH, CHUNK = 5, 2 << 20
+WORDS_EACH, CHUNK = 5, 1 << 20
 #: Links need intersection * 100 >= 75 * union; so each shares at least 3/4 of either set.
 PERCENT = 75
 #: Cells of the count sketch, their slices, and a count of so many times the mean that makes a shingle heavy.
 CELLS, SLICES, HEAVY = 1 << 20, 256, 64
 #: Documents searched together at most; larger families are searched in blocks.
 BLOCK = 256
-#: Bits of the filter for documents whose sets are needed.
-FILTER_BITS = 1 << 25
+#: Bits of the filter for documents whose sets are needed: 16 each, 32 MB at most; when full it only lets more through.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+#: Postings that a task gathers before it sends them on.
+GATHERED = 300_000
 #: Candidates probed side by side; between such steps, those joined meanwhile are dropped.
 PROBED = 64
 #: Weight of a binary probe against a merge step in the choice of long lists.
@@ -102,22 +104,22 @@ def _assembled(rows: list, size: int, dtype: str) -> np.ndarray:
 
 # ---- pass 1: signatures and the sketch ----
 
-SIGNED = "doc_id long, n long, s1 long, s2 long, slice long, cells binary"
+SIGNED = "doc_id long, row long, n long, s1 long, s2 long, slice long, cells binary"
 
 
 def _sign(docs: DataFrame) -> DataFrame:
     def run(batches):
-        cells, none = np.zeros(CELLS, np.uint32), pa.nulls
+        cells, none = np.zeros(CELLS, np.uint64), pa.nulls
         for batch in batches:
             raw, offs = common.text_buffers(batch.column("text"))
             for i, j in common.doc_ranges(offs, CHUNK):
                 flat, bounds = shingle_sets(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                cells += np.bincount((flat >> U(44)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                cells += np.bincount((flat >> U(44)).astype(np.int64), minlength=CELLS).astype(np.uint64)
                 s1, s2 = _signatures(flat, bounds)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(bounds)), _signed(s1), _signed(s2), none(j - i, pa.int64()), none(j - i, pa.binary())], names=["doc_id", "n", "s1", "s2", "slice", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("row").slice(i, j - i), pa.array(np.diff(bounds)), _signed(s1), _signed(s2), none(j - i, pa.int64()), none(j - i, pa.binary())], names=["doc_id", "row", "n", "s1", "s2", "slice", "cells"])
         rows = _sliced_rows(cells)
         m = rows.num_rows
-        yield pa.RecordBatch.from_arrays([*(none(m, pa.int64()) for _ in range(4)), *rows.columns], names=["doc_id", "n", "s1", "s2", "slice", "cells"])
+        yield pa.RecordBatch.from_arrays([*(none(m, pa.int64()) for _ in range(5)), *rows.columns], names=["doc_id", "row", "n", "s1", "s2", "slice", "cells"])
 
     return common.written(docs.mapInArrow(run, SIGNED))
 
@@ -167,7 +169,7 @@ class _Postings:
     def add(self, flat: np.ndarray, bounds: np.ndarray, s1: np.ndarray):
         self.held.append(_prefixes(flat, bounds, s1, self.level_of, self.wide))
         self.size += len(self.held[-1][0])
-        if self.size > 2_000_000:
+        if self.size > GATHERED:
             yield from self.flush()
 
     def flush(self):
@@ -284,21 +286,27 @@ def _reduced(buckets: DataFrame, each) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Shingle sets of the documents in ``wanted`` (doc_id), and of few others: (doc_id, s1, s2, blob)."""
+    """Shingle sets of the rows in ``wanted`` (row), and of few others: (s1, s2, blob)."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * wanted.count()).bit_length()))
+
+    def place(rows: pa.Array) -> np.ndarray:
+        return common.mix64(np.asarray(rows).view(np.uint64)) % U(size)
 
     def mark(batches):
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            bits[(common.mix64(np.asarray(batch.column("doc_id")).view(np.uint64)) % U(FILTER_BITS)).astype(np.int64)] = True
-        yield _sliced_rows(np.packbits(bits))
+            at = place(batch.column("row"))
+            np.bitwise_or.at(bits, (at >> U(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & U(7)).astype(np.uint8)))
+        yield _sliced_rows(bits)
 
     rows = _sum_slices(wanted.mapInArrow(mark, "slice long, cells binary"), "u1", np.bitwise_or)
-    sent = docs.sparkSession.sparkContext.broadcast(np.unpackbits(_assembled(rows, FILTER_BITS // 8, "u1")).astype(bool))
+    sent = docs.sparkSession.sparkContext.broadcast(_assembled(rows, size // 8, "u1"))
 
     def run(batches):
+        seen: set[int] = set()  # equal sets of a task go once
         for batch in batches:
-            ids = np.asarray(batch.column("doc_id").fill_null(-1))
-            hit = np.flatnonzero(sent.value[(common.mix64(ids.view(np.uint64)) % U(FILTER_BITS)).astype(np.int64)])
+            at = place(batch.column("row"))
+            hit = np.flatnonzero(sent.value[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8) & 1)
             if not len(hit):
                 continue
             some = batch.take(pa.array(hit))
@@ -306,9 +314,10 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for i, j in common.doc_ranges(offs, CHUNK):
                 flat, bounds = shingle_sets(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 s1, s2 = _signatures(flat, bounds)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id").slice(i, j - i), _signed(s1), _signed(s2), pa.array([flat[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], names=["doc_id", "s1", "s2", "blob"])
+                new = [k for k, x in enumerate(s1.tolist()) if x not in seen and not seen.add(x)]
+                yield pa.RecordBatch.from_arrays([_signed(s1[new]), _signed(s2[new]), pa.array([flat[bounds[k] : bounds[k + 1]].tobytes() for k in new], pa.binary())], names=["s1", "s2", "blob"])
 
-    return docs.mapInArrow(run, "doc_id long, s1 long, s2 long, blob binary")
+    return docs.mapInArrow(run, "s1 long, s2 long, blob binary")
 
 
 def merge_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
@@ -457,36 +466,34 @@ def _across(members: DataFrame, block: int) -> DataFrame:
     return left.join(pairs, ["family", "part"]).select("work", "rep", "label", "part")
 
 
-def jaccard_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id it reaches by links, itself included).
+def _classes(docs: DataFrame, block: int) -> DataFrame:
+    """Each row of ``docs`` (doc_id, text, row: a hash of both): doc_id, row, n, and root, which rows of one component share.
 
-    Searched are only sets that share enough with all others together, in families that share prefix shingles.
-    Documents without words, null or empty, are linked with nothing. Equal texts are one class and link whatever they
-    are; rows of one doc_id are one document to links, a row each in the result. A null doc_id names no component. An
-    empty table gives an empty result; further columns are left out.
+    Equal sets are one class; its id is 64 bits of the set's signature, as long as a shingle's hash. Without words
+    (n = 0) ``root`` means nothing.
     """
     spark = docs.sparkSession
-    docs = common.spread(common.keyed(docs))
     signed = _sign(docs)
-    cells = _assembled(_sum_slices(signed.where("slice IS NOT NULL").select("slice", "cells"), "u4", np.add), CELLS, "u4")
+    cells = _assembled(_sum_slices(signed.where("slice IS NOT NULL").select("slice", "cells"), "u8", np.add), CELLS, "u8")
     scale = max(1.0, float(cells.mean()))
     sent = spark.sparkContext.broadcast(np.minimum(255, 4 * np.log2(1 + cells / scale)).astype(np.uint8))  # a megabyte
     heavy = int(4 * math.log2(1 + HEAVY))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    signs = signed.where("slice IS NULL").select("doc_id", "n", "s1", "s2")
-    classes = common.written(signs.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).where("rep IS NOT NULL"))
+    # rows without words all have one signature; they are spread, as they meet nothing
+    signs = signed.where("slice IS NULL").select("doc_id", "row", "n", F.when(F.col("n") > 0, F.col("s1")).otherwise(F.col("row")).alias("s1"), "s2")
+    classes = common.written(signs.where("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("row"), F.first("n").alias("n")))
     # a set that shares too few of its wide prefix with all others together links with none
-    shared = _reduced(_from_texts(docs, sent, heavy, buckets), _bucket_counts).groupBy("a").agg(F.sum("b").alias("shared"))
+    shared = _reduced(_from_texts(docs.drop("row"), sent, heavy, buckets), _bucket_counts).groupBy("a").agg(F.sum("b").alias("shared"))
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / 8))
-    alive = classes.withColumn("node", F.shiftrightunsigned("s1", 16)).join(shared, F.col("node") == F.col("a")).where(F.col("shared") >= least).select("rep", "n", "s1", "s2", "node")
+    alive = classes.withColumn("node", F.shiftrightunsigned("s1", 16)).join(shared, F.col("node") == F.col("a")).where(F.col("shared") >= least).select("row", "n", "s1", "s2", "node")
     alive = common.written(alive)
-    sets = common.written(_sets(docs, alive.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep").join(alive, ["rep", "s1", "s2"]))
+    sets = common.written(_sets(docs.select("row", "text"), alive.select("row")).join(alive.select("s1", "s2"), ["s1", "s2"]))
     family = components(_reduced(_from_sets(sets, sent, heavy, 1 + buckets // 4), _bucket_edges)).select("node", F.col("root").alias("family"))
     crowd = alive.join(family, "node").groupBy("family").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     crowd = common.written(family.join(crowd, "family"))
-    members = common.written(alive.join(crowd, "node").select("family", "size", "rep", "n"))
-    blobs = sets.select("rep", "blob")
+    members = common.written(alive.join(crowd, "node").select("family", "size", F.col("s1").alias("rep"), "n"))
+    blobs = sets.select(F.col("s1").alias("rep"), "blob")
 
     blocks = F.ceil(F.col("size") / block)
     twice = F.when(blocks == 1, F.array(F.xxhash64("family"))).otherwise(F.array(*(F.xxhash64("family", F.lit(salt), F.pmod(F.xxhash64("rep", F.lit(salt)), blocks)) for salt in (1, 2))))
@@ -497,20 +504,51 @@ def jaccard_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         more = common.written(_search(_across(known, block).join(blobs, "rep")))
         if more.limit(1).count():
             label = common.written(components(links.unionAll(more)))
-    classes = classes.join(label.select(F.col("node").alias("rep"), F.col("root")), "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("component"))
-    out = signs.join(classes, ["s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    classes = classes.join(label.select(F.col("node").alias("s1"), "root"), "s1", "left").select("s1", "s2", F.coalesce("root", "s1").alias("root"))
+    return signs.join(classes, ["s1", "s2"], "left").select("doc_id", "row", "n", F.coalesce("root", "row").alias("root"))
+
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    return common.spread(common.keyed(docs)).withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+def jaccard_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id it reaches by links, itself included).
 
-def one_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component kept, that of the smallest doc_id; all columns."""
-    groups = jaccard_groups(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    Searched are only sets that share enough with all others together, in families that share prefix shingles.
+    Rows without words, null or empty, are linked with nothing and have their own doc_id. Equal texts are one class
+    and link whatever they are, and so do repeated rows; rows of one doc_id with different texts link by their texts.
+    A null doc_id links like others, but names a component only where all its ids are null. An empty table gives an
+    empty result; further columns are left out, whatever their names.
+    """
+    rows = common.written(_classes(_with_row(docs), block))
+    names = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component"))
+    return rows.join(names, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_each(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each component kept, one of the smallest doc_id (a null one only if all are); all columns.
+
+    Rows without words all stay, repeated ones too. Of several texts with the smallest doc_id that of the smallest hash
+    stays. Texts are shuffled for rows that may go, or that are repeated, alone.
+    """
+    rows = common.written(_classes(_with_row(docs), block).where("n > 0"))
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")
+    kept = rows.groupBy("root").agg(F.min(order).alias("kept"), F.count(F.lit(1)).alias("size")).where("size > 1").select("root", F.col("kept.doc_id").alias("kept_id"), F.col("kept.row").alias("kept_row"))
+    each = rows.groupBy("root", "doc_id", "row").agg(F.count(F.lit(1)).alias("times"))
+    stays = (F.col("row") == F.col("kept_row")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    marks = common.written(each.join(kept, "root").withColumn("stays", stays).where("NOT stays OR times > 1").select("doc_id", F.col("row").alias("k"), "stays"))
+    row, name, k, mark = (common.fresh(docs, x) for x in ("row", "mark_id", "mark_row", "mark_stays"))
+    own = F.col("doc_id").cast("long")
+    keyed = docs.withColumn(row, F.xxhash64(own, F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    sure, rest = common.divided(keyed, F.col(row), marks.select("k"))
+    rest = rest.join(marks.select(F.col("doc_id").alias(name), F.col("k").alias(k), F.col("stays").alias(mark)), (F.col(row) == F.col(k)) & own.eqNullSafe(F.col(name)), "left")
+    first = rest.where(F.col(mark)).dropDuplicates(["doc_id", row])
+    return sure.unionAll(rest.where(F.col(mark).isNull()).select(keyed.columns)).unionAll(first.select(keyed.columns)).select(docs.columns)
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate components of all documents."""
+    """Near-duplicate components of all documents; nulls, ties, repeats and empty tables as in ``jaccard_groups``."""
     return jaccard_groups(common.table(spark, sf_dir, "documents"))
 
 

@@ -9,38 +9,44 @@ from pyspark.sql import functions as F
 Kind = tuple[str, str, Column | None]
 
 
-def _row(kind: int, context: int):
-    return lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), F.right(x["gap"], F.lit(context)).alias("before"), x["match"].alias("match"))
+def _row(kind: int, context: int, marks: dict[str, str]):
+    def row(x: Column, i: Column) -> Column:
+        counts = [F.regexp_count(x["gap"], F.lit(pattern)).alias(name) for name, pattern in marks.items()]
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), F.right(x["gap"], F.lit(context)).alias("before"), x["match"].alias("match"), *counts)
+
+    return row
 
 
 def _of_kind(kind: int):
     return lambda s: s["kind"] == kind
 
 
-def _matches(kinds: list[Kind], text: Column, context: int) -> Column:
-    """An array of all matches: kind, number within its kind, code points since the last one, text before, text."""
+def _matches(kinds: list[Kind], text: Column, context: int, marks: dict[str, str]) -> Column:
+    """An array of all matches: kind, number within its kind, code points since the last one, text before, text, marks since."""
     found = []
-    none = "array<struct<kind:int,i:int,gap:int,before:string,match:string>>"
+    none = "array<struct<kind:int,i:int,gap:int,before:string,match:string" + "".join(f",{name}:int" for name in marks) + ">>"
     for number, (_, pattern, holds) in enumerate(kinds):
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("match"))
-        rows = F.transform(parts, _row(number, context))
+        rows = F.transform(parts, _row(number, context, marks))
         found.append(F.when(text.rlike(pattern) if holds is None else holds, rows).otherwise(F.array().cast(none)))
     return F.concat(*found)
 
 
-def spans(docs: DataFrame, kinds: list[Kind], context: int = 0) -> DataFrame:
+def spans(docs: DataFrame, kinds: list[Kind], context: int = 0, marks: dict[str, str] | None = None) -> DataFrame:
     """Leftmost non-overlapping matches of each kind: doc_id, text_hash, kind (number), start, end (exclusive), before, match.
 
     ``docs`` has doc_id and a text without nulls. Equal rows (same doc_id and text) give their spans once. A document's
-    matches meet in one task: as many as one text holds.
+    matches meet in one task: as many as one text holds. For each of ``marks``, a pattern whose matches lie between
+    spans, a column of its name counts those before the span.
     """
     text = F.col("text")
-    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.explode(_matches(kinds, text, context)).alias("m")).select("doc_id", "text_hash", "m.*")
+    marks = marks or {}
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.explode(_matches(kinds, text, context, marks)).alias("m")).select("doc_id", "text_hash", "m.*")
     rows = rows.repartition("doc_id", "text_hash").dropDuplicates(["doc_id", "text_hash", "kind", "i"])
     along = Window.partitionBy("doc_id", "text_hash", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.length("match")).over(along)
-    return rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("match")).drop("i", "gap")
+    return rows.withColumns({"end": end} | {name: F.sum(name).over(along) for name in marks}).withColumn("start", F.col("end") - F.length("match")).drop("i", "gap")
 
 
 def listing(rows: Column) -> Column:
@@ -51,7 +57,9 @@ def listing(rows: Column) -> Column:
 def digests(docs: DataFrame, found: DataFrame, base: list[str], by_start: bool) -> DataFrame:
     """Per row of ``docs``: counts of the base kinds, the digest of their listing, and the listing of all spans.
 
-    ``found``: doc_id, text_hash, kind, name, start, end. Rows without spans get zeros and empty listings.
+    ``found``: doc_id, text_hash, kind, name, start, end. Rows without spans, null and empty texts, get zeros and empty
+    listings; repeated rows get the same, a row each; a null doc_id stays null; spans that begin together are listed by
+    kind, then end.
     """
     order = ("start", "kind", "end") if by_start else ("kind", "start", "end")
     every = F.array_sort(F.collect_list(F.struct(*order, "name")))

@@ -6,12 +6,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-CHUNK, THRESHOLD, FOLDS, HELD_OUT = 2 << 20, 0.3, 4, 2
+CHUNK, THRESHOLD, FOLDS, HELD_OUT = 1 << 20, 0.3, 4, 2
 #: Labelled documents that the model is fitted on at most, and bytes of their texts.
 SAMPLE, SAMPLE_BYTES = 4000, 8 << 20
 FIT_CHUNK = 512 << 10
@@ -105,12 +105,15 @@ def _document_features(doc: np.ndarray, p: np.ndarray, sizes: np.ndarray) -> np.
     return np.stack((np.ones(len(sizes)), most, np.log1p(total), np.log1p(100 * total / np.maximum(sizes, 1))), 1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
-    w = np.zeros(x.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, prior: float = 0.1) -> np.ndarray:
+    """Weights drawn to those that give every text the share of toxic ones, as if one more text were toxic by ``prior``."""
+    share = (y.sum() + prior) / (len(y) + 1)
+    start = np.array([np.log(share / (1 - share)), *np.zeros(x.shape[1] - 1)])
+    w = start.copy()
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        move = np.linalg.solve(hessian, x.T @ (y - p) - ridge * w)
+        move = np.linalg.solve(hessian, x.T @ (y - p) - ridge * (w - start))
         w += np.clip(move, -2, 2)
         if np.abs(move).max() < 1e-6:
             break
@@ -202,16 +205,14 @@ def _ascend(model: Model, at: np.ndarray, known: np.ndarray, events: np.ndarray,
     word = row_of[index[row, col]]
     k_word, k_feat = np.nonzero(known[word])
     feature = at[word[k_word], k_feat]
-    share = weight[row]
+    cell = (row * SEGMENT + col)[k_word]
     total = weight.sum()
     theta = np.concatenate((model.weights, [model.bias], model.moves.reshape(-1)))
     gathered = np.full(len(theta), 1e-8)
     n = len(model.keys)
     starts_at_other = np.zeros(len(begin), np.int64)
     for _ in range(rounds):
-        emission = np.zeros(index.shape)
-        np.add.at(emission, (row[k_word], col[k_word]), theta[feature])
-        emission += theta[n]
+        emission = np.bincount(cell, theta[feature], index.size).reshape(index.shape) + theta[n]
         step = np.exp(theta[n + 1 :].reshape(2, 2))
         factor = np.stack((np.ones(index.shape), np.exp(np.clip(emission, -30, 30))), 2)
         ahead, behind = np.empty((*index.shape, 2)), np.ones((*index.shape, 2))
@@ -225,8 +226,7 @@ def _ascend(model: Model, at: np.ndarray, known: np.ndarray, events: np.ndarray,
         joint = ahead * behind
         p = joint[:, :, 1] / joint.sum(2)
         error = np.where(real, y - p, 0) * weight[:, None]
-        slope = np.zeros(len(theta))
-        np.add.at(slope, feature, error[row, col][k_word])
+        slope = np.bincount(feature, error.reshape(-1)[cell], len(theta))
         slope[n] = error.sum()
         for t in range(SEGMENT):
             source = ahead[:, t - 1] if t else np.tile([1.0, 0.0], (len(begin), 1))
@@ -245,11 +245,24 @@ SCORED = "doc_id long, score double, spans array<struct<start:long,end:long,p:do
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])
 
 
+def _tagged(field: Model, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Scores of the texts, and the toxic words: their text, start and end in bytes, marginal."""
+    low = common.LOWER[raw]
+    starts, ends, first = common.word_bounds(low, bounds, common.LETTERS)
+    sizes = np.diff(first)
+    events, emission = field.emissions(_features(low, starts, ends))
+    doc = np.searchsorted(first, events, "right") - 1
+    p = field.marginals(doc, events - first[doc], emission, sizes)
+    bad = np.flatnonzero(p >= 0.5)
+    return field.score(doc, p, sizes), doc[bad], starts[events[bad]], ends[events[bad]], p[bad]
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Score of each document and the offsets (code points) of words whose toxic marginal is 0.5 or more.
 
     A null or empty text has no words and gets the score of a text without toxic marks; repeated rows get equal
-    scores; an empty table gives an empty result; further columns are left out.
+    scores; a null doc_id stays null; an empty table gives an empty result; further columns are left out, whatever
+    their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # weights of at most a few thousand features
 
@@ -258,25 +271,29 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             raw, offs = common.text_buffers(batch.column("text"))
             for i, j in common.doc_ranges(offs, CHUNK):
-                low = common.LOWER[raw[offs[i] : offs[j]]]
-                bounds = offs[i : j + 1] - offs[i]
-                starts, ends, first = common.word_bounds(low, bounds, common.LETTERS)
-                sizes = np.diff(first)
-                events, emission = field.emissions(_features(low, starts, ends))
-                doc = np.searchsorted(first, events, "right") - 1
-                p = field.marginals(doc, events - first[doc], emission, sizes)
-                bad = np.flatnonzero(p >= 0.5)
-                points = np.concatenate(([0], np.cumsum(low & 0xC0 != 0x80)))  # code points before each byte
-                base = points[bounds[doc[bad]]]
-                spans = pa.StructArray.from_arrays([pa.array(points[starts[events[bad]]] - base), pa.array(points[ends[events[bad]]] - base), pa.array(p[bad])], fields=list(_SPAN))
-                cut = np.searchsorted(doc[bad], np.arange(j - i + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(field.score(doc, p, sizes)), pa.ListArray.from_arrays(pa.array(cut), spans)], names=["doc_id", "score", "spans"])
+                some, bounds = raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                scores, doc, begin, end, p = _tagged(field, some, bounds)
+                points = np.concatenate(([0], np.cumsum(some & 0xC0 != 0x80)))  # code points before each byte
+                base = points[bounds[doc]]
+                spans = pa.StructArray.from_arrays([pa.array(points[begin] - base), pa.array(points[end] - base), pa.array(p)], fields=list(_SPAN))
+                cut = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(scores), pa.ListArray.from_arrays(pa.array(cut), spans)], names=["doc_id", "score", "spans"])
 
     return common.spread(common.keyed(docs)).mapInArrow(run, SCORED)
 
 
-def held_out(doc_id) -> F.Column:
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT
+def drop(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows whose score reaches ``threshold``, all columns kept; each row is judged by its own text.
+
+    Without labelled toxic rows the model calls nothing toxic, so all rows stay.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return common.filtered(docs, lambda: lambda raw, offs: _tagged(sent.value, raw, offs)[0] < threshold)
+
+
+def held_out(doc_id: str) -> Column:
+    """Whether a row is never learnt from; a null doc_id counts as no text in the crc."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
@@ -284,7 +301,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
 
     A text longer than the room left is passed over, and the walk goes on until there are ``sample`` rows, less room than an
     even share of the bytes, or no more rows. Sizes are looked at first; only the picked texts come to the driver.
-    Rows without a label or doc_id are left out; without labelled rows every text scores one half.
+    Rows without a label or doc_id are left out; without labelled rows every text scores 0.1, below the threshold.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).distinct()
     texts = common.keyed(docs).select("doc_id", "text", F.xxhash64("text").alias("t"))
@@ -304,7 +321,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document scored by a field learnt from the labelled rows outside the held-out fold."""
+    """Every document scored by a field learnt from the labelled rows outside the held-out fold; edge cases as in ``score``."""
     docs = common.table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, common.table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
