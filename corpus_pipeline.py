@@ -10,29 +10,30 @@ from lattica.llm import common, decontaminate, jaccard, packing, pii, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a model of the labelled ones doesn't call toxic."""
-    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    bad = toxicity.score(docs, model).where(F.col("score") >= toxicity.THRESHOLD).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Documents that a model of the labelled ones doesn't call toxic.
+
+    Rows are judged by their own text, whatever their doc_id, null included; repeats stay. Without labels all stay.
+    """
+    return toxicity.drop(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
+    """One document of each component of near copies, repeated rows included; those without words all stay."""
     return jaccard.one_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
+    """Documents without passages of the benchmark; rows are judged by their own text, with an empty benchmark all stay."""
     return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced."""
+    """Documents with personal data replaced; null texts and rows without any stay as they are."""
     return pii.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 1024 ids."""
+    """Pieces of the documents in sequences of at most 1024 ids; null and empty texts are their end id alone."""
     return packing.pack(docs)
 
 
