@@ -5,10 +5,9 @@ from __future__ import annotations
 import html
 import re
 from functools import lru_cache
-from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -20,12 +19,18 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CLOSES_P = BLOCK - frozenset("body caption html legend option tbody td tfoot th thead tr".split())
 #: Elements that a new one of the same group ends, up to the element that holds the group.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
-#: Parts of a page that are not its text, by element, by role, and by a word of class or id.
-LEFT_OUT = frozenset("nav footer header aside form script style title noscript template iframe object svg canvas button select textarea input label dialog menu head math video audio map".split())
+#: Parts of a page that are not its text, by element and by role.
+LEFT_OUT = frozenset("nav footer header aside form script style title noscript template iframe object svg canvas button select textarea input label dialog menu head video audio map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
+#: Words of a class or id that name such parts. A name counts if all its words are of these or of the next two lists, so
+#: "share-buttons" does and "share-price-analysis" doesn't.
 WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside widget widgets rail header masthead footer foot copyright legal comment comments commentlist disqus replies reply respond discussion share sharing social related recommended recommendations pagination pager toolbar login form search skip".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promos promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup popover modal overlay nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars aside widget widgets footer copyright comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations pagination pager toolbar login form search skip".split()
 )
+#: Those that an article has parts of, too: they count outside an article or main element only.
+HEADS = frozenset("header head masthead foot legal rail".split())
+#: Words that say nothing beside those.
+PLAIN = frozenset("a all area bar block body bottom box btn button buttons by col column container content desktop element for global group holder icon icons id inline inner item items js label large layer left link links list listing main media message mobile module my new no outer page panel posts primary right row secondary section site slot small sticky strip text the title tool tools top unit user view website widget wrap wrapper zone".split())
 #: Elements that can hold an article.
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>?|[^<]+|<""", re.DOTALL)
@@ -36,10 +41,11 @@ SPACE = re.compile(r"[\s ]+")
 
 
 class Node:
-    __slots__ = ("children", "name", "out", "parent", "tag")
+    __slots__ = ("children", "inside", "name", "out", "parent", "tag")
 
     def __init__(self, tag: str, name: str, parent: Node | None, out: bool):
         self.tag, self.name, self.parent, self.out = tag, name, parent, out  # name: generalised tag and classes
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         self.children: list = []  # nodes and texts
 
     @property
@@ -60,19 +66,27 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 @lru_cache(20_000)
-def _kind(tag: str, text: str) -> tuple[str, bool]:
-    """The generalised name of a start tag, and whether it is left out."""
+def _kind(tag: str, text: str, inside: bool) -> tuple[str, bool]:
+    """The generalised name of a start tag, and whether it is left out, ``inside`` an article or outside."""
     attrs = _attributes(text)
-    return _generalised(tag, attrs), _left_out(tag, attrs)
+    return _generalised(tag, attrs), _left_out(tag, attrs, inside)
 
 
-def _left_out(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in LEFT_OUT or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return tag not in ("html", "body")
-    if tag in ("html", "body", "article", "main"):
+def _named_so(name: str, inside: bool) -> bool:
+    words = [w for w in SPLIT.split(name) if w]
+    telling = WORDS if inside else WORDS | HEADS
+    return not telling.isdisjoint(words) and all(w in telling or w in PLAIN for w in words)
+
+
+def _left_out(tag: str, attrs: dict[str, str], inside: bool) -> bool:
+    if tag in ("html", "body"):
         return False
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
-    return bool(named.strip()) and not WORDS.isdisjoint(SPLIT.split(named))
+    names = [x.lower() for x in (*attrs.get("class", "").split(), attrs.get("id", ""))]
+    if tag == "header" and (inside or any(re.search(r"(?:^|[^a-z])(?:article|entry|post|story)(?:[^a-z]|$)", x) for x in names)):
+        tag = "div"  # the article's own heading
+    if tag in LEFT_OUT or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
+        return True
+    return tag not in ("article", "main") and any(_named_so(x, inside) for x in names)
 
 
 def _generalised(tag: str, attrs: dict[str, str]) -> str:
@@ -89,8 +103,7 @@ def parse(source: str) -> Node:
         at = m.end()
         first = source[m.start()]
         if first != "<":
-            if not node.out:
-                node.children.append(html.unescape(m[0]) if "&" in m[0] else m[0])
+            node.children.append(html.unescape(m[0]) if "&" in m[0] else m[0])
         elif m[3] is None:
             if m[1] is not None:
                 node.children.append(m[1])
@@ -121,8 +134,8 @@ def parse(source: str) -> Node:
                     up = up.parent
                 if last is not None:
                     node = last.parent
-            name, out = _kind(tag, m[4] if USED.search(m[4]) else "")
-            new = Node(tag, name, node, node.out or out)
+            name, out = _kind(tag, m[4] if USED.search(m[4]) else "", node.inside or node.tag in ("article", "main"))
+            new = Node(tag, name, node, out)
             node.children.append(new)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
@@ -163,7 +176,8 @@ def _blocks(node: Node) -> list[str]:
 
 def containers(root: Node) -> list[tuple[Node, float]]:
     """Elements that can hold an article, in page order, with scores: their paragraphs' text, half of it one level up
-    (as for the next levels), less the text of links."""
+    (as for the next levels), less the text of links. The innermost article or main element about a paragraph has all of
+    it and half as much again, however deep the paragraph lies."""
     score: dict[int, float] = {}
     order: list[Node] = []
     todo = [root]
@@ -184,21 +198,24 @@ def containers(root: Node) -> list[tuple[Node, float]]:
                     linked += sum(len(t) for t in c.children if isinstance(t, str))
                 inside.extend(c.children)
         if own:
-            share, up = float(max(0, own - 2 * linked)), node
-            while up is not None and share >= 1:
-                if up.tag in CONTAINERS:
+            share, up, home = float(max(0, own - 2 * linked)), node, None
+            full = share
+            while up is not None and (share >= 1 or home is None):
+                if home is None and up.tag in ("article", "main"):
+                    home = up
+                    score[id(up)] = score.get(id(up), 0.0) + 1.5 * full
+                elif up.tag in CONTAINERS and share >= 1:
                     score[id(up)] = score.get(id(up), 0.0) + share
+                if up.tag in CONTAINERS:
                     share /= 2
                 up = up.parent
         todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
-    return [(n, score.get(id(n), 0.0) * (1.5 if n.tag in ("article", "main") else 1.0)) for n in order]
+    return [(n, score.get(id(n), 0.0)) for n in order]
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").removeprefix("www.")
-    except ValueError:
-        return ""
+def host(url: Column) -> Column:
+    """The host that a URL names, lower case, without www; empty where it names none."""
+    return F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^:/?#]*)", 1)), r"^www\.", "")
 
 
 def _at(root: Node, path: str) -> list[Node]:
@@ -230,12 +247,12 @@ def extract(source: str, path: str | None) -> str:
 
 
 VOTES = "host string, path string, votes double, pages long"
-#: Winning paths are sent to all tasks while their text is below this; beyond it they are joined.
-BROADCAST_BYTES = 8 << 20
+#: Parts that the pages of one host are dealt in when they meet its winning path.
+PARTS = 16
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """Votes for paths by host: each page divides one vote among its three best containers by score."""
+    """Votes for paths by ``host``: each page divides one vote among its containers in proportion to their scores."""
 
     def run(batches):
         tally: dict[tuple[str, str], list] = {}
@@ -246,19 +263,21 @@ def votes(pages: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.float64(), pa.int64()), strict=True)], names=["host", "path", "votes", "pages"])
 
         for batch in batches:
-            for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                best = sorted(((s, -i, n.path) for i, (n, s) in enumerate(containers(parse(source or ""))) if s > 0), reverse=True)[:3]
-                total = sum(s for s, _, _ in best)
-                for s, _, path in best:
-                    held = tally.setdefault((host_of(url), path), [0.0, 0])
-                    held[0] += s / total
+            for name, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                scored = [(s, n.path) for n, s in containers(parse(source or "")) if s > 0]
+                total, own = sum(s for s, _ in scored), {}
+                for s, path in scored:
+                    own[path] = own.get(path, 0.0) + s / total
+                for path, share in own.items():
+                    held = tally.setdefault((name, path), [0.0, 0])
+                    held[0] += share
                     held[1] += 1
-            if len(tally) > 50_000:
-                yield flush()
+                if len(tally) > 50_000:
+                    yield flush()
         if tally:
             yield flush()
 
-    counted = pages.select("url", "html").mapInArrow(run, VOTES)
+    counted = pages.select("host", "html").mapInArrow(run, VOTES)
     return counted.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages"))
 
 
@@ -268,40 +287,27 @@ def winners(pages: DataFrame) -> DataFrame:
     return votes(pages).withColumn("place", F.row_number().over(order)).where("place = 1").select("host", "path")
 
 
-def extract_pages(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def extract_pages(pages: DataFrame) -> DataFrame:
     """Main text of each page: page_id, url, text.
 
     A null or empty html gives an empty text; a null url counts to the host of no name; repeated rows give their text
-    each; an empty table gives an empty one; further columns are left out.
+    each; a null page_id stays null; paths with equal votes go by their order; an empty table gives an empty one;
+    further columns are left out, whatever their names. Pages meet their host's path in a join, those of one host in
+    several parts, so a host with a third of all pages is no single task.
     """
-    pages = common.spread(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")))
-    won = common.written(winners(pages))
-    size = won.agg(F.coalesce(F.sum(F.length("host") + F.length("path")), F.lit(0)).alias("n")).collect()[0]["n"]
-    paths = {r["host"]: r["path"] for r in won.collect()} if size <= broadcast_bytes else None
-    if paths is None:
-        # page rows without their html, matched with their host's path: a hot host only makes many short rows
-        from pyspark.sql.types import StringType
-
-        host = F.udf(host_of, StringType())
-        keys = pages.select("page_id", "url", F.xxhash64("html").alias("h")).distinct().withColumn("host", host("url")).join(won, "host", "left").drop("host")
-        pages = pages.withColumn("h", F.xxhash64("html")).alias("p").join(keys.alias("k"), F.col("p.page_id").eqNullSafe(F.col("k.page_id")) & F.col("p.url").eqNullSafe(F.col("k.url")) & (F.col("p.h") == F.col("k.h")), "left").select("p.page_id", "p.url", "p.html", "k.path")
-    else:
-        pages = pages.withColumn("path", F.lit(None).cast("string"))
-        sent = pages.sparkSession.sparkContext.broadcast(paths)
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    pages = common.spread(pages).withColumn("host", host(F.col("url")))
+    won = common.written(winners(pages)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    pages = pages.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int")).join(won, ["host", "part"], "left")
 
     def run(batches):
         for batch in batches:
-            urls = batch.column("url").to_pylist()
-            known = batch.column("path").to_pylist() if paths_joined else [sent.value.get(host_of(u)) for u in urls]
-            texts = [extract(s or "", p) for s, p in zip(batch.column("html").to_pylist(), known, strict=True)]
+            texts = [extract(s or "", p) for s, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    paths_joined = paths is None
-    if paths_joined:
-        sent = None
-    return pages.mapInArrow(run, "page_id long, url string, text string")
+    return pages.select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string")
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main text of every page."""
+    """Main text of every page; nulls, ties, repeats and empty tables as in ``extract_pages``."""
     return extract_pages(common.table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))

@@ -15,6 +15,8 @@ from .common import U
 
 #: Bytes of text a chunk is meant to have, and bits of a bigram's key beyond those that number the tokens.
 CHUNK, SPARE_BITS = 4 << 20, 14
+#: Bytes of text whose keys a bucket is meant to have.
+BUCKET = 8 << 20
 #: Documents whose crc32 has these remainders mod 10: never learnt from; learnt from, and their counts deleted for the weights.
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
 START, END = U(0x9B1D5A7E3C2F4E61), U(0x5F3A9C1D7E2B4680)
@@ -81,21 +83,20 @@ def _shift(kind: int, bits: int, buckets: int) -> int:
 
 
 def _count(docs: DataFrame, bits: int, buckets: int) -> DataFrame:
-    """Unique keys of each chunk with their counts, in buckets by their first bits."""
+    """Unique keys of each chunk with their counts, in buckets by their first bits.
+
+    Rows of a chunk follow each other; where a split cuts a chunk, its keys come in two parts.
+    """
 
     def run(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            chunk = np.asarray(batch.column("chunk"))
-            for c in np.unique(chunk).tolist():
-                some = batch.filter(pa.array(chunk == c))
-                held.setdefault(c, []).append((*common.text_buffers(some.column("text")), np.asarray(some.column("learnt").to_numpy(zero_copy_only=False), float)))
-        for c in list(held):
-            parts = held.pop(c)
-            raw = np.concatenate([p[0] for p in parts])
-            sizes = np.concatenate([np.diff(p[1]) for p in parts])
+        held, last = [], None
+
+        def counted():
+            raw = np.concatenate([p[0] for p in held])
+            sizes = np.concatenate([np.diff(p[1]) for p in held])
             data = Chunk(raw, np.concatenate(([0], np.cumsum(sizes))), bits)
-            learnt = np.concatenate([p[2] for p in parts])
+            learnt = np.concatenate([p[2] for p in held])
+            held.clear()
             for kind in (WORD, PAIR):
                 keys, counts = data.keys[kind], data.counts(kind, learnt)
                 bucket = (keys >> U(_shift(kind, bits, buckets))).astype(np.int64)
@@ -106,10 +107,21 @@ def _count(docs: DataFrame, bits: int, buckets: int) -> DataFrame:
                 for b in some.tolist():
                     part = deltas[cuts[b] : cuts[b + 1]].copy()
                     part[0] = keys[cuts[b]] & U((1 << _shift(kind, bits, buckets)) - 1)
-                    rows.append((b, kind, c, _pack(part), _pack(counts[cuts[b] : cuts[b + 1]])))
+                    rows.append((b, kind, last, _pack(part), _pack(counts[cuts[b] : cuts[b + 1]])))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.binary()] * 2, strict=True)], names=[f.split()[0] for f in SENT.split(", ")])
 
+        for batch in batches:
+            chunk = np.asarray(batch.column("chunk"))
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)] if len(chunk) else []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and chunk[i] != last:
+                    yield from counted()
+                last, some = int(chunk[i]), batch.slice(i, j - i)
+                held.append((*common.text_buffers(some.column("text")), np.asarray(some.column("learnt").to_numpy(zero_copy_only=False), float)))
+        if held:
+            yield from counted()
+
     return docs.select("chunk", "learnt", "text").mapInArrow(run, SENT)
 
 
@@ -123,14 +135,20 @@ def _answer(sent: DataFrame) -> DataFrame:
         held, last = [], None
 
         def flush():
-            chunks = [c for c, _, _ in held]
-            keys = [np.cumsum(_unpack(k)) for _, k, _ in held]
-            unique, at = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(at, np.concatenate([_unpack(n) for _, _, n in held]).astype(float), len(unique)).astype(np.int64)
-            cuts = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+            parts: dict[int, list[np.ndarray]] = {}
+            for c, k, _ in held:
+                parts.setdefault(c, []).append(np.cumsum(_unpack(k)))
+            counts = np.concatenate([_unpack(n) for _, _, n in held]).astype(np.int64)
+            every = np.concatenate([np.cumsum(_unpack(k)) for _, k, _ in held])
             held.clear()
+            unique, at = np.unique(every, return_inverse=True)
+            total = np.zeros(len(unique), np.int64)
+            np.add.at(total, at, counts)
             bucket, kind = last
-            rows = [(c, kind, bucket, _pack(total[at[i:j]]), None, None) for c, i, j in zip(chunks, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            rows = []
+            for c, keys in parts.items():
+                mine = keys[0] if len(keys) == 1 else np.unique(np.concatenate(keys))
+                rows.append((c, kind, bucket, _pack(total[np.searchsorted(unique, mine)]), None, None))
             rows.append((-1, kind, bucket, None, int(total.sum()), int((total > 0).sum())))
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 2, strict=True)], names=[f.split()[0] for f in ANSWER.split(", ")])
 
@@ -200,18 +218,21 @@ def score_texts(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     """Scores of all documents by a model of those whose crc32(doc_id) mod 10 is not 0.
 
     A null or empty text is its end alone; a null doc_id counts as no text in the crc; repeated rows are scored, and
-    learnt from, each; an empty table gives an empty result; further columns are left out. No table of words or pairs
-    is held whole anywhere: each chunk of documents asks for the counts of its own, by buckets of keys.
+    learnt from, each; an empty table gives an empty result; further columns are left out, whatever their names. Rows
+    are dealt to chunks of about ``chunk_bytes`` and written so, which holds whatever becomes of the splits. No table of
+    words or pairs is held whole anywhere: each chunk asks for the counts of its own, by buckets of keys.
     """
     spark = docs.sparkSession
     docs = common.spread(common.keyed(docs))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.sum((remainder() != HELD_OUT).cast("long")), F.lit(0)).alias("learnt")).collect()[0]
     each = max(1, math.ceil(size["bytes"] / max(1, docs.rdd.getNumPartitions()) / chunk_bytes))
-    buckets = 1 << (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    few = -(-each // FOLDS)  # chunks of the deleted fold
+    buckets = 1 << max((2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length(), (int(size["bytes"]) // BUCKET).bit_length())
     bits = min(64, max(32, _bucket_bits(buckets) + 8, int(size["bytes"] // 4 + 2).bit_length() + SPARE_BITS))
-    # the splits of a scan are the same each time, so a chunk's documents are too
-    part = F.when(remainder() == DELETED, 0).otherwise(1 + F.pmod(F.xxhash64("doc_id", "text"), F.lit(each)))
-    docs = docs.withColumn("learnt", remainder() != HELD_OUT).withColumn("chunk", F.spark_partition_id().cast("long") * (each + 1) + part)
+    hashed = F.xxhash64("doc_id", "text")
+    part = F.when(remainder() == DELETED, F.pmod(hashed, F.lit(few))).otherwise(few + F.pmod(hashed, F.lit(each)))
+    docs = docs.withColumn("learnt", remainder() != HELD_OUT).withColumn("chunk", F.spark_partition_id().cast("long") * (each + few) + part)
+    docs = common.written(docs.sortWithinPartitions("chunk"), compression="zstd")
     answers = _answer(_count(docs, bits, buckets))
     totals = answers.where(f"chunk < 0 AND kind = {WORD}").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).collect()[0]
     n, v, n_docs = int(totals["n"]), int(totals["v"]), int(size["learnt"])
@@ -229,7 +250,7 @@ def score_texts(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
         return pa.table({"cell": pa.array(cell), "n": pa.array(count.astype(np.int64))})
 
     fold = docs.where(remainder() == DELETED).select("chunk", "text").groupBy("chunk")
-    cells = fold.cogroup(asked.where(F.col("chunk") % (each + 1) == 0).groupBy("chunk")).applyInArrow(deleted, "cell long, n long")
+    cells = fold.cogroup(asked.where(F.col("chunk") % (each + few) < few).groupBy("chunk")).applyInArrow(deleted, "cell long, n long")
     found = {r["cell"]: r["n"] for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # at most BUCKETS * STEPS * STEPS
     weights = learn_weights(found)
 
@@ -247,5 +268,5 @@ def score_texts(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document scored by the interpolated model and by the base one."""
+    """Every document scored by the interpolated model and by the base one; edge cases as in ``score_texts``."""
     return score_texts(common.table(spark, sf_dir, "documents"))

@@ -293,12 +293,49 @@ def test_html(spark):
     page = '<html><body><header>Head</header><div class="cookie-notice">We use cookies</div><div id="main"><div class="post-12 content"><h2>Title</h2><p>One &amp; two<br>three <a href=x>link</a><ul><li>aa<li>bb</ul><form><p>sub</form><div class="comments"><p>Reader says a long long text here</div></div></div><aside>side</aside></body>'
     want = "Title\nOne & two three link\naa\nbb"
     df = spark.createDataFrame([(1, "http://a.b/c", page, 1), (2, "http://a.b/d", page, 1), (3, None, None, 1), (4, "::", "", 1), (1, "http://a.b/c", page, 1), (5, "http://x/", "plain < text &lt; é", 1)], "page_id long, url string, html string, path int")
-    for most in (1 << 20, 0):
-        got = sorted((r.page_id, r.text) for r in html_text.extract_pages(df, most).collect())
-        assert got == [(1, want), (1, want), (2, want), (3, ""), (4, ""), (5, "plain < text < é")]
+    got = sorted((r.page_id, r.text) for r in html_text.extract_pages(df).collect())
+    assert got == [(1, want), (1, want), (2, want), (3, ""), (4, ""), (5, "plain < text < é")]
     assert html_text.extract_pages(df.limit(0)).count() == 0
 
 
+LONG = "Long words of an article that a reader would want to keep in full, every one of them"
+PAGES = [  # inside the body, and the main text
+    (f"<header><h1>Site</h1></header><article><header class='article-header'><h1>Head</h1></header><p>{LONG}</p></article>", f"Head\n{LONG}"),
+    (f"<article><h1>A</h1><div class='share-price-analysis'><p>{LONG}</p></div><div class='share-buttons'>Share it</div></article>", f"A\n{LONG}"),
+    (f"<article><div class='legal-news'><p>{LONG}</p></div><section id='comments'><p>{LONG} says Bob</p></section></article>", LONG),
+    (f"<main><div class='header'><h1>B</h1></div><p>{LONG}</p><div class='newsletter-box'>Sign up</div></main>", f"B\n{LONG}"),
+    (f"<div class='ad-slot'>{LONG} buy</div><div class='post'><h2>C</h2><p>{LONG}</p></div><div id='footer'>(c)</div>", f"C\n{LONG}"),
+    (f"<div class='cookie-notice'>{LONG}</div><article><p>{LONG}</p><p>x<sup>2</sup></p></article>", f"{LONG}\nx2"),
+    (f"<article><p>{LONG}</p><ul class='related-posts'><li>More</li></ul><div class='social-policy'>On policy</div></article>", f"{LONG}\nOn policy"),
+    (f"<div class='masthead'>Logo</div><main><p>{LONG}</p><aside>Also</aside><footer>Tags</footer></main>", LONG),
+    (f"<article><p>{LONG}</p><blockquote>Said</blockquote><table><tr><td>1<td>2</table></article>", f"{LONG}\nSaid\n1\n2"),
+    (f"<div><header class='entry-header'><h1>D</h1></header><p>{LONG}</p><p>{LONG}</p></div><nav>Go</nav>", f"D\n{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</p><div class='ad'>Buy</div><div class='advice'>Ask</div><div hidden>No</div></article>", f"{LONG}\nAsk"),
+]
+
+
+def test_html_keeps_the_article(spark):
+    rows = [(k, f"http://h{k}.org/{n}", f"<!DOCTYPE html><html><head><title>t</title></head><body>{page}</body></html>") for k, (page, _) in enumerate(PAGES) for n in range(2)]
+    got = {(r.page_id, r.text) for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {(k, want) for k, (_, want) in enumerate(PAGES)}
+
+
+def test_html_votes_and_hosts(spark):
+    a, b = f"<body><div class='x'><p>{LONG}</p></div>", f"<body><div class='y7'><p>{LONG} {LONG}</p></div><div class='x'><p>{LONG}</p></div>"
+    rows = [(1, "http://www.q.org/1", a), (2, "//u@Q.org:80/2", b), (3, "http://[::1]/", a), (4, None, b), (5, "q.org/3", a)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", html_text.host(F.col("url")))
+    assert {r.page_id: r.host for r in df.collect()} == {1: "q.org", 2: "q.org", 3: "[::1]", 4: "", 5: ""}
+    want = collections.Counter()
+    for r in df.collect():
+        scored = [(n.path, s) for n, s in html_text.containers(html_text.parse(r.html))]
+        for path, s in scored:
+            want[r.host, path] += s / sum(x for _, x in scored)
+    got = {(r.host, r.path): r.votes for r in html_text.votes(df).collect()}
+    assert got.keys() == {k for k, v in want.items() if v} and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    best = {h: max((k for k in want if k[0] == h), key=lambda k: want[k])[1] for h in ("q.org", "[::1]", "")}
+    assert {r.host: r.path for r in html_text.winners(df).collect()} == best
+
+
 def test_toxicity(spark, empty):
     rng = np.random.default_rng(4)
     vocabulary = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
