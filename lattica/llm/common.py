@@ -48,7 +48,7 @@ def filtered(docs: DataFrame, judge: Callable[[], Callable[[np.ndarray, np.ndarr
 
     ``judge()`` is made once a task; it takes texts as bytes and offsets (null is empty) and gives a mask.
     """
-    at, limit = docs.columns.index("text"), 1 << 20
+    at, limit = docs.columns.index("text"), 1 << 18
 
     def run(batches):
         keeps = judge()

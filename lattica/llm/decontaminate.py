@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words of a window, bytes of a shard of documents and of a block of benchmark texts, pairs compared at once.
-WINDOW, SHARD, BLOCK, PAIRS = 10, 4 << 20, 8 << 20, 1 << 20
+WINDOW, SHARD, BLOCK, PAIRS = 10, 1 << 20, 8 << 20, 1 << 20
 #: Words that begin a suffix worth sorting: those of no window can't begin a match.
 LEAD = 3
 MATCH = "array<struct<start:long,length:long,item_id:long>>"

@@ -16,7 +16,7 @@ from . import common
 from .common import U
 from .components import components
 
-WORDS_EACH, CHUNK = 5, 1 << 20
+WORDS_EACH, CHUNK = 5, 1 << 18
 #: Links need intersection * 100 >= 75 * union; so each shares at least 3/4 of either set.
 PERCENT = 75
 #: Cells of the count sketch, their slices, and a count of so many times the mean that makes a shingle heavy.

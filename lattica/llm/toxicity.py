@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CHUNK, THRESHOLD, FOLDS, HELD_OUT = 1 << 20, 0.3, 4, 2
+CHUNK, THRESHOLD, FOLDS, HELD_OUT = 1 << 18, 0.3, 4, 2
 #: Labelled documents that the model is fitted on at most, and bytes of their texts.
 SAMPLE, SAMPLE_BYTES = 4000, 8 << 20
 FIT_CHUNK = 512 << 10

@@ -19,7 +19,7 @@ from . import common
 
 WORDS, SPACED_WORDS = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Different pieces a worker keeps, bytes of text it takes at once, and pieces that the library encodes at once.
-KEPT, CHUNK, LEARNT = 400_000, 1 << 20, 8192
+KEPT, CHUNK, LEARNT = 600_000, 1 << 19, 8192
 _IS_SPACE = ~common.SPACED
 _MAY_END_SPACE = np.zeros(256, bool)
 _MAY_END_SPACE[0x80:0xC0] = True
