@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from lattica import cypher
 from lattica.functions import identity
 from lattica.graph import Graph
-from lattica.operators import traverse
+from lattica.operators import mutate, traverse
+from lattica.plans import addresses, class_model, conformance, diff, impact, messaging, scheduling, views, workflow
 from lattica.plans import analyses as A
-from lattica.plans import class_model, conformance, diff, impact, messaging, scheduling, workflow
 from lattica.sources import extract
+from lattica.sources.app import APP_SQL, app_graph
 from lattica.sources.star import STAR_SQL, star_graph
 from lattica.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-LOCAL = "CALLS_LOCAL"
+BASE = "CALLS_FINISHED"
 CODE = ["Function", "File", "Class", "State"]
 TYPES = ["CALLS", "CONTAINS", "HAS_METHOD", "WRITES_STATE", "IMPORTS"]
 ALL_EDGES = " UNION ALL ".join(f"SELECT '{t}' AS rel_type, src, dst FROM {v}" for t, v in zip(TYPES, ("calls", "contains", "hasm", "writes", "imports"), strict=True))
@@ -45,20 +46,23 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _add("dead_code", lambda g: A.dead_code(g).drop("frameworkKind", "specSignals"), """
 SELECT f.uid, f.name AS function, f.file, CASE WHEN coalesce(t, 0) > 0 THEN 'planned_stub' WHEN visibility = 'public' THEN 'public_no_static_caller' ELSE 'private_no_caller' END AS category,
 CASE WHEN coalesce(t, 0) > 0 THEN 'none' WHEN visibility = 'public' THEN 'low' ELSE 'medium' END AS "analysisConfidence", visibility, coalesce(t, 0) AS "taskSignals", false AS "passedAsCallback"
-FROM fn f LEFT JOIN (SELECT dst, count(DISTINCT src) AS t FROM affects GROUP BY dst) a ON f.uid = a.dst WHERE f.uid NOT IN (SELECT dst FROM loc)""")
+FROM fn f LEFT JOIN (SELECT dst, count(DISTINCT src) AS t FROM affects GROUP BY dst) a ON f.uid = a.dst WHERE f.uid NOT IN (SELECT dst FROM calls)""")
 _add("direct_recursion", A.direct_recursion, "SELECT uid, name AS function, file FROM fn WHERE uid IN (SELECT src FROM calls WHERE src = dst)")
 _add("call_resolution_quality", lambda g: A.call_resolution_quality(_resolved(g), "CALLS"), """
 SELECT CASE WHEN x.file = y.file THEN 'same-file' ELSE 'imported-symbol' END AS "resolvedBy", count(*) AS edges FROM calls JOIN fn x ON src = x.uid JOIN fn y ON dst = y.uid GROUP BY 1""")
-WALK = ", walk AS (SELECT src AS o, dst AS n, 1 AS k FROM step UNION SELECT o, step.dst, k + 1 FROM walk JOIN step ON n = step.src WHERE k < {k} AND n <> o) "
-_add("recursion", lambda g: A.recursion(g), WALK.format(k=5) + 'SELECT uid, name AS "recursiveFunction", file FROM fn WHERE uid IN (SELECT o FROM walk WHERE o = n UNION SELECT src FROM loc WHERE src = dst)', True)
+# closed walks of up to five hops: two sets of walks that meet
+_add("recursion", lambda g: A.recursion(g), """
+, s2 AS (SELECT DISTINCT a.src AS o, b.dst AS n FROM step a JOIN step b ON a.dst = b.src), s3 AS (SELECT DISTINCT o, dst AS n FROM s2 JOIN step ON n = src),
+hit AS (SELECT a.src AS o FROM step a JOIN step b ON a.src = b.dst AND a.dst = b.src UNION SELECT o FROM s2 JOIN step ON o = dst AND n = src UNION SELECT a.o FROM s2 a JOIN s2 b ON a.o = b.n AND a.n = b.o UNION SELECT a.o FROM s3 a JOIN s2 b ON a.o = b.n AND a.n = b.o UNION SELECT src FROM calls WHERE src = dst)
+SELECT uid, name AS "recursiveFunction", file FROM fn WHERE uid IN (SELECT o FROM hit)""")
 _add("duplicate_functions_by_callees", lambda g: A.duplicate_functions_by_callees(g), """
 SELECT a.uid, a.name AS "funcA", a.file AS "fileA", b.name AS "funcB", b.file AS "fileB", string_agg(s.name, ',' ORDER BY s.name) AS "sharedCallees", count(*) AS overlap
 FROM calls x JOIN calls y ON x.dst = y.dst JOIN fn a ON x.src = a.uid JOIN fn b ON y.src = b.uid JOIN fn s ON x.dst = s.uid WHERE a.name < b.name GROUP BY a.uid, a.name, a.file, b.uid, b.name, b.file HAVING count(*) >= 2""")
 _add("duplicate_functions_by_signature", A.duplicate_functions_by_signature, """
 SELECT a.name AS "funcA", a.file AS "fileA", b.name AS "funcB", b.file AS "fileB", a.params AS "sharedSignature" FROM fn a JOIN fn b ON a.params = b.params WHERE a.name < b.name AND a.params <> '()'""")
 _add("duplicate_functions_by_callers_and_callees", lambda g: A.duplicate_functions_by_callers_and_callees(g), """
-, up AS (SELECT a.uid AS a, b.uid AS b, string_agg(DISTINCT s.name, ',' ORDER BY s.name) AS l FROM loc x JOIN loc y ON x.src = y.src JOIN fn a ON x.dst = a.uid JOIN fn b ON y.dst = b.uid JOIN fn s ON x.src = s.uid WHERE a.name < b.name GROUP BY 1, 2),
-dn AS (SELECT a.uid AS a, b.uid AS b, string_agg(DISTINCT s.name, ',' ORDER BY s.name) AS l FROM loc x JOIN loc y ON x.dst = y.dst JOIN fn a ON x.src = a.uid JOIN fn b ON y.src = b.uid JOIN fn s ON x.dst = s.uid WHERE a.name < b.name GROUP BY 1, 2)
+, up AS (SELECT a.uid AS a, b.uid AS b, string_agg(DISTINCT s.name, ',' ORDER BY s.name) AS l FROM calls x JOIN calls y ON x.src = y.src JOIN fn a ON x.dst = a.uid JOIN fn b ON y.dst = b.uid JOIN fn s ON x.src = s.uid WHERE a.name < b.name GROUP BY 1, 2),
+dn AS (SELECT a.uid AS a, b.uid AS b, string_agg(DISTINCT s.name, ',' ORDER BY s.name) AS l FROM calls x JOIN calls y ON x.dst = y.dst JOIN fn a ON x.src = a.uid JOIN fn b ON y.src = b.uid JOIN fn s ON x.dst = s.uid WHERE a.name < b.name GROUP BY 1, 2)
 SELECT p.name AS "funcA", q.name AS "funcB", up.l AS "sharedCallers", dn.l AS "sharedCallees", up.a AS uid, up.b AS "uidB" FROM up JOIN dn ON up.a = dn.a AND up.b = dn.b JOIN fn p ON up.a = p.uid JOIN fn q ON up.b = q.uid""")
 _add("most_called_functions", A.most_called_functions, 'SELECT uid, name AS function, file, "calledBy" FROM (SELECT dst, count(*) AS "calledBy" FROM calls GROUP BY dst ORDER BY 2 DESC, dst LIMIT 20) JOIN fn ON dst = uid')
 _add("most_complex_functions", lambda g: A.most_complex_functions(g, "CALLS", None), """
@@ -69,16 +73,15 @@ SELECT *, CASE WHEN "refactoringScore" >= 120 AND decisions >= 6 THEN 'high' WHE
 _add("cyclomatic_complexity", lambda g: A.cyclomatic_complexity(g, None), 'SELECT uid, name AS function, file, coalesce(n, 0) + 1 AS "cyclomaticComplexity" FROM fn LEFT JOIN (SELECT src, count(*) AS n FROM flows GROUP BY src) ON uid = src')
 _add("long_functions", A.long_functions, 'SELECT uid, name AS function, file, "endLine" - "startLine" + 1 AS lines FROM fn ORDER BY lines DESC, uid LIMIT 40')
 _add("large_classes", lambda g: A.large_classes(g, "HAS_METHOD").drop("lines"), 'SELECT uid, name AS class, file, coalesce(n, 0) AS methods FROM cl LEFT JOIN (SELECT src, count(*) AS n FROM hasm GROUP BY src) ON uid = src ORDER BY methods DESC, uid LIMIT 40')
-_add("entry_points", lambda g: A.entry_points(g), 'SELECT uid, name AS "entryPoint", file FROM fn WHERE uid IN (SELECT src FROM loc) AND uid NOT IN (SELECT dst FROM loc)')
+_add("entry_points", lambda g: A.entry_points(g), 'SELECT uid, name AS "entryPoint", file FROM fn WHERE uid IN (SELECT src FROM calls) AND uid NOT IN (SELECT dst FROM calls)')
 _add("callers_of_function", lambda g: A.callers_of_function(g, _first_name(g)), """
-SELECT a.name AS caller, a.file, a.uid, b.uid AS callee FROM loc JOIN fn a ON src = a.uid JOIN fn b ON dst = b.uid WHERE b.name = (SELECT min(name) FROM fn)""")
+SELECT a.name AS caller, a.file, a.uid, b.uid AS callee FROM calls JOIN fn a ON src = a.uid JOIN fn b ON dst = b.uid WHERE b.name = (SELECT min(name) FROM fn)""")
 PATHS = ", p AS (SELECT src AS o, [src, dst] AS path, 1 AS hops FROM step WHERE src = (SELECT src FROM hub) UNION ALL SELECT o, list_append(path, step.dst), hops + 1 FROM p JOIN step ON path[-1] = step.src WHERE hops < {k} AND NOT list_contains(path, step.dst)) "
-_add("call_chain", lambda g: A.call_chain(g, _hub(g), "CALLS", 4, None), PATHS.format(k=4) + """SELECT array_to_string(path, ',') AS "callChain", CAST(hops AS BIGINT) AS hops FROM p""", True)
+_add("call_chain", lambda g: A.call_chain(g, _hub(g)), PATHS.format(k=2) + """SELECT array_to_string(path, ',') AS "callChain", CAST(hops AS BIGINT) AS hops FROM p ORDER BY hops, "callChain" LIMIT 30""", True)
 _add("circular_imports", lambda g: A.circular_imports(g, "IMPORTS", 6), """
-, si AS (SELECT DISTINCT x.file AS a, y.file AS b FROM loc JOIN fn x ON src = x.uid JOIN fn y ON dst = y.uid WHERE x.file <> y.file),
-w AS (SELECT a AS o, b AS n, 1 AS k FROM si UNION SELECT o, si.b, k + 1 FROM w JOIN si ON n = si.a WHERE k < 6 AND n <> o) SELECT uid, path FROM fi WHERE path IN (SELECT o FROM w WHERE o = n)""", True)
+, w AS (SELECT src AS o, dst AS n, 1 AS k FROM imports UNION SELECT o, dst, k + 1 FROM w JOIN imports ON n = src WHERE k < 6 AND n <> o) SELECT uid, path FROM fi WHERE uid IN (SELECT o FROM w WHERE o = n)""", True)
 _add("files_overview", lambda g: A.files_overview(g).drop("lang"), "SELECT path AS file, coalesce(n, 0) AS functions FROM fi LEFT JOIN (SELECT src, count(*) AS n FROM contains GROUP BY src) ON uid = src")
-_add("state_writers", A.state_writers, 'SELECT f.uid, f.name AS component, s.name AS "stateSetter", f.file FROM writes JOIN fn f ON src = f.uid JOIN st s ON dst = s.uid')
+_add("react_state_writers", A.react_state_writers, 'SELECT f.uid, f.name AS component, s.name AS "stateSetter", f.file FROM writes JOIN fn f ON src = f.uid JOIN st s ON dst = s.uid')
 _add("user_events", A.user_events, """SELECT 'UserEvent:' || event_id AS uid, 'User:' || user_id AS "user", event_type AS type, ts AS "timestamp" FROM events ORDER BY ts DESC, uid LIMIT 30""")
 _add("find_by_name", lambda g: A.find_by_name(g, "Customer", CODE).unionByName(A.find_by_name(g, _first_name(g), CODE)).drop("line"), f"SELECT uid, name, label AS type, file FROM ({ALL_NODES}) WHERE name = 'Customer' OR name = (SELECT min(name) FROM fn)")
 _add("verify_terms", lambda g: A.verify_terms(g, ["Brand#11", "NATION_3", "no such name"], CODE), f"SELECT term, count(n.uid) AS hits, coalesce(string_agg(DISTINCT n.file, ',' ORDER BY n.file), '') AS files FROM (VALUES ('Brand#11'), ('NATION_3'), ('no such name')) t(term) LEFT JOIN ({ALL_NODES}) n ON n.name = term GROUP BY term")
@@ -88,15 +91,16 @@ _add("edge_census", lambda g: A.edge_census(g, TYPES), f"SELECT rel_type, count(
 _add("node_relations", lambda g: A.node_relations(g, "Function:7", TYPES), f"SELECT CASE WHEN src = 'Function:7' THEN 'out' ELSE 'in' END AS direction, rel_type, count(*) AS n FROM (SELECT * FROM ({ALL_EDGES}) WHERE src = 'Function:7' UNION ALL SELECT rel_type, '-' AS src, dst FROM ({ALL_EDGES}) WHERE dst = 'Function:7') GROUP BY 1, 2")
 _add("label_adjacency", lambda g: traverse.adjacency(g, CODE, TYPES), f", e AS (SELECT DISTINCT x.label AS a, y.label AS b FROM ({ALL_EDGES}) JOIN ({ALL_NODES}) x ON src = x.uid JOIN ({ALL_NODES}) y ON dst = y.uid) SELECT a AS from_label, b AS to_label FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b")
 _add("degree", lambda g: traverse.degree(g, CODE, TYPES), f"SELECT n.uid, CAST(count(e.uid) AS BIGINT) AS degree FROM ({ALL_NODES}) n LEFT JOIN (SELECT src AS uid FROM ({ALL_EDGES}) UNION ALL SELECT dst FROM ({ALL_EDGES})) e ON n.uid = e.uid GROUP BY n.uid")
-_add("reach", lambda g: traverse.reach(g, g.label("Function").select("uid"), ["CALLS"], 3), """
-, w AS (SELECT uid AS o, uid AS n, 0 AS k FROM fn UNION SELECT o, step.dst, k + 1 FROM w JOIN step ON n = step.src WHERE k < 3) SELECT o AS origin, n AS node, CAST(min(k) AS BIGINT) AS dist FROM w GROUP BY o, n""", True)
-_add("shortest_routes", lambda g: _routes(g), PATHS.format(k=4) + """, t AS (SELECT path, hops FROM p WHERE path[-1] = (SELECT max(path[-1]) FROM p WHERE hops = 2)), m AS (SELECT min(hops) AS h FROM t)
+# seeds: the functions that call themselves
+_add("reach", lambda g: traverse.reach(g, _selfish(g), ["CALLS"], 3), """
+, w AS (SELECT DISTINCT src AS o, src AS n, 0 AS k FROM calls WHERE src = dst UNION SELECT o, step.dst, k + 1 FROM w JOIN step ON n = step.src WHERE k < 3) SELECT o AS origin, n AS node, CAST(min(k) AS BIGINT) AS dist FROM w GROUP BY o, n""", True)
+_add("shortest_routes", lambda g: _routes(g), PATHS.format(k=3) + """, t AS (SELECT path, hops FROM p WHERE path[-1] = (SELECT max(path[-1]) FROM p WHERE hops = 2)), m AS (SELECT min(hops) AS h FROM t)
 SELECT CAST(hops AS BIGINT) AS hops, array_to_string(path, ',') AS path FROM t, m WHERE hops = h ORDER BY t.path LIMIT 5""", True)
 _add("induced_subgraph", lambda g: traverse.induced(g, g.spark.createDataFrame([(_hub(g),)], "uid string"), ["CALLS"], 2), """
 , u AS (SELECT src, dst FROM step UNION SELECT dst, src FROM step), w AS (SELECT src AS n, 0 AS k FROM hub UNION SELECT u.dst, k + 1 FROM w JOIN u ON n = u.src WHERE k < 2)
-SELECT 'CALLS_LOCAL' AS rel_type, src, dst FROM loc WHERE src IN (SELECT n FROM w) AND dst IN (SELECT n FROM w)""", True)
-_add("impact", lambda g: impact.impact(g, g.label("Function").select("uid"), ["CALLS"], "balanced"), """
-, w AS (SELECT uid AS seed, uid AS n, 0 AS k FROM fn UNION SELECT seed, step.src, k + 1 FROM w JOIN step ON n = step.dst WHERE k < 2),
+SELECT 'CALLS' AS rel_type, src, dst FROM calls WHERE src IN (SELECT n FROM w) AND dst IN (SELECT n FROM w)""", True)
+_add("impact", lambda g: impact.impact(g, _selfish(g), ["CALLS"], "balanced"), """
+, w AS (SELECT DISTINCT src AS seed, src AS n, 0 AS k FROM calls WHERE src = dst UNION SELECT seed, step.src, k + 1 FROM w JOIN step ON n = step.dst WHERE k < 2),
 d AS (SELECT seed, n, min(k) AS k FROM w GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY k, n) AS i FROM d)
 SELECT seed, n AS uid, CAST(k AS BIGINT) AS dist, CASE WHEN k = 0 THEN 'exact' ELSE 'unknown' END AS confidence FROM r WHERE i <= 200""", True)
 SNAP = "SELECT 'Function' AS label, name, file, \"startLine\", \"endLine\", params, 'Function|' || name || '|' || file || CASE WHEN r > 1 THEN '#' || (r - 1) ELSE '' END AS key FROM (SELECT *, row_number() OVER (PARTITION BY name, file ORDER BY \"startLine\", \"endLine\", params) AS r FROM {t})"
@@ -105,8 +109,8 @@ _add("snapshot_diff", lambda g: diff.node_diff(*_snapshots(g)), f"""
 SELECT coalesce(b.key, h.key) AS key, 'Function' AS label, coalesce(h.name, b.name) AS name, coalesce(h.file, b.file) AS file, CASE WHEN b.key IS NULL THEN 'added' WHEN h.key IS NULL THEN 'removed' ELSE 'changed' END AS status,
 CASE WHEN b.key IS NULL OR h.key IS NULL THEN '' ELSE concat_ws(',', CASE WHEN b.params <> h.params THEN 'signature' END, CASE WHEN b."endLine" - b."startLine" <> h."endLine" - h."startLine" THEN 'span' END) END AS reasons
 FROM b FULL JOIN h ON b.key = h.key WHERE b.key IS NULL OR h.key IS NULL OR b.params <> h.params OR b."endLine" - b."startLine" <> h."endLine" - h."startLine\"""")
-_add("edge_diff", lambda g: diff.edge_diff(g.edges([LOCAL]), g.edges(["CALLS"]).withColumn("rel_type", F.lit(LOCAL))), "SELECT 'CALLS_LOCAL' AS rel_type, src, dst, 'added' AS status FROM (SELECT * FROM calls EXCEPT SELECT * FROM loc)")
-_add("blast_radius", lambda g: diff.blast_radius(g.spark.createDataFrame([], "key string"), diff.edge_diff(g.edges([LOCAL]), g.edges(["CALLS"]).withColumn("rel_type", F.lit(LOCAL)))), """
+_add("edge_diff", lambda g: diff.edge_diff(g.edges([BASE]).withColumn("rel_type", F.lit("CALLS")), g.edges(["CALLS"])), "SELECT 'CALLS' AS rel_type, src, dst, 'added' AS status FROM (SELECT * FROM calls EXCEPT SELECT * FROM loc)")
+_add("blast_radius", lambda g: diff.blast_radius(g.spark.createDataFrame([], "key string"), diff.edge_diff(g.edges([BASE]).withColumn("rel_type", F.lit("CALLS")), g.edges(["CALLS"]))), """
 , d AS (SELECT * FROM calls EXCEPT SELECT * FROM loc) SELECT key, string_agg(DISTINCT r, ',' ORDER BY r) AS reasons, count(*) AS n FROM (SELECT src AS key, 'gained-out' AS r FROM d UNION ALL SELECT dst, 'gained-in' FROM d) GROUP BY key""")
 _add("next_tasks", lambda g: scheduling.next_tasks(g.label("Task"), g.rel("DEPENDS_ON")), """
  SELECT uid, status, priority FROM ta WHERE status IN ('todo', 'backlog') AND uid NOT IN (SELECT src FROM depends WHERE dst NOT IN (SELECT uid FROM ta WHERE status IN ('done', 'review')))
@@ -121,17 +125,14 @@ _add("hash_identity", lambda g: g.label("Function").select("uid", identity.hash_
 _add("address_segments", lambda g: g.label("File").select("uid", identity.fnv1a32(F.col("uid")).alias("fnv"), F.concat(F.lit("fd00:0001:"), identity.segment(F.col("uid"))).alias("subnet")), """
 , f AS (SELECT uid, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), [CAST(ascii(c) AS BIGINT) FOR c IN string_split(uid, '')]), lambda h, c: xor(h, c) * 16777619 % 4294967296) AS fnv FROM fi) SELECT uid, fnv, 'fd00:0001:' || lpad(lower(to_hex(fnv % 65536)), 4, '0') AS subnet FROM f""")
 _add("pattern_query", lambda g: cypher.run(g, "MATCH (a:Function)-[:CALLS]->(b:Function) WHERE a.visibility = 'public' AND NOT (b)-[:CALLS]->() RETURN a.file AS file, count(*) AS n, count(DISTINCT b.uid) AS targets ORDER BY n DESC, file LIMIT 10"), """
-SELECT a.file, count(*) AS n, count(DISTINCT b.uid) AS targets FROM loc JOIN fn a ON src = a.uid JOIN fn b ON dst = b.uid WHERE a.visibility = 'public' AND b.uid NOT IN (SELECT src FROM loc) GROUP BY a.file ORDER BY n DESC, a.file LIMIT 10""")
+SELECT a.file, count(*) AS n, count(DISTINCT b.uid) AS targets FROM calls JOIN fn a ON src = a.uid JOIN fn b ON dst = b.uid WHERE a.visibility = 'public' AND b.uid NOT IN (SELECT src FROM calls) GROUP BY a.file ORDER BY n DESC, a.file LIMIT 10""")
 
 _table("magic_numbers", lambda spark, d: A.magic_numbers(_literals(spark, d)), f"""
 WITH l AS (SELECT source AS file, unnest(list_filter(regexp_extract_all(regexp_replace(text, '[^A-Za-z0-9_.]+', ' ', 'g'), '[A-Za-z0-9_.]+'), lambda x: regexp_full_match(x, '[0-9]+([.][0-9]+)?'))) AS v FROM documents),
 m AS (SELECT v AS number, count(*) AS occurrences, count(DISTINCT file) AS "fileCount", v IN ({", ".join(repr(c) for c in A.CODES)}) AS code FROM l WHERE regexp_full_match(v, '-?([0-9]{{3,}}|[0-9]*[.][0-9]{{2,}})') AND v NOT IN ({", ".join(repr(c) for c in A.COMMON)}) GROUP BY v HAVING count(*) >= 2)
 SELECT number, occurrences, "fileCount", CASE WHEN code THEN 'standard_code' WHEN contains(number, '.') THEN 'precise_decimal' WHEN length(number) >= 4 THEN 'large_integer' ELSE 'integer' END AS "numberKind", CASE WHEN code THEN 'low' WHEN "fileCount" >= 3 THEN 'high' WHEN "fileCount" >= 2 THEN 'medium' ELSE 'low' END AS "analysisConfidence"
 FROM m ORDER BY code, "fileCount" DESC, occurrences DESC, number LIMIT 40""")
-_table("dom_elements", lambda spark, d: extract.start_tags(_read(spark, d, "pages")), "SELECT page_id, t AS \"tagName\", count(*) AS n FROM (SELECT page_id, unnest([lower(x) FOR x IN regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)]) AS t FROM pages) GROUP BY 1, 2")
 _table("execution_next", lambda spark, d: events.execution_next(_read(spark, d, "events")), 'SELECT src, dst, count(*) AS count, max(nt) AS "lastSeen" FROM (SELECT event_type AS src, lead(event_type) OVER w AS dst, lead(ts) OVER w AS nt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE dst IS NOT NULL GROUP BY 1, 2')
-_table("functions_with_errors", lambda spark, d: _read(spark, d, "events").where("event_type = 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("errors"), F.max("ts").alias("lastErrorTimestamp")), "SELECT user_id, count(*) AS errors, max(ts) AS \"lastErrorTimestamp\" FROM events WHERE event_type = 'error' GROUP BY user_id")
-_table("execution_path_frequency", lambda spark, d: _read(spark, d, "events").groupBy(F.col("event_type").alias("pathHex")).agg(F.count(F.lit(1)).alias("freq")).orderBy(F.desc("freq"), "pathHex").limit(15), 'SELECT event_type AS "pathHex", count(*) AS freq FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15')
 
 
 OWN = ", own AS (SELECT dst AS uid, min(src) AS alias FROM hasm GROUP BY dst), mem AS (SELECT alias, fn.uid, name FROM own JOIN fn ON own.uid = fn.uid)"
@@ -147,7 +148,7 @@ UNION ALL SELECT 'extra', NULL, NULL, f, t, m, src, dst FROM bt WHERE f <> t AND
 UNION ALL SELECT 'unbound', NULL, NULL, a, NULL, NULL, NULL, NULL FROM (SELECT f AS a FROM msg WHERE NOT dashed UNION SELECT t FROM msg WHERE NOT dashed) WHERE a NOT IN (SELECT alias FROM mem)"""
 _add("spec_classes", lambda g: _classes(g), OWN + """
 , dia AS (SELECT DISTINCT hasm.src AS c, name AS m FROM hasm JOIN fn ON dst = uid), bound AS (SELECT DISTINCT alias FROM mem), cod AS (SELECT DISTINCT alias AS c, name AS m FROM mem),
-rel AS (SELECT DISTINCT hasm.src AS a, alias AS b FROM hasm JOIN own ON dst = uid WHERE hasm.src <> alias), inh AS (SELECT DISTINCT x.alias AS a, y.alias AS b FROM loc JOIN own x ON src = x.uid JOIN own y ON dst = y.uid)
+rel AS (SELECT DISTINCT hasm.src AS a, alias AS b FROM hasm JOIN own ON dst = uid WHERE hasm.src <> alias), inh AS (SELECT DISTINCT x.alias AS a, y.alias AS b FROM calls JOIN own x ON src = x.uid JOIN own y ON dst = y.uid)
 SELECT 'method' AS kind, CASE WHEN cod.c IS NULL THEN 'missing' WHEN d.c IS NULL THEN 'extra' ELSE 'conforms' END AS region, coalesce(d.c, cod.c) AS class, coalesce(d.m, cod.m) AS member FROM (SELECT * FROM dia WHERE c IN (SELECT alias FROM bound)) d FULL JOIN cod ON d.c = cod.c AND d.m = cod.m
 UNION ALL SELECT 'inherits', CASE WHEN EXISTS (SELECT 1 FROM inh WHERE inh.a = rel.a AND inh.b = rel.b) THEN 'conforms' ELSE 'missing' END, a, b FROM rel WHERE a IN (SELECT alias FROM bound) AND b IN (SELECT alias FROM bound)
 UNION ALL SELECT 'class', 'unbound', c, NULL FROM (SELECT c FROM dia UNION SELECT a FROM rel) WHERE c NOT IN (SELECT alias FROM bound)""")
@@ -168,7 +169,7 @@ _add("class_relations", lambda g: class_model.relations(_design(g), class_model.
 inh AS (SELECT uid AS src, m AS dst FROM (SELECT uid, min(uid) OVER (PARTITION BY file) AS m FROM cl) WHERE uid <> m),
 cre AS (SELECT DISTINCT c AS src, hasm.src AS dst FROM hasm JOIN own ON hasm.dst = f WHERE c <> hasm.src),
 strong AS (SELECT * FROM inh UNION SELECT * FROM cre),
-uses AS (SELECT a.c AS src, b.c AS dst, count(*) AS calls FROM loc JOIN own a ON loc.src = a.f JOIN own b ON loc.dst = b.f WHERE a.c <> b.c GROUP BY a.c, b.c HAVING count(*) >= 2)
+uses AS (SELECT a.c AS src, b.c AS dst, count(*) AS calls FROM calls JOIN own a ON calls.src = a.f JOIN own b ON calls.dst = b.f WHERE a.c <> b.c GROUP BY a.c, b.c HAVING count(*) >= 2)
 SELECT src, dst, 'inherits' AS kind, CAST(NULL AS BIGINT) AS calls FROM inh UNION ALL SELECT src, dst, 'creates', NULL FROM cre
 UNION ALL SELECT u.src, u.dst, 'uses', calls FROM uses u ANTI JOIN strong s ON u.src = s.src AND u.dst = s.dst""")
 _add("class_members", lambda g: class_model.members(g, class_model.boxes(g), "HAS_METHOD", cap=10), """
@@ -180,6 +181,160 @@ CASE event_id % 3 WHEN 1 THEN 'service' ELSE 'topic' END AS kind, CASE event_id
 CASE event_id % 4 WHEN 2 THEN '/n' || user_id || '/' || event_type WHEN 3 THEN 'self.' || event_type ELSE '/' || event_type END AS name FROM events) GROUP BY kind, name, dynamic""")
 
 
+def _app(name: str, make: Callable[[Graph], DataFrame], sql: str, recursive: bool = False) -> None:
+    QUERIES[name] = lambda spark, sf_dir: make(app_graph(spark, sf_dir))
+    ORACLE_SQL[name] = f"WITH {'RECURSIVE' if recursive else ''} {STAR_SQL}{APP_SQL}{sql}"
+
+
+def _joined(df: DataFrame, *names: str) -> DataFrame:
+    """With array columns as text, in their order."""
+    return df.withColumns({c: F.array_join(c, ",") for c in names})
+
+
+_app("requirements_without_test_intent", A.requirements_without_test_intent, """SELECT 'Requirement:' || c_custkey AS uid, c_name AS requirement, c_mktsegment AS "changeId" FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderpriority LIKE '1%')""")
+_app("test_cases_without_implementation", A.test_cases_without_implementation, """SELECT uid, title AS "testCase", change AS "changeId" FROM test WHERE uid NOT IN (SELECT src FROM impl)""")
+_app("source_validation_trace", lambda g: A.source_validation_trace(Graph(g.spark, {x: g._nodes[x] for x in ("TestCase", "Class", "Function")}, g._edges)), """
+SELECT cl.uid, cl.name AS source, cl.file, test.title AS "testCase", t.dst AS "testId", t.file AS "testFile" FROM vali JOIN test ON vali.src = test.uid JOIN cl ON vali.dst = cl.uid LEFT JOIN (SELECT src, dst, file FROM impl JOIN fn ON dst = uid) t ON t.src = test.uid""")
+_app("call_graph_coverage", A.call_graph_coverage, """
+SELECT p_brand AS file, count(*) AS "allSites", count(*) FILTER (l_returnflag = 'R') AS "externalSites", count(*) FILTER (l_returnflag <> 'R') AS "internalSites", count(*) FILTER (l_returnflag <> 'R' AND l_linestatus = 'O') AS resolved, round(100.0 * count(*) FILTER (l_returnflag <> 'R' AND l_linestatus = 'O') / count(*) FILTER (l_returnflag <> 'R'), 1) AS percent
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand HAVING count(*) FILTER (l_returnflag <> 'R') > 0 ORDER BY percent, file LIMIT 40""")
+_app("api_endpoints", A.api_endpoints, """SELECT uid, '/' || p_type AS url, CASE WHEN length(p_type) % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, name AS handler, file FROM fn JOIN part ON uid = 'Function:' || p_partkey WHERE visibility = 'public'""")
+_app("functions_fetching_api", A.functions_fetching_api, """SELECT name AS function, file, '/' || p_type AS url, CASE WHEN length(p_type) % 2 = 0 THEN 'GET' ELSE 'POST' END AS method FROM fn JOIN part ON uid = 'Function:' || p_partkey WHERE visibility = 'private'""")
+_app("external_dependencies", A.external_dependencies, """SELECT p_type AS module, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS "usedIn" FROM part GROUP BY p_type""")
+_app("functions_with_errors", lambda g: A.functions_with_errors(g, ["User"]), """
+SELECT 'User:' || user_id AS uid, CAST(user_id AS VARCHAR) AS function, CAST(NULL AS VARCHAR) AS file, props AS error, ts AS timestamp FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type = 'error') WHERE r = 1""")
+_app("dom_elements", A.dom_elements, """SELECT 'DOMElement:' || page_id || ':' || n AS id, t AS tag, CAST(NULL AS VARCHAR) AS "testId", url AS file, n AS line FROM tags""")
+_app("dom_to_handler_chain", lambda g: A.dom_to_handler_chain(_handlers(g)), """
+, h AS (SELECT CAST(page_id AS VARCHAR) AS t, uid AS o, name AS handler, greatest(1, coalesce(d, 0)) AS w FROM pages JOIN fn ON uid = 'Function:' || page_id LEFT JOIN (SELECT src, count(*) AS d FROM step GROUP BY src) ON uid = src),
+c AS (SELECT *, coalesce(sum(w) OVER (ORDER BY t, handler, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM h), k AS (SELECT * FROM c WHERE s < 30),
+p AS (SELECT o, [o, dst] AS path, 1 AS hops FROM k JOIN step ON o = src UNION ALL SELECT o, list_append(path, step.dst), hops + 1 FROM p JOIN step ON path[-1] = step.src WHERE hops < 4 AND NOT list_contains(path, step.dst))
+SELECT t AS "testId", 'html' AS tag, 'click' AS event, handler, array_to_string(path, ',') AS "callChain" FROM k LEFT JOIN p ON k.o = p.o ORDER BY 1, 4, 5 NULLS FIRST LIMIT 30""", True)
+_app("runtime_dom_tree", A.runtime_dom_tree, """
+SELECT a.t AS "parentTag", CAST(NULL AS VARCHAR) AS "parentTestId", b.t AS "childTag", CAST(NULL AS VARCHAR) AS "childTestId", '/' || b.page_id || '/' || b.n AS xpath FROM tags a JOIN tags b ON a.page_id = b.page_id AND b.n = a.n + 1 ORDER BY xpath LIMIT 50""")
+_app("most_clicked_components", A.most_clicked_components, """SELECT fn.name AS component, n AS clicks, uid FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY user_id) JOIN fn ON uid = 'Function:' || user_id ORDER BY n DESC, uid LIMIT 20""")
+_app("execution_path_frequency", A.execution_path_frequency, """SELECT lower(hex(event_type)) AS "pathHex", count(*) AS freq FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15""")
+_app("execution_path_for_event", lambda g: A.execution_path_for_event(g, g.rel("EXECUTION_STEP").agg(F.max("src")).first()[0] or ""), """SELECT n AS "stepOrder", fn.name AS function, file, uid FROM steps JOIN fn ON f = uid WHERE 'UserEvent:' || e = (SELECT max('UserEvent:' || e) FROM steps)""")
+_app("click_to_state_changes", lambda g: A.click_to_state_changes(g, "click"), """
+SELECT ts AS "occurredAt", fn.name AS writer, st.name AS state FROM events JOIN steps ON e = event_id JOIN fn ON f = fn.uid JOIN writes ON src = f JOIN st ON dst = st.uid WHERE event_type = 'click' ORDER BY ts DESC, writer, state LIMIT 20""")
+_app("click_full_trace", lambda g: _joined(A.click_full_trace(g, "click"), "calledFunctions", "stateChanges"), """
+, k AS (SELECT event_id, ts, f, name FROM ev WHERE event_type = 'click' ORDER BY ts DESC, name, 'UserEvent:' || event_id LIMIT 10),
+w AS (SELECT DISTINCT f AS o, f AS n, 0 AS h FROM k UNION SELECT o, step.dst, h + 1 FROM w JOIN step ON n = src WHERE h < 5), r AS (SELECT DISTINCT o, n FROM w WHERE n <> o),
+a AS (SELECT o, string_agg(DISTINCT name, ',' ORDER BY name) AS c FROM r JOIN fn ON n = uid GROUP BY o), b AS (SELECT o, string_agg(DISTINCT st.name, ',' ORDER BY st.name) AS s FROM r JOIN writes ON n = src JOIN st ON dst = st.uid GROUP BY o)
+SELECT ts AS "occurredAt", name AS component, c AS "calledFunctions", CASE WHEN c IS NOT NULL THEN coalesce(s, '') END AS "stateChanges" FROM k LEFT JOIN a ON f = a.o LEFT JOIN b ON f = b.o""", True)
+_app("component_accepts_props", lambda g: _joined(A.component_accepts_props(g), "acceptedProps"), """SELECT name AS component, file, replace(name, ' ', ',') AS "acceptedProps" FROM fn""")
+PROPS = """
+SELECT a.uid, a.name AS parent, b.name AS child, array_to_string(list_sort(list_distinct(list_filter(string_split(b.name, ' '), lambda x: NOT list_contains(string_split(a.name, ' '), x)))), ',') AS "missingProps", replace(a.name, ' ', ',') AS "passedProps"{more}
+FROM calls JOIN fn a ON src = a.uid JOIN fn b ON dst = b.uid WHERE len(list_filter(string_split(b.name, ' '), lambda x: NOT list_contains(string_split(a.name, ' '), x))) > 0{where}"""
+_app("missing_props", lambda g: _joined(A.missing_props(g).withColumn("missingProps", F.array_sort("missingProps")), "missingProps", "passedProps"), PROPS.format(more="", where=" AND a.visibility <> 'private'"))
+_app("missing_props_including_spread", lambda g: _joined(A.missing_props(g, True).withColumn("missingProps", F.array_sort("missingProps")), "missingProps", "passedProps"), PROPS.format(more=", a.visibility = 'private' AS \"hasSpread\"", where=""))
+_app("effect_watches", A.effect_watches, """SELECT fn.name AS component, file, 'useEffect' AS hook, CAST(k AS BIGINT) AS line, st.name AS "watchedState", deps AS "allDeps" FROM eff JOIN fn ON f = fn.uid JOIN st ON state = st.uid WHERE watches""")
+_app("all_effects", A.all_effects, """SELECT name AS component, file, 'useEffect' AS hook, CAST(k AS BIGINT) AS line, deps FROM eff JOIN fn ON f = uid""")
+_app("untracked_state_deps", A.untracked_state_deps, """SELECT fn.name AS component, st.name AS state, file FROM writes JOIN fn ON src = fn.uid JOIN st ON dst = st.uid WHERE dst NOT IN (SELECT state FROM eff WHERE watches)""")
+_table("magic_number_sites", lambda spark, d: A.magic_number_sites(_literals(spark, d)), f"""
+WITH l AS (SELECT doc_id, source AS file, list_filter(regexp_extract_all(regexp_replace(text, '[^A-Za-z0-9_.]+', ' ', 'g'), '[A-Za-z0-9_.]+'), lambda x: regexp_full_match(x, '[0-9]+([.][0-9]+)?')) AS l FROM documents), s AS (SELECT doc_id, file, unnest(l) AS v, generate_subscripts(l, 1) - 1 AS n FROM l)
+SELECT 'ASTNode:' || doc_id || ':' || n AS uid, v AS number, file, n AS line, '(module level)' AS function FROM s WHERE regexp_full_match(v, '-?([0-9]{{3,}}|[0-9]*[.][0-9]{{2,}})') AND v NOT IN ({", ".join(repr(c) for c in A.COMMON)}) ORDER BY file, line, uid LIMIT 200""")
+
+# ---- addresses ----
+
+
+def _segment(x: str) -> str:
+    return f"lpad(lower(to_hex(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), [CAST(ascii(c) AS BIGINT) FOR c IN string_split({x}, '')]), lambda h, c: xor(h, c) * 16777619 % 4294967296) % 65536)), 4, '0')"
+
+
+ADDRESS_SQL = f"""
+, spans AS (SELECT file, "startLine" AS s, "endLine" AS e, min(uid) AS first FROM fn GROUP BY ALL),
+tops AS (SELECT * FROM spans x WHERE NOT EXISTS (SELECT 1 FROM spans y WHERE y.file = x.file AND y.s <= x.s AND y.e >= x.e AND y.e - y.s > x.e - x.s)),
+held AS (SELECT f.uid, f.name, f.file, f."startLine" AS line, (SELECT arg_max(t.first, t.s) FROM tops t WHERE t.file = f.file AND t.s <= f."startLine" AND t.e >= f."endLine" AND t.e - t.s > f."endLine" - f."startLine") AS owner FROM fn f),
+adr AS (SELECT uid, 'File' AS label, name, path AS file, CAST(NULL AS BIGINT) AS line, 'fd00:0001:' || {_segment("uid")} || ':0000:0000:0000:0000:0000' AS ipv6, 48 AS mask FROM fi
+UNION ALL SELECT uid, 'Function', name, file, line, 'fd00:0001:' || {_segment("'File:' || file")} || ':' || CASE WHEN owner IS NULL THEN {_segment("uid")} || ':0000' ELSE {_segment("coalesce(owner, uid)")} || ':' || {_segment("uid")} END || ':0000:0000:0000', CASE WHEN owner IS NULL THEN 64 ELSE 80 END FROM held)
+"""
+
+
+def _addressed(g: Graph) -> DataFrame:
+    """Files and functions with their addresses."""
+    f = g.label("Function")
+    nodes = g.label("File").select("uid", F.lit("File").alias("label"), "name", F.col("path").alias("file"), F.lit(None).cast("long").alias("line")).unionByName(f.select("uid", F.lit("Function").alias("label"), "name", "file", F.col("startLine").alias("line")))
+    return nodes.join(addresses.addresses(g.label("File"), f), "uid", "left")
+
+
+def _fullest(nodes: DataFrame) -> str:
+    """The subnet of a declaration that holds most."""
+    best = nodes.where("mask > 48").groupBy(F.substring("ipv6", 1, 19).alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p").first()
+    return best["p"] if best else ""
+
+
+for _name, _make, _sql in (
+    ("ipv6_overview", lambda g: addresses.overview(_addressed(g)), "SELECT label AS type, mask, count(*) AS count FROM adr GROUP BY label, mask"),
+    ("ipv6_file_subnets", lambda g: addresses.file_subnets(_addressed(g), g.rel("CONTAINS")), "SELECT file, ipv6 AS subnet, n AS nodes FROM adr JOIN (SELECT src, count(*) AS n FROM contains GROUP BY src) ON uid = src WHERE label = 'File'"),
+    ("ipv6_hierarchy", lambda g: addresses.hierarchy(_addressed(g), g.rel("CONTAINS"), "#1"), "SELECT a.file, a.ipv6 AS \"fileAddr\", b.name AS node, b.label AS type, b.ipv6 AS \"nodeAddr\", b.mask, b.line FROM adr a JOIN contains ON a.uid = src JOIN adr b ON dst = b.uid WHERE a.label = 'File' AND contains(a.file, '#1')"),
+    ("ipv6_lookup", lambda g: (lambda n: addresses.lookup(n, n.where("label = 'Function'").agg(F.min("ipv6")).first()[0] or ""))(_addressed(g)), "SELECT name, label AS type, file, uid, ipv6, mask FROM adr WHERE ipv6 = (SELECT min(ipv6) FROM adr WHERE label = 'Function')"),
+    ("ipv6_subnet_members", lambda g: (lambda n: addresses.subnet_members(n, _fullest(n)))(_addressed(g)), "SELECT name, label AS type, uid, ipv6, mask, line FROM adr WHERE left(ipv6, 19) = (SELECT left(ipv6, 19) FROM adr WHERE mask > 48 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"),
+    ("ipv6_node_by_name", lambda g: addresses.by_name(_addressed(g), _first_name(g)), "SELECT name, label AS type, file, uid, ipv6, mask FROM adr WHERE name = (SELECT min(name) FROM fn)"),
+    ("enclosing_declaration", lambda g: addresses.containment(g.label("Function")).select("uid", "owner"), "SELECT uid, owner FROM held"),
+):
+    _add(_name, _make, ADDRESS_SQL + _sql)
+
+# ---- changes and views ----
+
+_table("merge_event_counters", lambda spark, d: mutate.merge_counters(_counted(_read(spark, d, "events").where("event_type <> 'click'")), _counted(_read(spark, d, "events").where("event_type = 'click'"))), """SELECT 'User:' || user_id AS src, 'Type:' || left(event_type, 1) AS dst, count(*) AS count, max(ts) AS "lastSeen" FROM events GROUP BY 1, 2""")
+_add("merge_nodes", lambda g: mutate.merge_nodes(g.label("State").withColumn("status", F.lit("old")), g.label("Class").select(F.concat(F.lit("State:"), F.substring_index("uid", ":", -1)).alias("uid"), F.col("name").alias("owner")), {"status": F.lit("new")}), """
+SELECT coalesce(st.uid, c.uid) AS uid, st.name, CASE WHEN st.uid IS NULL THEN 'new' ELSE 'old' END AS status, c.name AS owner FROM st FULL JOIN (SELECT 'State:' || split_part(uid, ':', 2) AS uid, name FROM cl) c ON st.uid = c.uid""")
+_add("set_properties", lambda g: mutate.set_properties(g.label("Task"), (F.col("status") == "todo") & (F.col("priority") == "critical"), {"status": F.lit("in_progress"), "priority": F.lit(None).cast("string")}), """
+SELECT uid, CASE WHEN status = 'todo' AND priority = 'critical' THEN 'in_progress' ELSE status END AS status, CASE WHEN status = 'todo' AND priority = 'critical' THEN NULL ELSE priority END AS priority FROM ta""")
+_add("detach_delete", lambda g: _left_over(g), """
+SELECT 'nodes' AS kind, count(*) AS n FROM (SELECT uid FROM ta WHERE status <> 'done' UNION ALL SELECT uid FROM fn) UNION ALL SELECT 'edges', count(*) FROM affects WHERE src NOT IN (SELECT uid FROM ta WHERE status = 'done')""")
+_add("orphan_nodes", lambda g: mutate.orphans(g.label("Function"), g.rel("AFFECTS").join(g.label("Task").where("status = 'in_progress'").select(F.col("uid").alias("src")), "src", "left_semi")).select("uid", "name"), "SELECT uid, name FROM fn WHERE uid NOT IN (SELECT dst FROM affects JOIN ta ON src = uid WHERE status = 'in_progress')")
+_add("expand_node", lambda g: views.expand(g, _hub(g)), "SELECT d AS direction, uid, name, file FROM (SELECT 'child' AS d, dst AS u FROM calls WHERE src = (SELECT src FROM hub) UNION SELECT 'parent', src FROM calls WHERE dst = (SELECT src FROM hub)) JOIN fn ON u = uid")
+_add("call_tree", lambda g: views.call_tree(g, _hub(g)), """
+, w AS (SELECT src AS n, 0 AS k FROM hub UNION SELECT step.dst, k + 1 FROM w JOIN step ON n = src WHERE k < 6), d AS (SELECT n, min(k) AS k FROM w GROUP BY n) SELECT n AS node, CAST(k AS BIGINT) AS dist, dst AS child FROM d LEFT JOIN (SELECT * FROM step WHERE dst IN (SELECT n FROM d)) ON n = src""", True)
+_add("relation_summary", lambda g: views.relation_summary(g, "Function:7", TYPES), f"SELECT rel_type, count(*) FILTER (dst = 'Function:7') AS incoming, count(*) FILTER (src = 'Function:7') AS outgoing FROM ({ALL_EDGES}) WHERE src = 'Function:7' OR dst = 'Function:7' GROUP BY rel_type")
+_add("graph_stats", lambda g: views.graph_stats(g, CODE, TYPES), f"SELECT (SELECT count(*) FROM ({ALL_NODES})) AS nodes, (SELECT count(*) FROM fi) AS files, (SELECT count(*) FROM ({ALL_EDGES})) AS edges")
+_add("call_context", lambda g: views.call_context(g, _selfish(g)), """
+, s AS (SELECT DISTINCT src AS u FROM calls WHERE src = dst) SELECT u AS uid, coalesce((SELECT string_agg(DISTINCT name, ',' ORDER BY name) FROM calls JOIN fn ON src = uid WHERE dst = u), '') AS callers, coalesce((SELECT string_agg(DISTINCT name, ',' ORDER BY name) FROM calls JOIN fn ON dst = uid WHERE src = u), '') AS callees FROM s""")
+_add("task_context", lambda g: views.task_context(g.label("Task"), g.rel("AFFECTS"), g.label("Function")).withColumn("nodes", F.array_join(F.transform("nodes", lambda x: F.concat_ws("=", x["uid"], x["name"])), ",")), "SELECT ta.uid, status, coalesce(string_agg(fn.uid || '=' || fn.name, ',' ORDER BY fn.uid), '') AS nodes FROM ta LEFT JOIN affects ON src = ta.uid LEFT JOIN fn ON dst = fn.uid GROUP BY ta.uid, status")
+_add("wave_status", lambda g: views.wave_status(traverse.waves(g.label("Task").select("uid"), g.rel("DEPENDS_ON")), g.label("Task")), """
+, w AS (SELECT uid, 1 AS k FROM ta WHERE uid NOT IN (SELECT src FROM depends) UNION ALL SELECT depends.src, k + 1 FROM w JOIN depends ON depends.dst = w.uid)
+SELECT CAST(k AS BIGINT) AS wave, count(*) AS total, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'review') AS in_review, count(*) FILTER (status NOT IN ('done', 'review')) AS open, bool_and(status IN ('done', 'review')) AS passed FROM w JOIN ta ON w.uid = ta.uid GROUP BY k""", True)
+_add("epic_sequence", lambda g: views.epic_sequence(g.label("Task"), "priority"), "SELECT priority AS epic, uid, row_number() OVER (PARTITION BY priority ORDER BY uid) AS place FROM ta")
+LEASES_SQL = "WITH l AS (SELECT p_brand AS file, 'Function:' || l_partkey AS node, CAST(o_custkey AS VARCHAR) AS owner, CAST(epoch(max(o_orderdate)) AS BIGINT) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3), now AS (SELECT CAST(epoch(min(o_orderdate)) + epoch(max(o_orderdate)) AS BIGINT) // 2 AS t FROM orders) "
+_table("lock_summary", lambda spark, d: (lambda held, now: views.lock_summary(held, now))(*_leases(spark, d)), LEASES_SQL + "SELECT owner, count(*) FILTER (x > t) AS live, count(*) FILTER (x <= t) AS expired FROM l, now GROUP BY owner")
+_table("expired_locks", lambda spark, d: (lambda held, now: scheduling.expired(held, now))(*_leases(spark, d)), LEASES_SQL + "SELECT file, node, owner, x AS \"lockExpires\" FROM l, now WHERE x <= t")
+_table("lock_conflicts", lambda spark, d: (lambda held, now: scheduling.conflicts(held, spark.createDataFrame([("Brand#11", None), ("", "Function:7")], "file string, node string"), "1", now))(*_leases(spark, d)), LEASES_SQL + "SELECT file, node, owner, x AS \"lockExpires\" FROM l, now WHERE x > t AND owner <> '1' AND (file = 'Brand#11' OR node = 'Function:7')")
+_add("shared_file_groups", lambda g: scheduling.shared_file_groups(g.rel("AFFECTS").join(g.label("Task").where("status = 'in_progress'").select(F.col("uid").alias("src")), "src", "left_semi"), g.label("Function")))
+
+
+def _counted(events_: DataFrame) -> DataFrame:
+    return events_.groupBy(F.concat(F.lit("User:"), "user_id").alias("src"), F.concat(F.lit("Type:"), F.substring("event_type", 1, 1)).alias("dst")).agg(F.count(F.lit(1)).alias("count"), F.max("ts").alias("lastSeen"))
+
+
+def _left_over(g: Graph) -> DataFrame:
+    """What stays when finished tasks go, with their edges."""
+    nodes = g.label("Task").select("uid").unionByName(g.label("Function").select("uid"))
+    kept, edges = mutate.detach_delete(nodes, g.rel("AFFECTS").select("src", "dst"), g.label("Task").where("status = 'done'"))
+    return kept.agg(F.count(F.lit(1)).alias("n")).select(F.lit("nodes").alias("kind"), "n").unionByName(edges.agg(F.count(F.lit(1)).alias("n")).select(F.lit("edges").alias("kind"), "n"))
+
+
+def _leases(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Customers hold what they order until their last order; now is half way through all orders."""
+    o = _read(spark, d, "orders")
+    line = _read(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate"), "l_orderkey").join(_read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    held = line.groupBy(F.col("p_brand").alias("file"), F.concat(F.lit("Function:"), "l_partkey").alias("node"), F.col("o_custkey").cast("string").alias("owner")).agg(F.unix_seconds(F.max("o_orderdate").cast("timestamp")).alias("lockExpires"))
+    ends = o.agg(F.unix_seconds(F.min("o_orderdate").cast("timestamp")).alias("a"), F.unix_seconds(F.max("o_orderdate").cast("timestamp")).alias("b")).first()
+    return held, ((ends["a"] or 0) + (ends["b"] or 0)) // 2
+
+
+def _handlers(g: Graph) -> Graph:
+    """Each page as one element whose clicks go to the function of its number."""
+    d = g.label("DOMElement").where("startLine = 0").select(F.concat(F.lit("Page:"), F.split("uid", ":")[1]).alias("uid"), F.lit("html").alias("tagName"), F.split("uid", ":")[1].alias("testId"))
+    on = d.select(F.col("uid").alias("src"), F.concat(F.lit("Function:"), "testId").alias("dst"), F.lit("click").alias("event"))
+    return Graph(g.spark, {**g._nodes, "DOMElement": lambda: d}, {**g._edges, "ON_EVENT": lambda: on})
+
+
+def _selfish(g: Graph) -> DataFrame:
+    """(uid): functions that call themselves."""
+    return g.rel("CALLS").where("src = dst").select(F.col("src").alias("uid"))
+
+
 def _design(g: Graph) -> Graph:
     """With classes that inherit from the first of their nation, and functions that make each class that has them."""
     c = g.label("Class")
@@ -222,7 +377,7 @@ def _classes(g: Graph) -> DataFrame:
     bound = members.select(F.col("alias").alias("class"), F.col("alias").alias("uid"))
     relations = has.join(members.select(F.col("uid").alias("dst"), "alias"), "dst").where("src <> alias").select("src", F.col("alias").alias("dst"), F.lit("inherits").alias("type"))
     owner = [members.select(F.col("uid").alias(end), F.col("alias").alias(f"{end}_class")) for end in ("src", "dst")]
-    inherits = g.rel(LOCAL).join(owner[0], "src").join(owner[1], "dst").select(F.col("src_class").alias("src"), F.col("dst_class").alias("dst"))
+    inherits = g.rel("CALLS").join(owner[0], "src").join(owner[1], "dst").select(F.col("src_class").alias("src"), F.col("dst_class").alias("dst"))
     return conformance.classes(drawn, bound, members.select(F.col("alias").alias("class"), F.col("name").alias("method")), relations, inherits)
 
 
@@ -265,7 +420,7 @@ def _hub(g: Graph) -> str:
 def _routes(g: Graph) -> DataFrame:
     hub = _hub(g)
     target = traverse.paths(g, g.spark.createDataFrame([(hub,)], "uid string"), ["CALLS"], 2).where("hops = 2").agg(F.max("node")).first()[0]
-    return traverse.routes(g, hub, target or "", ["CALLS"], 4, 5).select("hops", F.array_join("path", ",").alias("path"))
+    return traverse.routes(g, hub, target or "", ["CALLS"], 8, 5).select("hops", F.array_join("path", ",").alias("path"))
 
 
 def _snapshots(g: Graph) -> tuple[DataFrame, DataFrame]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.graph import Graph
 from lattica.operators import traverse
 from lattica.operators.pattern import absent, counted, hop, prefixed, present
+from lattica.scratch import written
 
 CALLS = "CALLS"
 
@@ -177,7 +178,7 @@ def callers_of_function(g: Graph, name: str, rel: str = CALLS) -> DataFrame:
 def call_chain(g: Graph, uid: str, rel: str = CALLS, max_hops: int = 8, k: int | None = 30) -> DataFrame:
     """Simple call paths from a function, as uids."""
     seeds = g.label("Function").where(F.col("uid") == uid).select("uid")
-    out = traverse.paths(g, seeds, [rel], max_hops).select(F.array_join("path", ",").alias("callChain"), "hops")
+    out = traverse.paths(g, seeds, [rel], max_hops, k).select(F.array_join("path", ",").alias("callChain"), "hops")
     return _top(out, ["hops", "callChain"], k)
 
 
@@ -244,7 +245,7 @@ def functions_fetching_api(g: Graph) -> DataFrame:
     return _linked(g, "FETCHES", "Function", "Endpoint").select(F.col("a_name").alias("function"), F.col("a_file").alias("file"), F.col("b_url").alias("url"), F.col("b_method").alias("method"))
 
 
-def state_writers(g: Graph) -> DataFrame:
+def react_state_writers(g: Graph) -> DataFrame:
     return _linked(g, "WRITES_STATE", "Function", "State").select(F.col("a_uid").alias("uid"), F.col("a_name").alias("component"), F.col("b_name").alias("stateSetter"), F.col("a_file").alias("file"))
 
 
@@ -286,6 +287,11 @@ def dom_elements(g: Graph) -> DataFrame:
 def dom_to_handler_chain(g: Graph, max_hops: int = 4, k: int | None = 30) -> DataFrame:
     events = g.rel("ON_EVENT")
     handled = prefixed(g.label("DOMElement"), "d").join(events.select(F.col("src").alias("d_uid"), F.col("dst").alias("origin"), _column(events, "event").alias("event")), "d_uid").join(g.label("Function").select(F.col("uid").alias("origin"), F.col("name").alias("handler")), "origin")
+    if k:  # each step of a handler gives a row at least, so the first handlers by these give the first k rows
+        degree = g.rel(CALLS).where("src <> dst").groupBy(F.col("src").alias("origin")).agg(F.count(F.lit(1)).alias("n"))
+        first = handled.orderBy("d_testId", "handler", "origin", "d_uid").limit(k).join(degree, "origin", "left")
+        before = F.sum(F.greatest(F.lit(1), F.coalesce("n", F.lit(0)))).over(Window.orderBy("d_testId", "handler", "origin", "d_uid").rowsBetween(Window.unboundedPreceding, -1))
+        handled = written(first.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < k))
     chains = traverse.paths(g, handled.select(F.col("origin").alias("uid")).distinct(), [CALLS], max_hops).select("origin", F.array_join("path", ",").alias("callChain"))
     out = handled.join(chains, "origin", "left").select(F.col("d_testId").alias("testId"), F.col("d_tagName").alias("tag"), "event", "handler", "callChain")
     return _top(out, ["testId", "handler", "callChain"], k)
@@ -323,6 +329,7 @@ def click_to_state_changes(g: Graph, component: str, k: int | None = 20) -> Data
 def click_full_trace(g: Graph, component: str, max_hops: int = 5, k: int | None = 10) -> DataFrame:
     """Per event on a component: functions called from it and states those write."""
     e = hop(g, prefixed(g.label("UserEvent").where(F.col("componentName") == component), "e"), "e_uid", "TRIGGERS", "Function", "c")
+    e = written(_top(e, [F.desc("e_timestamp"), "c_name", "e_uid"], k))  # an event is a row of the result, so only k are walked from
     called = traverse.reach(g, e.select(F.col("c_uid").alias("uid")).distinct(), [CALLS], max_hops).where("dist > 0").join(g.label("Function").select(F.col("uid").alias("node"), F.col("name").alias("callee")), "node")
     states = _edges(g, "WRITES_STATE").select(F.col("src").alias("node"), F.col("dst").alias("s")).join(g.label("State").select(F.col("uid").alias("s"), F.col("name").alias("state")), "s")
     per = called.join(states, "node", "left").groupBy(F.col("origin").alias("c_uid")).agg(F.array_sort(F.collect_set("callee")).alias("calledFunctions"), F.array_sort(F.collect_set("state")).alias("stateChanges"))
