@@ -103,6 +103,24 @@ _add("impact", lambda g: impact.impact(g, _selfish(g), ["CALLS"], "balanced"), "
 , w AS (SELECT DISTINCT src AS seed, src AS n, 0 AS k FROM calls WHERE src = dst UNION SELECT seed, step.src, k + 1 FROM w JOIN step ON n = step.dst WHERE k < 2),
 d AS (SELECT seed, n, min(k) AS k FROM w GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY k, n) AS i FROM d)
 SELECT seed, n AS uid, CAST(k AS BIGINT) AS dist, CASE WHEN k = 0 THEN 'exact' ELSE 'unknown' END AS confidence FROM r WHERE i <= 200""", True)
+IMPACT_SQL = """
+, s AS (SELECT DISTINCT src AS u FROM calls WHERE src = dst), e1 AS (SELECT u AS seed, src AS n, u || ':CALLS:in:' || src AS path FROM s JOIN step ON dst = u),
+o1 AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY path) AS i FROM e1), b1 AS (SELECT * FROM o1 WHERE i <= 199), used AS (SELECT u AS seed, 1 + count(n) AS k FROM s LEFT JOIN b1 ON u = seed GROUP BY u),
+e2 AS (SELECT seed, step.src AS n, path || '|' || n || ':CALLS:in:' || step.src AS path FROM b1 JOIN step ON step.dst = n WHERE step.src <> seed AND NOT EXISTS (SELECT 1 FROM b1 x WHERE x.seed = b1.seed AND x.n = step.src)),
+f2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed, n ORDER BY path) AS r FROM e2) WHERE r <= 3),
+o2 AS (SELECT seed, n, row_number() OVER (PARTITION BY seed ORDER BY min(path)) AS i FROM f2 GROUP BY seed, n), b2 AS (SELECT o2.seed, n FROM o2 JOIN used ON o2.seed = used.seed WHERE i + k <= 200),
+paths AS (SELECT u AS seed, u AS uid, 0 AS dist, '' AS path FROM s UNION ALL SELECT seed, n, 1, path FROM b1 UNION ALL SELECT f2.seed, f2.n, 2, path FROM f2 JOIN b2 ON f2.seed = b2.seed AND f2.n = b2.n),
+omitted AS (SELECT seed, n FROM o1 WHERE i > 199 UNION SELECT o2.seed, o2.n FROM o2 ANTI JOIN b2 ON o2.seed = b2.seed AND o2.n = b2.n)
+"""
+_add("impact_paths", lambda g: impact.explore(g, _selfish(g), impact.profile_of("balanced", ["CALLS"]))[0].select("seed", "uid", "dist", "path"), IMPACT_SQL + "SELECT seed, uid, CAST(dist AS BIGINT) AS dist, path FROM paths")
+_add("impact_attachments", lambda g: impact.attachments(g, impact.explore(g, _selfish(g), impact.profile_of("fast", ["CALLS"]))[0], ["Function", "Task"], ["AFFECTS"]), """
+, s AS (SELECT DISTINCT src AS u FROM calls WHERE src = dst), v AS (SELECT u AS seed, u AS n FROM s UNION SELECT seed, n FROM (SELECT u AS seed, src AS n, row_number() OVER (PARTITION BY u ORDER BY u || ':CALLS:in:' || src) AS i FROM s JOIN step ON dst = u) WHERE i <= 99)
+SELECT seed, 'tasks' AS section, src AS uid, string_agg(DISTINCT 'AFFECTS:' || n, ',' ORDER BY 'AFFECTS:' || n) AS reasons FROM v JOIN affects ON dst = n GROUP BY seed, src""")
+_add("impact_quality", lambda g: _impact_quality(g), IMPACT_SQL + """
+, used2 AS (SELECT seed, count(DISTINCT x) AS n FROM (SELECT seed, unnest(string_split(path, '|')) AS x FROM paths WHERE path <> '') GROUP BY seed), om AS (SELECT seed, count(*) AS n FROM omitted GROUP BY seed),
+q AS (SELECT u AS seed, coalesce(used2.n, 0) AS edges, coalesce(om.n, 0) AS omitted FROM s LEFT JOIN used2 ON u = used2.seed LEFT JOIN om ON u = om.seed)
+SELECT seed, edges, edges AS unknown, CAST(0 AS BIGINT) AS possible, CAST(0 AS BIGINT) AS likely, CAST(0 AS BIGINT) AS exact, omitted, concat_ws(',', CASE WHEN omitted > 0 THEN 'node-limit-reached' END, CASE WHEN edges > 0 THEN 'unknown-edge-evidence' END) AS limitations,
+CASE WHEN omitted > 0 OR edges > 0 THEN 'qualified' ELSE 'eligible' END AS status, CASE WHEN omitted > 0 THEN 'incomplete' ELSE 'none-found' END AS test_selection, CASE WHEN omitted > 0 THEN 'incomplete' ELSE 'none-linked' END AS knowledge_review FROM q""")
 SNAP = "SELECT 'Function' AS label, name, file, \"startLine\", \"endLine\", params, 'Function|' || name || '|' || file || CASE WHEN r > 1 THEN '#' || (r - 1) ELSE '' END AS key FROM (SELECT *, row_number() OVER (PARTITION BY name, file ORDER BY \"startLine\", \"endLine\", params) AS r FROM {t})"
 _add("snapshot_diff", lambda g: diff.node_diff(*_snapshots(g)), f"""
 , fb AS (SELECT uid, name, file, params, "startLine", least("endLine", "startLine" + 40) AS "endLine" FROM fn WHERE uid IN (SELECT dst FROM affects JOIN ta ON src = ta.uid WHERE status = 'done')), fh AS (SELECT * FROM fn), b AS ({SNAP.format(t="fb")}), h AS ({SNAP.format(t="fh")})
@@ -307,6 +325,11 @@ def _counted(events_: DataFrame) -> DataFrame:
     return events_.groupBy(F.concat(F.lit("User:"), "user_id").alias("src"), F.concat(F.lit("Type:"), F.substring("event_type", 1, 1)).alias("dst")).agg(F.count(F.lit(1)).alias("count"), F.max("ts").alias("lastSeen"))
 
 
+def _impact_quality(g: Graph) -> DataFrame:
+    p = impact.profile_of("balanced", ["CALLS"])
+    return impact.quality(g, p, *impact.explore(g, _selfish(g), p))
+
+
 def _left_over(g: Graph) -> DataFrame:
     """What stays when finished tasks go, with their edges."""
     nodes = g.label("Task").select("uid").unionByName(g.label("Function").select("uid"))

@@ -21,33 +21,46 @@ SIDES = {
 LABEL = 80
 
 
+#: What the middle part of a type's full name says it is for.
+NAMESPACES = {"msg": "topic", "srv": "service", "action": "action"}
+
+
 def interface_name(raw: Column, literal: Column) -> Column:
     """A name as written: a legal literal without its quotes, a computed one as a short line; null if neither."""
-    text = F.trim(raw)
-    bare = F.regexp_replace(text, r"""(?s)^(['"])(.*)\1$""", "$2")
-    return F.when(literal, F.when(bare.rlike(LEGAL_NAME), bare)).when(text != "", F.substring(F.regexp_replace(text, r"\s+", " "), 1, LABEL))
+    line = F.trim(raw)
+    inner = F.regexp_extract(line, r"""(?s)^(["']?)(.*)\1$""", 2)
+    label = F.nullif(F.left(F.regexp_replace(line, r"\s+", " "), F.lit(LABEL)), F.lit(""))
+    return F.when(literal & inner.rlike(LEGAL_NAME), inner).when(~literal, label)
 
 
 def resolved_name(name: Column, node: Column, dynamic: Column) -> Column:
-    """The full name in the default namespace; private names need their node's, computed ones stay as they are."""
-    own = F.when(name == "~", F.concat(F.lit("/"), node)).when(name.startswith("~/"), F.concat(F.lit("/"), node, F.expr("'/'"), F.substr(name, F.lit(3))))
-    return F.when(dynamic | name.startswith("/"), name).when((name == "~") | name.startswith("~/"), F.coalesce(own, name)).otherwise(F.concat(F.lit("/"), name))
+    """The full name in the default namespace. A name is a mark and tokens: ``~`` puts the node's name before them.
+
+    Computed names stay as they are, and private ones whose node is unknown.
+    """
+    tokens = F.split(name, "/")
+    private = tokens[0] == "~"
+    home = F.when(private, F.array(node)).otherwise(F.array().cast("array<string>"))
+    full = F.concat(F.lit("/"), F.array_join(F.concat(home, F.filter(tokens, lambda t: ~t.isin("", "~"))), "/"))
+    return F.when(dynamic | (private & node.isNull()), name).otherwise(full)
+
+
+def type_parts(raw: Column) -> Column:
+    """Package, namespace and name of a type as written in either language, as an array; null for other expressions."""
+    plain = F.regexp_replace(F.regexp_replace(F.trim(raw), r"^<|>$", ""), r"\bconst\b|[&*]", "")
+    parts = F.filter(F.split(F.regexp_replace(F.trim(plain), POINTERS, ""), "::|[./]"), lambda x: x != "")
+    return F.when((F.size(parts) > 0) & ~F.exists(parts, lambda x: x.rlike(r"\s")), parts)
 
 
 def interface_type(raw: Column) -> Column:
-    """``package/msg/Type`` of a type as written in either language; null for none and for other expressions."""
-    t = F.trim(F.regexp_replace(F.trim(raw), "^<|>$", ""))
-    for pattern, by in ((r"\bconst\b", ""), ("[&*]", "")):
-        t = F.trim(F.regexp_replace(t, pattern, by))
-    for pattern, by in ((POINTERS, ""), ("::|[.]", "/"), ("/+", "/"), ("^/|/$", "")):
-        t = F.regexp_replace(t, pattern, by)
-    return F.when((t != "") & ~t.rlike(r"\s"), t)
+    """``package/namespace/Type``, or fewer parts where fewer are written."""
+    return F.array_join(type_parts(raw), "/")
 
 
 def refined_kind(kind: Column, type_: Column) -> Column:
     """topic, service or action as the type's own namespace says, else ``kind``."""
-    out = F.when(type_.rlike("(^|/)action(/|$)"), "action").when(type_.rlike("(^|/)srv(/|$)"), "service").when(type_.rlike("(^|/)msg(/|$)"), "topic")
-    return F.coalesce(out, kind)
+    parts = F.split(type_, "/")
+    return F.coalesce(*(F.when(F.array_contains(parts, space), meant) for space, meant in reversed(NAMESPACES.items())), kind)
 
 
 def interfaces(sites: DataFrame) -> DataFrame:
