@@ -512,6 +512,21 @@ def _with_row(docs: DataFrame) -> DataFrame:
     return common.spread(common.keyed(docs)).withColumn("row", F.xxhash64("doc_id", "text"))
 
 
+def _looked_up(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` (root, row, ...) with the values of their root in ``table`` (root, size: how many rows have it, ...), or nulls.
+
+    Roots with over a thousandth of all rows, fewer than a thousand, are sent to all tasks; only rows of others are
+    shuffled by their root, the rest is spread by ``row``.
+    """
+    values = F.struct(*(c for c in table.columns if c not in ("root", "size")))
+    total = table.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).collect()[0]["n"]
+    hot = F.col("size") * 1000 > total
+    near = rows.join(F.broadcast(table.where(hot).select("root", values.alias("hot"))), "root", "left")
+    near = near.withColumn("key", F.when(F.col("hot").isNull(), F.col("root")).otherwise(F.col("row")))
+    far = near.join(table.where(~hot).select(F.col("root").alias("key"), values.alias("cold")), "key", "left")
+    return far.withColumn("found", F.coalesce("hot", "cold")).select(*rows.columns, "found.*")
+
+
 def jaccard_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id it reaches by links, itself included).
 
@@ -522,8 +537,8 @@ def jaccard_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     empty result; further columns are left out, whatever their names.
     """
     rows = common.written(_classes(_with_row(docs), block))
-    names = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component"))
-    return rows.join(names, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    names = common.written(rows.where("n > 0").groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("component")))
+    return _looked_up(rows, names).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_each(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -534,10 +549,10 @@ def one_each(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     rows = common.written(_classes(_with_row(docs), block).where("n > 0"))
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")
-    kept = rows.groupBy("root").agg(F.min(order).alias("kept"), F.count(F.lit(1)).alias("size")).where("size > 1").select("root", F.col("kept.doc_id").alias("kept_id"), F.col("kept.row").alias("kept_row"))
+    kept = rows.groupBy("root").agg(F.min(order).alias("kept"), F.count(F.lit(1)).alias("size")).where("size > 1").select("root", "size", F.col("kept.doc_id").alias("kept_id"), F.col("kept.row").alias("kept_row"))
     each = rows.groupBy("root", "doc_id", "row").agg(F.count(F.lit(1)).alias("times"))
     stays = (F.col("row") == F.col("kept_row")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    marks = common.written(each.join(kept, "root").withColumn("stays", stays).where("NOT stays OR times > 1").select("doc_id", F.col("row").alias("k"), "stays"))
+    marks = common.written(_looked_up(each, common.written(kept)).where("kept_row IS NOT NULL").withColumn("stays", stays).where("NOT stays OR times > 1").select("doc_id", F.col("row").alias("k"), "stays"))
     row, name, k, mark = (common.fresh(docs, x) for x in ("row", "mark_id", "mark_row", "mark_stays"))
     own = F.col("doc_id").cast("long")
     keyed = docs.withColumn(row, F.xxhash64(own, F.coalesce(F.col("text").cast("string"), F.lit(""))))
