@@ -18,13 +18,25 @@ import pyarrow as pa
 from . import common
 
 WORDS, SPACED_WORDS = "word_bpe_49k.json", "byte_bpe_50k.json"
-#: Different pieces a worker keeps, bytes of text it takes at once, and pieces that the library encodes at once.
-KEPT, CHUNK, LEARNT = 600_000, 1 << 19, 8192
+#: Different pieces a worker keeps, those it has learnt lately, bytes of text it takes at once, and pieces that the
+#: library encodes at once.
+KEPT, LATELY, CHUNK, LEARNT = 1_200_000, 1 << 16, 1 << 19, 8192
 _IS_SPACE = ~common.SPACED
 _MAY_END_SPACE = np.zeros(256, bool)
 _MAY_END_SPACE[0x80:0xC0] = True
 
 
+#: ASCII letters, and punctuation that no pattern of either tokenizer keeps with the letters before it.
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK[[ord(c) for c in ",.;:!?|)"]] = True
+
+
+def _mark_cuts(raw: np.ndarray) -> np.ndarray:
+    """Where punctuation follows a letter: a word has the same piece with and without it."""
+    return np.flatnonzero(_MARK[raw[1:]] & _LETTER[raw[:-1]]) + 1
+
+
 def _piece_starts(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Where white space follows something else, but for characters that may be white space beyond ASCII."""
     n = len(raw)
@@ -40,6 +52,26 @@ def _piece_starts(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+class _Pieces:
+    """Ids of pieces by hash: keys in order, where the ids of each begin, and how many they are."""
+
+    def __init__(self, keys: np.ndarray, at: np.ndarray, size: np.ndarray, ids: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at, self.size, self.ids = keys[order], at[order], size[order], ids
+
+    @classmethod
+    def none(cls) -> _Pieces:
+        return cls(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``keys``, and which are there."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+    def joined(self, other: _Pieces) -> _Pieces:
+        return _Pieces(np.concatenate((self.keys, other.keys)), np.concatenate((self.at, len(self.ids) + other.at)), np.concatenate((self.size, other.size)), np.concatenate((self.ids, other.ids)))
+
+
 class Encoder:
     def __init__(self, path: str, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,25 +83,22 @@ class Encoder:
             raise ValueError("added tokens that depend on what surrounds them aren't supported")
         self.tokenizer.encode_special_tokens = True  # for pieces: a lower-cased one may look like an added token, and isn't
         self.any_added = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or b"(?!)")
-        self._forget()
+        self.old = self.late = _Pieces.none()
 
-    def _forget(self) -> None:
-        self.keys, self.at, self.size, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+    def _age(self) -> None:
+        """Moves what was learnt lately to the rest once it is much; the rest goes when it is too much."""
+        if len(self.late.keys) > LATELY:
+            self.old = self.old.joined(self.late) if len(self.old.keys) + len(self.late.keys) <= KEPT else self.late
+            self.late = _Pieces.none()
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        if len(self.keys) + len(keys) > KEPT:
-            self._forget()
-        sizes, ids = [np.empty(0, np.int64)], [self.ids]
+        sizes, ids = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
         for k in range(0, len(pieces), LEARNT):
             new = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[k : k + LEARNT], add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, new), np.int64, len(new)))
             ids.append(np.fromiter(itertools.chain.from_iterable(new), np.uint32, int(sizes[-1].sum())))
         size = np.concatenate(sizes)
-        at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate(ids)
-        keys = np.concatenate((self.keys, keys))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.size = keys[order], np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]
+        self.late = self.late.joined(_Pieces(keys, np.cumsum(size) - size, size, np.concatenate(ids)))
 
     def encode(self, raw: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows one after another, ``end`` behind each, and int64 offsets (one more than rows)."""
@@ -93,8 +122,11 @@ class Encoder:
         if self.by_word:
             raw = common.LOWER[raw]  # the tokenizer lower-cases anyway
             starts, ends, first = common.word_bounds(raw, offs, common.SPACED)
+            cuts = np.setdiff1d(_mark_cuts(raw), offs)
+            starts, ends = np.sort(np.concatenate((starts, cuts))), np.sort(np.concatenate((ends, cuts)))
+            first = np.searchsorted(starts, offs)
         elif len(raw):
-            starts = _piece_starts(raw, offs)
+            starts = np.union1d(_piece_starts(raw, offs), _mark_cuts(raw))
             ends = np.append(starts[1:], len(raw))
             first = np.searchsorted(starts, offs)
         else:
@@ -102,22 +134,22 @@ class Encoder:
             first = np.zeros(len(offs), np.int64)
         hashes = common.span_hashes(raw, starts, ends)
         unique, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, unique)
-        missing = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != unique) if len(self.keys) else np.arange(len(unique))
-        if len(missing):
-            view = memoryview(raw)
-            where = sample[missing]
-            kept = len(self.keys)
-            self._learn(unique[missing], [str(view[i:j], "utf-8") for i, j in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
-            if len(self.keys) < kept + len(missing):  # it has forgotten the rest: learn what this chunk needs
-                at = np.searchsorted(self.keys, unique)
-                left = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != unique)
-                self._learn(unique[left], [str(view[i:j], "utf-8") for i, j in zip(starts[sample[left]].tolist(), ends[sample[left]].tolist(), strict=True)])
-            at = np.searchsorted(self.keys, unique)
-        place = at[which] if len(unique) else at
-        size, begin = self.size[place], self.at[place]
+        self._age()
+        in_old, known = self.old.find(unique)
+        new = np.flatnonzero(~known & ~self.late.find(unique)[1])
+        if len(new):
+            view, where = memoryview(raw), sample[new]
+            self._learn(unique[new], [str(view[i:j], "utf-8") for i, j in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+        in_late = self.late.find(unique)[0]
+        size, begin = np.empty(len(unique), np.int64), np.empty(len(unique), np.int64)
+        for mine, held, at in ((known, self.old, in_old), (~known, self.late, in_late)):
+            size[mine], begin[mine] = held.size[at[mine]], held.at[at[mine]]
+        size, begin, known = size[which], begin[which], known[which]
         total = np.concatenate(([0], np.cumsum(size)))
-        flat = self.ids[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
+        source = np.repeat(begin - total[:-1], size) + np.arange(total[-1])
+        from_old = np.repeat(known, size)
+        flat = np.empty(len(source), np.uint32)
+        flat[from_old], flat[~from_old] = self.old.ids[source[from_old]], self.late.ids[source[~from_old]]
         bounds = total[first]
         return np.insert(flat, bounds[1:], closing).astype(np.uint32), bounds + np.arange(len(bounds))
 
