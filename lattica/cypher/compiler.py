@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import time
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import count
@@ -16,7 +18,9 @@ from lattica.operators import traverse
 
 AGGREGATES = {"count", "collect", "max", "min", "sum", "avg"}
 CLAUSES = {"MATCH", "OPTIONAL", "WHERE", "RETURN", "WITH", "UNWIND", "ORDER", "SKIP", "LIMIT", "UNION"}
-MOST_HOPS = 8
+MOST_HOPS = 8  # where a pattern names no upper bound; a parameter of ``run``
+# Fixed values of the language.
+ESCAPES = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
 
 
 @dataclass
@@ -40,11 +44,13 @@ class State:
     nodes: dict[str, list[str]] = field(default_factory=dict)  # variable -> its properties
     edges: dict[str, str] = field(default_factory=dict)  # variable -> "" (types in a column)
     values: set[str] = field(default_factory=set)
+    paths: dict[str, list] = field(default_factory=dict)  # named path -> its nodes and edges
 
 
 class Compiler:
-    def __init__(self, g: Graph, found: list[tuple[str, str]], params: dict[str, Any]):
+    def __init__(self, g: Graph, found: list[tuple[str, str]], params: dict[str, Any], most_hops: int = MOST_HOPS):
         self.g, self.t, self.at, self.params, self.fresh, self.s = g, found, 0, params, count(), State()
+        self.most_hops, self.now = most_hops, int(time.time() * 1000)
 
     # ---- tokens ----
 
@@ -94,7 +100,7 @@ class Compiler:
         kind, text = self.t[self.at]
         self.at += 1
         if kind == "string":
-            return text[1:-1].encode().decode("unicode_escape").encode("latin-1", "surrogatepass").decode("utf-8", "replace") if "\\" in text else text[1:-1]
+            return _unescaped(text[1:-1])
         if kind == "number":
             return float(text) if "." in text or "e" in text.lower() else int(text)
         if kind == "param":
@@ -122,9 +128,9 @@ class Compiler:
                     types.append(self.name())
             if self.maybe("*"):
                 low = int(self.take()) if self.peek().isdigit() else 1
-                high = low if self.peek(-1).isdigit() else MOST_HOPS
+                high = low if self.peek(-1).isdigit() else self.most_hops
                 if self.maybe(".."):
-                    high = int(self.take()) if self.peek().isdigit() else MOST_HOPS
+                    high = int(self.take()) if self.peek().isdigit() else self.most_hops
                 hops = (low, high)
             self.take("]")
         forth = self.maybe("->")
@@ -149,18 +155,15 @@ class Compiler:
             if facet in FACETS:
                 df = df.where(F.col(FACETS[facet]) if FACETS[facet] in df.columns else F.lit(False))
         for key, value in n.props.items():
-            df = df.where(F.col(key) == F.lit(value))
+            df = df.where(F.col(key) == F.lit(value)) if key in df.columns else df.where(F.lit(False))
         return df.select(*(F.col(c).alias(f"{n.name}__{c}") for c in df.columns))
 
-    def steps(self, e: Edge, a: str, b: str) -> DataFrame:
+    def steps(self, e: Edge, a: str, b: str, start: DataFrame | None) -> DataFrame:
         """Edges as columns a__uid, b__uid, and those of the edge's variable."""
         if e.hops:
             low, high = e.hops
-            seeds = self.g.nodes().select("uid") if self.s.df is None or f"{a}__uid" not in self.s.df.columns else self.s.df.select(F.col(f"{a}__uid").alias("uid")).distinct()
-            direction = e.direction
-            out = traverse.paths(self.g, seeds, e.types or self.g.types, high) if direction == "out" else None
-            if out is None:
-                raise QueryError("paths of several hops go forward")
+            seeds = self.g.nodes().select("uid") if start is None or f"{a}__uid" not in start.columns else start.select(F.col(f"{a}__uid").alias("uid")).distinct()
+            out = traverse.paths(self.g, seeds, e.types or self.g.types, high, direction=e.direction)
             out = out.where(F.col("hops") >= max(low, 1)).select(F.col("origin").alias(f"{a}__uid"), F.col("node").alias(f"{b}__uid"), F.col("path").alias(f"{e.name}__path"))
             if low == 0:
                 out = out.unionByName(seeds.select(F.col("uid").alias(f"{a}__uid"), F.col("uid").alias(f"{b}__uid"), F.array("uid").alias(f"{e.name}__path")))
@@ -190,7 +193,9 @@ class Compiler:
             a, e, b = chain[k - 1], chain[k], chain[k + 1]
             same = a.name == b.name
             other = f"_same{next(self.fresh)}" if same else b.name
-            step = self.steps(e, a.name, other)
+            if e.hops and (a.labels or a.props) and (df is None or f"{a.name}__label" not in df.columns):
+                df = self.join(df, self.nodes_of(a))  # paths are walked from these alone
+            step = self.steps(e, a.name, other, df)
             if same:
                 step = step.where(F.col(f"{a.name}__uid") == F.col(f"{other}__uid")).drop(f"{other}__uid")
             df = step if df is None else self.join(df, step)
@@ -211,12 +216,8 @@ class Compiler:
             if self.maybe("OPTIONAL", "MATCH"):
                 self.optional()
             elif self.maybe("MATCH"):
-                while True:
-                    if self.peek(1) == "=":
-                        self.at += 2  # a named path: its nodes are in the edge's variable
-                    self.s.df = self.matched(self.chain(), self.s.df)
-                    if not self.maybe(","):
-                        break
+                for chain in self.pushed(self.chains()):
+                    self.s.df = self.matched(chain, self.s.df)
                 self.where()
             elif self.maybe("UNWIND"):
                 items = self.expr()
@@ -242,19 +243,71 @@ class Compiler:
             out = out.unionByName(df).distinct() if once else out.unionByName(df)
         return out
 
+    def chains(self) -> list[list]:
+        out = []
+        while True:
+            path = None
+            if self.peek(1) == "=":
+                path = self.name()
+                self.take("=")
+            out.append(self.chain())
+            if path:
+                self.s.paths[path] = out[-1]
+            if not self.maybe(","):
+                return out
+
+    def condition(self) -> list[list[tuple[str, str]]]:
+        """The parts between the AND of the WHERE that stands here, as tokens; none if an OR stands beside them."""
+        parts, depth, either = [[]], 0, False
+        for k in range(self.at + 1, len(self.t)):
+            kind, text = self.t[k]
+            before = self.t[k - 1][1].upper()
+            depth += {"(": 1, "[": 1, "{": 1, ")": -1, "]": -1, "}": -1}.get(text, 0)
+            word = text.upper() if kind == "name" and depth == 0 and before != "." else ""
+            if depth < 0 or word in CLAUSES and not (word == "WITH" and before in ("STARTS", "ENDS")):
+                break
+            either |= word == "OR"
+            if word == "AND":
+                parts.append([])
+            else:
+                parts[-1].append((kind, text))
+        return [] if either else parts
+
+    def pushed(self, chains: list[list]) -> list[list]:
+        """The chains, with properties that the WHERE after them sets equal to a value put on their nodes.
+
+        The WHERE still holds; walks of several hops then begin at the nodes it names instead of at all.
+        """
+        if self.word() != "WHERE":
+            return chains
+        for part in self.condition():
+            if len(part) == 5 and [part[1][1], part[3][1]] == [".", "="] and part[0][0] == "name" and part[4][0] in ("string", "number", "param"):
+                value = Compiler(self.g, part[4:], self.params).value()
+                for node in (n for chain in chains for n in chain[::2] if n.name == part[0][1]):
+                    node.props.setdefault(part[2][1].strip("`"), value)
+        return chains
+
     def where(self) -> None:
-        """A condition; absent and present patterns become anti and semi joins where they stand alone."""
-        if not self.maybe("WHERE"):
+        """A condition; patterns in it become anti and semi joins where they stand alone, else columns."""
+        if self.word() != "WHERE":
             return
-        while True:
+        parts = self.condition()
+        self.take("WHERE")
+        if not parts:
+            self.keep(self.disjunction())
+        for k in range(len(parts)):
+            if k:
+                self.take("AND")
             mark, negated = self.at, self.maybe("NOT")
-            if self.is_pattern():
-                self.s.df = self.exists(self.s.df, self.chain(), "left_anti" if negated else "left_semi")
+            if self.begins_pattern():
+                self.s.df = self.exists(self.s.df, "left_anti" if negated else "left_semi")
             else:
                 self.at = mark
-                self.s.df = self.s.df.where(self.disjunction(top=True))
-            if not self.maybe("AND"):
-                break
+                self.keep(self.negation())
+
+    def keep(self, condition: Column) -> None:
+        df = self.s.df.where(condition)
+        self.s.df = df.drop(*(c for c in df.columns if c.startswith("_found")))
 
     def is_pattern(self) -> bool:
         """Whether a bracket here opens a pattern: its match is followed by an edge."""
@@ -268,14 +321,37 @@ class Compiler:
                 return self.peek(k) == "<-" or self.peek(k) == "-" and self.peek(k + 1) in ("[", "-", "->")
         return False
 
-    def exists(self, df: DataFrame, chain: list, how: str) -> DataFrame:
-        keep, self.s.df = self.s.df, None
-        found = self.matched(chain, None)
-        self.s.df = keep
+    def begins_pattern(self) -> bool:
+        return self.word() == "EXISTS" and self.peek(1) == "{" or self.is_pattern()
+
+    def pattern_keys(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        """The distinct values of the query's variables for which the pattern here, or EXISTS { ... }, has a match."""
+        keep, self.s = self.s, State()
+        if self.maybe("EXISTS"):
+            self.take("{")
+            self.maybe("MATCH")
+            for chain in self.pushed(self.chains()):
+                self.s.df = self.matched(chain, self.s.df)
+            self.where()
+            self.take("}")
+        else:
+            self.s.df = self.matched(self.chain(), None)
+        found, self.s = self.s.df, keep
         keys = [c for c in found.columns if c.endswith("__uid") and c in df.columns]
         if not keys:
             raise QueryError("a pattern condition needs a variable of the query")
-        return df.join(found.select(keys).distinct(), keys, how)
+        return found.select(keys).distinct(), keys
+
+    def exists(self, df: DataFrame, how: str) -> DataFrame:
+        found, keys = self.pattern_keys(df)
+        return df.join(found, keys, how)
+
+    def exists_column(self) -> Column:
+        """Whether a pattern has a match, as a column of the current rows: for conditions under OR, and results."""
+        found, keys = self.pattern_keys(self.s.df)
+        name = f"_found{next(self.fresh)}"
+        self.s.df = self.s.df.join(found.withColumn(name, F.lit(True)), keys, "left")
+        return F.coalesce(F.col(name), F.lit(False))
 
     def optional(self) -> None:
         left = self.s.df
@@ -352,24 +428,15 @@ class Compiler:
     def expr(self) -> Column:
         return self.disjunction()
 
-    def disjunction(self, top: bool = False) -> Column:
-        out = self.conjunction(top)
+    def disjunction(self) -> Column:
+        out = self.conjunction()
         while self.maybe("OR"):
             out = out | self.conjunction()
         return out
 
-    def conjunction(self, top: bool = False) -> Column:
+    def conjunction(self) -> Column:
         out = self.negation()
-        while self.word() == "AND":
-            if top and (self.t[self.at + 1][1] == "(" or self.peek(1).upper() == "NOT"):
-                mark = self.at
-                self.at += 1
-                self.maybe("NOT")
-                pattern = self.is_pattern()
-                self.at = mark
-                if pattern:
-                    return out
-            self.at += 1
+        while self.maybe("AND"):
             out = out & self.negation()
         return out
 
@@ -389,7 +456,7 @@ class Compiler:
             return {"=": left == right, "<>": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[op]
         if op == "=~":
             self.at += 1
-            return left.rlike(f"^(?:{self.value()})$")
+            return F.regexp_like(left, F.concat(F.lit("^(?:"), self.sum(), F.lit(")$")))
         if op == "IN":
             self.at += 1
             return F.array_contains(self.sum(), left)
@@ -407,11 +474,18 @@ class Compiler:
         return left
 
     def sum(self) -> Column:
-        out = self.product()
+        """Sums; of a text literal and anything, the joined text."""
+        text, out = self.is_text(), self.product()
         while self.peek() in ("+", "-"):
-            out = out + self.product() if self.take() == "+" else out - self.product()
+            plus = self.take() == "+"
+            text |= plus and self.is_text()
+            right = self.product()
+            out = F.concat(out.cast("string"), right.cast("string")) if plus and text else out + right if plus else out - right
         return out
 
+    def is_text(self) -> bool:
+        return self.at < len(self.t) and self.t[self.at][0] == "string"
+
     def product(self) -> Column:
         out = self.unary()
         while self.peek() in ("*", "/", "%"):
@@ -435,6 +509,16 @@ class Compiler:
         if kind in ("string", "number", "param") or text.upper() in ("TRUE", "FALSE", "NULL"):
             v = self.value()
             return F.array(*(F.lit(x) for x in v)) if isinstance(v, list | tuple) else F.lit(v)
+        if self.begins_pattern():
+            return self.exists_column()
+        if self.maybe("{"):
+            items = []
+            while not self.maybe("}"):
+                key = self.name()
+                self.take(":")
+                items.append(self.expr().alias(key))
+                self.maybe(",")
+            return F.struct(*items)
         if self.maybe("("):
             out = self.expr()
             self.take(")")
@@ -468,13 +552,33 @@ class Compiler:
 
     def property(self, name: str, key: str) -> Column:
         column = f"{name}__{key}"
-        return F.col(column) if self.s.df is not None and column in self.s.df.columns else F.lit(None)
+        columns = self.s.df.columns if self.s.df is not None else []
+        if column in columns:
+            return F.col(column)
+        if name in columns:
+            return F.col(f"`{name}`").getField(key)
+        if not any(c.startswith(f"{name}__") for c in columns):
+            raise QueryError(f"no variable {name}")
+        return F.lit(None)
 
     def has_label(self, name: str, label: str) -> Column:
         if label in FACETS:  # one that was never set isn't that facet
             return F.coalesce(self.property(name, FACETS[label]).cast("boolean"), F.lit(False))
         return F.col(f"{name}__label") == label
 
+    def path_nodes(self, name: str) -> Column:
+        """The uids along a named path, or along the variable of an edge of several hops."""
+        if name not in self.s.paths:
+            if f"{name}__path" not in self.s.df.columns:
+                raise QueryError(f"no path {name}")
+            return F.col(f"{name}__path")
+        chain = self.s.paths[name]
+        parts = [F.array(F.col(f"{chain[0].name}__uid"))]
+        for e, n in zip(chain[1::2], chain[2::2], strict=True):
+            walked = F.col(f"{e.name}__path") if e.hops else None
+            parts.append(F.slice(walked, F.lit(2), F.size(walked)) if e.hops else F.array(F.col(f"{n.name}__uid")))
+        return F.concat(*parts)
+
     def comprehension(self) -> Column:
         name = self.name()
         self.take("IN")
@@ -503,9 +607,9 @@ class Compiler:
             keep = self.atom
 
             def atom() -> Column:
-                if self.peek() == name and self.peek(1) not in (".", "("):
+                if self.peek() == name and self.peek(1) != "(":
                     self.at += 1
-                    return x
+                    return x.getField(self.name()) if self.maybe(".") else x
                 return keep()
 
             self.atom = atom
@@ -540,6 +644,8 @@ class Compiler:
         distinct = self.maybe("DISTINCT")
         args: list[Column] = []
         first = self.peek()
+        if name in ("nodes", "rels", "relationships", "length", "type") and self.peek(1) == ")":
+            self.at += 1  # a path or an edge, not a value
         while not self.maybe(")"):
             args.append(self.expr())
             self.maybe(",")
@@ -553,17 +659,30 @@ class Compiler:
         if name == "round":
             return F.round(args[0].cast("double"), int(self.t[self.at - 2][1]) if len(args) > 1 else 0)
         if name in ("elementid", "id"):
-            return F.col(f"{first}__uid")
+            return F.col(f"{first}__seq" if name == "id" and f"{first}__seq" in self.s.df.columns else f"{first}__uid")
+        if name == "timestamp":
+            return F.lit(self.now)  # one time a query
         if name == "labels":
             return F.array(F.col(f"{first}__label"))
         if name == "type":
             return F.col(f"{first}__type")
-        if name in ("nodes", "rels", "relationships"):
-            paths = [c for c in self.s.df.columns if c.endswith("__path")]
-            return F.col(paths[-1])
+        if name in ("nodes", "rels", "relationships", "length"):
+            nodes = self.path_nodes(first)
+            hops = F.size(nodes) - 1
+            if name == "length":
+                return hops.cast("long")
+            return nodes if name == "nodes" else F.zip_with(F.slice(nodes, 1, hops), F.slice(nodes, 2, hops), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))
         raise QueryError(f"no function {name}")
 
 
-def run(g: Graph, text: str, params: dict[str, Any] | None = None) -> DataFrame:
-    """The result of a reading query over ``g``; nothing of its text reaches SQL."""
-    return Compiler(g, check_read_only(text), params or {}).run()
+def _unescaped(text: str) -> str:
+    return re.sub(r"\\(?:u([0-9A-Fa-f]{4})|(.))", lambda m: chr(int(m[1], 16)) if m[1] else ESCAPES.get(m[2], m[2]), text, flags=re.DOTALL)
+
+
+def run(g: Graph, text: str, params: dict[str, Any] | None = None, most_hops: int = MOST_HOPS) -> DataFrame:
+    """The result of a reading query over ``g``; nothing of its text reaches SQL.
+
+    ``most_hops`` is the longest walk of a pattern that names no upper bound (``*``, ``*2..``). Edges of a path, as
+    ``rels`` gives them, are (src, dst) in the order walked.
+    """
+    return Compiler(g, check_read_only(text), params or {}, most_hops).run()

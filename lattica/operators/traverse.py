@@ -59,12 +59,13 @@ def _onward(walk: DataFrame, steps: DataFrame) -> DataFrame:
     return walk.join(steps, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
 
 
-def paths(g: Graph, seeds: DataFrame, rels: list[str], max_hops: int, enough: int | None = None) -> DataFrame:
-    """(origin, node, hops, path): all simple paths of 1 to ``max_hops`` edges from the seeds (column uid).
+def paths(g: Graph, seeds: DataFrame, rels: list[str], max_hops: int, enough: int | None = None, direction: str = "out") -> DataFrame:
+    """(origin, node, hops, path): all simple paths of 1 to ``max_hops`` edges from the seeds (column uid), along edges,
+    against them or either way.
 
     With ``enough``, longer ones are left out once the shorter are so many: for a caller that wants the first by hops.
     """
-    steps = _steps(g, rels, "out")
+    steps = _steps(g, rels, direction)
     front = seeds.select(F.col("uid").alias("origin"), F.col("uid").alias("node"), F.array("uid").alias("path"))
     out, found = None, 0
     for level in range(1, max_hops + 1):

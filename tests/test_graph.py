@@ -94,6 +94,18 @@ def test_diff(spark):
         ("MATCH (f:Function) WHERE f.name STARTS WITH 'l' AND NOT f:Component RETURN f.name AS f, CASE WHEN f.file = 'c.py' THEN 1 ELSE 0 END AS k ORDER BY f", [("leaf", 0), ("lone", 1)]),
         ("UNWIND [1, 2, 3] AS x WITH x WHERE x > 1 RETURN x, [y IN [1, 5] WHERE y > x | y * 2] AS ys ORDER BY x", [(2, [10]), (3, [10])]),
         ("MATCH (f:Function) WHERE f.name = $n RETURN f.file AS file UNION MATCH (f:Function) WHERE f.name = 'beta' RETURN f.file AS file", [("b.py",)]),
+        ("MATCH (f:Function) WHERE EXISTS { MATCH (f)-[:CALLS]->(c) WHERE c.name = 'leaf' } RETURN f.name AS f", [("alpha",)]),
+        ("MATCH (f:Function) WHERE NOT EXISTS { (f)-[:CALLS]->() } AND f.file <> 'c.py' RETURN f.name AS f", [("leaf",)]),
+        ("MATCH (f:Function) WHERE (f)-[:CALLS]->(:Function {name: 'leaf'}) OR NOT ()-[:CALLS]->(f) RETURN f.name AS f ORDER BY f", [("alpha",), ("lone",), ("open",)]),
+        ("MATCH (f:Function) WHERE f.file = 'b.py' AND (f.name = 'leaf' OR EXISTS { MATCH (f)-[:CALLS]->() }) RETURN f.name AS f ORDER BY f", [("beta",), ("leaf",)]),
+        ("MATCH (f:Function) WHERE f.file = 'b.py' RETURN f.name AS f, EXISTS { (f)-[:CALLS]->() } AS calls ORDER BY f", [("beta", True), ("leaf", False)]),
+        ("MATCH p = (f:Function)-[:CALLS*1..3]->(c) WHERE f.name = 'beta' RETURN nodes(p) AS n, rels(p) AS r, length(p) AS k ORDER BY k", [(["beta", "alpha"], [("beta", "alpha")], 1), (["beta", "alpha", "leaf"], [("beta", "alpha"), ("alpha", "leaf")], 2)]),
+        ("MATCH p = (f:Function)-[:CALLS]->(c) WHERE c.name = 'leaf' RETURN nodes(p) AS n", [(["alpha", "leaf"],)]),
+        ("MATCH (f:Function {name: 'leaf'})<-[:CALLS*1..2]-(c) RETURN c.name AS c ORDER BY c", [("alpha",), ("beta",)]),
+        ("MATCH (f:Function) WHERE f.name =~ ('l' + '.+') RETURN f.name + '!' AS f ORDER BY f", [("leaf!",), ("lone!",)]),
+        ("MATCH (f:Function) WHERE f.name =~ 'lea.' RETURN {name: f.name, at: f.startLine} AS m", [(("leaf", 10),)]),
+        ("MATCH (f:Function) WHERE f.file = 'b.py' RETURN [x IN collect({n: f.name}) WHERE x.n = 'leaf' | x.n] AS ns", [(["leaf"],)]),
+        (r"RETURN '\u0416\u00e9\n' AS s, timestamp() > 0 AS t", [("Жé\n", True)]),
     ],
 )
 def test_cypher(graph, text, want):
@@ -106,6 +118,20 @@ def test_guard_rejects(text):
         cypher.check_read_only(text)
 
 
+@pytest.mark.parametrize("text", ["MATCH (f:Function) WHERE EXISTS { (g)-[:CALLS]->() } RETURN f.name", "MATCH (f:Function) RETURN g.name", "MATCH (f:Function) RETURN nodes(p)"])
+def test_cypher_names_what_is_missing(graph, text):
+    with pytest.raises(cypher.QueryError):
+        cypher.run(graph, text)
+
+
+def test_cypher_starts_walks_at_named_nodes(graph, monkeypatch):
+    seen = []
+    walk = traverse.paths
+    monkeypatch.setattr(traverse, "paths", lambda g, seeds, *a, **k: seen.append(seeds.count()) or walk(g, seeds, *a, **k))
+    rows = cypher.run(graph, "MATCH (f:Function)-[:CALLS*]->(c) WHERE f.name = 'beta' AND c.name = 'leaf' RETURN c.uid AS c").collect()
+    assert [r.c for r in rows] == ["leaf"] and seen == [1]
+
+
 def test_guard_accepts():
     assert cypher.check_read_only("MATCH (n) WHERE n.name = 'DELETE' RETURN n.set AS x // SET")
 
