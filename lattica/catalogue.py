@@ -144,6 +144,9 @@ _add("address_segments", lambda g: g.label("File").select("uid", identity.fnv1a3
 , f AS (SELECT uid, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), [CAST(ascii(c) AS BIGINT) FOR c IN string_split(uid, '')]), lambda h, c: xor(h, c) * 16777619 % 4294967296) AS fnv FROM fi) SELECT uid, fnv, 'fd00:0001:' || lpad(lower(to_hex(fnv % 65536)), 4, '0') AS subnet FROM f""")
 _add("pattern_query", lambda g: cypher.run(g, "MATCH (a:Function)-[:CALLS]->(b:Function) WHERE a.visibility = 'public' AND NOT (b)-[:CALLS]->() RETURN a.file AS file, count(*) AS n, count(DISTINCT b.uid) AS targets ORDER BY n DESC, file LIMIT 10"), """
 SELECT a.file, count(*) AS n, count(DISTINCT b.uid) AS targets FROM calls JOIN fn a ON src = a.uid JOIN fn b ON dst = b.uid WHERE a.visibility = 'public' AND b.uid NOT IN (SELECT src FROM calls) GROUP BY a.file ORDER BY n DESC, a.file LIMIT 10""")
+_add("pattern_conditions", lambda g: cypher.run(g, "MATCH (f:Function) WHERE EXISTS { MATCH (f)-[:CALLS]->(c:Function) WHERE c.visibility = 'private' } AND ((f)-[:WRITES_STATE]->() OR f.visibility = 'public') RETURN f.visibility AS visibility, EXISTS { (f)-[:CALLS]->(f) } AS selfish, count(*) AS n"), """
+SELECT visibility, uid IN (SELECT src FROM calls WHERE src = dst) AS selfish, count(*) AS n FROM fn WHERE uid IN (SELECT src FROM calls JOIN fn c ON dst = c.uid WHERE c.visibility = 'private') AND (uid IN (SELECT src FROM writes) OR visibility = 'public') GROUP BY 1, 2""")
+_add("walks_by_file", lambda g: cypher.run(g, "MATCH p = (f:Function)-[:CALLS*1..2]->(c:Function) WHERE f.uid = $hub RETURN length(p) AS hops, c.file AS file, count(*) AS n", {"hub": _hub(g)}), PATHS.format(k=2) + "SELECT CAST(hops AS BIGINT) AS hops, file, count(*) AS n FROM p JOIN fn ON path[-1] = uid GROUP BY 1, 2", True)
 
 _table("magic_numbers", lambda spark, d: A.magic_numbers(_literals(spark, d)), f"""
 WITH l AS (SELECT source AS file, unnest(list_filter(regexp_extract_all(regexp_replace(text, '[^A-Za-z0-9_.]+', ' ', 'g'), '[A-Za-z0-9_.]+'), lambda x: regexp_full_match(x, '[0-9]+([.][0-9]+)?'))) AS v FROM documents),

@@ -363,8 +363,9 @@ def verify_terms(g: Graph, terms: list[str], labels: list[str] | None = None) ->
 
 
 def node_search(g: Graph, text: str, k: int = 51, labels: list[str] | None = None) -> DataFrame:
-    """Nodes whose name holds ``text`` in any case: exact ones first, then those that begin with it."""
-    low, want = F.lower("name"), text.lower()
+    """Nodes whose name (their file's, if they have none) holds ``text`` in any case: exact ones first, then those that
+    begin with it. A caller who shows k - 1 knows by the last row that there are more."""
+    low, want = F.lower(F.coalesce("name", "file")), text.lower()
     out = g.nodes(labels).where(F.contains(low, F.lit(want)))
     rank = F.when(low == want, 0).when(F.startswith(low, F.lit(want)), 1).otherwise(2)
     return _top(out.select("uid", "name", "file", rank.alias("rank")), ["rank", "name", "file", "uid"], k)
