@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, jaccard, language_model, media, packing, pii, secrets, token_store, toxicity
+from . import decontaminate, html_text, infill, jaccard, language_model, media, packing, pii, secrets, spelling, token_store, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,15 @@ QUERIES = {
         pii.op8_pii,
         media.op9_media,
         toxicity.op10_toxicity,
+        spelling.op11_spelling,
+        warc.op12_warc,
+        infill.op13_infill,
     )
 }
-ORACLE_SQL = {"op1_jaccard": jaccard.ORACLE_SQL, "op3_decontaminate": decontaminate.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_jaccard": jaccard.ORACLE_SQL,
+    "op3_decontaminate": decontaminate.ORACLE_SQL,
+    "op11_spelling": spelling.ORACLE_SQL,
+    "op12_warc": warc.ORACLE_SQL,
+    "op13_infill": infill.ORACLE_SQL,
+}
