@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from lattica import cypher
 from lattica.functions import identity
 from lattica.graph import Graph
-from lattica.operators import mutate, traverse
+from lattica.operators import budget, cycles, intervals, mutate, shortest, traverse
 from lattica.plans import addresses, class_model, conformance, diff, impact, messaging, scheduling, views, workflow
 from lattica.plans import analyses as A
-from lattica.sources import extract
+from lattica.sources import dom, extract
 from lattica.sources.app import APP_SQL, app_graph
+from lattica.sources.dom import DOM_SQL
 from lattica.sources.star import STAR_SQL, star_graph
 from lattica.streaming import events
 
@@ -78,8 +79,91 @@ _add("callers_of_function", lambda g: A.callers_of_function(g, _first_name(g)),
 SELECT a.name AS caller, a.file, a.uid, b.uid AS callee FROM calls JOIN fn a ON src = a.uid JOIN fn b ON dst = b.uid WHERE b.name = (SELECT min(name) FROM fn)""")
 PATHS = ", p AS (SELECT src AS o, [src, dst] AS path, 1 AS hops FROM step WHERE src = (SELECT src FROM hub) UNION ALL SELECT o, list_append(path, step.dst), hops + 1 FROM p JOIN step ON path[-1] = step.src WHERE hops < {k} AND NOT list_contains(path, step.dst)) "
 _add("call_chain", lambda g: A.call_chain(g, _hub(g)), PATHS.format(k=2) + """SELECT array_to_string(path, ',') AS "callChain", CAST(hops AS BIGINT) AS hops FROM p ORDER BY hops, "callChain" LIMIT 30""", True)
-_add("circular_imports", lambda g: A.circular_imports(g, "IMPORTS", 6), """
-, w AS (SELECT src AS o, dst AS n, 1 AS k FROM imports UNION SELECT o, dst, k + 1 FROM w JOIN imports ON n = src WHERE k < 6 AND n <> o) SELECT uid, path FROM fi WHERE uid IN (SELECT o FROM w WHERE o = n)""", True)
+
+
+def _first_cycles(edges: str, most: int) -> str:
+    """Tables w1 to w<most>: the first walk of so many edges between two nodes; and cyc, each node's first shortest cycle."""
+    parts = [f"w1 AS (SELECT src AS o, dst AS n, [src, dst] AS path FROM {edges} WHERE src <> dst)"]
+    parts += [f"w{k} AS (SELECT o, dst AS n, min(list_append(path, dst)) AS path FROM w{k - 1} JOIN {edges} ON n = src WHERE n <> o AND src <> dst GROUP BY 1, 2)" for k in range(2, most + 1)]
+    every = " UNION ALL ".join(f"SELECT o, path FROM w{k} WHERE o = n" for k in range(2, most + 1))
+    return f", {', '.join(parts)}, cyc AS (SELECT o, arg_min(path, len(path)) AS path FROM ({every}) GROUP BY o) "
+
+
+_add("circular_imports", lambda g: A.circular_imports(g, "IMPORTS", 6), _first_cycles("imports", 6) + """SELECT uid, fi.path, array_to_string(cyc.path, ',') AS "importCycle" FROM fi JOIN cyc ON uid = o""")
+# the same questions to the sparse calls of urgent orders, where both answers occur
+_add("circular_calls_urgent", lambda g: A.circular_imports(g, "CALLS_URGENT", 6, "Function").drop("path"), _first_cycles("urgent", 6) + """SELECT uid, array_to_string(path, ',') AS "importCycle" FROM fn JOIN cyc ON uid = o""")
+_add("recursion_urgent", lambda g: A.recursion(g, "CALLS_URGENT"), _first_cycles("urgent", 5) + """SELECT uid, name AS "recursiveFunction", file FROM fn WHERE uid IN (SELECT o FROM cyc UNION SELECT src FROM urgent WHERE src = dst)""")
+_add("entry_points_urgent", lambda g: A.entry_points(g, "CALLS_URGENT"), 'SELECT uid, name AS "entryPoint", file FROM fn WHERE uid IN (SELECT src FROM urgent) AND uid NOT IN (SELECT dst FROM urgent)')
+_add("dead_code_urgent", lambda g: A.dead_code(g, "CALLS_URGENT").drop("frameworkKind", "specSignals"), """
+SELECT f.uid, f.name AS function, f.file, CASE WHEN coalesce(t, 0) > 0 THEN 'planned_stub' WHEN visibility = 'public' THEN 'public_no_static_caller' ELSE 'private_no_caller' END AS category,
+CASE WHEN coalesce(t, 0) > 0 THEN 'none' WHEN visibility = 'public' THEN 'low' ELSE 'medium' END AS "analysisConfidence", visibility, coalesce(t, 0) AS "taskSignals", false AS "passedAsCallback"
+FROM fn f LEFT JOIN (SELECT dst, count(DISTINCT src) AS t FROM affects GROUP BY dst) a ON f.uid = a.dst WHERE f.uid NOT IN (SELECT dst FROM urgent)""")
+_add("strong_components", lambda g: cycles.components(g.rel("CALLS_URGENT")), """
+, r AS (SELECT src AS o, dst AS n FROM urgent WHERE src <> dst UNION SELECT o, dst FROM r JOIN urgent ON n = src), both_ AS (SELECT a.o, a.n FROM r a JOIN r b ON a.o = b.n AND a.n = b.o)
+SELECT o AS uid, min(n) AS component, count(*) AS size FROM both_ GROUP BY o HAVING count(*) > 1""", True)
+QUERIES["component_cycles"] = lambda spark, d: cycles.component_cycles(star_graph(spark, d).rel("CALLS_URGENT")).withColumn("cycle", F.array_join("cycle", ","))
+
+
+def _urgent(g: Graph) -> Graph:
+    """The graph whose calls are those of urgent orders."""
+    return _with(g, "CALLS", lambda: g.rel("CALLS_URGENT"))
+
+
+_add("recursion_pattern", lambda g: cypher.run(_urgent(g), "MATCH (f:Function)-[:CALLS*1..5]->(f) RETURN DISTINCT elementId(f) AS uid, f.name AS recursiveFunction, f.file AS file"), ORACLE_SQL["recursion_urgent"].split("WITH ", 1)[1].split(STAR_SQL, 1)[1])
+# walks that use no edge twice, from each function back to itself
+_add("closed_walks", lambda g: cypher.run(_urgent(g), "MATCH path = (a:Function)-[:CALLS*2..5]->(a) RETURN elementId(a) AS uid, [n IN nodes(path) | n.name] AS names").select("uid", F.array_join("names", ",").alias("cycle")), """
+, e AS (SELECT src, dst, src || '>' || dst AS id FROM urgent), w AS (SELECT src AS o, [src, dst] AS path, [id] AS used FROM e UNION ALL SELECT o, list_append(path, dst), list_append(used, id) FROM w JOIN e ON path[-1] = src WHERE len(used) < 5 AND NOT list_contains(used, id))
+, c AS (SELECT row_number() OVER () AS k, o, path FROM w WHERE len(used) >= 2 AND path[-1] = o), x AS (SELECT k, o, unnest(range(len(path))) AS i, unnest(path) AS node FROM c)
+SELECT o AS uid, string_agg(fn.name, ',' ORDER BY i) AS cycle FROM x JOIN fn ON node = fn.uid GROUP BY k, o""", True)
+
+
+def _far(g: Graph) -> DataFrame:
+    """The first and the last function of each finished order."""
+    t = g.rel("AFFECTS").join(g.label("Task").where("status = 'done'").select(F.col("uid").alias("src")), "src", "left_semi")
+    return t.groupBy("src").agg(F.min("dst").alias("start"), F.max("dst").alias("target")).select("start", "target")
+
+
+_WALKS = ", w0 AS (SELECT DISTINCT src AS o, src AS n, CAST(1 AS BIGINT) AS c FROM urgent)" + "".join(f", w{k} AS (SELECT o, dst AS n, CAST(sum(c) AS BIGINT) AS c FROM w{k - 1} JOIN urgent ON n = src WHERE src <> dst GROUP BY 1, 2)" for k in range(1, 7))
+_FAR = ", far AS (SELECT DISTINCT min(dst) AS start, max(dst) AS target FROM affects JOIN ta ON src = ta.uid WHERE status = 'done' GROUP BY src)"
+_add("shortest_pairs", lambda g: shortest.shortest(g.rel("CALLS_URGENT"), _far(g), 6), _WALKS + _FAR + f"""
+, d AS ({" UNION ALL ".join(f"SELECT start, target, {k} AS hops, c FROM far JOIN w{k} ON o = start AND n = target WHERE start <> target" for k in range(1, 7))})
+SELECT start, target, CAST(min(hops) AS BIGINT) AS hops, arg_min(c, hops) AS paths FROM d GROUP BY 1, 2 UNION ALL SELECT start, target, CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM far WHERE start = target""")
+QUERIES["budget_view"] = lambda spark, d: _budget_view(star_graph(spark, d))
+
+
+def _budget_view(g: Graph) -> DataFrame:
+    """500 connected nodes of the code, a quarter of them without edges if there are such."""
+    return budget.connected(g.nodes(CODE).select("uid", "label"), g.edges(TYPES), 500, isolated=True)
+
+
+def _edits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Order lines as edits of the file of their part, from the part's first line on, as many lines as were ordered; and
+    parts as spans."""
+    f = star_graph(spark, d).label("Function").select("uid", "file", F.col("startLine").alias("start"), F.col("endLine").alias("end"))
+    line = _read(spark, d, "lineitem").select(F.concat(F.lit("Task:"), "l_orderkey").alias("task"), F.concat(F.lit("Function:"), "l_partkey").alias("uid"), F.col("l_quantity").cast("long").alias("n"), F.to_date("l_shipdate").alias("at"))
+    edits = line.join(f.select("uid", "file", "start"), "uid").select("task", "file", "start", (F.col("start") + F.col("n") - 1).alias("end"), "at")
+    return edits, f
+
+
+_EDITS = ', ed AS (SELECT \'Task:\' || l_orderkey AS task, file, "startLine" AS s, "startLine" + CAST(l_quantity AS BIGINT) - 1 AS e, CAST(l_shipdate AS DATE) AS "at" FROM lineitem JOIN fn ON uid = \'Function:\' || l_partkey) '
+QUERIES["touched_functions"] = lambda spark, d: intervals.touches(*_edits(spark, d))
+ORACLE_SQL["touched_functions"] = f"""WITH {STAR_SQL} {_EDITS}
+SELECT task, uid, ed.file, max("at") AS "at", min("at") AS "firstAt", count(*) AS edits, CAST(sum(least(e, "endLine") - greatest(s, "startLine") + 1) AS BIGINT) AS lines FROM ed JOIN fn ON ed.file = fn.file AND s <= "endLine" AND "startLine" <= e GROUP BY 1, 2, 3"""
+QUERIES["innermost_function"] = lambda spark, d: _innermost(spark, d)
+ORACLE_SQL["innermost_function"] = f"""WITH {STAR_SQL} {_EDITS}
+, l AS (SELECT DISTINCT file, e AS line FROM ed), h AS (SELECT l.file, line, arg_min(uid, ("endLine" - "startLine", -"startLine", uid)) AS inner_ FROM l JOIN fn ON l.file = fn.file AND line BETWEEN "startLine" AND "endLine" GROUP BY 1, 2)
+SELECT ed.file, e AS line, inner_ AS "inner", count(*) AS n FROM ed LEFT JOIN h ON ed.file = h.file AND e = line GROUP BY 1, 2, 3"""
+_add("nested_spans", lambda g: intervals.nested(g.label("Function").select("uid", "file", F.col("startLine").alias("start"), F.col("endLine").alias("end")), "file").select("uid", "parent"), """
+SELECT a.uid, arg_min(b.uid, (b."endLine" - b."startLine", -b."startLine", b.uid)) AS parent FROM fn a LEFT JOIN fn b ON a.file = b.file AND b."startLine" <= a."startLine" AND b."endLine" >= a."endLine" AND b."endLine" - b."startLine" > a."endLine" - a."startLine" GROUP BY a.uid""")
+
+
+def _innermost(spark: SparkSession, d: str) -> DataFrame:
+    """How often each line is an edit's last, and the innermost function there."""
+    edits, f = _edits(spark, d)
+    points = edits.select("file", F.col("end").alias("line"))
+    return intervals.innermost(points, f, "file").groupBy("file", "line", "inner").agg(F.count(F.lit(1)).alias("n"))
+
+
 _add("files_overview", lambda g: A.files_overview(g).drop("lang"), "SELECT path AS file, coalesce(n, 0) AS functions FROM fi LEFT JOIN (SELECT src, count(*) AS n FROM contains GROUP BY src) ON uid = src")
 _add("react_state_writers", A.react_state_writers, 'SELECT f.uid, f.name AS component, s.name AS "stateSetter", f.file FROM writes JOIN fn f ON src = f.uid JOIN st s ON dst = s.uid')
 _add("user_events", A.user_events, """SELECT 'UserEvent:' || event_id AS uid, 'User:' || user_id AS "user", event_type AS type, ts AS "timestamp" FROM events ORDER BY ts DESC, uid LIMIT 30""")
@@ -146,7 +230,10 @@ _add("pattern_query", lambda g: cypher.run(g, "MATCH (a:Function)-[:CALLS]->(b:F
 SELECT a.file, count(*) AS n, count(DISTINCT b.uid) AS targets FROM calls JOIN fn a ON src = a.uid JOIN fn b ON dst = b.uid WHERE a.visibility = 'public' AND b.uid NOT IN (SELECT src FROM calls) GROUP BY a.file ORDER BY n DESC, a.file LIMIT 10""")
 _add("pattern_conditions", lambda g: cypher.run(g, "MATCH (f:Function) WHERE EXISTS { MATCH (f)-[:CALLS]->(c:Function) WHERE c.visibility = 'private' } AND ((f)-[:WRITES_STATE]->() OR f.visibility = 'public') RETURN f.visibility AS visibility, EXISTS { (f)-[:CALLS]->(f) } AS selfish, count(*) AS n"), """
 SELECT visibility, uid IN (SELECT src FROM calls WHERE src = dst) AS selfish, count(*) AS n FROM fn WHERE uid IN (SELECT src FROM calls JOIN fn c ON dst = c.uid WHERE c.visibility = 'private') AND (uid IN (SELECT src FROM writes) OR visibility = 'public') GROUP BY 1, 2""")
-_add("walks_by_file", lambda g: cypher.run(g, "MATCH p = (f:Function)-[:CALLS*1..2]->(c:Function) WHERE f.uid = $hub RETURN length(p) AS hops, c.file AS file, count(*) AS n", {"hub": _hub(g)}), PATHS.format(k=2) + "SELECT CAST(hops AS BIGINT) AS hops, file, count(*) AS n FROM p JOIN fn ON path[-1] = uid GROUP BY 1, 2", True)
+_add("walks_by_file", lambda g: cypher.run(g, "MATCH p = (f:Function)-[:CALLS*1..2]->(c:Function) WHERE f.uid = $hub RETURN length(p) AS hops, c.file AS file, count(*) AS n", {"hub": _hub(g)}), """
+, p AS (SELECT dst AS n, 1 AS hops FROM calls WHERE src = (SELECT src FROM hub) UNION ALL SELECT b.dst, 2 FROM calls a JOIN calls b ON a.dst = b.src WHERE a.src = (SELECT src FROM hub) AND NOT (a.src = b.src AND a.dst = b.dst))
+SELECT CAST(hops AS BIGINT) AS hops, file, count(*) AS n FROM p JOIN fn ON n = uid GROUP BY 1, 2""")
+_add("signature_pairs", lambda g: cypher.run(g, "MATCH (f1:Function), (f2:Function) WHERE f1.params = f2.params AND f1.params <> '()' AND f1.name < f2.name RETURN elementId(f1) AS uid, f1.name + ' / ' + f2.name AS pair, f1.file + f2.file AS files"), "SELECT a.uid, a.name || ' / ' || b.name AS pair, a.file || b.file AS files FROM fn a JOIN fn b ON a.params = b.params AND a.name < b.name WHERE a.params <> '()'")
 
 _table("magic_numbers", lambda spark, d: A.magic_numbers(_literals(spark, d)), f"""
 WITH l AS (SELECT source AS file, unnest(list_filter(regexp_extract_all(regexp_replace(text, '[^A-Za-z0-9_.]+', ' ', 'g'), '[A-Za-z0-9_.]+'), lambda x: regexp_full_match(x, '[0-9]+([.][0-9]+)?'))) AS v FROM documents),
@@ -230,8 +317,11 @@ _app("dom_to_handler_chain", lambda g: A.dom_to_handler_chain(_handlers(g)), """
 c AS (SELECT *, coalesce(sum(w) OVER (ORDER BY t, handler, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM h), k AS (SELECT * FROM c WHERE s < 30),
 p AS (SELECT o, [o, dst] AS path, 1 AS hops FROM k JOIN step ON o = src UNION ALL SELECT o, list_append(path, step.dst), hops + 1 FROM p JOIN step ON path[-1] = step.src WHERE hops < 4 AND NOT list_contains(path, step.dst))
 SELECT t AS "testId", 'html' AS tag, 'click' AS event, handler, array_to_string(path, ',') AS "callChain" FROM k LEFT JOIN p ON k.o = p.o ORDER BY 1, 4, 5 NULLS FIRST LIMIT 30""", True)
-_app("runtime_dom_tree", A.runtime_dom_tree, """
-SELECT a.t AS "parentTag", CAST(NULL AS VARCHAR) AS "parentTestId", b.t AS "childTag", CAST(NULL AS VARCHAR) AS "childTestId", '/' || b.page_id || '/' || b.n AS xpath FROM tags a JOIN tags b ON a.page_id = b.page_id AND b.n = a.n + 1 ORDER BY xpath LIMIT 50""")
+QUERIES["runtime_dom_tree"] = lambda spark, d: A.runtime_dom_tree(app_graph(spark, d))
+ORACLE_SQL["runtime_dom_tree"] = f"""WITH RECURSIVE {DOM_SQL}
+SELECT a.tag AS "parentTag", CAST(NULL AS VARCHAR) AS "parentTestId", b.tag AS "childTag", CAST(NULL AS VARCHAR) AS "childTestId", xpath FROM dom a JOIN dom b ON a.page_id = b.page_id AND b.parent = a.n JOIN paths p ON p.page_id = b.page_id AND p.n = b.n ORDER BY xpath LIMIT 50"""
+_table("dom_tree", lambda spark, d: dom.tree(_read(spark, d, "pages")), f"""WITH RECURSIVE {DOM_SQL}
+SELECT d.page_id, url, d.n, tag AS "tagName", depth, parent, xpath FROM dom d JOIN paths p ON d.page_id = p.page_id AND d.n = p.n""")
 _app("most_clicked_components", A.most_clicked_components, """SELECT fn.name AS component, n AS clicks, uid FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY user_id) JOIN fn ON uid = 'Function:' || user_id ORDER BY n DESC, uid LIMIT 20""")
 _app("execution_path_frequency", A.execution_path_frequency, """SELECT lower(hex(event_type)) AS "pathHex", count(*) AS freq FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15""")
 _app("execution_path_for_event", lambda g: A.execution_path_for_event(g, g.rel("EXECUTION_STEP").agg(F.max("src")).first()[0] or ""), """SELECT n AS "stepOrder", fn.name AS function, file, uid FROM steps JOIN fn ON f = uid WHERE 'UserEvent:' || e = (SELECT max('UserEvent:' || e) FROM steps)""")

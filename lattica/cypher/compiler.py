@@ -9,16 +9,16 @@ from functools import reduce
 from itertools import count
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.cypher.lexer import QueryError, check_read_only
 from lattica.graph import FACETS, Graph
-from lattica.operators import traverse
+from lattica.operators import cycles, shortest, traverse, walks
 
 AGGREGATES = {"count", "collect", "max", "min", "sum", "avg"}
 CLAUSES = {"MATCH", "OPTIONAL", "WHERE", "RETURN", "WITH", "UNWIND", "ORDER", "SKIP", "LIMIT", "UNION"}
-MOST_HOPS = 8  # where a pattern names no upper bound; a parameter of ``run``
 # Fixed values of the language.
 ESCAPES = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
 
@@ -35,7 +35,10 @@ class Edge:
     name: str
     types: list[str]
     direction: str  # out, in, both
-    hops: tuple[int, int] | None
+    hops: tuple[int, int | None] | None
+    every: bool | None = None  # of a shortest path: all of them, or one
+    lean: bool = False  # only which ends are joined counts, not by how many walks
+    enough: int | None = None  # so many walks will do
 
 
 @dataclass
@@ -48,9 +51,9 @@ class State:
 
 
 class Compiler:
-    def __init__(self, g: Graph, found: list[tuple[str, str]], params: dict[str, Any], most_hops: int = MOST_HOPS):
+    def __init__(self, g: Graph, found: list[tuple[str, str]], params: dict[str, Any], most_hops: int | None = None):
         self.g, self.t, self.at, self.params, self.fresh, self.s = g, found, 0, params, count(), State()
-        self.most_hops, self.now = most_hops, int(time.time() * 1000)
+        self.most_hops, self.now, self.within = most_hops, int(time.time() * 1000), False
 
     # ---- tokens ----
 
@@ -128,9 +131,9 @@ class Compiler:
                     types.append(self.name())
             if self.maybe("*"):
                 low = int(self.take()) if self.peek().isdigit() else 1
-                high = low if self.peek(-1).isdigit() else self.most_hops
+                high = low if self.peek(-1).isdigit() else None
                 if self.maybe(".."):
-                    high = int(self.take()) if self.peek().isdigit() else self.most_hops
+                    high = int(self.take()) if self.peek().isdigit() else None
                 hops = (low, high)
             self.take("]")
         forth = self.maybe("->")
@@ -158,16 +161,51 @@ class Compiler:
             df = df.where(F.col(key) == F.lit(value)) if key in df.columns else df.where(F.lit(False))
         return df.select(*(F.col(c).alias(f"{n.name}__{c}") for c in df.columns))
 
-    def steps(self, e: Edge, a: str, b: str, start: DataFrame | None) -> DataFrame:
+    def walked(self, e: Edge, seeds: DataFrame, ends: DataFrame | None, closed: bool) -> DataFrame:
+        """(origin, node, path) of the walks of an edge of several hops; no walk uses an edge twice.
+
+        Where only the ends count, walks aren't listed: of one or more edges there is one between two nodes if a shortest
+        one is short enough, and a node is on a closed one of one or two edges or more if it is on a simple cycle.
+        """
+        (low, high), types = e.hops, e.types or self.g.types
+        bound = self.most_hops + 1 if high is None and self.most_hops is not None else high
+        if e.lean and closed and 1 <= low <= 2 and e.direction != "both" and self.most_hops is None:
+            found = self.on_cycle(types, low, high).join(seeds, "uid", "left_semi")
+            return found.select(F.col("uid").alias("origin"), F.col("uid").alias("node"), F.array("uid").alias("path"))
+        if e.lean and not closed and low <= 1 and (high is not None or self.most_hops is None):
+            far = traverse.reach(self.g, seeds, types, high, e.direction).where("dist > 0").select("origin", "node")
+            again = Edge(e.name, types, e.direction, (1, high), lean=True)
+            near = self.walked(again, seeds, None, True).select("origin", "node")
+            ends_ = far.unionByName(near.distinct())
+            if low == 0:
+                ends_ = ends_.unionByName(seeds.select(F.col("uid").alias("origin"), F.col("uid").alias("node"))).distinct()
+            return ends_.withColumn("path", F.array("origin", "node"))
+        if closed and bound is not None:
+            out = walks.closed(self.g, types, low, bound, e.direction, seeds, e.enough)
+        else:
+            out = walks.walks(self.g, seeds, types, low, bound, e.direction, e.enough, ends)
+            out = out.where("origin = node") if closed else out
+        if bound != high and not out.where(F.col("hops") == bound).isEmpty():
+            raise QueryError(f"walks of more than {self.most_hops} hops exist; name an upper bound or allow more")
+        return out
+
+    def on_cycle(self, types: list[str], low: int, high: int | None) -> DataFrame:
+        """(uid): nodes on a closed walk of ``low`` (1 or 2) to ``high`` edges."""
+        edges = self.g.rel(*types).select("src", "dst")
+        loops = walks.numbered(self.g, types).where("src = dst").groupBy(F.col("src").alias("uid")).agg(F.count(F.lit(1)).alias("n"))
+        found = loops.where(F.col("n") >= low).select("uid")
+        if high is None:
+            found = found.unionByName(cycles.components(edges).select("uid"))
+        elif high > 1:
+            found = found.unionByName(cycles.on_short(edges, high))
+        return found.distinct()
+
+    def steps(self, e: Edge, a: str, b: str, start: DataFrame | None, ends: DataFrame | None = None, closed: bool = False) -> DataFrame:
         """Edges as columns a__uid, b__uid, and those of the edge's variable."""
-        if e.hops:
-            low, high = e.hops
+        if e.hops and e.every is None:
             seeds = self.g.nodes().select("uid") if start is None or f"{a}__uid" not in start.columns else start.select(F.col(f"{a}__uid").alias("uid")).distinct()
-            out = traverse.paths(self.g, seeds, e.types or self.g.types, high, direction=e.direction)
-            out = out.where(F.col("hops") >= max(low, 1)).select(F.col("origin").alias(f"{a}__uid"), F.col("node").alias(f"{b}__uid"), F.col("path").alias(f"{e.name}__path"))
-            if low == 0:
-                out = out.unionByName(seeds.select(F.col("uid").alias(f"{a}__uid"), F.col("uid").alias(f"{b}__uid"), F.array("uid").alias(f"{e.name}__path")))
-            return out
+            out = self.walked(e, seeds, ends, closed)
+            return out.select(F.col("origin").alias(f"{a}__uid"), F.col("node").alias(f"{b}__uid"), F.col("path").alias(f"{e.name}__path"))
         types = e.types or self.g.types
         all_ = [self.g.rel(t).withColumn("type", F.lit(t)) for t in types]
         df = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), all_)
@@ -195,7 +233,11 @@ class Compiler:
             other = f"_same{next(self.fresh)}" if same else b.name
             if e.hops and (a.labels or a.props) and (df is None or f"{a.name}__label" not in df.columns):
                 df = self.join(df, self.nodes_of(a))  # paths are walked from these alone
-            step = self.steps(e, a.name, other, df)
+            if e.every is not None:
+                df = self.shortest(e, a, b, df)
+                continue
+            ends = self.nodes_of(b).select(F.col(f"{b.name}__uid").alias("uid")) if e.enough and (b.labels or b.props) else None
+            step = self.steps(e, a.name, other, df, ends, same)
             if same:
                 step = step.where(F.col(f"{a.name}__uid") == F.col(f"{other}__uid")).drop(f"{other}__uid")
             df = step if df is None else self.join(df, step)
@@ -204,6 +246,34 @@ class Compiler:
                     df = self.join(df, self.nodes_of(n))
         return df
 
+    def shortest(self, e: Edge, a: Node, b: Node, df: DataFrame | None) -> DataFrame:
+        """Rows whose two nodes are joined, with one or all of the shortest paths between them; both nodes must be known.
+
+        Parallel edges count as one. Of several shortest paths, one is the first by the uids along it.
+        """
+        low, high = e.hops or (1, 1)
+        if low > 1:
+            raise QueryError("a shortest path has a lower bound of 0 or 1")
+        if b.labels or b.props or df is None or f"{b.name}__uid" not in df.columns:
+            ends = self.nodes_of(b)
+            if df is None or f"{b.name}__uid" in df.columns:
+                df = self.join(df, ends)
+            else:
+                one = [x for x in (df, ends) if len(x.limit(2).collect()) < 2]
+                if not one:
+                    raise QueryError("match both ends of a shortest path first, or name one of them by its properties")
+                df = df.join(F.broadcast(ends)) if one[0] is ends else ends.join(F.broadcast(df))  # a single row
+        if f"{a.name}__uid" not in df.columns:
+            raise QueryError("match both ends of a shortest path first, or name one of them by its properties")
+        edges = self.g.rel(*(e.types or self.g.types)).select("src", "dst")
+        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        edges = {"out": edges, "in": back, "both": edges.unionByName(back)}[e.direction]
+        pairs = df.select(F.col(f"{a.name}__uid").alias("start"), F.col(f"{b.name}__uid").alias("target"))
+        found = shortest.shortest(edges, pairs, high, listed=True).where(F.col("hops") >= low)
+        if not e.every:
+            found = found.groupBy("start", "target").agg(F.min("path").alias("path"))
+        return df.join(found.select(F.col("start").alias(f"{a.name}__uid"), F.col("target").alias(f"{b.name}__uid"), F.col("path").alias(f"{e.name}__path")), [f"{a.name}__uid", f"{b.name}__uid"])
+
     def bound(self, n: Node) -> bool:
         return self.s.df is not None and f"{n.name}__uid" in self.s.df.columns and not n.labels and not n.props
 
@@ -216,9 +286,7 @@ class Compiler:
             if self.maybe("OPTIONAL", "MATCH"):
                 self.optional()
             elif self.maybe("MATCH"):
-                for chain in self.pushed(self.chains()):
-                    self.s.df = self.matched(chain, self.s.df)
-                self.where()
+                self.match()
             elif self.maybe("UNWIND"):
                 items = self.expr()
                 self.take("AS")
@@ -243,14 +311,100 @@ class Compiler:
             out = out.unionByName(df).distinct() if once else out.unionByName(df)
         return out
 
+    def match(self) -> None:
+        """The patterns and the WHERE of a MATCH."""
+        lean, had = self.lean(), set(self.s.paths)
+        chains = self.pushed(self.chains())
+        named = [id(e) for p in self.s.paths.keys() - had for e in self.s.paths[p][1::2]]
+        for e in (e for chain in chains for e in chain[1::2] if e.hops):
+            e.lean = lean and e.name.startswith("_r") and id(e) not in named
+        if self.s.df is None and len(chains) == 1 and len(chains[0]) == 3 and chains[0][1].hops:
+            chains[0][1].enough = self.limit()
+        self.together(chains)
+        self.where()
+
+    def together(self, chains: list[list]) -> None:
+        """Rows in which all chains hold: joined where they share variables, else by equalities of the WHERE that follows."""
+        apart = [] if self.s.df is None else [self.s.df]
+        for chain in chains:
+            names = {f"{n.name}__uid" for n in chain[::2]}
+            shared = [k for k, df in enumerate(apart) if names & set(df.columns)]
+            self.s.df = apart[shared[0]] if shared else None
+            df = self.matched(chain, self.s.df)
+            for k in shared[1:]:
+                df = self.join(df, apart[k])
+            apart = [x for k, x in enumerate(apart) if k not in shared] + [df]
+        parts = self.condition() if self.word() == "WHERE" else []
+        while len(apart) > 1:
+            apart = self.equal(apart, parts)
+        self.s.df = apart[0]
+
+    def equal(self, apart: list[DataFrame], parts: list[list[tuple[str, str]]]) -> list[DataFrame]:
+        """Two of the tables joined by all equalities between them."""
+        pairs: dict[tuple[int, int], list[Column]] = {}
+        for part in parts:
+            words = [x[1].strip("`") for x in part]
+            if words[1:2] == ["."] and words[3:6:2] == ["=", "."] and len(words) == 7:
+                left, right = f"{words[0]}__{words[2]}", f"{words[4]}__{words[6]}"
+            elif words[1:2] == ["="] and len(words) == 3:
+                left, right = f"{words[0]}__uid", f"{words[2]}__uid"
+            else:
+                continue
+            x, y = ([k for k, df in enumerate(apart) if c in df.columns] for c in (left, right))
+            if x and y and x != y:
+                pairs.setdefault((min(x[0], y[0]), max(x[0], y[0])), []).append(F.col(left) == F.col(right))
+        if not pairs:
+            raise QueryError("patterns that share no variable would make every pair; join them by an edge or an equality of their properties")
+        (i, j), on = next(iter(pairs.items()))
+        return [df for k, df in enumerate(apart) if k not in (i, j)] + [apart[i].join(apart[j], reduce(Column.__and__, on))]
+
+    def ahead(self) -> list[tuple[str, str]]:
+        """The tokens up to the end of this query, or of the brackets around it."""
+        depth, out = 0, []
+        for kind, text in self.t[self.at :]:
+            depth += {"(": 1, "[": 1, "{": 1, ")": -1, "]": -1, "}": -1}.get(text, 0)
+            if depth < 0 or depth == 0 and kind == "name" and text.upper() == "UNION":
+                break
+            out.append((kind, text))
+        return out
+
+    def lean(self) -> bool:
+        """Whether repeated rows make no difference: in a condition, or before RETURN DISTINCT without aggregates."""
+        if self.within:
+            return True
+        words = [x[1].upper() if x[0] == "name" else x[1] for x in self.ahead()]
+        last = max((k for k, w in enumerate(words) if w == "RETURN"), default=len(words))
+        plain = not any(w == "UNWIND" or w == "WITH" and words[k - 1] not in ("STARTS", "ENDS") for k, w in enumerate(words))
+        counted = any(w.lower() in AGGREGATES and words[k + 1 : k + 2] == ["("] for k, w in enumerate(words) if k > last)
+        return plain and words[last + 1 : last + 2] == ["DISTINCT"] and not counted
+
+    def limit(self) -> int | None:
+        """How many rows of the patterns will do: where RETURN follows at once and only takes the first, in any order."""
+        words = [x[1].upper() if x[0] == "name" else x[1] for x in self.ahead()]
+        if words[:1] != ["RETURN"] or words[1:2] == ["DISTINCT"] or "ORDER" in words or "SKIP" in words or "LIMIT" not in words:
+            return None
+        at = words.index("LIMIT")
+        if any(w.lower() in AGGREGATES and words[k + 1 : k + 2] == ["("] for k, w in enumerate(words)) or not words[at + 1 : at + 2] or not words[at + 1].isdigit():
+            return None
+        return int(words[at + 1])
+
     def chains(self) -> list[list]:
         out = []
         while True:
-            path = None
+            path = every = None
             if self.peek(1) == "=":
                 path = self.name()
                 self.take("=")
+            if self.word() in ("SHORTESTPATH", "ALLSHORTESTPATHS") and self.peek(1) == "(":
+                every = self.name().lower().startswith("all")
+                self.take("(")
             out.append(self.chain())
+            if every is not None:
+                self.take(")")
+                if len(out[-1]) != 3:
+                    raise QueryError("a shortest path has one edge")
+                edge = out[-1][1]
+                edge.every, edge.hops = every, edge.hops or (1, 1)
             if path:
                 self.s.paths[path] = out[-1]
             if not self.maybe(","):
@@ -326,17 +480,18 @@ class Compiler:
 
     def pattern_keys(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
         """The distinct values of the query's variables for which the pattern here, or EXISTS { ... }, has a match."""
-        keep, self.s = self.s, State()
+        keep, self.s, within, self.within = self.s, State(), self.within, True
         if self.maybe("EXISTS"):
             self.take("{")
             self.maybe("MATCH")
-            for chain in self.pushed(self.chains()):
-                self.s.df = self.matched(chain, self.s.df)
-            self.where()
+            self.match()
             self.take("}")
         else:
-            self.s.df = self.matched(self.chain(), None)
-        found, self.s = self.s.df, keep
+            chain = self.chain()
+            for e in chain[1::2]:
+                e.lean = True
+            self.s.df = self.matched(chain, None)
+        found, self.s, self.within = self.s.df, keep, within
         keys = [c for c in found.columns if c.endswith("__uid") and c in df.columns]
         if not keys:
             raise QueryError("a pattern condition needs a variable of the query")
@@ -354,14 +509,14 @@ class Compiler:
         return F.coalesce(F.col(name), F.lit(False))
 
     def optional(self) -> None:
-        left = self.s.df
-        chain = self.chain()
-        self.s.df = None
-        found = self.matched(chain, None)
-        if self.word() == "WHERE":
-            self.s.df = found
-            self.where()
-            found = self.s.df
+        left, self.s.df = self.s.df, None
+        chains = self.chains()
+        known = [f"{n.name}__uid" for chain in chains for n in chain[::2] if left is not None and f"{n.name}__uid" in left.columns]
+        if known and any(e.hops for chain in chains for e in chain[1::2]):
+            self.s.df = left.select(*dict.fromkeys(known)).distinct()  # walks begin at the nodes that are known
+        self.together(chains)
+        self.where()
+        found = self.s.df
         self.s.df = self.join(left, found, "left") if left is not None else found
 
     def project(self, final: bool) -> None:
@@ -474,18 +629,32 @@ class Compiler:
         return left
 
     def sum(self) -> Column:
-        """Sums; of a text literal and anything, the joined text."""
+        """Sums; of a text and anything, the joined text; of two lists, one behind the other."""
         text, out = self.is_text(), self.product()
         while self.peek() in ("+", "-"):
             plus = self.take() == "+"
             text |= plus and self.is_text()
             right = self.product()
-            out = F.concat(out.cast("string"), right.cast("string")) if plus and text else out + right if plus else out - right
+            kinds = [self.kind(out), self.kind(right)] if plus and not text else []
+            if text and plus or "string" in kinds:
+                text, out = True, F.concat(out.cast("string"), right.cast("string"))
+            elif kinds == ["array", "array"]:
+                out = F.concat(out, right)
+            else:
+                out = out + right if plus else out - right
         return out
 
     def is_text(self) -> bool:
         return self.at < len(self.t) and self.t[self.at][0] == "string"
 
+    def kind(self, column: Column) -> str | None:
+        """The type of a column of the current rows; none inside a comprehension, whose variable has no rows."""
+        base = self.s.df if self.s.df is not None else self.g.spark.range(1)
+        try:
+            return base.select(column).schema.fields[0].dataType.typeName()
+        except AnalysisException:
+            return None
+
     def product(self) -> Column:
         out = self.unary()
         while self.peek() in ("*", "/", "%"):
@@ -582,17 +751,20 @@ class Compiler:
     def comprehension(self) -> Column:
         name = self.name()
         self.take("IN")
-        source = self.unary()
+        nodes = self.peek(2) if self.word() == "NODES" and self.peek(1) == "(" and self.peek(3) == ")" else None
+        if nodes:
+            self.at += 4
+        source = self.along(nodes, self.properties(name)) if nodes else self.unary()
         mark = self.at
 
         def inner(x: Column, condition: bool) -> Column:
             self.at = mark
-            columns = self.col_as(name, x)
+            columns = self.col_as(name, x, bool(nodes))
             out = None
             if self.maybe("WHERE"):
                 out = columns(self.expr)
             if not condition:
-                out = columns(self.expr) if self.maybe("|") else x
+                out = columns(self.expr) if self.maybe("|") else x.getField("uid") if nodes else x
             return out
 
         has = self.peek().upper() == "WHERE"
@@ -602,14 +774,39 @@ class Compiler:
         self.take("]")
         return out
 
-    def col_as(self, name: str, x: Column):
+    def properties(self, name: str) -> list[str]:
+        """Properties of a comprehension's variable that are named up to the bracket that ends it."""
+        depth, out = 0, {}
+        for k in range(self.at, len(self.t)):
+            depth += {"(": 1, "[": 1, "{": 1, ")": -1, "]": -1, "}": -1}.get(self.t[k][1], 0)
+            if depth < 0:
+                break
+            if self.t[k][1] == name and [x[1] for x in self.t[k + 1 : k + 2]] == ["."]:
+                out[self.t[k + 2][1].strip("`")] = True
+        return [x for x in out if x != "uid"]
+
+    def along(self, path: str, keys: list[str]) -> Column:
+        """The nodes of a path as an array of (uid, properties): distinct paths meet the nodes, then the rows."""
+        uids, column = f"_uids{next(self.fresh)}", f"_nodes{next(self.fresh)}"
+        self.s.df = self.s.df.withColumn(uids, self.path_nodes(path))
+        if not keys:
+            return F.transform(uids, lambda u: F.struct(u.alias("uid")))
+        nodes = self.g.nodes()
+        held = nodes.select(F.col("uid").alias("_uid"), *(F.col(k) if k in nodes.columns else F.lit(None).cast("string").alias(k) for k in keys))
+        each = self.s.df.select(uids).distinct().select(uids, F.posexplode(uids).alias("_k", "_uid")).join(held, "_uid", "left")
+        row = F.struct(F.col("_uid").alias("uid"), *keys)
+        per = each.groupBy(uids).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", row.alias("row")))), lambda r: r["row"]).alias(column))
+        self.s.df = self.s.df.join(per, uids, "left")
+        return F.col(column)
+
+    def col_as(self, name: str, x: Column, node: bool = False):
         def within(parse):
             keep = self.atom
 
             def atom() -> Column:
                 if self.peek() == name and self.peek(1) != "(":
                     self.at += 1
-                    return x.getField(self.name()) if self.maybe(".") else x
+                    return x.getField(self.name()) if self.maybe(".") else x.getField("uid") if node else x
                 return keep()
 
             self.atom = atom
@@ -679,10 +876,11 @@ def _unescaped(text: str) -> str:
     return re.sub(r"\\(?:u([0-9A-Fa-f]{4})|(.))", lambda m: chr(int(m[1], 16)) if m[1] else ESCAPES.get(m[2], m[2]), text, flags=re.DOTALL)
 
 
-def run(g: Graph, text: str, params: dict[str, Any] | None = None, most_hops: int = MOST_HOPS) -> DataFrame:
+def run(g: Graph, text: str, params: dict[str, Any] | None = None, most_hops: int | None = None) -> DataFrame:
     """The result of a reading query over ``g``; nothing of its text reaches SQL.
 
-    ``most_hops`` is the longest walk of a pattern that names no upper bound (``*``, ``*2..``). Edges of a path, as
-    ``rels`` gives them, are (src, dst) in the order walked.
+    Walks of several hops may meet a node again but use no edge twice. A pattern that names no upper bound (``*``, ``*2..``)
+    is walked until no edge is left; with ``most_hops``, a longer walk raises an error instead. Edges of a path, as ``rels``
+    gives them, are (src, dst) in the order walked.
     """
     return Compiler(g, check_read_only(text), params or {}, most_hops).run()

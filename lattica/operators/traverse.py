@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import count
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.graph import Graph
+from lattica.operators import cycles
+from lattica.operators.pattern import first_of
 from lattica.scratch import written
 
 #: Levels between written tables.
@@ -19,12 +23,13 @@ def _steps(g: Graph, rels: list[str], direction: str) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct() if direction == "both" else edges
 
 
-def reach(g: Graph, seeds: DataFrame, rels: list[str], max_hops: int, direction: str = "out") -> DataFrame:
-    """(origin, node, dist): nodes within ``max_hops`` of each seed (column uid), by their shortest distance; seeds at 0."""
+def reach(g: Graph, seeds: DataFrame, rels: list[str], max_hops: int | None, direction: str = "out") -> DataFrame:
+    """(origin, node, dist): nodes within ``max_hops`` (None: any number) of each seed (column uid), by their shortest
+    distance; seeds at 0."""
     steps = _steps(g, rels, direction)
     seen = seeds.select(F.col("uid").alias("origin"), F.col("uid").alias("node"), F.lit(0).cast("long").alias("dist")).distinct()
     frontier = seen
-    for level in range(1, max_hops + 1):
+    for level in count(1) if max_hops is None else range(1, max_hops + 1):
         new = frontier.join(steps, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
         frontier = new.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("dist", F.lit(level).cast("long"))
         if level % EVERY == 0:
@@ -36,27 +41,8 @@ def reach(g: Graph, seeds: DataFrame, rels: list[str], max_hops: int, direction:
 
 
 def cyclic(g: Graph, rels: list[str], max_hops: int) -> DataFrame:
-    """(uid): nodes on a closed walk of 2 to ``max_hops`` edges, self-loops aside.
-
-    Walks from and to a node meet half way, so a level has two sets of half the length; nodes already found walk no more.
-    """
-    steps = written(_steps(g, rels, "out"))
-    back = steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    ahead, behind = (e.select(F.col("src").alias("origin"), F.col("dst").alias("node")) for e in (steps, back))
-    found = steps.select(F.col("src").alias("uid")).where(F.lit(False))
-    for level in range(2, max_hops + 1):
-        if level % 2:
-            ahead = written(_onward(ahead, steps))
-        elif level > 2:
-            behind = written(_onward(behind, back))
-        hits = written(ahead.join(behind, ["origin", "node"], "left_semi").select(F.col("origin").alias("uid")).distinct())
-        found = found.unionByName(hits)
-        ahead, behind = (w.join(hits, F.col("origin") == F.col("uid"), "left_anti") for w in (ahead, behind))
-    return found
-
-
-def _onward(walk: DataFrame, steps: DataFrame) -> DataFrame:
-    return walk.join(steps, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
+    """(uid): nodes on a closed walk of 2 to ``max_hops`` edges, self-loops aside."""
+    return cycles.on_short(g.rel(*rels).select("src", "dst"), max_hops)
 
 
 def paths(g: Graph, seeds: DataFrame, rels: list[str], max_hops: int, enough: int | None = None, direction: str = "out") -> DataFrame:
@@ -161,8 +147,3 @@ def components(edges: DataFrame) -> DataFrame:
         if same:
             break
     return label
-
-
-def first_of(df: DataFrame, keys: list[str], order: list, k: int = 1) -> DataFrame:
-    """The first ``k`` rows of each group."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= k).drop("_k")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.graph import Graph
-from lattica.operators import traverse
+from lattica.operators import cycles, traverse
 from lattica.operators.pattern import absent, counted, hop, prefixed, present
 from lattica.scratch import written
 
@@ -215,9 +215,11 @@ def magic_number_sites(g: Graph, k: int | None = 200) -> DataFrame:
     return _top(out, ["file", "line", "uid"], k)
 
 
-def circular_imports(g: Graph, rel: str = "IMPORTS", max_hops: int = 6) -> DataFrame:
-    """Files on an import cycle of 2 to ``max_hops``."""
-    return g.label("File").join(traverse.cyclic(g, [rel], max_hops), "uid", "left_semi").select("uid", "path")
+def circular_imports(g: Graph, rel: str = "IMPORTS", max_hops: int = 6, label: str = "File") -> DataFrame:
+    """Files on an import cycle of 2 to ``max_hops``, with the first of their shortest ones by the uids along it."""
+    found = cycles.witnesses(g.rel(rel), max_hops).select("uid", F.array_join("cycle", ",").alias("importCycle"))
+    f = g.label(label)
+    return f.select("uid", _column(f, "path").cast("string").alias("path")).join(found, "uid")
 
 
 def external_dependencies(g: Graph) -> DataFrame:

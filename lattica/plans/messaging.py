@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Legal interface names, wrappers of types, and the side each relationship type stands for.
-LEGAL_NAME = r"^(~?/|~)?[A-Za-z_][A-Za-z0-9_]*(/[A-Za-z_][A-Za-z0-9_]*)*$"
-POINTERS = r"::(SharedPtr|ConstSharedPtr|UniquePtr|Ptr)\b"
+# Token classes of interface names and of their types, pointer wrappers, and the side of each relationship type.
+NAME_TOKENS = {"q": r"""["']""", "h": "~", "j": "/", "w": "[A-Za-z_][A-Za-z0-9_]*", "x": r"[\s\S]"}
+TYPE_TOKENS = {"c": r"const\b", "p": r"(?:SharedPtr|ConstSharedPtr|UniquePtr|Ptr)\b", "w": "[A-Za-z_][A-Za-z0-9_]*", "j": "::|[./]", "m": "[<>&*]", "s": r"\s+", "x": r"[\s\S]"}
 SIDES = {
     "PUBLISHES_TOPIC": "provides",
     "PROVIDES_SERVICE": "provides",
@@ -17,6 +17,10 @@ SIDES = {
     "CALLS_SERVICE": "uses",
     "USES_ACTION": "uses",
 }
+#: The grammars, over the letters of the token classes: a name has a mark of its home or root and words between slashes; a
+#: type has words between joints, to which qualifiers and marks (left out before) and wrappers at the end add nothing.
+NAME, QUOTED = "(?:h?j|h)?w(?:jw)*", "q{}q"
+TYPE, WRAPPED = "^s?j*([wp](?:j+[wp])*?)((?:j+p)*)j*s?$", 2
 #: Characters of a computed name that are kept as its label.
 LABEL = 80
 
@@ -25,12 +29,34 @@ LABEL = 80
 NAMESPACES = {"msg": "topic", "srv": "service", "action": "action"}
 
 
+def scanned(raw: Column, classes: dict[str, str]) -> Column:
+    """The tokens of a text from left to right as (kind, text), by the first class that fits."""
+
+    def token(text: Column) -> Column:
+        kind = F.lit(None).cast("string")
+        for letter, pattern in reversed(classes.items()):
+            kind = F.when(text.rlike(f"^(?:{pattern})$"), letter).otherwise(kind)
+        return F.struct(kind.alias("kind"), text.alias("text"))
+
+    return F.transform(F.regexp_extract_all(raw, F.lit("|".join(classes.values())), F.lit(0)), token)
+
+
+def _kinds(tokens: Column) -> Column:
+    return F.array_join(F.transform(tokens, lambda t: t["kind"]), "")
+
+
+def _texts(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: t["text"])
+
+
 def interface_name(raw: Column, literal: Column) -> Column:
     """A name as written: a legal literal without its quotes, a computed one as a short line; null if neither."""
-    line = F.trim(raw)
-    inner = F.regexp_extract(line, r"""(?s)^(["']?)(.*)\1$""", 2)
-    label = F.nullif(F.left(F.regexp_replace(line, r"\s+", " "), F.lit(LABEL)), F.lit(""))
-    return F.when(literal & inner.rlike(LEGAL_NAME), inner).when(~literal, label)
+    tokens = scanned(F.trim(raw), NAME_TOKENS)
+    kinds, n = _kinds(tokens), F.size(tokens)
+    same = F.element_at(tokens, 1)["text"] == F.element_at(tokens, -1)["text"]
+    name = F.when(kinds.rlike(f"^{NAME}$"), _texts(tokens)).when(kinds.rlike(f"^{QUOTED.format(NAME)}$") & same, F.slice(_texts(tokens), F.lit(2), n - 2))
+    label = F.nullif(F.left(F.regexp_replace(F.trim(raw), r"\s+", " "), F.lit(LABEL)), F.lit(""))
+    return F.when(literal & (n > 0), F.array_join(name, "")).when(~literal, label)
 
 
 def resolved_name(name: Column, node: Column, dynamic: Column) -> Column:
@@ -47,9 +73,12 @@ def resolved_name(name: Column, node: Column, dynamic: Column) -> Column:
 
 def type_parts(raw: Column) -> Column:
     """Package, namespace and name of a type as written in either language, as an array; null for other expressions."""
-    plain = F.regexp_replace(F.regexp_replace(F.trim(raw), r"^<|>$", ""), r"\bconst\b|[&*]", "")
-    parts = F.filter(F.split(F.regexp_replace(F.trim(plain), POINTERS, ""), "::|[./]"), lambda x: x != "")
-    return F.when((F.size(parts) > 0) & ~F.exists(parts, lambda x: x.rlike(r"\s")), parts)
+    tokens = F.filter(scanned(raw, TYPE_TOKENS), lambda t: ~t["kind"].isin("c", "m"))
+    # spaces that a qualifier or mark leaves behind each other are one
+    kinds = F.regexp_replace(_kinds(tokens), "s+", "s")
+    wrappers = F.length(F.regexp_replace(F.regexp_extract(kinds, TYPE, WRAPPED), "j", ""))
+    words = _texts(F.filter(tokens, lambda t: t["kind"].isin("w", "p")))
+    return F.when(kinds.rlike(TYPE), F.slice(words, F.lit(1), F.size(words) - wrappers))
 
 
 def interface_type(raw: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators.traverse import components, first_of
+from lattica.operators.traverse import components
 
 STATUS_ORDER = ["in_progress", "todo", "backlog", "review", "done"]
 PRIORITY_ORDER = ["critical", "high", "medium", "low"]
@@ -16,10 +16,9 @@ def rank_of(column: str, order: list[str]):
 
 
 def task_board(tasks: DataFrame, affects: DataFrame) -> DataFrame:
-    """Tasks with how many nodes they affect and their place: by status, priority, uid."""
+    """Tasks with how many nodes they affect. Their place is for whoever shows them: by ``rank_of`` status, priority, uid."""
     per = affects.groupBy(F.col("src").alias("uid")).agg(F.count_distinct("dst").alias("nodes"))
-    out = tasks.join(per, "uid", "left").withColumn("nodes", F.coalesce("nodes", F.lit(0)))
-    return first_of(out.withColumn("s", rank_of("status", STATUS_ORDER)).withColumn("p", rank_of("priority", PRIORITY_ORDER)), ["status"], ["p", "uid"], 1 << 30).select("uid", "status", "priority", "nodes")
+    return tasks.join(per, "uid", "left").select("uid", "status", "priority", F.coalesce("nodes", F.lit(0)).alias("nodes"))
 
 
 def next_tasks(tasks: DataFrame, needs: DataFrame, k: int = 10) -> DataFrame:

@@ -3,10 +3,13 @@ effects, props, page elements and the steps of user events."""
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.graph import Graph
+from lattica.sources import dom
 from lattica.sources.extract import elements
 from lattica.sources.star import star_graph
 
@@ -73,6 +76,13 @@ def app_graph(spark: SparkSession, sf_dir: str) -> Graph:
         f = star.label("Function").select(F.col("uid").alias("src"), F.split("name", " ").alias("props"), (F.col("visibility") == "private").alias("hasSpread"))
         return star.rel("CALLS").join(f, "src")
 
+    @cache
+    def tree() -> DataFrame:
+        return dom.tree(table("pages"))
+
+    def rendered(n: str) -> Column:
+        return F.concat_ws(":", F.lit("RuntimeDOM"), "page_id", n)
+
     nodes = {
         **star._nodes,
         "Function": functions,
@@ -83,8 +93,8 @@ def app_graph(spark: SparkSession, sf_dir: str) -> Graph:
         "TestCase": lambda: tests().select(uid("TestCase", "o_orderkey").alias("uid"), F.concat_ws(" ", "o_orderstatus", F.col("o_orderkey").cast("string")).alias("title"), F.col("o_orderstatus").alias("changeId")),
         "Endpoint": endpoints,
         "Effect": lambda: effects().drop("of"),
-        "DOMElement": lambda: elements(table("pages"), "DOMElement").withColumn("elementId", F.col("uid")).drop("parent", "xpath"),
-        "RuntimeDOM": lambda: elements(table("pages"), "RuntimeDOM").drop("parent", "file", "startLine"),
+        "DOMElement": lambda: elements(table("pages"), "DOMElement").withColumn("elementId", F.col("uid")),
+        "RuntimeDOM": lambda: tree().select(rendered("n").alias("uid"), "tagName", F.lit(None).cast("string").alias("testId"), "xpath"),
         "UserEvent": lambda: table("events").select(uid("UserEvent", "event_id").alias("uid"), F.col("event_type").alias("componentName"), F.col("ts").alias("timestamp"), F.lower(F.hex("event_type")).alias("executionPathHex")),
     }
     edges = {
@@ -102,7 +112,7 @@ def app_graph(spark: SparkSession, sf_dir: str) -> Graph:
         "EXECUTION_STEP": steps,
         "TRIGGERS": lambda: edge(table("events"), ("UserEvent", "event_id"), ("Function", "event_id")),
         "CLICKS_ON": lambda: table("events").where("event_type = 'click'").groupBy("user_id").agg(F.count(F.lit(1)).alias("count")).select(uid("User", "user_id").alias("src"), uid("Function", "user_id").alias("dst"), "count"),
-        "HAS_CHILD": lambda: elements(table("pages"), "RuntimeDOM").where("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("uid").alias("dst")),
+        "HAS_CHILD": lambda: tree().where("parent IS NOT NULL").select(rendered("parent").alias("src"), rendered("n").alias("dst")),
     }
     return Graph(spark, nodes, edges)
 

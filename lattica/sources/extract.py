@@ -19,8 +19,7 @@ def start_tags(pages: DataFrame) -> DataFrame:
 
 
 def elements(pages: DataFrame, label: str) -> DataFrame:
-    """Each start tag of a page as a node, and the one before it: (uid, parent, tagName, testId, file, startLine, xpath)."""
+    """Each start tag of a page as a node: (uid, tagName, testId, file, startLine: its place among them)."""
     tags = F.transform(F.regexp_extract_all("html", F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1)), lambda t: F.lower(t))
     each = pages.select("page_id", "url", F.posexplode(tags).alias("n", "tagName"))
-    name = lambda n: F.concat_ws(":", F.lit(label), "page_id", n)
-    return each.select(name(F.col("n")).alias("uid"), F.when(F.col("n") > 0, name(F.col("n") - 1)).alias("parent"), "tagName", F.lit(None).cast("string").alias("testId"), F.col("url").alias("file"), F.col("n").cast("long").alias("startLine"), F.concat(F.lit("/"), "page_id", F.lit("/"), "n").alias("xpath"))
+    return each.select(F.concat_ws(":", F.lit(label), "page_id", "n").alias("uid"), "tagName", F.lit(None).cast("string").alias("testId"), F.col("url").alias("file"), F.col("n").cast("long").alias("startLine"))

@@ -24,7 +24,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph; edge sets that need a shuffle of order lines are written once an application and read from then on."""
 
     def kept(name: str, make) -> DataFrame:
-        key = (spark.sparkContext.applicationId, name, sf_dir, *(_changed(spark, f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part", "supplier")))
+        key = (spark.sparkContext.applicationId, name, sf_dir, *(_changed(spark, f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "part", "supplier")))
         if key not in _derived:
             _derived[key] = written(make())
         return _derived[key]
@@ -65,6 +65,13 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
         pair = table("lineitem").join(done, "l_orderkey", "left_semi").select("l_partkey", F.lead("l_partkey").over(along).alias("next")).where("next IS NOT NULL")
         return pair.select(uid("Function", "l_partkey").alias("src"), uid("Function", "next").alias("dst")).distinct()
 
+    def urgent() -> DataFrame:
+        """Calls in urgent orders in progress: a sparse state of all calls, with and without cycles."""
+        along = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+        some = table("orders").where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
+        pair = table("lineitem").join(some, "l_orderkey", "left_semi").select("l_partkey", F.lead("l_partkey").over(along).alias("next")).where("next IS NOT NULL")
+        return pair.select(uid("Function", "l_partkey").alias("src"), uid("Function", "next").alias("dst")).distinct()
+
     def depends() -> DataFrame:
         queue = Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey")
         return table("orders").select(uid("Task", "o_orderkey").alias("src"), F.lag("o_orderkey").over(queue).alias("before")).where("before IS NOT NULL").select("src", uid("Task", "before").alias("dst"))
@@ -91,6 +98,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     edges = {
         "CALLS": lambda: kept("CALLS", calls),
         "CALLS_FINISHED": finished,
+        "CALLS_URGENT": lambda: kept("CALLS_URGENT", urgent),
         "DEPENDS_ON": depends,
         "CONTAINS": lambda: functions().select(uid("File", "file").alias("src"), F.col("uid").alias("dst")),
         "HAS_METHOD": lambda: kept("HAS_METHOD", lambda: pairs(("Class", "l_suppkey"), ("Function", "l_partkey"))),
@@ -113,6 +121,7 @@ ta AS (SELECT 'Task:' || o_orderkey AS uid, CASE o_orderstatus WHEN 'O' THEN 'to
 c0 AS (SELECT DISTINCT l_partkey AS a, b FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b FROM lineitem) WHERE b IS NOT NULL),
 calls AS (SELECT 'Function:' || a AS src, 'Function:' || b AS dst FROM c0),
 loc AS (SELECT DISTINCT 'Function:' || a AS src, 'Function:' || b AS dst FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')) WHERE b IS NOT NULL),
+urgent AS (SELECT DISTINCT 'Function:' || a AS src, 'Function:' || b AS dst FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')) WHERE b IS NOT NULL),
 step AS (SELECT src, dst FROM calls WHERE src <> dst),
 hub AS (SELECT src FROM step GROUP BY src ORDER BY count(*) DESC, src LIMIT 1),
 depends AS (SELECT 'Task:' || o_orderkey AS src, 'Task:' || b AS dst FROM (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS b FROM orders) WHERE b IS NOT NULL),
