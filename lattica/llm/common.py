@@ -165,12 +165,32 @@ def word_bounds(raw: np.ndarray, offs: np.ndarray, member: np.ndarray) -> tuple[
     return starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(starts, offs)
 
 
+#: Bytes of text whose words are found and hashed at once: what is held besides a text is some forty times this.
+PIECE = 1 << 20
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from one running polynomial sum."""
-    up, down = _power_tables(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each byte span, from one running polynomial sum; longer ones than a piece from their parts' sums."""
+    up, down = _power_tables(min(len(raw), PIECE) + 1)
+    if len(raw) <= PIECE:
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
+        return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = int(np.searchsorted(ends[i:], base + PIECE, "right")) + i
+        if j > i:
+            out[i:j] = span_hashes(raw[base : int(ends[j - 1])], starts[i:j] - base, ends[i:j] - base)
+        else:
+            total, stop, j = 0, int(ends[i]), i + 1
+            for k in range(base, stop, PIECE):
+                part = raw[k : min(k + PIECE, stop)]
+                total += int((_BYTE[part] * up[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, k - base, 2**64)
+            out[i] = mix64(np.array([(total + stop - base) % 2**64], np.uint64))[0]
+        i = j
+    return out
 
 
 def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -185,8 +205,36 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(acc + U(k))
 
 
+def _cuts(raw: np.ndarray, offs: np.ndarray, member: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pieces of about ``PIECE`` bytes that end at a row's end or where no word goes on."""
+    low, n = 0, len(raw)
+    while low < n:
+        high = min(low + PIECE, n)
+        edge = int(offs[np.searchsorted(offs, high, "left")])  # the end of the row that the piece stops in
+        while high < edge:
+            gap = ~member[LOWER[raw[high : min(high + 4096, edge)]]]
+            if gap.any():
+                high += int(gap.argmax())
+                break
+            high += len(gap)
+        yield low, high
+        low = high
+
+
 def words_of(raw: np.ndarray, offs: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes after lower-casing A-Z, with starts, ends and each row's first word."""
-    low = LOWER[raw]
-    starts, ends, first = word_bounds(low, offs, member)
-    return span_hashes(low, starts, ends), starts, ends, first
+    """Word hashes after lower-casing A-Z, with starts, ends and each row's first word.
+
+    Long texts are read in pieces, so a text of any length takes little more than these four, 24 bytes a word.
+    """
+    columns: tuple[list[np.ndarray], ...] = ([np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)])
+    for a, b in _cuts(raw, offs, member):
+        low = LOWER[raw[a:b]]
+        rows = offs[max(0, int(np.searchsorted(offs, a)) - 1) : int(np.searchsorted(offs, b, "right")) + 1]
+        starts, ends, _ = word_bounds(low, np.clip(rows - a, 0, b - a), member)
+        for column, values in zip(columns, (span_hashes(low, starts, ends), starts + a, ends + a), strict=True):
+            column.append(values)
+    out = []
+    for column in columns:
+        out.append(column[1] if len(column) == 2 else np.concatenate(column))
+        column.clear()
+    return *out, np.searchsorted(out[1], offs)

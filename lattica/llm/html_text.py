@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,6 +33,7 @@ WORDS = frozenset(
 HEADS = frozenset("header head masthead foot legal rail".split())
 #: Words that say nothing beside those.
 PLAIN = frozenset("a all area bar block body bottom box btn button buttons by col column container content desktop element for global group holder icon icons id inline inner item items js label large layer left link links list listing main media message mobile module my new no outer page panel posts primary right row secondary section site slot small sticky strip text the title tool tools top unit user view website widget wrap wrapper zone".split())
+ARTICLES = ("article", "main")
 #: Elements that can hold an article.
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>?|[^<]+|<""", re.DOTALL)
@@ -41,20 +44,18 @@ SPACE = re.compile(r"[\s ]+")
 
 
 class Node:
-    __slots__ = ("children", "inside", "name", "out", "parent", "tag")
+    """An element; ``name`` is its generalised tag and classes, ``path`` the digest of the names from the root to it."""
+
+    __slots__ = ("children", "home", "inside", "name", "out", "parent", "path", "tag", "upper")
 
     def __init__(self, tag: str, name: str, parent: Node | None, out: bool):
-        self.tag, self.name, self.parent, self.out = tag, name, parent, out  # name: generalised tag and classes
-        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.tag, self.name, self.parent, self.out = tag, name, parent, out
+        self.inside = parent is not None and (parent.inside or parent.tag in ARTICLES)
         self.children: list = []  # nodes and texts
-
-    @property
-    def path(self) -> str:
-        names, node = [], self
-        while node.parent is not None:
-            names.append(node.name)
-            node = node.parent
-        return "/".join(reversed(names))
+        self.path = "" if parent is None else blake2b(f"{parent.path}/{name}".encode("utf-8", "replace"), digest_size=16).hexdigest()
+        # the nearest container above, and the nearest article here or above: scores climb by these
+        self.upper = None if parent is None else parent if parent.tag in CONTAINERS else parent.upper
+        self.home = self if tag in ARTICLES else None if parent is None else parent.home
 
 
 #: Only these attributes matter here.
@@ -94,14 +95,53 @@ def _generalised(tag: str, attrs: dict[str, str]) -> str:
     return ".".join([tag, *sorted({re.sub(r"[0-9]+", "", c) for c in attrs.get("class", "").lower().split()} - {""})])
 
 
+class _Open:
+    """The elements open at a point of the page, and at which heights those of each tag stand."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, height: int) -> None:
+        """Closes everything from ``height`` up."""
+        while len(self.stack) > height:
+            tag = self.stack.pop().tag
+            self.at[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def block(self) -> int:
+        """The height of the last open block."""
+        return self.blocks[-1] if self.blocks else 0
+
+    def last(self, tags) -> int:
+        """The height of the last open element of these tags; 0, the root's, if none is."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def first(self, tags, above: int) -> int | None:
+        """The lowest open element of these tags higher than ``above``."""
+        places = ((held, bisect_right(held, above)) for held in (self.at.get(t, ()) for t in tags))
+        return min((held[k] for held, k in places if k < len(held)), default=None)
+
+
 def parse(source: str) -> Node:
-    """The element tree, by the rules of HTML that ordinary pages need: void and raw elements, implied end tags."""
-    root = node = Node("", "", None, False)
+    """The element tree, by the rules of HTML that ordinary pages need: void and raw elements, implied end tags.
+
+    A tag finds the element that it closes by the heights of open tags, so a page takes time in proportion to its length,
+    however deep it is nested and however many tags have no partner.
+    """
+    root = Node("", "", None, False)
+    open_ = _Open(root)
     at, size = 0, len(source)
     while at < size:
         m = TOKEN.match(source, at)
         at = m.end()
-        first = source[m.start()]
+        first, node = source[m.start()], open_.stack[-1]
         if first != "<":
             node.children.append(html.unescape(m[0]) if "&" in m[0] else m[0])
         elif m[3] is None:
@@ -110,38 +150,31 @@ def parse(source: str) -> Node:
             elif m[0] == "<":
                 node.children.append("<")
         elif m[2]:
-            tag, up = m[3].lower(), node
-            while up.parent is not None and up.tag != tag:
-                if up.tag in ("table", "body") and tag not in ("html", "body", "table"):
-                    up = root
-                    break
-                up = up.parent
-            if up.parent is not None:
-                node = up.parent
+            tag = m[3].lower()
+            height = open_.last((tag,))
+            fence = 0 if tag in ("html", "body", "table") else open_.last(("table", "body"))
+            if height > fence:
+                open_.cut(height)
         else:
             tag = m[3].lower()
             if tag in CLOSES_P:
-                up = node
-                while up.parent is not None and up.tag != "p" and (up.tag not in BLOCK):
-                    up = up.parent
-                if up.tag == "p":
-                    node = up.parent
+                paragraph = open_.last(("p",))
+                if paragraph and paragraph == open_.block():
+                    open_.cut(paragraph)
             if tag in ENDS:
                 group, fence = ENDS[tag]
-                up, last = node, None
-                while up.parent is not None and up.tag not in fence:
-                    last = up if up.tag in group else last
-                    up = up.parent
-                if last is not None:
-                    node = last.parent
-            name, out = _kind(tag, m[4] if USED.search(m[4]) else "", node.inside or node.tag in ("article", "main"))
+                ended = open_.first(group, open_.last(fence))
+                if ended is not None:
+                    open_.cut(ended)
+            node = open_.stack[-1]
+            name, out = _kind(tag, m[4] if USED.search(m[4]) else "", node.inside or node.tag in ARTICLES)
             new = Node(tag, name, node, out)
             node.children.append(new)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
                 at = end.end() if end else size
             elif tag not in VOID:
-                node = new
+                open_.push(new)
     return root
 
 
@@ -174,12 +207,40 @@ def _blocks(node: Node) -> list[str]:
     return out
 
 
+def _own(root: Node) -> dict[int, list[int]]:
+    """For each element not left out: code points of text in it that no block stands between, and how many of links.
+
+    An element's inline children hand theirs up, in one pass from the last element to the first.
+    """
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if not node.out:
+            order.append(node)
+            todo.extend(c for c in node.children if isinstance(c, Node))
+    sums: dict[int, list[int]] = {}
+    for node in reversed(order):
+        own = linked = 0
+        for c in node.children:
+            if isinstance(c, str):
+                own += len(c.strip())
+            elif not c.out and c.tag not in BLOCK:
+                x, y = sums[id(c)]
+                own, linked = own + x, linked + y
+                if c.tag == "a":
+                    linked += sum(len(t) for t in c.children if isinstance(t, str))
+        sums[id(node)] = [own, linked]
+    return sums
+
+
 def containers(root: Node) -> list[tuple[Node, float]]:
     """Elements that can hold an article, in page order, with scores: their paragraphs' text, half of it one level up
     (as for the next levels), less the text of links. The innermost article or main element about a paragraph has all of
-    it and half as much again, however deep the paragraph lies."""
+    it and half as much again, however deep the paragraph lies. A share ends where it falls below one code point, so
+    each paragraph climbs as many containers as its length has bits."""
     score: dict[int, float] = {}
     order: list[Node] = []
+    sums = _own(root)
     todo = [root]
     while todo:
         node = todo.pop()
@@ -187,28 +248,18 @@ def containers(root: Node) -> list[tuple[Node, float]]:
             continue
         if node.tag in CONTAINERS:
             order.append(node)
-        own = linked = 0
-        inside: list = [c for c in node.children if isinstance(c, str) or c.tag not in BLOCK]
-        while inside:
-            c = inside.pop()
-            if isinstance(c, str):
-                own += len(c.strip())
-            elif not c.out and c.tag not in BLOCK:
-                if c.tag == "a":
-                    linked += sum(len(t) for t in c.children if isinstance(t, str))
-                inside.extend(c.children)
+        own, linked = sums[id(node)]
         if own:
-            share, up, home = float(max(0, own - 2 * linked)), node, None
-            full = share
-            while up is not None and (share >= 1 or home is None):
-                if home is None and up.tag in ("article", "main"):
-                    home = up
-                    score[id(up)] = score.get(id(up), 0.0) + 1.5 * full
-                elif up.tag in CONTAINERS and share >= 1:
+            full = share = float(max(0, own - 2 * linked))
+            home = node.home
+            if home is not None:
+                score[id(home)] = score.get(id(home), 0.0) + 1.5 * full
+            up = node if node.tag in CONTAINERS else node.upper
+            while up is not None and share >= 1:
+                if up is not home:
                     score[id(up)] = score.get(id(up), 0.0) + share
-                if up.tag in CONTAINERS:
-                    share /= 2
-                up = up.parent
+                share /= 2
+                up = up.upper
         todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
     return [(n, score.get(id(n), 0.0)) for n in order]
 
@@ -219,31 +270,27 @@ def host(url: Column) -> Column:
 
 
 def _at(root: Node, path: str) -> list[Node]:
-    """Containers whose generalised path is ``path``."""
-    level = [root]
-    for name in path.split("/"):
-        level = [c for n in level for c in n.children if not isinstance(c, str) and c.name == name and not c.out]
-    return level
+    """Elements not left out whose generalised path has this digest, in page order; all lie equally deep."""
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.out:
+            continue
+        if node.path == path:
+            found.append(node)
+        else:
+            todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    return found
 
 
 def extract(source: str, path: str | None) -> str:
-    """The page's text from all outermost containers of ``path``; without one, from its own best container."""
+    """The page's text from all containers of the path with this digest; without one, from its own best container."""
     root = parse(source)
-    chosen = _at(root, path) if path else []
-    if not chosen or not any(_blocks(n) for n in chosen):
+    texts = [b for n in _at(root, path) for b in _blocks(n)] if path else []
+    if not texts:
         best = max(containers(root), key=lambda x: x[1], default=None)
-        chosen = [best[0] if best and best[1] > 0 else root]
-    held = {id(n) for n in chosen}
-
-    def outermost(n: Node) -> bool:
-        up = n.parent
-        while up is not None:
-            if id(up) in held:
-                return False
-            up = up.parent
-        return True
-
-    return "\n".join(b for n in chosen if outermost(n) for b in _blocks(n))
+        texts = _blocks(best[0] if best and best[1] > 0 else root)
+    return "\n".join(texts)
 
 
 VOTES = "host string, path string, votes double, pages long"
@@ -252,7 +299,10 @@ PARTS = 16
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """Votes for paths by ``host``: each page divides one vote among its containers in proportion to their scores."""
+    """Votes for paths by ``host``: each page divides one vote among its containers in proportion to their scores.
+
+    A path is sent as a digest of 32 characters, however deep it is.
+    """
 
     def run(batches):
         tally: dict[tuple[str, str], list] = {}
@@ -282,7 +332,7 @@ def votes(pages: DataFrame) -> DataFrame:
 
 
 def winners(pages: DataFrame) -> DataFrame:
-    """The winning path of each host: most votes, then the first in order."""
+    """The winning path of each host: most votes, then the first by digest."""
     order = Window.partitionBy("host").orderBy(F.desc(F.round("votes", 6)), "path")
     return votes(pages).withColumn("place", F.row_number().over(order)).where("place = 1").select("host", "path")
 
@@ -291,7 +341,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """Main text of each page: page_id, url, text.
 
     A null or empty html gives an empty text; a null url counts to the host of no name; repeated rows give their text
-    each; a null page_id stays null; paths with equal votes go by their order; an empty table gives an empty one;
+    each; very long and very deep pages take time and memory in proportion to their length; a null page_id stays null; paths with equal votes go by their digests; an empty table gives an empty one;
     further columns are left out, whatever their names. Pages meet their host's path in a join, those of one host in
     several parts, so a host with a third of all pages is no single task.
     """

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import common, infill, queries, spelling, warc
+from lattica.llm import common, html_text, infill, queries, spelling, warc
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -243,3 +243,29 @@ def test_queries_against_sql(spark, name):
     want = con.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, sf).select(want.columns).collect()
     assert collections.Counter(map(tuple, got)) == collections.Counter(want.fetchall())
+
+
+def test_words_of_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(1)
+    rows = ["".join(rng.choice("abAB é \n\t.") for _ in range(rng.choice([0, 1, 5, 30, 200]))).encode() for _ in range(60)]
+    raw, offs = np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)])
+    for member in (common.SPACED, common.LETTERS):
+        monkeypatch.setattr(common, "PIECE", 1 << 20)
+        whole = common.words_of(raw, offs, member)
+        want = [w for r in rows for w in re.findall(rb"[^\x20\x09-\x0D]+" if member is common.SPACED else rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r.lower())]
+        assert [raw[a:b].tobytes().lower() for a, b in zip(whole[1], whole[2], strict=True)] == want
+        assert len(set(whole[0].tolist())) == len(set(want))
+        for piece in (1, 3, 17, 300):
+            monkeypatch.setattr(common, "PIECE", piece)
+            assert all(np.array_equal(x, y) for x, y in zip(common.words_of(raw, offs, member), whole, strict=True))
+
+
+@pytest.mark.parametrize("unit", ["<div>x y z ", "<b>x y z ", "<p><b>x ", "<li><span>x ", "x</y>", "<p></b>x"])
+def test_deep_and_unmatched_tags_take_linear_time(unit):
+    import time
+
+    began = time.time()
+    root = html_text.parse(unit * 50_000)
+    scored = html_text.containers(root)
+    text = html_text.extract(unit * 50_000, scored[0][0].path if scored else None)
+    assert text.count("x") == 50_000 and time.time() - began < 60
