@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from lattica import cypher
 from lattica.functions import identity
 from lattica.graph import Graph
-from lattica.operators import budget, cycles, intervals, mutate, shortest, traverse
-from lattica.plans import addresses, class_model, conformance, diff, impact, messaging, scheduling, views, workflow
+from lattica.operators import budget, cycles, insertion, intervals, mutate, shortest, traverse
+from lattica.plans import addresses, class_model, conformance, diff, impact, locks, messaging, rebuild, scheduling, scope, views, workflow
 from lattica.plans import analyses as A
+from lattica.scratch import written
 from lattica.sources import dom, extract
 from lattica.sources.app import APP_SQL, app_graph
 from lattica.sources.dom import DOM_SQL
@@ -214,9 +215,85 @@ FROM b FULL JOIN h ON b.key = h.key WHERE b.key IS NULL OR h.key IS NULL OR b.pa
 _add("edge_diff", lambda g: diff.edge_diff(g.edges([BASE]).withColumn("rel_type", F.lit("CALLS")), g.edges(["CALLS"])), "SELECT 'CALLS' AS rel_type, src, dst, 'added' AS status FROM (SELECT * FROM calls EXCEPT SELECT * FROM loc)")
 _add("blast_radius", lambda g: diff.blast_radius(g.spark.createDataFrame([], "key string"), diff.edge_diff(g.edges([BASE]).withColumn("rel_type", F.lit("CALLS")), g.edges(["CALLS"]))), """
 , d AS (SELECT * FROM calls EXCEPT SELECT * FROM loc) SELECT key, string_agg(DISTINCT r, ',' ORDER BY r) AS reasons, count(*) AS n FROM (SELECT src AS key, 'gained-out' AS r FROM d UNION ALL SELECT dst, 'gained-in' FROM d) GROUP BY key""")
+
+
+def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as functions before and after a rebuild: of five, one is renamed; of seven, one moves to the next brand's file;
+    of eleven, one is copied there too; of thirteen, one is gone. Uids are hashes of names and files."""
+    p = _read(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.concat_ws(" ", "p_type", F.col("p_size").cast("string")).alias("params"), F.concat_ws(" ", "p_type", F.expr("p_partkey div 2").cast("string")).alias("body"))
+    more = lambda df, *copy: df.select(F.sha2(F.concat_ws("::", "name", "file", F.col("p_partkey").cast("string"), *copy), 256).alias("uid"), F.lit("Function").alias("label"), "name", "file", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("owner"), "params", "body")
+    by = lambda n: F.pmod("p_partkey", F.lit(n)) == 0
+    brands = p.select("file").distinct()
+    after = brands.select("file", F.coalesce(F.lead("file").over(Window.orderBy("file")), F.col("file")).alias("next"))  # one row a brand
+    moved = p.join(F.broadcast(after), "file").withColumn("home", F.when(by(7), F.col("next")).otherwise(F.col("file")))
+    now = moved.where(~by(13)).select("p_partkey", F.when(by(5), F.concat("name", F.lit(" v2"))).otherwise(F.col("name")).alias("name"), F.col("home").alias("file"), "next", "params", "body")
+    copies = now.where(by(11)).withColumn("file", F.col("next"))
+    return more(p), more(now).unionByName(more(copies, F.lit("copy")))
+
+
+_VERSIONS_SQL = """WITH p AS (SELECT p_partkey AS k, p_name AS name, p_brand AS file, p_type || ' ' || p_size AS params, p_type || ' ' || (p_partkey // 2) AS body FROM part),
+nx AS (SELECT file, coalesce(lead(file) OVER (ORDER BY file), file) AS next FROM (SELECT DISTINCT file FROM p)),
+o AS (SELECT sha256(name || '::' || file || '::' || k) AS uid, * FROM p),
+m AS (SELECT k, CASE WHEN k % 5 = 0 THEN name || ' v2' ELSE name END AS name, CASE WHEN k % 7 = 0 THEN next ELSE file END AS file, next, params, body FROM p JOIN nx USING (file) WHERE k % 13 <> 0),
+n AS (SELECT sha256(name || '::' || file || '::' || k) AS uid, name, file, params, body FROM m UNION ALL SELECT sha256(name || '::' || next || '::' || k || '::copy'), name, next, params, body FROM m WHERE k % 11 = 0),
+un AS (SELECT name, file, min(uid) AS now FROM n GROUP BY ALL HAVING count(*) = 1), uh AS (SELECT file, params, body, min(uid) AS now FROM n GROUP BY ALL HAVING count(*) = 1), ub AS (SELECT params, body, min(uid) AS now FROM n GROUP BY ALL HAVING count(*) = 1),
+known AS (SELECT o.uid, coalesce(n.uid, un.now, uh.now, ub.now) AS now, CASE WHEN n.uid IS NOT NULL THEN 'uid' WHEN un.now IS NOT NULL THEN 'name' WHEN coalesce(uh.now, ub.now) IS NOT NULL THEN 'body' END AS how
+FROM o LEFT JOIN n ON o.uid = n.uid LEFT JOIN un ON o.name = un.name AND o.file = un.file LEFT JOIN uh ON o.file = uh.file AND o.params = uh.params AND o.body = uh.body LEFT JOIN ub ON o.params = ub.params AND o.body = ub.body)
+"""
+_table("rebuilt_identities", lambda spark, d: rebuild.identities(*_versions(spark, d)), _VERSIONS_SQL + "SELECT * FROM known")
+
+
+def _reattached(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of urgent orders, on what their functions are after the rebuild."""
+    old, new = _versions(spark, d)
+    key = _read(spark, d, "part").select(F.concat(F.lit("Function:"), "p_partkey").alias("f"), F.sha2(F.concat_ws("::", "p_name", "p_brand", F.col("p_partkey").cast("string")), 256).alias("uid"))
+    e = star_graph(spark, d).rel("CALLS_URGENT")
+    for end in ("src", "dst"):
+        e = e.join(key.select(F.col("f").alias(end), F.col("uid").alias(f"{end}_")), end).drop(end)
+    back, _ = rebuild.reattached(e.select(F.lit("CALLS").alias("rel_type"), F.col("src_").alias("src"), F.col("dst_").alias("dst")), rebuild.identities(old, new))
+    return back
+
+
+QUERIES["reattached_calls"] = _reattached
+ORACLE_SQL["reattached_calls"] = f"WITH {STAR_SQL}, " + _VERSIONS_SQL.split("WITH ", 1)[1] + """SELECT DISTINCT 'CALLS' AS rel_type, a.now AS src, b.now AS dst FROM urgent JOIN o x ON src = 'Function:' || x.k JOIN o y ON dst = 'Function:' || y.k JOIN known a ON x.uid = a.uid JOIN known b ON y.uid = b.uid WHERE a.now IS NOT NULL AND b.now IS NOT NULL"""
+_add("rebuild_files", lambda g: rebuild.affected(g.label("Class").where("uid LIKE '%7'").select("file"), g.label("Class").select("uid", "file"), g.rel("HAS_METHOD").select(F.col("dst").alias("src"), F.col("src").alias("dst")).join(g.rel("HAS_METHOD").select(F.col("src").alias("home"), F.col("dst").alias("src")), "src").select(F.col("home").alias("src"), "dst")), """
+, ch AS (SELECT DISTINCT file FROM cl WHERE uid LIKE '%7'), dep AS (SELECT DISTINCT a.file FROM hasm x JOIN hasm y ON x.dst = y.dst JOIN cl a ON x.src = a.uid JOIN cl b ON y.src = b.uid WHERE b.file IN (SELECT file FROM ch))
+SELECT file, 'changed' AS reason FROM ch UNION ALL SELECT file, 'dependent' FROM dep WHERE file NOT IN (SELECT file FROM ch)""")
+
+
+def _insertions(spark: SparkSession, d: str) -> DataFrame:
+    """New dependencies between a customer's orders, from each to the next by price, added by order number to the stored ones."""
+    along = Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
+    wanted = _read(spark, d, "orders").select("o_orderkey", F.lead("o_orderkey").over(along).alias("next")).where("next IS NOT NULL")
+    wanted = wanted.select(F.concat(F.lit("Task:"), "o_orderkey").alias("src"), F.concat(F.lit("Task:"), "next").alias("dst"), F.col("o_orderkey").cast("long").alias("place"))
+    return insertion.insertable(star_graph(spark, d).rel("DEPENDS_ON"), wanted)
+
+
+QUERIES["edge_insertion"] = _insertions
+_LONG = 'SELECT uid AS key FROM fn WHERE "endLine" - "startLine" > 40'
+_add("blast_radius_changed", lambda g: diff.blast_radius(g.label("Function").where("endLine - startLine > 40").select(F.col("uid").alias("key")), diff.edge_diff(g.edges([BASE]).withColumn("rel_type", F.lit("CALLS")), g.edges(["CALLS"]))), f"""
+, d AS (SELECT * FROM calls EXCEPT SELECT * FROM loc) SELECT key, string_agg(DISTINCT r, ',' ORDER BY r) AS reasons, count(*) AS n FROM (SELECT src AS key, 'gained-out' AS r FROM d UNION ALL SELECT dst, 'gained-in' FROM d) WHERE key NOT IN ({_LONG}) GROUP BY key""")
+_add("change_impact", lambda g: impact.change_impact(_urgent(g), g.label("Function").where("endLine - startLine > 40").select("uid", F.lit("changed").alias("status")), ["CALLS"], seeds=None).drop("confidence"), f"""
+, b AS (SELECT dst AS n, src AS m FROM urgent WHERE src <> dst), s AS ({_LONG}), w AS (SELECT key AS seed, key AS uid, 0 AS k FROM s UNION ALL SELECT key, m, 1 FROM s JOIN b ON key = n UNION ALL SELECT key, y.m, 2 FROM s JOIN b x ON key = x.n JOIN b y ON x.m = y.n),
+z AS (SELECT seed, uid, min(k) AS k FROM w GROUP BY 1, 2) SELECT seed, 'changed' AS status, uid, CAST(k AS BIGINT) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY k, uid) AS r FROM z) WHERE r <= 100""")
+_add("locked_nodes", lambda g: views.locked_nodes(_urgent(g), g.label("Function").where("visibility = 'private'")).drop("reads", "returns"), """
+SELECT uid, coalesce((SELECT string_agg(DISTINCT a.name, ',' ORDER BY a.name) FROM urgent JOIN fn a ON src = a.uid WHERE dst = f.uid), '') AS callers, coalesce((SELECT string_agg(DISTINCT a.name, ',' ORDER BY a.name) FROM urgent JOIN fn a ON dst = a.uid WHERE src = f.uid), '') AS callees,
+coalesce((SELECT string_agg(DISTINCT st.name, ',' ORDER BY st.name) FROM writes JOIN st ON dst = st.uid WHERE src = f.uid), '') AS writes FROM fn f WHERE visibility = 'private'""")
+EVERY_EDGE = f"{ALL_EDGES} UNION ALL SELECT 'AFFECTS', src, dst FROM affects UNION ALL SELECT 'DEPENDS_ON', src, dst FROM depends"
+EVERY_NODE = f"SELECT label, uid FROM ({ALL_NODES}) UNION ALL SELECT 'Task', uid FROM ta"
+_add("level_report", lambda g: scope.report(g, 1, ("PERFORMED", "CALLS_FINISHED", "CALLS_URGENT", "CONTAINS_FLOW")), f""", nn AS ({EVERY_NODE}), ee AS (SELECT src, dst, x.label AS a, y.label AS b FROM ({EVERY_EDGE}) JOIN nn x ON src = x.uid JOIN nn y ON dst = y.uid WHERE src <> dst),
+ends AS (SELECT src AS uid FROM ee UNION SELECT dst FROM ee), adj AS (SELECT DISTINCT a, b FROM ee WHERE a <> b UNION SELECT DISTINCT b, a FROM ee WHERE a <> b)
+SELECT label, count(*) AS n, count(ends.uid) AS connected, coalesce((SELECT string_agg(b, ',' ORDER BY b) FROM adj WHERE a = label), '') AS near FROM nn LEFT JOIN ends ON nn.uid = ends.uid GROUP BY label""")
+_add("pattern_query_urgent", lambda g: cypher.run(_urgent(g), "MATCH (a:Function)-[:CALLS]->(b:Function) WHERE a.visibility = 'public' AND NOT (b)-[:CALLS]->() RETURN a.file AS file, count(*) AS n, count(DISTINCT b.uid) AS targets ORDER BY n DESC, file LIMIT 10"), """
+SELECT a.file, count(*) AS n, count(DISTINCT b.uid) AS targets FROM urgent JOIN fn a ON src = a.uid JOIN fn b ON dst = b.uid WHERE a.visibility = 'public' AND b.uid NOT IN (SELECT src FROM urgent) GROUP BY a.file ORDER BY n DESC, a.file LIMIT 10""")
+_add("orphan_functions", lambda g: mutate.orphans(g.label("Function"), g.rel("CALLS_URGENT")).select("uid", "name"), "SELECT uid, name FROM fn WHERE uid NOT IN (SELECT dst FROM urgent UNION SELECT src FROM urgent)")
+_add("quality_regressions", lambda g: scheduling.regressions(scheduling.quality_report(_quality_files(g)), scheduling.quality_baseline(scheduling.quality_report(_quality_files(g).where("sites % 2 = 0"))), 0.5), """
+, q AS (SELECT file AS language, length(name) AS s, length(name) // 2 AS r FROM fn), now_ AS (SELECT language, round(1000.0 * sum(r) / sum(s)) / 10 AS p, count(*) AS e FROM q GROUP BY 1), was AS (SELECT language, round(1000.0 * sum(r) / sum(s)) / 10 AS p, count(*) AS e FROM q WHERE s % 2 = 0 GROUP BY 1)
+SELECT language, 'resolution' AS gate, now_.p AS actual, was.p AS expected FROM was JOIN now_ USING (language) WHERE now_.p < was.p - 0.5 UNION ALL SELECT language, 'parse errors', CAST(now_.e AS DOUBLE), CAST(was.e AS DOUBLE) FROM was JOIN now_ USING (language) WHERE now_.e > was.e""")
+_table("epic_order", lambda spark, d: views.epic_sequence(_read(spark, d, "orders").select(F.concat(F.lit("Epic:"), "o_custkey").alias("epic"), F.concat(F.lit("Task:"), "o_orderkey").alias("uid"), "o_orderdate"), "epic", ["o_orderdate"]), "SELECT 'Epic:' || o_custkey AS epic, 'Task:' || o_orderkey AS uid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, 'Task:' || o_orderkey) AS place FROM orders")
 _add("next_tasks", lambda g: scheduling.next_tasks(g.label("Task"), g.rel("DEPENDS_ON")), """
  SELECT uid, status, priority FROM ta WHERE status IN ('todo', 'backlog') AND uid NOT IN (SELECT src FROM depends WHERE dst NOT IN (SELECT uid FROM ta WHERE status IN ('done', 'review')))
-ORDER BY list_position(['todo', 'backlog'], status), list_position(['critical', 'high', 'medium', 'low'], priority), uid LIMIT 10""")
+AND uid NOT IN (SELECT a.src FROM depends a JOIN depends b ON a.dst = b.src WHERE b.dst NOT IN (SELECT uid FROM ta WHERE status = 'done')) ORDER BY list_position(['todo', 'backlog'], status), list_position(['critical', 'high', 'medium', 'low'], priority), uid LIMIT 10""")
 _add("task_waves", lambda g: traverse.waves(g.label("Task").select("uid"), g.rel("DEPENDS_ON")), """
 , w AS (SELECT uid, 1 AS k FROM ta WHERE uid NOT IN (SELECT src FROM depends) UNION ALL SELECT depends.src, k + 1 FROM w JOIN depends ON depends.dst = w.uid) SELECT uid, CAST(k AS BIGINT) AS wave FROM w""", True)
 _add("task_board", lambda g: scheduling.task_board(g.label("Task"), g.rel("AFFECTS")), "SELECT uid, status, priority, coalesce(n, 0) AS nodes FROM ta LEFT JOIN (SELECT src, count(DISTINCT dst) AS n FROM affects GROUP BY src) ON uid = src")
@@ -408,6 +485,57 @@ _add("wave_status", lambda g: views.wave_status(traverse.waves(g.label("Task").s
 SELECT CAST(k AS BIGINT) AS wave, count(*) AS total, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'review') AS in_review, count(*) FILTER (status NOT IN ('done', 'review')) AS open, bool_and(status IN ('done', 'review')) AS passed FROM w JOIN ta ON w.uid = ta.uid GROUP BY k""", True)
 _add("epic_sequence", lambda g: views.epic_sequence(g.label("Task"), "priority"), "SELECT priority AS epic, uid, row_number() OVER (PARTITION BY priority ORDER BY uid) AS place FROM ta")
 LEASES_SQL = "WITH l AS (SELECT p_brand AS file, 'Function:' || l_partkey AS node, CAST(o_custkey AS VARCHAR) AS owner, CAST(epoch(max(o_orderdate)) AS BIGINT) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3), now AS (SELECT CAST(epoch(min(o_orderdate)) + epoch(max(o_orderdate)) AS BIGINT) // 2 AS t FROM orders) "
+
+
+def _held(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Leases with the address of their node, as locks of a file, a declaration or a member by the owner's number."""
+    held, now = _leases(spark, d)
+    where = _addressed(star_graph(spark, d)).select(F.col("uid").alias("node"), "name", "ipv6")
+    mask = F.element_at(F.array(F.lit(48), F.lit(64), F.lit(80)), (F.pmod(F.col("owner").cast("long"), F.lit(3)) + 1).cast("int"))
+    return written(held.join(where, "node").select("node", "name", "ipv6", mask.alias("mask"), "owner", F.col("node").alias("lockGroup"), F.col("lockExpires").alias("expires"))), now
+
+
+_HELD_SQL = f"""WITH {STAR_SQL} {ADDRESS_SQL}, {LEASES_SQL.split("WITH ", 1)[1].rstrip()}
+, held_ AS (SELECT l.node, adr.name, adr.ipv6, CASE CAST(owner AS BIGINT) % 3 WHEN 0 THEN 48 WHEN 1 THEN 64 ELSE 80 END AS mask, owner, l.node AS grp, x FROM l JOIN adr ON l.node = adr.uid)
+"""
+QUERIES["lock_cover"] = lambda spark, d: (lambda held, now: locks.covering(_addressed(star_graph(spark, d)), held, now))(*_held(spark, d))
+ORACLE_SQL["lock_cover"] = _HELD_SQL + """, m AS (SELECT adr.uid, h.mask, h.owner, h.grp, h.x FROM adr JOIN (SELECT held_.* FROM held_, now WHERE x > t) h ON left(adr.ipv6, h.mask // 16 * 5 - 1) = left(h.ipv6, h.mask // 16 * 5 - 1))
+SELECT uid, mask, owner, grp AS "lockGroup" FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY mask DESC, x DESC, owner, grp) AS r FROM m) WHERE r = 1"""
+
+
+def _crossing(spark: SparkSession, d: str) -> DataFrame:
+    """Owners of the locks that have ended ask for their nodes' subnets again; the other locks are on the nodes alone."""
+    held, now = _held(spark, d)
+    asked = held.where(F.col("expires") <= now).select(F.concat_ws("/", "owner", "node").alias("request"), F.col("owner").alias("agent"), "ipv6", "mask")
+    nodes = held.select(F.col("node").alias("uid"), "name", "ipv6", F.col("owner").alias("lockedBy"), "lockGroup", "expires")
+    return locks.crossing(asked, nodes, now)
+
+
+QUERIES["lock_crossing"] = _crossing
+ORACLE_SQL["lock_crossing"] = _HELD_SQL + """, a AS (SELECT owner || '/' || node AS request, owner AS agent, ipv6, mask FROM held_, now WHERE x <= t), v AS (SELECT held_.* FROM held_, now WHERE x > t),
+nets AS (SELECT 48 AS m, left(ipv6, 14) AS net, owner, count(*) AS n, min(struct_pack(name := name, node := node, owner := owner, grp := grp)) AS f FROM v GROUP BY ALL UNION ALL SELECT 64, left(ipv6, 19), owner, count(*), min(struct_pack(name := name, node := node, owner := owner, grp := grp)) FROM v GROUP BY ALL UNION ALL SELECT 80, left(ipv6, 24), owner, count(*), min(struct_pack(name := name, node := node, owner := owner, grp := grp)) FROM v GROUP BY ALL)
+SELECT request, agent, CAST(sum(n) AS BIGINT) AS conflicts, min(f).name AS node, min(f).owner AS "lockedBy", min(f).grp AS "lockGroup" FROM a JOIN nets ON mask = m AND net = left(ipv6, mask // 16 * 5 - 1) AND owner <> agent GROUP BY 1, 2"""
+
+
+def _transitions(spark: SparkSession, d: str) -> DataFrame:
+    """Every finished order's task ends and every open one begins, by the order's date, on the functions it affects that no
+    other task has (of several, the first by number)."""
+    g = star_graph(spark, d)
+    o = _read(spark, d, "orders").select(F.concat(F.lit("Task:"), "o_orderkey").alias("task"), F.col("o_custkey").cast("string").alias("agent"), "o_orderstatus", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("at"))
+    status = {"F": ("in_progress", "done"), "O": ("todo", "in_progress"), "P": ("todo", "review")}
+    old, new = (F.coalesce(*(F.when(F.col("o_orderstatus") == s, x[k]) for s, x in status.items())) for k in (0, 1))
+    requests = o.select("task", "agent", old.alias("old"), new.alias("new"), "at")
+    last = g.rel("AFFECTS").groupBy(F.col("dst").alias("uid")).agg(F.max("src").alias("task"), F.min("src").alias("other"))
+    files = _addressed(g).select("uid", "name", F.col("file"))
+    nodes = last.join(files, "uid").join(o.select("task", "agent", "o_orderstatus"), "task")
+    held = F.col("o_orderstatus") == "F"
+    state = nodes.select("uid", "name", F.col("file").alias("ipv6"), F.col("task").alias("lockGroup"), F.when(~held, "planned").alias("lockStatus"), F.when(held, F.col("agent")).alias("lockedBy"))
+    results, _ = locks.transitions(requests, state)
+    return results
+
+
+QUERIES["lock_transitions"] = _transitions
+_add("waves_barred", lambda g: locks.barred(g.label("Task").select("uid", "status", F.col("priority").alias("wave")), g.label("Task").select(F.col("priority").alias("wave"), F.when(F.col("priority") < "i", "active").otherwise("waiting").alias("status")).distinct()), "SELECT uid, priority AS wave FROM ta WHERE status IN ('backlog', 'todo', 'open') AND NOT priority < 'i'")
 _table("lock_summary", lambda spark, d: (lambda held, now: views.lock_summary(held, now))(*_leases(spark, d)), LEASES_SQL + "SELECT owner, count(*) FILTER (x > t) AS live, count(*) FILTER (x <= t) AS expired FROM l, now GROUP BY owner")
 _table("expired_locks", lambda spark, d: (lambda held, now: scheduling.expired(held, now))(*_leases(spark, d)), LEASES_SQL + "SELECT file, node, owner, x AS \"lockExpires\" FROM l, now WHERE x <= t")
 _table("lock_conflicts", lambda spark, d: (lambda held, now: scheduling.conflicts(held, spark.createDataFrame([("Brand#11", None), ("", "Function:7")], "file string, node string"), "1", now))(*_leases(spark, d)), LEASES_SQL + "SELECT file, node, owner, x AS \"lockExpires\" FROM l, now WHERE x > t AND owner <> '1' AND (file = 'Brand#11' OR node = 'Function:7')")

@@ -18,7 +18,8 @@ from lattica.graph import FACETS, Graph
 from lattica.operators import cycles, shortest, traverse, walks
 
 AGGREGATES = {"count", "collect", "max", "min", "sum", "avg"}
-CLAUSES = {"MATCH", "OPTIONAL", "WHERE", "RETURN", "WITH", "UNWIND", "ORDER", "SKIP", "LIMIT", "UNION"}
+FUNCTIONS = {"abs", "coalesce", "elementid", "id", "labels", "length", "lower", "nodes", "relationships", "rels", "round", "size", "timestamp", "tolower", "toupper", "type", "upper"}
+CLAUSES = {"CALL", "YIELD", "MATCH", "OPTIONAL", "WHERE", "RETURN", "WITH", "UNWIND", "ORDER", "SKIP", "LIMIT", "UNION"}
 # Fixed values of the language.
 ESCAPES = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
 
@@ -293,6 +294,10 @@ class Compiler:
                 name = self.name()
                 base = self.s.df if self.s.df is not None else self.g.spark.range(1).select()
                 self.s.df = base.withColumn(name, F.explode(items))
+            elif self.maybe("CALL"):
+                self.procedure()
+                if self.at == len(self.t) and not done:
+                    return self.s.df
             elif self.maybe("WITH"):
                 self.project(final=False)
                 self.where()
@@ -388,6 +393,32 @@ class Compiler:
             return None
         return int(words[at + 1])
 
+    def procedure(self) -> None:
+        """CALL name(arguments) [YIELD column [AS name], ...]: what the graph holds, as rows."""
+        name = ""
+        while self.peek() not in ("(", ""):
+            name += self.take()
+        self.take("(")
+        args = []
+        while not self.maybe(")"):
+            args.append(self.value())
+            self.maybe(",")
+        df = _catalogue(self.g, name.lower(), args)
+        if self.maybe("YIELD"):
+            taken = []
+            while True:
+                column = self.name()
+                if column not in df.columns:
+                    raise QueryError(f"{name} gives {', '.join(df.columns)}, not {column}")
+                taken.append(F.col(column).alias(self.name() if self.maybe("AS") else column))
+                if not self.maybe(","):
+                    break
+            df = df.select(*taken)
+        if self.s.df is not None:
+            raise QueryError("CALL comes first in a query")
+        self.s.df = df
+        self.where()
+
     def chains(self) -> list[list]:
         out = []
         while True:
@@ -872,6 +903,36 @@ class Compiler:
         raise QueryError(f"no function {name}")
 
 
+def _catalogue(g: Graph, name: str, args: list) -> DataFrame:
+    """The result of a procedure that tells what a graph holds."""
+    spark = g.spark
+    if name == "db.labels":
+        return spark.createDataFrame([(x,) for x in g.labels], "label string")
+    if name == "db.relationshiptypes":
+        return spark.createDataFrame([(x,) for x in g.types], "relationshipType string")
+    if name == "db.propertykeys":
+        keys = {c for x in g.labels for c in g.label(x).columns} | {c for t in g.types for c in g.rel(t).columns} - {"src", "dst"}
+        return spark.createDataFrame([(x,) for x in sorted(keys)], "propertyKey string")
+    if name == "show_tables":
+        return spark.createDataFrame([(x, "NODE") for x in g.labels] + [(x, "REL") for x in g.types], "name string, type string")
+    if name == "table_info":
+        if len(args) != 1 or args[0] not in [*g.labels, *g.types]:
+            raise QueryError("table_info takes the name of a label or relationship type of the graph")
+        held = g.label(args[0]) if args[0] in g.labels else g.rel(args[0])
+        return spark.createDataFrame([(k, f.name, f.dataType.simpleString()) for k, f in enumerate(held.schema.fields)], "`property id` int, name string, type string")
+    if name == "show_connection":
+        if len(args) != 1 or args[0] not in g.types:
+            raise QueryError("show_connection takes the name of a relationship type of the graph")
+        return spark.createDataFrame([("node", "node", "uid", "uid")], "`source table name` string, `destination table name` string, `source table primary key` string, `destination table primary key` string")
+    if name == "show_functions":
+        return spark.createDataFrame([(x,) for x in sorted(AGGREGATES | FUNCTIONS)], "name string")
+    if name == "current_setting":
+        if len(args) != 1:
+            raise QueryError("current_setting takes the name of a setting")
+        return spark.createDataFrame([(spark.conf.get(str(args[0]), None),)], "value string")
+    raise QueryError(f"no procedure {name}")
+
+
 def _unescaped(text: str) -> str:
     return re.sub(r"\\(?:u([0-9A-Fa-f]{4})|(.))", lambda m: chr(int(m[1], 16)) if m[1] else ESCAPES.get(m[2], m[2]), text, flags=re.DOTALL)
 
@@ -881,6 +942,11 @@ def run(g: Graph, text: str, params: dict[str, Any] | None = None, most_hops: in
 
     Walks of several hops may meet a node again but use no edge twice. A pattern that names no upper bound (``*``, ``*2..``)
     is walked until no edge is left; with ``most_hops``, a longer walk raises an error instead. Edges of a path, as ``rels``
-    gives them, are (src, dst) in the order walked.
+    gives them, are (src, dst) in the order walked. EXPLAIN and PROFILE give one row, the plan.
     """
-    return Compiler(g, check_read_only(text), params or {}, most_hops).run()
+    found = check_read_only(text)
+    explained = found[0][1].upper() in ("EXPLAIN", "PROFILE")
+    out = Compiler(g, found[explained:], params or {}, most_hops).run()
+    if explained:  # Spark has no profile before a run: both give the plan
+        return g.spark.createDataFrame([(out._jdf.queryExecution().toString(),)], "plan string")
+    return out

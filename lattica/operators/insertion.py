@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators import cycles
 from lattica.scratch import written
 
+#: Components of at most so many edges and candidates are decided one by one in a task; larger ones in rounds.
+SMALL = 4096
+
 
 def insertable(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     """``candidates`` (src, dst, place: distinct whole numbers) with ``accepted``: as if they were added to ``edges`` (src,
@@ -17,13 +21,12 @@ def insertable(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     is accepted at once, whatever becomes of the others. Within each component the first half of those undecided is
     tried: if all of it closes no cycle it is accepted, else a half of it is tried, down to one candidate, which is refused if
     it closes one. All components go side by side; a component takes some logarithm of its candidates in rounds for each
-    refused one. Self-loops are refused.
+    refused one. Small components don't need rounds: each is decided in one task. Self-loops are refused.
     """
     base = written(edges.select("src", "dst").where("src <> dst").distinct())
     asked = written(candidates.select("src", "dst", F.col("place").cast("long").alias("place")))
     done = asked.where("src = dst").select("place", F.lit(False).alias("accepted"))
     open_ = asked.where("src <> dst")
-    size = None  # how many of a component's candidates are tried at once
     while True:
         group = written(cycles.components(base.unionByName(open_.select("src", "dst"))))
         a, b = (group.select(F.col("uid").alias(end), F.col("component").alias(name)) for end, name in (("src", "x"), ("dst", "y")))
@@ -33,13 +36,51 @@ def insertable(edges: DataFrame, candidates: DataFrame) -> DataFrame:
         done = done.unionByName(free.select("place", F.lit(True).alias("accepted")))
         base = base.unionByName(free.select("src", "dst"))
         inside = written(placed.where(~apart).select("src", "dst", "place", F.col("x").alias("component")))
+        base = written(base.distinct())
+        few, inside, base = _small(inside, base, group)
+        done = done.unionByName(few)
         if inside.isEmpty():
             break
-        inside, base, done = _round(inside, written(base.distinct()), done, group)
+        inside, base, done = _round(inside, base, done, group)
         open_ = inside.select("src", "dst", "place")
     return asked.join(done, "place").select("src", "dst", "place", "accepted")
 
 
+def _decide(batches):
+    """(place, accepted) of components one after another: stored edges first (no place), then candidates by place."""
+    last, ahead, out = None, {}, []
+    for batch in batches:
+        for component, src, dst, place in zip(*(batch.column(c).to_pylist() for c in ("component", "src", "dst", "place")), strict=True):
+            if component != last:
+                last, ahead = component, {}
+            seen, todo = set(), [dst] if place is not None else []
+            while todo and src not in seen:
+                for x in ahead.get(todo.pop(), ()):
+                    if x not in seen:
+                        seen.add(x)
+                        todo.append(x)
+            good = src not in seen
+            if good:
+                ahead.setdefault(src, []).append(dst)
+            if place is not None:
+                out.append((place, good))
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([g for _, g in out], pa.bool_())], names=["place", "accepted"])
+        out.clear()
+
+
+def _small(inside: DataFrame, base: DataFrame, group: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Decisions on the candidates of small components; the other candidates; and the stored edges with those accepted."""
+    ends = [group.select(F.col("uid").alias(end), F.col("component").alias(f"c_{end}")) for end in ("src", "dst")]
+    own = base.join(ends[0], "src").join(ends[1], "dst").where("c_src = c_dst").select("src", "dst", F.lit(None).cast("long").alias("place"), F.col("c_src").alias("component"))
+    every = written(own.unionByName(inside))
+    size = every.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    small = written(size.where(F.col("n") <= SMALL).select("component"))
+    rows = every.join(small, "component", "left_semi").select("component", "src", "dst", "place")
+    few = written(rows.repartition("component").sortWithinPartitions("component", F.col("place").asc_nulls_first()).mapInArrow(_decide, "place long, accepted boolean"))
+    more = inside.join(few.where("accepted"), "place").select("src", "dst")
+    return few, written(inside.join(small, "component", "left_anti")), base.unionByName(more)
+
+
 def _round(inside: DataFrame, base: DataFrame, done: DataFrame, group: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """In each component, candidates up to and with the first that is refused are decided."""
     rank = F.row_number().over(Window.partitionBy("component").orderBy("place"))

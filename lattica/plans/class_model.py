@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.paths import is_test_path
 from lattica.graph import Graph
 from lattica.plans.analyses import _column, _edges
 
 #: From so many classes on, a diagram is simplified unless told otherwise.
 LARGE = 40
-# Names that make a member a field, a test or part of the surface.
-TEST_FILE = r"(?i)((^|/)(tests?|__tests__)(/|$))|([.](test|spec)[.][^/]+$)"
+# Names that make a member a field or part of the surface.
 FIELD_MARKS = ["property", "cached_property", "abstractproperty"]
 CONSTRUCTORS = ["__init__", "constructor"]
 HIDDEN_VISIBILITY = ["private", "protected"]
@@ -28,7 +28,7 @@ def boxes(g: Graph, scope: str = "", include_tests: bool = False) -> DataFrame:
     file = F.translate(F.coalesce("file", F.lit("")), "\\", "/")
     keep = (F.coalesce("name", F.lit("")) != "") & file.startswith(scope)
     if not include_tests:
-        keep &= ~file.rlike(TEST_FILE)
+        keep &= ~is_test_path(file, names=False)
     return c.where(keep).select("uid", "name", "file", _column(c, "startLine").cast("long").alias("startLine"), _column(c, "kind").cast("string").alias("kind"))
 
 
@@ -80,6 +80,9 @@ def relations(g: Graph, box: DataFrame, owns: str = "CONTAINS", calls: str = "CA
     Bases outside the code are ``External:name``, apart from all classes. A function belongs to the class of smallest uid
     that owns it. A field's type is no association where there is inheritance; calls are a use only where nothing
     stronger joins the pair, from ``least_calls`` on, and with ``cap`` only the most frequent (ties by uids).
+
+    ``auto`` is for pictures: beyond ``LARGE`` boxes uses are left out, or counted from two calls on. ``omitted`` tells how
+    many; ``uses=True, least_calls=1`` leaves none out, whatever the number of boxes.
     """
     large = "auto" in (uses, least_calls) and box.limit(LARGE + 1).count() > LARGE
     least = (2 if large else 1) if least_calls == "auto" else max(1, int(least_calls))
@@ -112,6 +115,13 @@ def relations(g: Graph, box: DataFrame, owns: str = "CONTAINS", calls: str = "CA
     return out.unionByName(counted.select("src", "dst", F.lit("uses").alias("kind"), "calls"))
 
 
+def omitted(g: Graph, box: DataFrame, shown: DataFrame, owns: str = "CONTAINS", calls: str = "CALLS") -> DataFrame:
+    """One row (uses, calls): how many uses between the classes ``box`` are not among the relations ``shown``, and their calls."""
+    every = relations(g, box, owns, calls, uses=True, least_calls=1).where("kind = 'uses'")
+    left = every.join(shown.where("kind = 'uses'").select("src", "dst"), ["src", "dst"], "left_anti")
+    return left.agg(F.count(F.lit(1)).alias("uses"), F.coalesce(F.sum("calls"), F.lit(0)).cast("long").alias("calls"))
+
+
 def connected(box: DataFrame, relation: DataFrame) -> DataFrame:
     """The classes of ``box`` that have a relation."""
     ends = relation.select(F.col("src").alias("uid")).unionByName(relation.select(F.col("dst").alias("uid"))).distinct()

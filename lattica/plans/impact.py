@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.paths import is_test_path
 from lattica.graph import Graph
 from lattica.operators.traverse import first_of
 from lattica.scratch import written
@@ -19,8 +20,6 @@ RANKS = ["unknown", "possible", "likely", "exact"]
 RELATIONS = "CALLS CALLS_CONDITIONALLY PASSES_CALLBACK IMPORTS IMPORTS_SYMBOL RESOLVES_TO RENDERS READS_STATE WRITES_STATE FETCHES AWAITS CONTAINS INHERITS REALIZED_BY AFFECTS APPLIES_TO".split()
 QUICK_RELATIONS = "CALLS CALLS_CONDITIONALLY PASSES_CALLBACK RENDERS AFFECTS APPLIES_TO REALIZED_BY".split()
 SECTIONS = {"Test": "tests", "Task": "tasks", "Spec": "specs", "Knowledge": "knowledge"}
-#: Paths of tests: their folders, the marks in their names, and declarations without code.
-TEST_PATH = r"(^|/)(tests?|__tests__)/|\.(test|spec)\.|(^|/)test_[^/]*$|_test\.(py|go|rb)$|\.d\.ts$"
 
 
 @dataclass(frozen=True)
@@ -64,6 +63,17 @@ def name_of(rank: Column) -> Column:
     return F.get(F.array(*(F.lit(x) for x in RANKS)), rank)
 
 
+def change_impact(g: Graph, changed: DataFrame, rels: list[str], depth: int = 2, nodes: int = 100, seeds: int | None = 50) -> DataFrame:
+    """(seed, status, uid, dist, confidence): what depends on each of the changed nodes (uid, status), themselves at 0.
+
+    At most ``seeds`` of them, the first by uid (None: all), and at most ``nodes`` a seed, nearest first, then by uid.
+    """
+    some = changed.select("uid", "status").orderBy("uid").limit(seeds) if seeds else changed.select("uid", "status")
+    some = written(some)
+    found = impact(g, some, profile=Profile("in", depth, nodes, 1, tuple(rels)))
+    return found.join(some.select(F.col("uid").alias("seed"), "status"), "seed").select("seed", "status", "uid", "dist", "confidence")
+
+
 def resolve_seeds(nodes: DataFrame, **wanted: str) -> DataFrame:
     """(uid) of the one node with all that is wanted: uid, or name (or title), file (or path) and label.
 
@@ -134,13 +144,13 @@ def impacted(paths: DataFrame, stale: bool = False) -> DataFrame:
     return per.select("seed", "uid", "dist", (F.lit("unknown") if stale else name_of(F.col("rank"))).alias("confidence"), "paths")
 
 
-def impact(g: Graph, seeds: DataFrame, rels: list[str] | None = None, profile: str = "balanced", stale: bool = False) -> DataFrame:
+def impact(g: Graph, seeds: DataFrame, rels: list[str] | None = None, profile: str | Profile = "balanced", stale: bool = False) -> DataFrame:
     """(seed, uid, dist, confidence): nodes that a change of each seed (column uid) reaches.
 
     A node's distance is its shortest; its confidence is that of its best path, a path's that of its weakest edge. With
     a stale graph all is unknown. At most the profile's number of nodes a seed, nearest first, then by uid.
     """
-    p = profile_of(profile, rels)
+    p = profile if isinstance(profile, Profile) else profile_of(profile, rels)
     steps = _steps(g, p).groupBy("src", "dst").agg(F.max("rank").alias("rank"))
     seen = seeds.select(F.col("uid").alias("seed"), "uid", F.lit(0).cast("long").alias("dist"), F.lit(3).alias("rank")).distinct()
     front = seen
@@ -159,7 +169,7 @@ def is_test(nodes: DataFrame) -> Column:
     said = F.coalesce(F.col("isTest"), F.lit(False)) if "isTest" in nodes.columns else F.lit(False)
     kind = F.lower(F.coalesce("entryPointKind", F.lit(""))).contains("test") if "entryPointKind" in nodes.columns else F.lit(False)
     place = F.coalesce("file", "path") if "path" in nodes.columns else F.col("file")
-    return said | kind | F.coalesce(place.rlike(TEST_PATH), F.lit(False))
+    return said | kind | is_test_path(place)
 
 
 def attachments(g: Graph, found: DataFrame, labels: list[str] | None = None, types: list[str] | None = None) -> DataFrame:

@@ -22,11 +22,21 @@ def task_board(tasks: DataFrame, affects: DataFrame) -> DataFrame:
 
 
 def next_tasks(tasks: DataFrame, needs: DataFrame, k: int = 10) -> DataFrame:
-    """Open tasks all of whose dependencies (src needs dst) are done or in review, most urgent first."""
-    closed = tasks.where(F.col("status").isin("done", "review")).select(F.col("uid").alias("dst"))
-    blocked = needs.join(closed, "dst", "left_anti").select(F.col("src").alias("uid"))
-    free = tasks.where(F.col("status").isin("todo", "backlog")).join(blocked, "uid", "left_anti")
-    return free.withColumn("s", rank_of("status", STATUS_ORDER)).withColumn("p", rank_of("priority", PRIORITY_ORDER)).orderBy("s", "p", "uid").limit(k).select("uid", "status", "priority")
+    """Open tasks that can begin, most urgent first: what they need (src needs dst) is done or in review, and what that
+    needs is done, so work is one step ahead of approval at most.
+
+    With columns wave and waveStatus, tasks of the backlog whose wave isn't active wait.
+    """
+    state = tasks.select(F.col("uid").alias("dst"), "status")
+    known = needs.select("src", "dst").join(state, "dst", "left")
+    open_ = known.where(~F.coalesce(F.col("status").isin("done", "review"), F.lit(False))).select(F.col("src").alias("uid"))
+    undone = known.where(~F.coalesce(F.col("status") == "done", F.lit(False))).select(F.col("src").alias("dst")).distinct()
+    far = needs.select("src", "dst").join(undone, "dst", "left_semi").select(F.col("src").alias("uid"))
+    free = tasks.where(F.col("status").isin("todo", "backlog"))
+    if {"wave", "waveStatus"} <= set(tasks.columns):
+        free = free.where(~((F.col("status") == "backlog") & F.col("wave").isNotNull() & (F.coalesce("waveStatus", F.lit("")) != "active")))
+    free = free.join(open_.unionByName(far).distinct(), "uid", "left_anti")
+    return free.withColumn("s", F.when(F.col("status") == "todo", 0).otherwise(1)).withColumn("p", rank_of("priority", PRIORITY_ORDER)).orderBy("s", "p", "uid").limit(k).select("uid", "status", "priority")
 
 
 def task_dependencies(affects: DataFrame, calls: DataFrame, files: DataFrame) -> DataFrame:
@@ -64,6 +74,23 @@ def quality_gates(report: DataFrame, least_percent: float = 0.0, most_errors: in
     return total.select(F.explode(F.array(F.struct(F.lit("resolution").alias("gate"), F.coalesce(F.col("percent") >= least_percent, F.lit(False)).alias("passed")), F.struct(F.lit("parse errors").alias("gate"), (F.col("parseErrors") <= most_errors).alias("passed")))).alias("g")).select("g.*")
 
 
+def quality_baseline(report: DataFrame) -> DataFrame:
+    """(language, percent, parseErrors) of the languages that have measured sites: what later reports are held against."""
+    return report.where("language IS NOT NULL AND percent IS NOT NULL").select("language", "percent", F.coalesce("parseErrors", F.lit(0)).cast("long").alias("parseErrors"))
+
+
+def regressions(report: DataFrame, baseline: DataFrame, most: float = 0.0) -> DataFrame:
+    """(language, gate, actual, expected) where a report is worse than the baseline: resolution by more than ``most`` points
+    or no longer measured, and parse errors. Languages that the baseline doesn't list can't be worse."""
+    if not 0 <= most <= 100:
+        raise ValueError("a regression is from 0 to 100 points")
+    now = report.where("language IS NOT NULL").select("language", F.col("percent").alias("now"), F.coalesce("parseErrors", F.lit(0)).alias("errors"))
+    met = baseline.join(now, "language", "left").withColumn("errors", F.coalesce("errors", F.lit(0)))
+    resolution = F.when(F.col("now").isNull() | (F.col("now") < F.col("percent") - most), F.struct(F.lit("resolution").alias("gate"), F.col("now").cast("double").alias("actual"), F.col("percent").cast("double").alias("expected")))
+    errors = F.when(F.col("errors") > F.col("parseErrors"), F.struct(F.lit("parse errors").alias("gate"), F.col("errors").cast("double").alias("actual"), F.col("parseErrors").cast("double").alias("expected")))
+    return met.select("language", F.explode(F.array_compact(F.array(resolution, errors))).alias("g")).select("language", "g.*")
+
+
 def freshness(disk: DataFrame, graph: DataFrame) -> DataFrame:
     """(path, reason) of files where disk and graph (path, hash, mtime, parse_error) differ."""
     a, b = disk.alias("a"), graph.alias("b")

@@ -68,12 +68,28 @@ def wave_status(waves: DataFrame, tasks: DataFrame) -> DataFrame:
     return per.select("wave", "total", "done", "in_review", (F.col("total") - F.col("done") - F.col("in_review")).alias("open"), (F.col("total") == F.col("done") + F.col("in_review")).alias("passed"))
 
 
-def epic_sequence(tasks: DataFrame, epic: str) -> DataFrame:
-    """(epic, uid, place): tasks of each epic in order, from 1."""
-    along = Window.partitionBy(epic).orderBy("uid")
+def epic_sequence(tasks: DataFrame, epic: str, order: list[str] | None = None) -> DataFrame:
+    """(epic, uid, place): tasks of each epic from 1, by the columns of their stored order, then uid."""
+    along = Window.partitionBy(epic).orderBy(*(order or []), "uid")
     return tasks.select(F.col(epic).alias("epic"), "uid", F.row_number().over(along).cast("long").alias("place"))
 
 
+def locked_nodes(g: Graph, nodes: DataFrame, rel: str = CALLS) -> DataFrame:
+    """(uid, callers, callees, reads, writes, returns) of nodes (column uid): names around each, in order, by commas.
+
+    Each side is aggregated by itself, so sides don't multiply; types that the graph lacks give empty text.
+    """
+    out = call_context(g, nodes, rel)
+    for side, kind, label in (("reads", "READS_STATE", "State"), ("writes", "WRITES_STATE", "State"), ("returns", "RETURNS", "ReturnValue")):
+        if kind not in g.types or label not in g.labels:
+            out = out.withColumn(side, F.lit(""))
+            continue
+        said = g.label(label).select(F.col("uid").alias("dst"), F.col("name").alias("said"))
+        e = g.rel(kind).select(F.col("src").alias("uid"), "dst").join(out.select("uid"), "uid", "left_semi").join(said, "dst")
+        out = out.join(e.groupBy("uid").agg(F.array_join(F.array_sort(F.collect_set("said")), ",").alias(side)), "uid", "left").withColumn(side, F.coalesce(side, F.lit("")))
+    return out
+
+
 def lock_summary(leases: DataFrame, now: int) -> DataFrame:
     """(owner, live, expired) leases (owner, lockExpires)."""
     live = F.col("lockExpires") > now

@@ -186,8 +186,9 @@ def accepted(edges, candidates):
     return out
 
 
-@pytest.mark.parametrize("seed", range(1))
-def test_batches_of_edges_stay_without_cycles(spark, seed):
+@pytest.mark.parametrize(("seed", "small"), [(0, 0), (1, 4096)])
+def test_batches_of_edges_stay_without_cycles(spark, monkeypatch, seed, small):
+    monkeypatch.setattr(insertion, "SMALL", small)
     rng = random.Random(seed)
     names = [f"n{k}" for k in range(12)]
     base = [e for e in itertools.combinations(names, 2) if rng.random() < 0.08]

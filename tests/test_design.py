@@ -48,6 +48,9 @@ def test_class_diagram(spark):
     assert {tuple(r) for r in class_model.relations(g, box, least_calls=2).collect()} == strong | {("C", "B", "uses", 2)}
     assert {tuple(r) for r in class_model.relations(g, box, cap=1).collect()} == strong | {("C", "B", "uses", 2)}
     assert {tuple(r) for r in class_model.relations(g, box, uses=False).collect()} == strong
+    every = class_model.relations(g, box, uses=True, least_calls=1)
+    left = class_model.omitted(g, box, class_model.relations(g, box, uses=False)).collect()[0]
+    assert left.uses == every.where("kind = 'uses'").count() > 0 and class_model.omitted(g, box, every).collect()[0].uses == 0
     assert {r.uid for r in class_model.connected(box, class_model.relations(g, box)).collect()} == {"A", "B", "C"}
 
 
