@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lattica import cypher
 from lattica.graph import Graph
-from lattica.operators import traverse
+from lattica.operators import traverse, walks
 from lattica.plans import analyses as A
 from lattica.plans import diff, impact, scheduling
 
@@ -90,7 +90,7 @@ def test_diff(spark):
         ("MATCH (f:Function)-[:CALLS]->(c:Function) RETURN f.name AS f, c.name AS c ORDER BY f, c", [("alpha", "beta"), ("alpha", "leaf"), ("beta", "alpha")]),
         ("MATCH (f:Function) WHERE NOT ()-[:CALLS]->(f) RETURN f.name AS f ORDER BY f", [("lone",), ("open",)]),
         ("MATCH (f:Function) OPTIONAL MATCH (f)-[:CALLS]->(c) RETURN f.name AS f, count(c) AS n ORDER BY n DESC, f LIMIT 2", [("alpha", 2), ("beta", 1)]),
-        ("MATCH (f:Function {name: 'alpha'})-[:CALLS*1..2]->(c) RETURN DISTINCT c.uid AS c ORDER BY c", [("beta",), ("leaf",)]),
+        ("MATCH (f:Function {name: 'alpha'})-[:CALLS*1..2]->(c) RETURN DISTINCT c.uid AS c ORDER BY c", [("alpha",), ("beta",), ("leaf",)]),
         ("MATCH (f:Function) WHERE f.name STARTS WITH 'l' AND NOT f:Component RETURN f.name AS f, CASE WHEN f.file = 'c.py' THEN 1 ELSE 0 END AS k ORDER BY f", [("leaf", 0), ("lone", 1)]),
         ("UNWIND [1, 2, 3] AS x WITH x WHERE x > 1 RETURN x, [y IN [1, 5] WHERE y > x | y * 2] AS ys ORDER BY x", [(2, [10]), (3, [10])]),
         ("MATCH (f:Function) WHERE f.name = $n RETURN f.file AS file UNION MATCH (f:Function) WHERE f.name = 'beta' RETURN f.file AS file", [("b.py",)]),
@@ -99,7 +99,7 @@ def test_diff(spark):
         ("MATCH (f:Function) WHERE (f)-[:CALLS]->(:Function {name: 'leaf'}) OR NOT ()-[:CALLS]->(f) RETURN f.name AS f ORDER BY f", [("alpha",), ("lone",), ("open",)]),
         ("MATCH (f:Function) WHERE f.file = 'b.py' AND (f.name = 'leaf' OR EXISTS { MATCH (f)-[:CALLS]->() }) RETURN f.name AS f ORDER BY f", [("beta",), ("leaf",)]),
         ("MATCH (f:Function) WHERE f.file = 'b.py' RETURN f.name AS f, EXISTS { (f)-[:CALLS]->() } AS calls ORDER BY f", [("beta", True), ("leaf", False)]),
-        ("MATCH p = (f:Function)-[:CALLS*1..3]->(c) WHERE f.name = 'beta' RETURN nodes(p) AS n, rels(p) AS r, length(p) AS k ORDER BY k", [(["beta", "alpha"], [("beta", "alpha")], 1), (["beta", "alpha", "leaf"], [("beta", "alpha"), ("alpha", "leaf")], 2)]),
+        ("MATCH p = (f:Function)-[:CALLS*1..3]->(c) WHERE f.name = 'beta' AND c.name <> 'beta' RETURN nodes(p) AS n, rels(p) AS r, length(p) AS k ORDER BY k", [(["beta", "alpha"], [("beta", "alpha")], 1), (["beta", "alpha", "leaf"], [("beta", "alpha"), ("alpha", "leaf")], 2)]),
         ("MATCH p = (f:Function)-[:CALLS]->(c) WHERE c.name = 'leaf' RETURN nodes(p) AS n", [(["alpha", "leaf"],)]),
         ("MATCH (f:Function {name: 'leaf'})<-[:CALLS*1..2]-(c) RETURN c.name AS c ORDER BY c", [("alpha",), ("beta",)]),
         ("MATCH (f:Function) WHERE f.name =~ ('l' + '.+') RETURN f.name + '!' AS f ORDER BY f", [("leaf!",), ("lone!",)]),
@@ -126,8 +126,8 @@ def test_cypher_names_what_is_missing(graph, text):
 
 def test_cypher_starts_walks_at_named_nodes(graph, monkeypatch):
     seen = []
-    walk = traverse.paths
-    monkeypatch.setattr(traverse, "paths", lambda g, seeds, *a, **k: seen.append(seeds.count()) or walk(g, seeds, *a, **k))
+    walk = walks.walks
+    monkeypatch.setattr(walks, "walks", lambda g, seeds, *a, **k: seen.append(seeds.count()) or walk(g, seeds, *a, **k))
     rows = cypher.run(graph, "MATCH (f:Function)-[:CALLS*]->(c) WHERE f.name = 'beta' AND c.name = 'leaf' RETURN c.uid AS c").collect()
     assert [r.c for r in rows] == ["leaf"] and seen == [1]
 
