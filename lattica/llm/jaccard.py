@@ -6,6 +6,7 @@ import heapq
 import math
 import zlib
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ PERCENT = 75
 CELLS, SLICES, HEAVY = 1 << 20, 256, 64
 #: Documents searched together at most; larger families are searched in blocks.
 BLOCK = 256
-#: Bits of the filter for documents whose sets are needed: 16 each, 32 MB at most; when full it only lets more through.
+#: Bits of the filter for documents whose sets are needed: 16 to 32 each, 32 MB at most; when full it only lets more through.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 #: Postings that a task gathers before it sends them on.
 GATHERED = 300_000
 #: Candidates probed side by side; between such steps, those joined meanwhile are dropped.
@@ -286,17 +288,22 @@ def _reduced(buckets: DataFrame, each) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Shingle sets of the rows in ``wanted`` (row), and of few others: (s1, s2, blob)."""
+    """Shingle sets of the rows in ``wanted`` (row), and of very few others: (s1, blob).
+
+    Each row has four bits of a filter that is sent to all tasks, so no set is shuffled to tell whether it is wanted; of
+    a hundred thousand others some tens pass.
+    """
     size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * wanted.count()).bit_length()))
 
-    def place(rows: pa.Array) -> np.ndarray:
-        return common.mix64(np.asarray(rows).view(np.uint64)) % U(size)
+    def places(rows: np.ndarray) -> Iterator[np.ndarray]:
+        for salt in PLACES:
+            yield common.mix64(rows ^ U(salt)) % U(size)
 
     def mark(batches):
         bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            at = place(batch.column("row"))
-            np.bitwise_or.at(bits, (at >> U(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & U(7)).astype(np.uint8)))
+            for at in places(np.asarray(batch.column("row")).view(np.uint64)):
+                np.bitwise_or.at(bits, (at >> U(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & U(7)).astype(np.uint8)))
         yield _sliced_rows(bits)
 
     rows = _sum_slices(wanted.mapInArrow(mark, "slice long, cells binary"), "u1", np.bitwise_or)
@@ -305,19 +312,22 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         seen: set[int] = set()  # equal sets of a task go once
         for batch in batches:
-            at = place(batch.column("row"))
-            hit = np.flatnonzero(sent.value[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8) & 1)
+            rows = np.asarray(batch.column("row")).view(np.uint64)
+            held = np.ones(len(rows), bool)
+            for at in places(rows):
+                held &= (sent.value[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8) & 1).astype(bool)
+            hit = np.flatnonzero(held)
             if not len(hit):
                 continue
             some = batch.take(pa.array(hit))
             raw, offs = common.text_buffers(some.column("text"))
             for i, j in common.doc_ranges(offs, CHUNK):
                 flat, bounds = shingle_sets(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                s1, s2 = _signatures(flat, bounds)
+                s1, _ = _signatures(flat, bounds)
                 new = [k for k, x in enumerate(s1.tolist()) if x not in seen and not seen.add(x)]
-                yield pa.RecordBatch.from_arrays([_signed(s1[new]), _signed(s2[new]), pa.array([flat[bounds[k] : bounds[k + 1]].tobytes() for k in new], pa.binary())], names=["s1", "s2", "blob"])
+                yield pa.RecordBatch.from_arrays([_signed(s1[new]), pa.array([flat[bounds[k] : bounds[k + 1]].tobytes() for k in new], pa.binary())], names=["s1", "blob"])
 
-    return docs.mapInArrow(run, "s1 long, s2 long, blob binary")
+    return docs.mapInArrow(run, "s1 long, blob binary")
 
 
 def merge_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
@@ -486,9 +496,9 @@ def _classes(docs: DataFrame, block: int) -> DataFrame:
     # a set that shares too few of its wide prefix with all others together links with none
     shared = _reduced(_from_texts(docs.drop("row"), sent, heavy, buckets), _bucket_counts).groupBy("a").agg(F.sum("b").alias("shared"))
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / 8))
-    alive = classes.withColumn("node", F.shiftrightunsigned("s1", 16)).join(shared, F.col("node") == F.col("a")).where(F.col("shared") >= least).select("row", "n", "s1", "s2", "node")
+    alive = classes.withColumn("node", F.shiftrightunsigned("s1", 16)).join(shared, F.col("node") == F.col("a")).where(F.col("shared") >= least).select("row", "n", "s1", "node")
     alive = common.written(alive)
-    sets = common.written(_sets(docs.select("row", "text"), alive.select("row")).join(alive.select("s1", "s2"), ["s1", "s2"]))
+    sets = common.written(_sets(docs.select("row", "text"), alive.select("row")))
     family = components(_reduced(_from_sets(sets, sent, heavy, 1 + buckets // 4), _bucket_edges)).select("node", F.col("root").alias("family"))
     crowd = alive.join(family, "node").groupBy("family").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     crowd = common.written(family.join(crowd, "family"))
