@@ -31,6 +31,11 @@ PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F
 GATHERED = 300_000
 #: Candidates probed side by side; between such steps, those joined meanwhile are dropped.
 PROBED = 64
+#: Sets of one component whose links are counted together: so many, or so many bytes; larger components go in pairs of parts.
+LINKED, LINKED_BYTES = 1024, 8 << 20
+#: Shingles in more sets than this are counted by products of matrices, others by listing the pairs that share them.
+DENSE, COLUMNS = 64, 4096
+UNIT = ("rep", "part", "copies", "blob", "across")
 #: Weight of a binary probe against a merge step in the choice of long lists.
 MU = 0.0085
 
@@ -476,9 +481,95 @@ def _across(members: DataFrame, block: int) -> DataFrame:
     return left.join(pairs, ["family", "part"]).select("work", "rep", "label", "part")
 
 
-def _classes(docs: DataFrame, block: int) -> DataFrame:
+def overlaps(sets: list[np.ndarray], many: int) -> np.ndarray:
+    """How many values each of the first ``many`` sets shares with each of the others, or, if that is all, with each other."""
+    whole = many == len(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    tokens, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((many, many if whole else len(sets) - many), np.int32)
+    order = np.argsort(at, kind="stable")
+    owner, begin = owner[order], np.cumsum(df) - df
+    wide = np.flatnonzero(df > DENSE)
+    for k in range(0, len(wide), COLUMNS):
+        some = wide[k : k + COLUMNS]
+        x = np.zeros((len(sets), len(some)), np.float32)
+        column = np.repeat(np.arange(len(some)), df[some])
+        x[owner[np.repeat(begin[some] - (np.cumsum(df[some]) - df[some]), df[some]) + np.arange(len(column))], column] = 1
+        out += (x[:many] @ (x if whole else x[many:]).T).astype(np.int32)  # whole numbers below 2^24 stay exact
+    for size in range(2, DENSE + 1):
+        some = np.flatnonzero(df == size)
+        for k in range(0, len(some), 1 << 14):
+            rows = owner[begin[some[k : k + (1 << 14)], None] + np.arange(size)]
+            for i in range(size):
+                for j in range(i + 1, size):
+                    a, b = rows[:, i], rows[:, j]  # ascending
+                    if whole:
+                        np.add.at(out, (a, b), 1)
+                        np.add.at(out, (b, a), 1)
+                    else:
+                        apart = (a < many) & (b >= many)
+                        np.add.at(out, (a[apart], b[apart] - many), 1)
+    return out
+
+
+def _count_links(rows: DataFrame) -> DataFrame:
+    """(rep, links) in each ``work`` unit of (work, rep, part, copies, blob, across): links of each set with those of the
+    other part, or of its own if not ``across``, each as often as it has copies."""
+
+    def count(held):
+        parts, whole = sorted({h[1] for h in held}), not held[0][4]
+        if len(parts) == 1 and not whole:
+            return  # the other part is empty
+        left, right = ([h for h in held if h[1] == part] for part in (parts[0], parts[-1]))
+        sets = [np.frombuffer(h[3], np.uint64) for h in (left if whole else left + right)]
+        shared = overlaps(sets, len(left))
+        size = np.array([len(x) for x in sets], np.int64)
+        other = size if whole else size[len(left) :]
+        linked = 100 * shared >= PERCENT * (size[: len(left), None] + other[None, :] - shared)
+        if whole:
+            np.fill_diagonal(linked, False)
+        yield from zip([h[0] for h in left], (linked @ np.array([h[2] for h in right], np.int64)).tolist(), strict=True)
+        if not whole:
+            yield from zip([h[0] for h in right], (linked.T @ np.array([h[2] for h in left], np.int64)).tolist(), strict=True)
+
+    def run(batches):
+        held, last = {}, None
+        out: list[tuple[int, int]] = []
+        for batch in batches:
+            for work, *row in zip(*(batch.column(k).to_pylist() for k in ("work", *UNIT)), strict=True):
+                if work != last:
+                    if len(held) > 1:
+                        out.extend(count(list(held.values())))
+                    held, last = {}, work
+                held[row[0]] = row
+        if len(held) > 1:
+            out.extend(count(list(held.values())))
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["rep", "links"])
+
+    dealt = rows.select("work", *UNIT).repartition("work").sortWithinPartitions("work", "rep")
+    return dealt.mapInArrow(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+
+
+def _links(members: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(rep, links) of ``members`` (rep, root, n, copies): how many documents with other sets each set links with.
+
+    All links lie within a component. Its sets are dealt in parts, and each pair of parts is a unit: every two sets of a
+    component meet once, and their overlap is counted exactly. A unit's rows are bounded by number and bytes.
+    """
+    size = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("all")).where("size > 1")
+    parts = F.greatest(F.ceil(F.col("size") / LINKED), F.ceil(F.col("all") * 8 / LINKED_BYTES))
+    dealt = members.join(size.select("root", parts.alias("parts")), "root").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    units = each.select(F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("work"), "rep", "part", "copies", (F.col("part") != F.col("other")).alias("across"))
+    return _count_links(units.join(blobs, "rep"))
+
+
+def _classes(docs: DataFrame, block: int, links: bool = False) -> DataFrame:
     """Each row of ``docs`` (doc_id, text, row: a hash of both): doc_id, row, n, and root, which rows of one component share.
 
+    With ``links``, also n_links: how many other rows with words it links with, those of an equal set included.
+
     Equal sets are one class; its id is 64 bits of the set's signature, as long as a shingle's hash. Without words
     (n = 0) ``root`` means nothing.
     """
@@ -507,15 +598,22 @@ def _classes(docs: DataFrame, block: int) -> DataFrame:
 
     blocks = F.ceil(F.col("size") / block)
     twice = F.when(blocks == 1, F.array(F.xxhash64("family"))).otherwise(F.array(*(F.xxhash64("family", F.lit(salt), F.pmod(F.xxhash64("rep", F.lit(salt)), blocks)) for salt in (1, 2))))
-    links = common.written(_search(members.select("rep", F.col("rep").alias("label"), F.lit(0).cast("long").alias("part"), F.explode(twice).alias("work")).join(blobs, "rep")))
-    label = common.written(components(links))
+    joined = common.written(_search(members.select("rep", F.col("rep").alias("label"), F.lit(0).cast("long").alias("part"), F.explode(twice).alias("work")).join(blobs, "rep")))
+    label = common.written(components(joined))
     if crowd.where(F.col("size") > block).limit(1).count():
         known = members.where(F.col("size") > block).join(label.select(F.col("node").alias("rep"), F.col("root").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         more = common.written(_search(_across(known, block).join(blobs, "rep")))
         if more.limit(1).count():
-            label = common.written(components(links.unionAll(more)))
-    classes = classes.join(label.select(F.col("node").alias("s1"), "root"), "s1", "left").select("s1", "s2", F.coalesce("root", "s1").alias("root"))
-    return signs.join(classes, ["s1", "s2"], "left").select("doc_id", "row", "n", F.coalesce("root", "row").alias("root"))
+            label = common.written(components(joined.unionAll(more)))
+    more = []
+    if links:
+        copies = common.written(signs.where("n > 0").groupBy(F.col("s1").alias("rep")).agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")))
+        inside = common.written(label.select(F.col("node").alias("rep"), "root").join(copies, "rep"))
+        found = copies.join(_links(inside, blobs), "rep", "left").select(F.col("rep").alias("s1"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        classes, more = classes.join(common.written(found), "s1", "left"), ["n_links"]
+    classes = classes.join(label.select(F.col("node").alias("s1"), "root"), "s1", "left").select("s1", "s2", F.coalesce("root", "s1").alias("root"), *more)
+    more = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else []
+    return signs.join(classes, ["s1", "s2"], "left").select("doc_id", "row", "n", F.coalesce("root", "row").alias("root"), *more)
 
 
 def _with_row(docs: DataFrame) -> DataFrame:
@@ -538,7 +636,8 @@ def _looked_up(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def jaccard_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id it reaches by links, itself included).
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id it reaches by links, itself included), n_links (how many
+    other rows it links with, equal texts included; every link between different texts is verified).
 
     Searched are only sets that share enough with all others together, in families that share prefix shingles.
     Rows without words, null or empty, are linked with nothing and have their own doc_id. Equal texts are one class
@@ -546,9 +645,9 @@ def jaccard_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     A null doc_id links like others, but names a component only where all its ids are null. An empty table gives an
     empty result; further columns are left out, whatever their names.
     """
-    rows = common.written(_classes(_with_row(docs), block))
+    rows = common.written(_classes(_with_row(docs), block, links=True))
     names = common.written(rows.where("n > 0").groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("component")))
-    return _looked_up(rows, names).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return _looked_up(rows, names).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "n_links")
 
 
 def one_each(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -584,6 +683,6 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM o JOIN n x ON o.a = x.doc_id JOIN n y ON o.b = y.doc_id WHERE 100 * i >= 75 * (x.n + y.n - i)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
-FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON d.doc_id = c.a
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, coalesce(k.k, 0) AS n_links
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN (SELECT a, count(*) AS k FROM l GROUP BY a) k ON d.doc_id = k.a JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON d.doc_id = c.a
 """

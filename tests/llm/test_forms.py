@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import common, html_text, infill, queries, spelling, warc
+from lattica.llm import common, html_text, infill, jaccard, queries, secrets, spelling, warc
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -269,3 +269,58 @@ def test_deep_and_unmatched_tags_take_linear_time(unit):
     scored = html_text.containers(root)
     text = html_text.extract(unit * 50_000, scored[0][0].path if scored else None)
     assert text.count("x") == 50_000 and time.time() - began < 60
+
+
+def test_planted_credentials(spark):
+    """Parts in nested objects, assignments and blocks are found, and parts of different scopes are left alone."""
+    rng = np.random.default_rng(4)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    key = lambda: "Aa1" + "".join(rng.choice(letters, int(rng.integers(24, 50))))
+    pad = lambda: "word " * int(rng.integers(70, 200))
+    texts = []
+    for k in range(40):
+        texts += [
+            (True, f'{{"user_id": "u{k}x", "opts": {{"a": {{"b": "{pad()}"}}, "c": 1}}, "v": "{key()}"}}'),
+            (True, f'}} {{"deep": {{"client_id": "c{k}x", "note": "{pad()}", "list": [{{"x": 1}}, {{"y": 2}}], "v": "{key()}"}}}}'),
+            (True, f"account_id = a{k}bc\nendpoint https://h{k}.example.org/x\n{key()}"),
+            (False, f'{{"user_id": "u{k}x"}} {pad()} {{"v": "{key()}"}}'),
+            (False, f'{{"list": [{{"user_id": "u{k}x"}}, {{"p": "{pad()}"}}, {{"v": "{key()}"}}]}}'),
+            (False, f"user_id = u{k}x\n{pad()}\n\n{pad()}\n{key()}"),
+        ]
+    df = common.keyed(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string"))
+    found = secrets.find_secrets(df)
+    assert "Python" not in found._jdf.queryExecution().toString() and "ArrowEval" not in found._jdf.queryExecution().toString()
+    hit = {r.doc_id for r in found.where("name = 'weak_secret'").collect()}
+    planted = {k for k, (yes, _) in enumerate(texts) if yes}
+    assert len(hit & planted) >= 0.99 * len(planted) and len(hit & planted) >= 0.99 * len(hit)
+
+
+@pytest.mark.parametrize("linked", [1024, 3])
+def test_links_are_counted_in_parts(spark, monkeypatch, linked):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(40)]
+    texts = [None, "", "a", "A", "b"]
+    for _ in range(4):
+        base = [rng.choice(words) for _ in range(40)]
+        for _ in range(8):
+            text = list(base)
+            for _ in range(rng.randrange(3)):
+                text[rng.randrange(40)] = rng.choice(words)
+            texts.append(" ".join(text))
+    texts += texts[5:9] + [" ".join(rng.choice(words) for _ in range(30)) for _ in range(10)]
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    want = [sum(bool(a) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    monkeypatch.setattr(jaccard, "LINKED", linked)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_links for r in jaccard.jaccard_groups(df, block=5).collect()}
+    assert [got[k] for k in range(len(texts))] == want and max(want) > 5
+    for many in (len(sets), 7):
+        some = [np.array(sorted(hash(x) & (1 << 62) - 1 for x in s), np.uint64) for s in sets if s]
+        shared = jaccard.overlaps(some, min(many, len(some)))
+        other = some if many >= len(some) else some[many:]
+        assert all(shared[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(some[:many]) for j, b in enumerate(other) if a is not b)
