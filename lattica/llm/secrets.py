@@ -9,9 +9,12 @@ from . import common, spans
 
 #: Code points between parts of one credential at most, where they share no object.
 SCOPE = 300
-#: Scopes end at these: a blank line ends a block, a brace an object's run of members.
-MARKS = {"block": r"\n[\x20\t\r]*+\n", "opened": r"\{", "closed": r"\}"}
+#: A blank line ends a block; braces begin and end objects, which nest.
+MARKS = {"block": r"\n[\x20\t\r]*+\n"}
+OPEN, CLOSE = r"\{", r"\}"
 BASE = ["assign", "access", "hex"]
+#: The number of the kind of opening braces; closing ones are the next.
+BRACES = 6
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"  # shorter ones fail, and hold no other match
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
@@ -38,21 +41,39 @@ def _kinds() -> list[spans.Kind]:
         ("weak_secret", SECRET, None),
         ("identifier", IDENTIFIER, any_of("user", "client", "account", "access")),
         ("endpoint", ENDPOINT, F.contains(text, F.lit("://"))),
+        ("open", OPEN, F.contains(text, F.lit("{"))),
+        ("close", CLOSE, F.contains(text, F.lit("{"))),
     ]
 
 
+def _within_objects(found: DataFrame) -> DataFrame:
+    """``found`` without braces, each span with ``object``: where the innermost braces about it open; null outside of any.
+
+    The height at a place is the running sum of braces above its least; the last brace that opened this height is the
+    one about a span there, as on a stack. An end brace that closes nothing changes nothing.
+    """
+    doc = ("doc_id", "text_hash")
+    along = Window.partitionBy(*doc).orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.when(F.col("kind") == BRACES, 1).when(F.col("kind") == BRACES + 1, -1).otherwise(0)
+    found = found.withColumn("sum", F.sum(step).over(along)).withColumn("height", F.col("sum") - F.least(F.lit(0), F.min("sum").over(along)))
+    level = Window.partitionBy(*doc, "height").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    opened = F.last(F.when(F.col("kind") == BRACES, F.col("start")), ignorenulls=True).over(level)
+    found = found.withColumn("object", F.when(F.col("height") > 0, opened))
+    return found.where(F.col("kind") < BRACES).drop("sum", "height")
+
+
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """All base spans, and weak ones with complementary parts: doc_id, text_hash, kind, name, start, end.
 
     A weak secret (20 to 64 letters, digits and signs, of both cases and digits) counts with an access or other
     identifier; an identifier with an assignment, hex run or weak secret; an endpoint with one of each. Both parts must
-    lie in one scope: within braces without another brace between, or in one block without a blank line and at most
-    ``scope`` code points apart. Scopes are intervals of the text; parts are joined with them by a sweep in order of
-    place, so a scope of very many parts costs no pairs. A secret that a base span covers is no part of its own.
+    lie in one scope: directly in the same object, whatever objects stand between, or in one block without a blank line and
+    at most ``scope`` code points apart. Scopes are intervals of the text, which nest; parts are joined with the innermost
+    about them by a sweep in order of place, so a scope of very many parts costs no pairs. A secret that a base span covers is no part of its own.
     Null and empty texts have no spans; equal rows (same doc_id and text) give theirs once; ties in place go by kind.
     """
     kinds = _kinds()
-    found = spans.spans(docs, kinds, marks=MARKS)
+    found = _within_objects(spans.spans(docs, kinds, marks=MARKS))
     value = F.regexp_extract("match", ASSIGN, 1)
     mixed = F.col("match").rlike("[A-Z]") & F.col("match").rlike("[a-z]") & F.col("match").rlike("[0-9]")
     found = found.where(F.when(F.col("kind") == 0, F.length(value) >= 6).when(F.col("kind") == 3, mixed).otherwise(F.lit(True)))
@@ -62,16 +83,16 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     parts = {"identifier": F.col("kind").isin(1, 4), "secret": F.col("kind").isin(0, 2, 3)}
     forth = Window.partitionBy(*doc, "block").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
     back = Window.partitionBy(*doc, "block").orderBy(F.desc("start"), F.desc("end"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy(*doc, "opened", "closed")
+    within = Window.partitionBy(*doc, "object")
     for name, holds in parts.items():
         found = found.withColumn(f"before_{name}", F.max(F.when(holds, F.col("end"))).over(forth)).withColumn(f"after_{name}", F.min(F.when(holds, F.col("start"))).over(back))
-        found = found.withColumn(f"object_{name}", F.coalesce(F.max(holds).over(within), F.lit(False)) & (F.col("opened") > F.col("closed")))
+        found = found.withColumn(f"object_{name}", F.coalesce(F.max(holds).over(within), F.lit(False)) & F.col("object").isNotNull())
 
     def near(name: str) -> Column:
         return F.coalesce(F.col("start") - F.col(f"before_{name}") <= scope, F.lit(False)) | F.coalesce(F.col(f"after_{name}") - F.col("end") <= scope, F.lit(False)) | F.col(f"object_{name}")
 
     linked = F.when(F.col("kind") < 3, True).when(F.col("kind") == 3, near("identifier")).when(F.col("kind") == 4, near("secret")).otherwise(near("identifier") & near("secret"))
-    names = F.array(*(F.lit(k[0]) for k in kinds))
+    names = F.array(*(F.lit(k[0]) for k in kinds[:BRACES]))
     return found.where(linked).select("doc_id", "text_hash", "kind", F.get(names, F.col("kind")).alias("name"), "start", "end")
 
 
