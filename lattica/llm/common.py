@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +33,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores, *(F.xxhash64(c) for c in df.columns[:2])) if size < SMALL * cores else df
 
 
+def released() -> None:
+    """Gives memory that earlier tasks of this worker have freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def keyed(docs: DataFrame, *extra: str) -> DataFrame:
     """Only the columns an operator reads, so further columns can't clash; a null text counts as empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)

@@ -79,6 +79,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, with_ids: bo
     """Documents cut into pieces of ``size`` ids and a rest; ``part_rank`` counts pieces of a length within a partition."""
 
     def run(batches):
+        common.released()
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
             names = batch.column("doc_id")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import SparkSession
 
+from lattica.llm import vocab
 from lattica.plans import locks
 from lattica.sources import dom
 
@@ -50,3 +52,11 @@ def test_element_trees_are_not_sent_whole(spark):
         assert tree.join(again, (tree.page_id == again.p) & (tree.parent == again.m)).count() == 20 * 11
 
     assert not [name for name, _ in executed(spark, run) if "Broadcast" in name]
+
+
+def test_pieces_join_in_order_and_in_less_memory():
+    pieces = lambda keys, sizes: vocab._Pieces(np.array(keys, np.uint64), np.cumsum(sizes) - sizes, np.array(sizes), np.repeat(np.array(keys, np.uint32), sizes))
+    both = pieces([2, 5, 9], [1, 3, 2]).joined(pieces([1, 5 + 2, 11], [2, 1, 4]))
+    assert both.keys.tolist() == [1, 2, 5, 7, 9, 11]
+    assert [both.ids[a : a + n].tolist() for a, n in zip(both.at.tolist(), both.size.tolist(), strict=True)] == [[1] * 2, [2], [5] * 3, [7], [9] * 2, [11] * 4]
+    assert both.at.dtype == both.size.dtype == np.uint32
