@@ -24,6 +24,8 @@ PERCENT = 75
 CELLS, SLICES, HEAVY = 1 << 20, 256, 64
 #: Documents searched together at most; larger families are searched in blocks.
 BLOCK = 256
+#: Shingles that two sets of a large family must share to stay in one; pairs are listed for shingles in so many sets at most.
+TOGETHER, LISTED = 3, 16
 #: Bits of the filter for documents whose sets are needed: 16 to 32 each, 32 MB at most; when full it only lets more through.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
@@ -144,17 +146,26 @@ def _share(n):
     return np.maximum(1, n // 8)
 
 
-def _prefixes(flat: np.ndarray, bounds: np.ndarray, s1: np.ndarray, level_of: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _together(n):
+    """Linked sets that differ have three shingles at least and share as many."""
+    return np.minimum(TOGETHER, _needed(n))
+
+
+def _one(n):
+    return np.ones_like(n)
+
+
+def _prefixes(flat: np.ndarray, bounds: np.ndarray, s1: np.ndarray, level_of: np.ndarray, beyond) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix shingles of each different set, rarest first, with its node and length class.
 
-    Linked sets share k of their n - needed + k first ones: k is 1, or in wide prefixes ``_share``. A node is 48 bits of
-    the set's signature: a chance collision only makes a family larger.
+    Linked sets share k of their n - needed + k first ones: k is ``beyond`` of n, the smaller one of two sets. A node is 48
+    bits of the set's signature: a chance collision only makes a family larger.
     """
     sizes = np.diff(bounds)
     _, once = np.unique(s1, return_index=True)
     once = once[sizes[once] > 0]
     rank = (level_of[(flat >> U(44)).astype(np.int64)].astype(np.uint64) << U(56)) | flat >> U(8)
-    many = (sizes - _needed(sizes) + (_share(sizes) if wide else 1))[once]
+    many = (sizes - _needed(sizes) + beyond(sizes))[once]
     picked = [np.empty(0, np.uint64)]
     for k, m in zip(once.tolist(), many.tolist(), strict=True):
         i, j = bounds[k], bounds[k + 1]
@@ -169,12 +180,12 @@ class _Postings:
     length class, shared with the next), bucket -2 how many of them each set has.
     """
 
-    def __init__(self, level_of: np.ndarray, heavy: int, buckets: int, wide: bool):
-        self.level_of, self.heavy, self.buckets, self.wide = level_of, heavy, buckets, wide
+    def __init__(self, level_of: np.ndarray, heavy: int, buckets: int, beyond):
+        self.level_of, self.heavy, self.buckets, self.beyond = level_of, heavy, buckets, beyond
         self.held, self.size = [], 0
 
     def add(self, flat: np.ndarray, bounds: np.ndarray, s1: np.ndarray):
-        self.held.append(_prefixes(flat, bounds, s1, self.level_of, self.wide))
+        self.held.append(_prefixes(flat, bounds, s1, self.level_of, self.beyond))
         self.size += len(self.held[-1][0])
         if self.size > GATHERED:
             yield from self.flush()
@@ -188,7 +199,7 @@ class _Postings:
         rows: list[tuple[int, bytes]] = []
         if is_heavy.any():
             t, c, k = token[is_heavy], node[is_heavy], size_class[is_heavy]
-            if self.wide:
+            if self.beyond is _share:
                 rows.append((-2, np.stack(np.unique(c, return_counts=True), 1).tobytes()))
             else:
                 t, c, k = np.concatenate((t, t)), np.concatenate((c, c)), np.concatenate((k, k + 1))
@@ -208,7 +219,7 @@ class _Postings:
 
 def _from_texts(docs: DataFrame, sent, heavy: int, buckets: int) -> DataFrame:
     def run(batches):
-        out = _Postings(sent.value, heavy, buckets, True)
+        out = _Postings(sent.value, heavy, buckets, _share)
         for batch in batches:
             raw, offs = common.text_buffers(batch.column("text"))
             for i, j in common.doc_ranges(offs, CHUNK):
@@ -219,9 +230,9 @@ def _from_texts(docs: DataFrame, sent, heavy: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket long, blob binary")
 
 
-def _from_sets(sets: DataFrame, sent, heavy: int, buckets: int) -> DataFrame:
+def _from_sets(sets: DataFrame, sent, heavy: int, buckets: int, beyond=_one) -> DataFrame:
     def run(batches):
-        out = _Postings(sent.value, heavy, buckets, False)
+        out = _Postings(sent.value, heavy, buckets, beyond)
         for batch in batches:
             blobs = batch.column("blob").to_pylist()
             bounds = np.concatenate(([0], np.cumsum([len(b) // 8 for b in blobs]))).astype(np.int64)
@@ -258,6 +269,27 @@ def _bucket_edges(packed: np.ndarray) -> np.ndarray:
     return np.unique(np.stack((np.minimum(first, node)[other], np.maximum(first, node)[other]), 1), axis=0)
 
 
+def _bucket_pairs(packed: np.ndarray) -> np.ndarray:
+    """Pairs of sets and how many of the bucket's shingles both have; a run of many has edges from its first set that
+    count as enough."""
+    node, head = _runs(packed)
+    begin = np.flatnonzero(head)
+    size = np.diff(np.append(begin, len(node)))
+    first, many = node[np.repeat(begin, size)], np.repeat(size > LISTED, size)
+    found = [(first[many], node[many], TOGETHER)]
+    for k in range(2, LISTED + 1):
+        rows = node[begin[size == k, None] + np.arange(k)]
+        found += [(rows[:, i], rows[:, j], 1) for i in range(k) for j in range(i + 1, k)]
+    a, b = (np.concatenate([f[end] for f in found]) for end in (0, 1))
+    times = np.repeat([f[2] for f in found], [len(f[0]) for f in found])
+    other = a != b
+    a, b, times = np.minimum(a, b)[other], np.maximum(a, b)[other], times[other]
+    order = np.lexsort((b, a))
+    a, b, times = a[order], b[order], times[order]
+    new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
+    return np.stack((a[new], b[new], np.add.reduceat(times, new) if len(new) else times), 1)
+
+
 def _bucket_counts(packed: np.ndarray) -> np.ndarray:
     """For each set, how many of its shingles others in a run have too."""
     node, head = _runs(packed)
@@ -265,8 +297,12 @@ def _bucket_counts(packed: np.ndarray) -> np.ndarray:
     return np.stack(np.unique(node[np.repeat(size > 1, size)], return_counts=True), 1)
 
 
-def _reduced(buckets: DataFrame, each) -> DataFrame:
-    """Pairs (a, b) that ``each`` makes of a bucket's postings, or that a row of bucket -1 or -2 has already."""
+def _reduced(buckets: DataFrame, each, times: bool = False) -> DataFrame:
+    """Pairs (a, b) that ``each`` makes of a bucket's postings, or that a row of bucket -1 or -2 has already.
+
+    With ``times``, pairs have a third number, which is ``TOGETHER`` for those of bucket -1.
+    """
+    names = ["a", "b", *["times"] * times]
 
     def run(batches):
         held: list[bytes] = []
@@ -275,7 +311,9 @@ def _reduced(buckets: DataFrame, each) -> DataFrame:
         def flush():
             pairs = np.frombuffer(held[0], np.int64).reshape(-1, 2) if last < 0 else each(np.frombuffer(b"".join(held), np.uint8).reshape(-1, 12))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+            if pairs.shape[1] < len(names):
+                pairs = np.insert(pairs, 2, TOGETHER, 1)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pairs.T], names=names)
 
         for batch in batches:
             for k, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
@@ -286,17 +324,15 @@ def _reduced(buckets: DataFrame, each) -> DataFrame:
         if held:
             yield flush()
 
-    return buckets.repartition("bucket", F.when(F.col("bucket") < 0, F.xxhash64("blob")).otherwise(F.lit(0))).sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    return buckets.repartition("bucket", F.when(F.col("bucket") < 0, F.xxhash64("blob")).otherwise(F.lit(0))).sortWithinPartitions("bucket").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 # ---- pass 3: the families' sets, and the search ----
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Shingle sets of the rows in ``wanted`` (row), and of very few others: (s1, blob).
-
-    Each row has four bits of a filter that is sent to all tasks, so no set is shuffled to tell whether it is wanted; of
-    a hundred thousand others some tens pass.
+def _filter(wanted: DataFrame):
+    """Whether numbers are among ``wanted`` (row), as a function for tasks: each has four bits of a filter that is sent to
+    all, so nothing is shuffled to tell; of a hundred thousand others some tens pass.
     """
     size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * wanted.count()).bit_length()))
 
@@ -312,16 +348,36 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         yield _sliced_rows(bits)
 
     rows = _sum_slices(wanted.mapInArrow(mark, "slice long, cells binary"), "u1", np.bitwise_or)
-    sent = docs.sparkSession.sparkContext.broadcast(_assembled(rows, size // 8, "u1"))
+    sent = wanted.sparkSession.sparkContext.broadcast(_assembled(rows, size // 8, "u1"))
+
+    def passes(rows: np.ndarray) -> np.ndarray:
+        held = np.ones(len(rows), bool)
+        for at in places(rows.view(np.uint64)):
+            held &= (sent.value[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8) & 1).astype(bool)
+        return held
+
+    return passes
+
+
+def _only(sets: DataFrame, wanted: DataFrame, shift: int = 0) -> DataFrame:
+    """``sets`` (s1, blob) whose s1, without its last ``shift`` bits, is in ``wanted`` (row), and very few others."""
+    passes = _filter(wanted)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(passes(np.asarray(batch.column("s1")).view(np.uint64) >> U(shift))))
+
+    return sets.select("s1", "blob").mapInArrow(run, "s1 long, blob binary")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Shingle sets of the rows in ``wanted`` (row), and of very few others: (s1, blob)."""
+    passes = _filter(wanted)
 
     def run(batches):
         seen: set[int] = set()  # equal sets of a task go once
         for batch in batches:
-            rows = np.asarray(batch.column("row")).view(np.uint64)
-            held = np.ones(len(rows), bool)
-            for at in places(rows):
-                held &= (sent.value[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8) & 1).astype(bool)
-            hit = np.flatnonzero(held)
+            hit = np.flatnonzero(passes(np.asarray(batch.column("row"))))
             if not len(hit):
                 continue
             some = batch.take(pa.array(hit))
@@ -551,7 +607,12 @@ def _count_links(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
 
-def _links(members: DataFrame, blobs: DataFrame) -> DataFrame:
+def _blobs(sets: DataFrame, units: DataFrame) -> DataFrame:
+    """(rep, blob) of the sets in ``units`` (rep), and of very few others."""
+    return _only(sets, units.select(F.col("rep").alias("row"))).select(F.col("s1").alias("rep"), "blob")
+
+
+def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(rep, links) of ``members`` (rep, root, n, copies): how many documents with other sets each set links with.
 
     All links lie within a component. Its sets are dealt in parts, and each pair of parts is a unit: every two sets of a
@@ -562,7 +623,14 @@ def _links(members: DataFrame, blobs: DataFrame) -> DataFrame:
     dealt = members.join(size.select("root", parts.alias("parts")), "root").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")))
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     units = each.select(F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("work"), "rep", "part", "copies", (F.col("part") != F.col("other")).alias("across"))
-    return _count_links(units.join(blobs, "rep"))
+    units = common.written(units)
+    return _count_links(units.join(_blobs(sets, units), "rep"))
+
+
+def _crowds(alive: DataFrame, family: DataFrame) -> DataFrame:
+    """(family, node, size) of the families of two sets or more; size is how many sets."""
+    size = alive.join(family, "node").groupBy("family").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return common.written(family.join(size, "family"))
 
 
 def _classes(docs: DataFrame, block: int, links: bool = False) -> DataFrame:
@@ -590,26 +658,36 @@ def _classes(docs: DataFrame, block: int, links: bool = False) -> DataFrame:
     alive = classes.withColumn("node", F.shiftrightunsigned("s1", 16)).join(shared, F.col("node") == F.col("a")).where(F.col("shared") >= least).select("row", "n", "s1", "node")
     alive = common.written(alive)
     sets = common.written(_sets(docs.select("row", "text"), alive.select("row")))
-    family = components(_reduced(_from_sets(sets, sent, heavy, 1 + buckets // 4), _bucket_edges)).select("node", F.col("root").alias("family"))
-    crowd = alive.join(family, "node").groupBy("family").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    crowd = common.written(family.join(crowd, "family"))
+    few = 1 + buckets // 4
+    family = common.written(components(_reduced(_from_sets(sets, sent, heavy, few), _bucket_edges)).select("node", F.col("root").alias("family")))
+    crowd = _crowds(alive, family)
+    if crowd.where(F.col("size") > block).limit(1).count():
+        # a family may be a chain of sets that share one shingle each with the next; in a large one pairs must share more
+        large = common.written(crowd.where(F.col("size") > block).select("node"))
+        again = _reduced(_from_sets(_only(sets, large.select(F.col("node").alias("row")), 16), sent, heavy, few, _together), _bucket_pairs, times=True)
+        pairs = again.groupBy("a", "b").agg(F.sum("times").alias("times")).where(F.col("times") >= TOGETHER)
+        within = components(pairs).select("node", F.col("root").alias("family"))
+        crowd = _crowds(alive, common.written(crowd.where(F.col("size") <= block).select("node", "family").unionByName(within.join(large, "node", "left_semi"))))
     members = common.written(alive.join(crowd, "node").select("family", "size", F.col("s1").alias("rep"), "n"))
     blobs = sets.select(F.col("s1").alias("rep"), "blob")
 
     blocks = F.ceil(F.col("size") / block)
     twice = F.when(blocks == 1, F.array(F.xxhash64("family"))).otherwise(F.array(*(F.xxhash64("family", F.lit(salt), F.pmod(F.xxhash64("rep", F.lit(salt)), blocks)) for salt in (1, 2))))
-    joined = common.written(_search(members.select("rep", F.col("rep").alias("label"), F.lit(0).cast("long").alias("part"), F.explode(twice).alias("work")).join(blobs, "rep")))
+    # units are written before they meet the sets: while their files are small, these are shuffled once, by unit
+    units = common.written(members.select("rep", F.col("rep").alias("label"), F.lit(0).cast("long").alias("part"), F.explode(twice).alias("work")))
+    joined = common.written(_search(units.join(blobs, "rep")))
     label = common.written(components(joined))
     if crowd.where(F.col("size") > block).limit(1).count():
         known = members.where(F.col("size") > block).join(label.select(F.col("node").alias("rep"), F.col("root").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        more = common.written(_search(_across(known, block).join(blobs, "rep")))
+        units = common.written(_across(known, block))
+        more = common.written(_search(units.join(_blobs(sets, units), "rep")))
         if more.limit(1).count():
             label = common.written(components(joined.unionAll(more)))
     more = []
     if links:
         copies = common.written(signs.where("n > 0").groupBy(F.col("s1").alias("rep")).agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")))
         inside = common.written(label.select(F.col("node").alias("rep"), "root").join(copies, "rep"))
-        found = copies.join(_links(inside, blobs), "rep", "left").select(F.col("rep").alias("s1"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        found = copies.join(_links(inside, sets), "rep", "left").select(F.col("rep").alias("s1"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
         classes, more = classes.join(common.written(found), "s1", "left"), ["n_links"]
     classes = classes.join(label.select(F.col("node").alias("s1"), "root"), "s1", "left").select("s1", "s2", F.coalesce("root", "s1").alias("root"), *more)
     more = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else []

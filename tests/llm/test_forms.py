@@ -4,6 +4,7 @@ import base64
 import collections
 import gzip
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -324,3 +325,26 @@ def test_links_are_counted_in_parts(spark, monkeypatch, linked):
         shared = jaccard.overlaps(some, min(many, len(some)))
         other = some if many >= len(some) else some[many:]
         assert all(shared[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(some[:many]) for j, b in enumerate(other) if a is not b)
+
+
+def test_chains_of_single_shingles_are_not_searched(spark, monkeypatch):
+    chain = [" ".join(f"w{j}" for j in range(2 * k, 2 * k + 8)) for k in range(120)]  # two of four shingles shared with the next
+    near = [" ".join(f"n{j}" for j in range(60)) + f" end{k}" for k in range(5)]
+    rows, search = [], jaccard._search
+    monkeypatch.setattr(jaccard, "_search", lambda units: rows.append(units.count()) or search(units))
+    df = spark.createDataFrame(list(enumerate(chain + near)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.jaccard_groups(df, block=2).collect()}
+    assert got == {k: (k, 0) if k < 120 else (120, 4) for k in range(125)}
+    assert rows[0] < 40  # 10 of the near ones, and pairs that a small family holds anyway
+
+
+def test_pairs_of_a_bucket():
+    rng = np.random.default_rng(4)
+    held = [(t, s) for t in range(40) for s in rng.choice(60, rng.integers(1, 12) if t else 40, replace=False).tolist()]
+    packed = np.zeros((len(held), 12), np.uint8)
+    packed[:, 0], packed[:, 5] = np.array(held).T
+    want = collections.Counter(p for t in range(1, 40) for p in itertools.combinations(sorted(s for x, s in held if x == t), 2))
+    first = min(s for t, s in held if t == 0)
+    want.update({(first, s): jaccard.TOGETHER for t, s in held if t == 0 and s != first})
+    assert {(a, b): n for a, b, n in jaccard._bucket_pairs(packed).tolist()} == want
+    assert jaccard._bucket_pairs(packed[:0]).shape == (0, 3)
