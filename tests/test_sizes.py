@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import SparkSession
 
 from lattica.llm import vocab
+from lattica.operators import cycles
 from lattica.plans import locks
 from lattica.sources import dom
 
@@ -54,6 +55,15 @@ def test_element_trees_are_not_sent_whole(spark):
     assert not [name for name, _ in executed(spark, run) if "Broadcast" in name]
 
 
+def test_components_are_not_sent_whole(spark, monkeypatch):
+    monkeypatch.setattr(cycles, "TASK_EDGES", 4)  # labels spread, then the rest is searched
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("d", "e")], "src string, dst string")
+    got = []
+    steps = executed(spark, lambda: got.extend(cycles.components(edges).collect()))
+    assert sorted(tuple(r) for r in got) == [("a", "a", 2), ("b", "a", 2), ("c", "c", 2), ("d", "c", 2)]
+    assert not [name for name, _ in steps if "Broadcast" in name]
+
+
 def test_pieces_join_in_order_and_in_less_memory():
     pieces = lambda keys, sizes: vocab._Pieces(np.array(keys, np.uint64), np.cumsum(sizes) - sizes, np.array(sizes), np.repeat(np.array(keys, np.uint32), sizes))
     both = pieces([2, 5, 9], [1, 3, 2]).joined(pieces([1, 5 + 2, 11], [2, 1, 4]))
