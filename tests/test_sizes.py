@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from lattica.llm import vocab
-from lattica.operators import cycles
-from lattica.plans import locks
+from lattica.cypher import run
+from lattica.graph import Graph
+from lattica.operators import cycles, skew
+from lattica.plans import analyses, locks
 from lattica.sources import dom
 
 
@@ -70,3 +73,18 @@ def test_pieces_join_in_order_and_in_less_memory():
     assert both.keys.tolist() == [1, 2, 5, 7, 9, 11]
     assert [both.ids[a : a + n].tolist() for a, n in zip(both.at.tolist(), both.size.tolist(), strict=True)] == [[1] * 2, [2], [5] * 3, [7], [9] * 2, [11] * 4]
     assert both.at.dtype == both.size.dtype == np.uint32
+
+
+def test_pairs_of_one_signature_are_made_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(skew, "PAIRS", 200)
+    rows = [(f"f{k}", f"name{k % 40:02}", f"file{k}", None if k % 20 == 0 else "()" if k % 20 == 1 else "(int)" if k % 20 < 18 else f"({k % 3})") for k in range(120)]
+    nodes = spark.createDataFrame(rows, "uid string, name string, file string, params string")
+    g = Graph(spark, {"Function": lambda: nodes}, {})
+    want = sorted((a[0], b[0], a[3]) for a in rows for b in rows if a[3] == b[3] not in (None, "()") and a[1] < b[1])
+    out = analyses.duplicate_functions_by_signature(g)
+    assert sorted((r.fileA.replace("file", "f"), r.fileB.replace("file", "f"), r.sharedSignature) for r in out.collect()) == want
+    pattern = run(g, "MATCH (a:Function), (b:Function) WHERE a.params = b.params AND a.params <> '()' AND a.name < b.name RETURN elementId(a) AS a, elementId(b) AS b, a.params AS params")
+    assert sorted(tuple(r) for r in pattern.collect()) == want
+    for df in (out, pattern):
+        sizes = [r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert len(sizes) > 8 and max(sizes) < len(want) / 4
