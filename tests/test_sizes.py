@@ -88,3 +88,26 @@ def test_pairs_of_one_signature_are_made_in_many_tasks(spark, monkeypatch):
     for df in (out, pattern):
         sizes = [r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()]
         assert len(sizes) > 8 and max(sizes) < len(want) / 4
+
+
+def test_short_cycles_through_a_hub_are_found_without_all_its_walks(spark):
+    n = 300
+    edges = spark.createDataFrame([(f"x{k}", "h") for k in range(n)] + [("h", f"y{k}") for k in range(n)] + [(f"y{k}", "z") for k in range(n)] + [("z", f"x{k}") for k in range(n)], "src string, dst string")
+    got = []
+    steps = executed(spark, lambda: got.extend(cycles.on_short(edges, 5).collect()))
+    assert sorted(r.uid for r in got) == sorted([f"{x}{k}" for x in "xy" for k in range(n)] + ["h", "z"])
+    assert max(rows for name, rows in steps if "Join" in name) <= 8 * n
+
+
+def test_short_cycles_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(5)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 60, (100, 2))} | {(100 + k, 100 + (k + 1) % 5) for k in range(5)} | {(200 + k, 200 + (k + 1) % 6) for k in range(6)} | {(300, 301), (301, 302), (302, 300)}
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "src string, dst string")
+    step = np.zeros((400, 400), bool)
+    for a, b in pairs:
+        step[a, b] = a != b
+    walk, on = step.copy(), np.zeros(400, bool)
+    for hops in range(2, 7):
+        walk = walk @ step
+        on |= walk.diagonal()
+        assert sorted(r.uid for r in cycles.on_short(edges, hops).collect()) == sorted(f"n{k}" for k in np.flatnonzero(on))
