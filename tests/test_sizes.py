@@ -111,3 +111,18 @@ def test_short_cycles_are_those_of_brute_force(spark):
         walk = walk @ step
         on |= walk.diagonal()
         assert sorted(r.uid for r in cycles.on_short(edges, hops).collect()) == sorted(f"n{k}" for k in np.flatnonzero(on))
+
+
+def test_functions_that_share_one_callee_make_no_rows_of_pairs_in_joins(spark):
+    n = 200
+    fn = [(f"f{k:03}", f"name{k % 150:03}", f"file{k % 7}") for k in range(n)] + [("h", "hub", "x"), ("i", None, "x"), ("j", "sub", "x")]
+    calls = [(f"f{k:03}", "h") for k in range(n)] + [("f003", "i"), ("f004", "i"), ("f155", "j"), ("f007", "j"), ("i", "f003"), ("i", "f004"), ("j", "f009"), ("j", "f004")]
+    g = Graph(spark, {"Function": lambda: spark.createDataFrame(fn, "uid string, name string, file string")}, {"CALLS": lambda: spark.createDataFrame(calls, "src string, dst string")})
+    got = []
+    steps = executed(spark, lambda: got.extend(analyses.duplicate_functions_by_callees(g).collect()))
+    assert sorted((r.uid, r.funcA, r.fileA, r.funcB, r.sharedCallees, r.overlap) for r in got) == [("f003", "name003", "file3", "name004", "hub", 2), ("f155", "name005", "file1", "name007", "hub,sub", 2)]
+    assert max(rows for name, rows in steps if "Join" in name) <= 4 * n
+    got.clear()
+    steps = executed(spark, lambda: got.extend(analyses.duplicate_functions_by_callers_and_callees(g).collect()))
+    assert sorted((r.uid, r.uidB, r.sharedCallers, r.sharedCallees) for r in got) == [("f003", "f004", "", "hub"), ("f004", "f009", "sub", "hub")]
+    assert max(rows for name, rows in steps if "Join" in name) <= 4 * n
