@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from lattica.llm import vocab
 from lattica.cypher import run
 from lattica.graph import Graph
-from lattica.operators import cycles, skew
+from lattica.operators import budget, cycles, skew
 from lattica.plans import analyses, locks
 from lattica.sources import dom
+from lattica.sources.star import star_graph
 
 
 def executed(spark: SparkSession, run: Callable[[], object]) -> list[tuple[str, int]]:
@@ -126,3 +127,21 @@ def test_functions_that_share_one_callee_make_no_rows_of_pairs_in_joins(spark):
     steps = executed(spark, lambda: got.extend(analyses.duplicate_functions_by_callers_and_callees(g).collect()))
     assert sorted((r.uid, r.uidB, r.sharedCallers, r.sharedCallees) for r in got) == [("f003", "f004", "", "hub"), ("f004", "f009", "sub", "hub")]
     assert max(rows for name, rows in steps if "Join" in name) <= 4 * n
+
+
+def test_edges_are_told_apart_by_numbers(spark):
+    for name in ("CALLS", "CALLS_FINISHED", "HAS_METHOD", "AFFECTS", "WRITES_STATE"):
+        edges = star_graph(spark, "/root/testdata/sf0.001").rel(name)
+        assert edges.schema.simpleString() == "struct<src:string,dst:string>"
+        assert "hashpartitioning(src" not in edges._jdf.queryExecution().executedPlan().toString()
+        assert name == "CALLS_FINISHED" or "ReadSchema: struct<src:string" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_of_a_budget_walk_make_no_joins(spark):
+    n = 60
+    nodes = spark.createDataFrame([(f"n{k:02}", "A") for k in range(n)], "uid string, label string")
+    edges = spark.createDataFrame([(f"n{k:02}", f"n{k + 1:02}") for k in range(n - 1)], "src string, dst string")
+    got = []
+    steps = executed(spark, lambda: got.extend(budget.connected(nodes, edges, 20).collect()))
+    assert len(got) == 20
+    assert sum("Join" in name for name, _ in steps) <= 8
