@@ -12,7 +12,7 @@ from lattica.llm import vocab
 from lattica.cypher import run
 from lattica.graph import Graph
 from lattica.operators import budget, cycles, skew
-from lattica.plans import analyses, locks
+from lattica.plans import analyses, locks, scope
 from lattica.sources import dom
 from lattica.sources.star import star_graph
 
@@ -145,3 +145,12 @@ def test_rounds_of_a_budget_walk_make_no_joins(spark):
     steps = executed(spark, lambda: got.extend(budget.connected(nodes, edges, 20).collect()))
     assert len(got) == 20
     assert sum("Join" in name for name, _ in steps) <= 8
+
+
+def test_a_level_report_meets_the_labels_once(spark):
+    nodes = {"Function": [("f1",), ("f2",), ("f3",)], "File": [("a",), ("b",)]}
+    g = Graph(spark, {x: lambda x=x: spark.createDataFrame(nodes[x], "uid string") for x in nodes}, {"CALLS": lambda: spark.createDataFrame([("f1", "f2"), ("f3", "f3"), ("f1", "gone")], "src string, dst string"), "CONTAINS": lambda: spark.createDataFrame([("a", "f1")], "src string, dst string")})
+    got = []
+    steps = executed(spark, lambda: got.extend(scope.report(g, 1).collect()))
+    assert sorted(tuple(r) for r in got) == [("File", 2, 1, "Function"), ("Function", 3, 2, "File")]
+    assert sum("Join" in name for name, _ in steps) <= 4
