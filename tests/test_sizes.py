@@ -154,3 +154,13 @@ def test_a_level_report_meets_the_labels_once(spark):
     steps = executed(spark, lambda: got.extend(scope.report(g, 1).collect()))
     assert sorted(tuple(r) for r in got) == [("File", 2, 1, "Function"), ("Function", 3, 2, "File")]
     assert sum("Join" in name for name, _ in steps) <= 4
+
+
+def test_first_cycles_come_from_walks_of_half_their_length(spark):
+    wide = 100
+    edges = [(f"n{k}_{i}", f"n{(k + 1) % 6}_{(i * 7 + j * j * 31 + k) % wide}") for k in range(6) for i in range(wide) for j in range(3)]
+    got = []
+    ran = executed(spark, lambda: got.extend(cycles.witnesses(spark.createDataFrame(edges, "src string, dst string"), 6).collect()))
+    assert got and all(r.hops == 6 and r.cycle[0] == r.cycle[6] == r.uid and set(zip(r.cycle, r.cycle[1:])) <= set(edges) for r in got)
+    # walks of three edges, 27 from each node; five edges lead to nearly all nodes of a layer
+    assert max(n for _, n in ran) <= 6 * wide * 27
