@@ -164,3 +164,11 @@ def test_first_cycles_come_from_walks_of_half_their_length(spark):
     assert got and all(r.hops == 6 and r.cycle[0] == r.cycle[6] == r.uid and set(zip(r.cycle, r.cycle[1:])) <= set(edges) for r in got)
     # walks of three edges, 27 from each node; five edges lead to nearly all nodes of a layer
     assert max(n for _, n in ran) <= 6 * wide * 27
+
+
+def test_small_parts_of_a_large_graph_are_searched_without_rounds(spark, monkeypatch):
+    monkeypatch.setattr(cycles, "TASK_EDGES", 8)
+    monkeypatch.setattr(cycles, "_spread", None)
+    edges = [(3 * k + i, 3 * k + (i + 1) % 3) for k in range(20) for i in range(3)] + [(100 + k, 101 + k) for k in range(5)]
+    got = {tuple(r) for r in cycles.strong(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(x, x - x % 3) for x in range(60)}
