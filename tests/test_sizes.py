@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lattica.llm import vocab
 from lattica.cypher import run
 from lattica.graph import Graph
-from lattica.operators import budget, cycles, skew
+from lattica.operators import budget, cycles, intervals, skew
 from lattica.plans import analyses, locks, scope
 from lattica.sources import dom
 from lattica.sources.star import star_graph
@@ -172,3 +172,13 @@ def test_small_parts_of_a_large_graph_are_searched_without_rounds(spark, monkeyp
     edges = [(3 * k + i, 3 * k + (i + 1) % 3) for k in range(20) for i in range(3)] + [(100 + k, 101 + k) for k in range(5)]
     got = {tuple(r) for r in cycles.strong(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(x, x - x % 3) for x in range(60)}
+
+
+def test_tasks_of_innermost_spans_grow_in_number_only(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "ROWS", 100)
+    points = spark.range(1000).select(F.lit("f").alias("file"), F.col("id").alias("line"))
+    spans = spark.range(100).select(F.lit("f").alias("file"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 8).alias("end"), F.col("id").cast("string").alias("uid"))
+    found = intervals.innermost(points, spans, "file")
+    assert {(r.line, r.inner) for r in found.collect()} == {(x, None if x % 10 == 9 else str(x // 10)) for x in range(1000)}
+    plan = intervals.innermost(points, spans, "file")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") >= 3 and ", 10" in plan
