@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import vocab
 from lattica.cypher import run
 from lattica.graph import Graph
-from lattica.operators import budget, cycles, intervals, skew
+from lattica.operators import budget, cycles, intervals, skew, weak
 from lattica.plans import analyses, locks, scope
 from lattica.sources import dom
 from lattica.sources.star import star_graph
@@ -182,3 +184,50 @@ def test_tasks_of_innermost_spans_grow_in_number_only(spark, monkeypatch):
     assert {(r.line, r.inner) for r in found.collect()} == {(x, None if x % 10 == 9 else str(x // 10)) for x in range(1000)}
     plan = intervals.innermost(points, spans, "file")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") >= 3 and ", 10" in plan
+
+
+def test_short_cycles_of_small_parts_are_found_without_lists(spark, monkeypatch):
+    monkeypatch.setattr(cycles, "_nearby", None)
+    n = 150
+    edges = [(f"x{k}", "h") for k in range(n)] + [("h", f"y{k}") for k in range(n)] + [(f"y{k}", f"x{k}") for k in range(3)] + [("p", "q"), ("q", "p"), ("p", "s")] + [(f"r{k}", f"r{(k + 1) % 6}") for k in range(6)]
+    found = cycles.on_short(spark.createDataFrame(edges, "src string, dst string"), 5)
+    assert sorted(r.uid for r in found.collect()) == sorted(["h", "p", "q"] + [f"{x}{k}" for x in "xy" for k in range(3)])
+
+
+def _cyclic_by_brute_force(pairs, hops: int) -> list[int]:
+    step = np.zeros((400, 400), bool)
+    for a, b in pairs:
+        step[a, b] = a != b
+    walk, on = step.copy(), np.zeros(400, bool)
+    for _ in range(2, hops + 1):
+        walk = walk @ step
+        on |= walk.diagonal()
+    return np.flatnonzero(on).tolist()
+
+
+def _parts_of_all_sizes() -> set[tuple[int, int]]:
+    rng = np.random.default_rng(7)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 200, (330, 2))} | {(250 + k, 250 + (k + 1) % 5) for k in range(5)} | {(260 + k, 260 + (k + 1) % 6) for k in range(6)} | {(270, 271), (271, 270), (271, 272)}
+    return {(a, b) for a, b in pairs | {(int(a), int(b)) for a, b in rng.integers(300, 330, (40, 2))} if a != b}
+
+
+@pytest.mark.parametrize("nodes", [1 << 16, 20, 0])
+def test_short_cycles_of_parts_of_all_sizes_are_those_of_brute_force(spark, monkeypatch, nodes):
+    monkeypatch.setattr(cycles, "BIT_NODES", nodes)
+    pairs = _parts_of_all_sizes()
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "src string, dst string")
+    for hops in (2, 5):
+        assert sorted(r.uid for r in cycles.on_short(edges, hops).collect()) == sorted(f"n{k}" for k in _cyclic_by_brute_force(pairs, hops))
+
+
+@pytest.mark.parametrize(("words", "table", "few"), [(1, 1, 0), (1, 1 << 22, 1000), (2, 128, 2), (32, 1 << 22, 32)])
+def test_rows_of_bits_of_any_width_find_the_same_cycles(monkeypatch, words, table, few):
+    for name, value in (("BIT_WORDS", words), ("BIT_TABLE", max(table, 64)), ("BIT_FEW", few)):
+        monkeypatch.setattr(cycles, name, value)
+    pairs = sorted(_parts_of_all_sizes())
+    a, b = np.array(pairs).T
+    nodes, roots = weak.local_labels(a, b)
+    root = roots[np.searchsorted(nodes, a)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[k::2]) for x in (a, b, root)], names=["a", "b", "root"]) for k in (0, 1)]
+    for hops in range(2, 7):
+        assert sorted(x for batch in cycles._closed(hops)(iter(batches)) for x in batch.column("origin").to_pylist()) == _cyclic_by_brute_force(pairs, hops)
