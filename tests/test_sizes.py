@@ -231,3 +231,17 @@ def test_rows_of_bits_of_any_width_find_the_same_cycles(monkeypatch, words, tabl
     batches = [pa.RecordBatch.from_arrays([pa.array(x[k::2]) for x in (a, b, root)], names=["a", "b", "root"]) for k in (0, 1)]
     for hops in range(2, 7):
         assert sorted(x for batch in cycles._closed(hops)(iter(batches)) for x in batch.column("origin").to_pylist()) == _cyclic_by_brute_force(pairs, hops)
+
+
+def _alike(spark):
+    rows = [(f"f{k:03}", f"n{k % 4}" if k % 9 else None, f"file{k % 2}", f"({k % 2})", k) for k in range(200)]
+    g = Graph(spark, {"Function": lambda: spark.createDataFrame(rows, "uid string, name string, file string, params string, k long")}, {})
+    return g, [(a, b) for a in rows for b in rows if a[3] == b[3] and a[1] and b[1] and a[1] < b[1]]
+
+
+def test_functions_of_one_signature_that_look_alike_are_paired_once(spark, monkeypatch):
+    monkeypatch.setattr(skew, "EQUAL", 16)
+    (g, want), got = _alike(spark), []
+    steps = executed(spark, lambda: got.extend(analyses.duplicate_functions_by_signature(g).collect()))
+    assert sorted(tuple(r) for r in got) == sorted((*a[1:3], *b[1:4]) for a, b in want)
+    assert 0 < max(n for name, n in steps if "Join" in name) <= len(want) / 5
