@@ -245,3 +245,23 @@ def test_functions_of_one_signature_that_look_alike_are_paired_once(spark, monke
     steps = executed(spark, lambda: got.extend(analyses.duplicate_functions_by_signature(g).collect()))
     assert sorted(tuple(r) for r in got) == sorted((*a[1:3], *b[1:4]) for a, b in want)
     assert 0 < max(n for name, n in steps if "Join" in name) <= len(want) / 5
+
+
+def test_nodes_of_a_pattern_that_look_alike_are_paired_once(spark, monkeypatch):
+    monkeypatch.setattr(skew, "EQUAL", 16)
+    (g, want), got = _alike(spark), []
+    text = "MATCH (a:Function), (b:Function) WHERE a.params = b.params AND a.name < b.name "
+    steps = executed(spark, lambda: got.extend(run(g, text + "RETURN elementId(a) AS a, a.name + b.name AS names").collect()))
+    assert sorted(tuple(r) for r in got) == sorted((a[0], a[1] + b[1]) for a, b in want)
+    assert 0 < max(n for name, n in steps if "Join" in name) <= len(want) / 5
+    others = {
+        "RETURN a.name AS x, b.k AS y": [(a[1], b[4]) for a, b in want],
+        "RETURN a.name AS x, b AS y": [(a[1], b[0]) for a, b in want],
+        "AND b.k > 150 RETURN a.file AS x, b.name AS y": [(a[2], b[1]) for a, b in want if b[4] > 150],
+        "RETURN DISTINCT a.name AS x, b.name AS y": list({(a[1], b[1]) for a, b in want}),
+        "RETURN a.name AS x, count(*) AS y": [(x, sum(a[1] == x for a, _ in want)) for x in {a[1] for a, _ in want}],
+        "WITH a.name AS x, b.file AS y RETURN x, y": [(a[1], b[2]) for a, b in want],
+        "RETURN a.name AS x, b.file AS y ORDER BY x, y LIMIT 70": sorted((a[1], b[2]) for a, b in want)[:70],
+    }
+    for end, rows_ in others.items():
+        assert sorted(tuple(r) for r in run(g, text + end).collect()) == sorted(rows_), end
