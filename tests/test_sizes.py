@@ -11,10 +11,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import vocab
+from lattica import catalogue
 from lattica.cypher import run
 from lattica.graph import Graph
 from lattica.operators import budget, cycles, intervals, skew, weak
-from lattica.plans import analyses, locks, scope
+from lattica.plans import analyses, conformance, locks, scope
 from lattica.sources import dom
 from lattica.sources.star import star_graph
 
@@ -265,3 +266,20 @@ def test_nodes_of_a_pattern_that_look_alike_are_paired_once(spark, monkeypatch):
     }
     for end, rows_ in others.items():
         assert sorted(tuple(r) for r in run(g, text + end).collect()) == sorted(rows_), end
+
+
+def test_sequences_are_joined_by_numbers(spark):
+    text = catalogue.QUERIES["spec_sequence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text and "from_alias" in text  # messages are written once, not ordered for each reader
+    messages = spark.createDataFrame([(1, 7, 8, "go", False), (2, 7, 8, "stay", False), (3, 7, 9, "go", None), (4, 8, 7, "", False)], "message long, from_alias long, to_alias long, method string, dashed boolean")
+    members = spark.createDataFrame([(7, 70, "a"), (8, 80, "go"), (8, 9, "go"), (8, 81, "stay"), (8, 82, "more")], "alias long, uid long, name string")
+    calls = spark.createDataFrame([(70, 80), (70, 9), (70, 9), (70, 82), (70, 82), (80, 81)], "src long, dst long")
+    found = conformance.sequence(messages, members, members, calls, lambda uid: F.concat(F.lit("f"), uid.cast("string")))
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, [
+        ("conforms", None, 1, 7, 8, "go", None, "f80,f9"),
+        ("missing", "not_called", 2, 7, 8, "stay", None, "f81"),
+        ("skipped", "unbound_endpoint", 3, 7, 9, "go", None, None),
+        ("skipped", "free_text", 4, 8, 7, "", None, None),
+        ("extra", None, None, 7, 8, "more", 70, "f82"),
+        ("unbound", None, None, 9, None, None, None, None),
+    ]))
